@@ -7,7 +7,7 @@ from .registry import QUERIES, Query
 
 def all_queries() -> dict[str, Query]:
     from . import catalog_gold  # noqa: F401
-    for mod in ("catalog_features", "catalog_models"):
+    for mod in ("catalog_features", "catalog_clean", "catalog_models"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # modules land one build step at a time

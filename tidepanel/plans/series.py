@@ -67,3 +67,22 @@ NATION_SEGMENT_MONTH_SQL = f"""sm AS (
 
 def month_index(year: int, month: int) -> int:
     return year * 12 + month - 1
+
+
+def customer_month(spark: SparkSession, d: str) -> DataFrame:
+    """Per (customer, month with orders): many short series.  Adds
+    ``x_ratio`` = orders per fulfilled order with IEEE semantics (+inf when
+    a month has no fulfilled order), the kind of value pandas arithmetic
+    hands to the cleaning step."""
+    o = add_period(read_table(spark, d, "orders"), "o_orderdate", "month", "p")
+    out = rounded(o.groupBy(F.col("o_custkey").alias("k"), "p").agg(*_measures()), 6, y=8)
+    return out.withColumn("x_ratio", F.when(F.col("n_f") == 0, F.lit(float("inf")))
+                          .otherwise(F.round(F.col("n_orders") / F.col("n_f"), 6)))
+
+
+CUSTOMER_MONTH_SQL = f"""cm AS (
+  SELECT *, CASE WHEN n_f = 0 THEN 'inf'::DOUBLE ELSE round(n_orders / n_f, 6) END AS x_ratio
+  FROM (SELECT o_custkey AS k,
+          CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS p,
+          {_MEASURES_SQL}
+        FROM orders GROUP BY 1, 2))"""
