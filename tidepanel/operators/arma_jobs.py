@@ -1,0 +1,197 @@
+"""Spark jobs around the per-series ARMA kernel.
+
+Every job is ``groupBy(<one series>).applyInPandas``: Spark shuffles each
+series' rows (one row per period, already aggregated) to one task and
+runs the kernel there; the output is a DataFrame with a fixed schema.
+The candidate-order grid is exploded *before* the grouping, so each
+(series, order) pair is its own group and the orders of one series fit in
+parallel; the best order is then a plain ``min_by`` aggregate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import arma
+from .aggregate import best_by
+from .folds import order_grid
+
+FIT_SCHEMA = ("{keys}, ar int, diff int, ma int, pos int, ord string, status string, "
+              "n_obs int, loglik double, aic double, bic double, sigma2 double, "
+              "intercept double, phi_1 double, converged boolean")
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by the group keys into as many partitions as the
+    cluster has cores.  Model fits are CPU-bound on little data, so AQE
+    would otherwise coalesce the shuffle into a few partitions and run the
+    fits one after another; a repartition with an explicit count is kept,
+    and the groupBy on the same keys reuses it (no second shuffle)."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism,
+            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
+def _keys_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _order_str(p, d, q) -> str:
+    return f"({p}, {d}, {q})"
+
+
+def fit_orders(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
+               orders: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """One fit per (series, candidate order) (M6 over J6): AIC, BIC, log
+    likelihood, sigma2, intercept and the first AR coefficient."""
+    keys = list(keys)
+    base = df.select(*keys, period, y, *exog)
+    grid = order_grid(base, orders)
+    schema = FIT_SCHEMA.format(keys=_keys_schema(df, keys))
+    exog = list(exog)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(period)
+        p, d, q = int(pdf["ar"].iloc[0]), int(pdf["diff"].iloc[0]), int(pdf["ma"].iloc[0])
+        xs = pdf[exog].to_numpy(float) if exog else None
+        f = arma.fit_series(pdf[y].to_numpy(float), xs, (p, d, q), exog)
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update(ar=p, diff=d, ma=q, pos=int(pdf["pos"].iloc[0]), ord=_order_str(p, d, q),
+                   status=f.status, n_obs=f.n_obs, loglik=f.loglik,
+                   aic=f.aic if f.status == "ok" else None,
+                   bic=f.bic if f.status == "ok" else None,
+                   sigma2=f.sigma2, intercept=f.intercept if f.status == "ok" else None,
+                   phi_1=float(f.phi[0]) if p and f.status == "ok" else None,
+                   converged=bool(f.converged))
+        return pd.DataFrame([row])
+
+    return spread(grid, [*keys, "pos"]).groupBy(*keys, "pos").applyInPandas(run, schema)
+
+
+def select_order(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best order per series: smallest AIC, ties to the first grid
+    position, failed fits never chosen (A13, M7, M8)."""
+    return best_by(fits, keys, "aic", ["pos"], ["pos", "ord", "aic", "bic"])
+
+
+PARAM_SCHEMA = ("{keys}, train_end int, ord string, param_name string, param_value double, "
+                "aic double, bic double, exog_cols string, standardized_exog boolean")
+
+
+def fit_params(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
+               order=(1, 0, 0), train_end: int | None = None,
+               standardized: bool = False) -> DataFrame:
+    """Fitted parameters in long form, one row per parameter."""
+    keys, exog = list(keys), list(exog)
+    src = df if train_end is None else df.filter(F.col(period) <= train_end)
+    schema = PARAM_SCHEMA.format(keys=_keys_schema(df, keys))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(period)
+        f = arma.fit_series(pdf[y].to_numpy(float), pdf[exog].to_numpy(float) if exog else None,
+                            order, exog)
+        if f.status != "ok":
+            return pd.DataFrame(columns=[c.split()[0].strip("`") for c in schema.split(", ")])
+        te = int(train_end if train_end is not None else pdf[period].max())
+        rows = []
+        for name, val in f.params():
+            row = {k: pdf[k].iloc[0] for k in keys}
+            row.update(train_end=te, ord=_order_str(*order), param_name=name, param_value=val,
+                       aic=f.aic, bic=f.bic, exog_cols=",".join(exog),
+                       standardized_exog=standardized)
+            rows.append(row)
+        return pd.DataFrame(rows)
+
+    return spread(src.select(*keys, period, y, *exog), keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+FORECAST_SCHEMA = ("{keys}, scenario string, {period} int, predicted double, "
+                   "ci_lower double, ci_upper double")
+
+
+def scenario_forecasts(train: DataFrame, future: DataFrame, keys: Sequence[str], period: str,
+                       y: str, exog: Sequence[str], order=(1, 0, 0),
+                       scenario_col: str = "scenario") -> DataFrame:
+    """Fit once per series on ``train``, then forecast every scenario's
+    future drivers (M14): the training rows and the scenario rows of a
+    series meet in one group, so the model is fitted once and scored for
+    all scenarios in the same call."""
+    keys, exog = list(keys), list(exog)
+    tr = train.select(*keys, period, y, *exog, F.lit(None).cast("string").alias(scenario_col))
+    fu = future.select(*keys, period, F.lit(None).cast("double").alias(y), *exog, scenario_col)
+    both = tr.unionByName(fu)
+    schema = FORECAST_SCHEMA.format(keys=_keys_schema(train, keys), period=period)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hist = pdf[pdf[scenario_col].isna()].sort_values(period)
+        f = arma.fit_series(hist[y].to_numpy(float), hist[exog].to_numpy(float), order, exog)
+        cols = [c.split()[0].strip("`") for c in schema.split(", ")]
+        if f.status != "ok" or hist.empty:
+            return pd.DataFrame(columns=cols)
+        last = int(hist[period].max())
+        rows = []
+        for scen, fut in pdf[pdf[scenario_col].notna()].groupby(scenario_col, sort=True):
+            fut = fut.sort_values(period)
+            fut = fut[fut[period] > last]
+            if fut.empty:
+                continue
+            steps = int(fut[period].max()) - last
+            full = pd.DataFrame({period: range(last + 1, last + steps + 1)}).merge(
+                fut, on=period, how="left")
+            xf = full[exog].ffill().bfill().to_numpy(float)
+            mean, lo, hi = arma.forecast(f, hist[y].to_numpy(float), hist[exog].to_numpy(float),
+                                         xf, steps)
+            for i, per in enumerate(full[period]):
+                if per in set(fut[period]):
+                    row = {k: pdf[k].iloc[0] for k in keys}
+                    row.update({scenario_col: scen, period: int(per), "predicted": mean[i],
+                                "ci_lower": lo[i], "ci_upper": hi[i]})
+                    rows.append(row)
+        return pd.DataFrame(rows, columns=cols)
+
+    return spread(both, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+BACKTEST_SCHEMA = ("{keys}, train_end int, test_period int, ord string, actual double, "
+                   "predicted double, error double, abs_error double, ci_lower double, "
+                   "ci_upper double, aic double, bic double")
+
+
+def arimax_backtest(folds: DataFrame, keys: Sequence[str], period: str, y: str,
+                    exog: Sequence[str], order=(1, 0, 0), fold: str = "te") -> DataFrame:
+    """Rolling-origin one-step ARIMAX backtest (M13 with M6): ``folds``
+    holds, per (series, origin), the training rows and the te + 1 row with
+    drivers already standardised on the training rows (P24)."""
+    keys, exog = list(keys), list(exog)
+    schema = BACKTEST_SCHEMA.format(keys=_keys_schema(folds, keys))
+    cols = [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        te = int(pdf[fold].iloc[0])
+        pdf = pdf.sort_values(period)
+        tr, ts = pdf[pdf[period] <= te], pdf[pdf[period] == te + 1]
+        if ts.empty:
+            return pd.DataFrame(columns=cols)
+        f = arma.fit_series(tr[y].to_numpy(float), tr[exog].to_numpy(float), order, exog)
+        if f.status != "ok":
+            return pd.DataFrame(columns=cols)
+        mean, lo, hi = arma.forecast(f, tr[y].to_numpy(float), tr[exog].to_numpy(float),
+                                     ts[exog].to_numpy(float)[:1], 1)
+        act = float(ts[y].iloc[0])
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update(train_end=te, test_period=te + 1, ord=_order_str(*order), actual=act,
+                   predicted=float(mean[0]), error=act - float(mean[0]),
+                   abs_error=abs(act - float(mean[0])), ci_lower=float(lo[0]),
+                   ci_upper=float(hi[0]), aic=f.aic, bic=f.bic)
+        return pd.DataFrame([row], columns=cols)
+
+    return spread(folds, [*keys, fold]).groupBy(*keys, fold).applyInPandas(run, schema)
+
+
+def assert_no_nan(a: np.ndarray) -> bool:
+    return bool(np.isfinite(a).all())

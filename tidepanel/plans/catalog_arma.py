@@ -1,0 +1,74 @@
+"""Queries for the per-series ARMA models (build step 8).
+
+These run a numerical fit per series inside ``applyInPandas``; SQL cannot
+express them, so they have no oracle and are checked by unit tests
+(dense likelihood, simulated AR(1), ARMA(0,0,0) = OLS, grid choice)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import step_dummy
+from ..operators.arma_jobs import (arimax_backtest, fit_orders, fit_params, scenario_forecasts,
+                                   select_order)
+from ..operators.folds import expand_origins, standardize_by_fold
+from ..operators.scenario import apply_scenarios
+from .catalog_models import ORDERS_V1, ORIGINS, SCENARIOS, TEST, TRAIN_END
+from .registry import query, rounded
+from .series import month_index, nation_segment_month, segment_month
+
+EXOG = ["ev_2000", "x1"]
+
+
+def _with_event(df):
+    return df.withColumn("ev_2000", step_dummy("p", month_index(2000, 1)).cast("double"))
+
+
+@query("arma_fit", step=8)
+def q_arma_fit(spark, d):
+    """ARMA(1,0,0) with intercept and one driver, one fit per
+    nation x segment series."""
+    s = nation_segment_month(spark, d)
+    fits = fit_orders(s, ["k"], "p", "y", ["x1"], [(1, 0, 0)])
+    return rounded(fits.drop("pos"), 6)
+
+
+@query("order_select", step=8)
+def q_order_select(spark, d):
+    """Seven candidate orders per series fitted as separate groups,
+    best AIC per series (ties to grid order, failures skipped)."""
+    s = nation_segment_month(spark, d)
+    fits = fit_orders(s, ["k"], "p", "y", ["x1"], ORDERS_V1)
+    return rounded(select_order(fits, ["k"]), 6)
+
+
+@query("scenario_forecast", step=8)
+def q_scenario_forecast(spark, d):
+    """M14 + J8 + P23: fit on the training months, forecast the test months
+    under four driver scenarios."""
+    s = _with_event(segment_month(spark, d))
+    train = s.filter(F.col("p") <= TRAIN_END)
+    future = apply_scenarios(s.filter(F.col("p").isin(TEST)).select("k", "p", *EXOG), SCENARIOS)
+    return rounded(scenario_forecasts(train, future, ["k"], "p", "y", EXOG), 6)
+
+
+@query("model_params", step=8)
+def q_model_params(spark, d):
+    """Long-form parameters of the final model, drivers standardised
+    with training-row statistics."""
+    s = _with_event(segment_month(spark, d)).filter(F.col("p") <= TRAIN_END)
+    s = standardize_by_fold(s.withColumn("fold", F.lit(TRAIN_END))
+                             .withColumn("is_train", F.lit(True)), "k", "fold", EXOG, suffix="")
+    return rounded(fit_params(s, ["k"], "p", "y", EXOG, (1, 0, 0), TRAIN_END,
+                              standardized=True), 6)
+
+
+@query("arimax_backtest", step=8)
+def q_arimax_backtest(spark, d):
+    """M13 with M6 (v3 design): per (series, origin) standardise drivers on
+    the training rows, fit ARMA(1,0,0)+drivers, forecast one step."""
+    s = _with_event(segment_month(spark, d)).withColumn("__p1", F.col("p") - 1)
+    ex = expand_origins(s, "__p1", ORIGINS).withColumn("is_train", F.col("p") <= F.col("te"))
+    ex = standardize_by_fold(ex, "k", "te", EXOG, suffix="")
+    return rounded(arimax_backtest(ex.select("k", "te", "p", "y", *EXOG), ["k"], "p", "y", EXOG),
+                   6)
