@@ -1,0 +1,85 @@
+import math
+
+import numpy as np
+import pytest
+
+from tidepanel.operators.arma import arma_acovf, fit_series, forecast, pacf_to_coef
+
+
+def _ar1(n, phi, seed=1, mean=2.0):
+    rng = np.random.default_rng(seed)
+    u = np.zeros(n)
+    for t in range(1, n):
+        u[t] = phi * u[t - 1] + rng.normal()
+    return mean + u
+
+
+def test_pacf_map_is_stationary():
+    a = pacf_to_coef(np.array([0.9, -0.5]))
+    roots = np.roots(np.r_[-a[::-1], 1.0])
+    assert (np.abs(roots) > 1).all()
+
+
+def test_acovf_against_psi_weights():
+    phi, th = np.array([0.5, -0.2]), np.array([0.4])
+    psi = np.zeros(4000)
+    psi[0] = 1.0
+    for j in range(1, 4000):
+        psi[j] = (th[0] if j == 1 else 0.0) + phi[0] * psi[j - 1] + (phi[1] * psi[j - 2] if j >= 2 else 0)
+    want = [psi[:4000 - h] @ psi[h:] for h in range(5)]
+    np.testing.assert_allclose(arma_acovf(phi, th, 4), want, rtol=1e-10)
+
+
+def test_ar1_recovers_phi():
+    y = _ar1(400, 0.6, seed=2)
+    f = fit_series(y, None, (1, 0, 0))
+    assert f.status == "ok" and abs(f.phi[0] - 0.6) < 0.1
+    # and agrees with the sample's own lag-1 autocorrelation
+    assert abs(f.phi[0] - np.corrcoef(y[1:], y[:-1])[0, 1]) < 0.02
+    assert f.n_params == 3 and f.aic == pytest.approx(-2 * f.loglik + 6)
+
+
+def test_loglik_equals_dense_mvn():
+    y = _ar1(60, 0.5, seed=4)
+    f = fit_series(y, None, (1, 0, 0))
+    n = len(y)
+    g = arma_acovf(f.phi, f.theta, n - 1) * f.sigma2
+    cov = g[np.abs(np.arange(n)[:, None] - np.arange(n)[None, :])]
+    r = y - f.gamma[0]
+    sign, logdet = np.linalg.slogdet(cov)
+    ll = -0.5 * (n * math.log(2 * math.pi) + logdet + r @ np.linalg.solve(cov, r))
+    assert f.loglik == pytest.approx(ll, rel=1e-9)
+
+
+def test_arma000_equals_ols():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 2))
+    y = 1 + x @ [0.3, -0.7] + rng.normal(size=50)
+    f = fit_series(y, x, (0, 0, 0))
+    z = np.c_[np.ones(50), x]
+    b = np.linalg.lstsq(z, y, rcond=None)[0]
+    np.testing.assert_allclose(f.gamma, b, rtol=1e-10)
+    assert f.sigma2 == pytest.approx(np.mean((y - z @ b) ** 2))
+
+
+def test_ar1_forecast_closed_form():
+    y = _ar1(200, 0.7, seed=6)
+    f = fit_series(y, None, (1, 0, 0))
+    mean, lo, hi = forecast(f, y, None, None, 3)
+    mu, phi = f.gamma[0], f.phi[0]
+    for h in range(1, 4):
+        assert mean[h - 1] == pytest.approx(mu + phi ** h * (y[-1] - mu), rel=1e-8)
+        var = f.sigma2 * sum(phi ** (2 * j) for j in range(h))
+        assert hi[h - 1] - mean[h - 1] == pytest.approx(1.959963984540054 * math.sqrt(var), rel=1e-8)
+
+
+def test_random_walk_differenced_and_short_series():
+    rng = np.random.default_rng(7)
+    y = np.cumsum(rng.normal(size=80))
+    f = fit_series(y, None, (0, 1, 1))
+    assert f.status == "ok" and f.n_obs == 79
+    mean, lo, hi = forecast(f, y, None, None, 2)
+    assert lo[1] < mean[1] < hi[1] and (hi[1] - lo[1]) > (hi[0] - lo[0])
+    assert fit_series(y[:4], None, (2, 0, 1)).status == "too_short"
+    const = fit_series(np.full(30, 3.0) + 1e-9 * np.arange(30), None, (0, 0, 0))
+    assert const.status == "ok"
