@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import safe_div
 
@@ -25,17 +26,41 @@ def _agg_fn(how: str):
         raise ValueError(f"unknown aggregate {how!r}; use one of {sorted(_HOW)}") from None
 
 
+def numeric(df: DataFrame, col: str) -> Column:
+    """A value column as a number: decimals stay decimal (their sums are
+    exact), anything else is cast to double."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    return c if isinstance(dt, T.DecimalType) else c.cast("double")
+
+
+def weighted(how: str, v: Column, w: Column | None) -> Column:
+    """Aggregate of ``v``; with a weight column the rows are pre-aggregated
+    (``v`` a sum over ``w`` source rows), so the mean is sum(v) / sum(w) -
+    exactly the mean over the source rows.  Sums of decimals are exact and
+    converted to double once, at the end."""
+    if w is None:
+        return _agg_fn(how)(v).cast("double")
+    if how in ("avg", "mean"):
+        return F.try_divide(F.sum(v).cast("double"),
+                            F.sum(F.when(v.isNotNull(), w)).cast("double"))
+    if how == "sum":
+        return F.sum(v).cast("double")
+    raise ValueError(f"{how!r} cannot be computed from pre-aggregated rows")
+
+
 def annualize(df: DataFrame, group_cols: Sequence[str], value_col: str = "value",
-              how: str = "avg", out: str = "value") -> DataFrame:
+              how: str = "avg", out: str = "value", weight_col: str | None = None) -> DataFrame:
     """Collapse to one row per group: ``avg`` for levels and rates, ``sum``
     for flows (A1, A2).  Unknown ``how`` is an error."""
-    fn = _agg_fn(how)
-    return df.groupBy(*group_cols).agg(fn(F.col(value_col).cast("double")).alias(out))
+    _agg_fn(how)
+    w = F.col(weight_col) if weight_col else None
+    return df.groupBy(*group_cols).agg(weighted(how, numeric(df, value_col), w).alias(out))
 
 
 def pivot_measures(df: DataFrame, group_cols: Sequence[str], measure_col: str,
                    value_col: str, mapping: Mapping[str, str] | Sequence[str],
-                   how: str = "avg") -> DataFrame:
+                   how: str = "avg", weight_col: str | None = None) -> DataFrame:
     """Long -> wide with an explicit value list.
 
     ``mapping`` maps raw measure labels to output column names (several
@@ -43,7 +68,8 @@ def pivot_measures(df: DataFrame, group_cols: Sequence[str], measure_col: str,
     Unlisted labels are dropped, a listed label absent from the data gives
     a typed null column, and the aggregate is deterministic (no ``first``).
     Because the value list is given, Spark needs no extra job to discover
-    it and the output schema does not depend on the data.
+    it and the output schema does not depend on the data.  With
+    ``weight_col`` the input is pre-aggregated (see :func:`weighted`).
     """
     if not isinstance(mapping, Mapping):
         mapping = {m: m for m in mapping}
@@ -54,14 +80,22 @@ def pivot_measures(df: DataFrame, group_cols: Sequence[str], measure_col: str,
     for raw, name in mapping.items():
         cond = label == F.lit(raw)
         canon = F.when(cond, F.lit(name)) if canon is None else canon.when(cond, F.lit(name))
-    return (
-        df.select(*group_cols, canon.alias("__measure"),
-                  F.col(value_col).cast("double").alias("__value"))
-        .filter(F.col("__measure").isNotNull())
-        .groupBy(*group_cols)
-        .pivot("__measure", names)
-        .agg(fn("__value"))
-    )
+    base = (df.select(*group_cols, canon.alias("__measure"),
+                      numeric(df, value_col).alias("__value"),
+                      (F.col(weight_col) if weight_col else F.lit(None)).alias("__w"))
+              .filter(F.col("__measure").isNotNull())
+              .groupBy(*group_cols)
+              .pivot("__measure", names))
+    if weight_col is None:
+        wide = base.agg(fn("__value"))
+        return wide.select(*group_cols, *[F.col(n).cast("double").alias(n) for n in names])
+    if how not in ("avg", "mean", "sum"):
+        raise ValueError(f"{how!r} cannot be computed from pre-aggregated rows")
+    wide = base.agg(F.sum("__value").alias("s"),
+                    F.sum(F.when(F.col("__value").isNotNull(), F.col("__w"))).alias("w"))
+    return wide.select(*group_cols, *[
+        (F.try_divide(F.col(f"{n}_s").cast("double"), F.col(f"{n}_w").cast("double"))
+         if how in ("avg", "mean") else F.col(f"{n}_s").cast("double")).alias(n) for n in names])
 
 
 def focal_share(df: DataFrame, period_col: str, partner_col: str, value_col: str,
@@ -78,7 +112,7 @@ def focal_share(df: DataFrame, period_col: str, partner_col: str, value_col: str
     row) are left out of the rest; a null partner falls out of both.
     """
     p = F.col(partner_col)
-    v = F.col(value_col).cast("double")
+    v = numeric(df, value_col)
     is_focal = p == F.lit(focal)
     is_rest = (p != F.lit(focal))
     if exclude:
@@ -93,12 +127,13 @@ def focal_share(df: DataFrame, period_col: str, partner_col: str, value_col: str
         )
         .filter((F.col("__n_focal") > 0) | (F.col("__n_rest") > 0))
     )
-    total = F.col("__rest") + F.col(focal_name)
+    total = F.col("__rest") + F.col(focal_name)      # exact when decimal
+    focal_d, total_d = F.col(focal_name).cast("double"), total.cast("double")
     return out.select(
         period_col,
-        F.col(focal_name),
-        total.alias(total_name),
-        safe_div(F.col(focal_name), total).alias(share_name),
+        focal_d.alias(focal_name),
+        total_d.alias(total_name),
+        safe_div(focal_d, total_d).alias(share_name),
     )
 
 

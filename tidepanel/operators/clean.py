@@ -58,55 +58,99 @@ def locf(df: DataFrame, cols: Sequence[str], key, period: str,
     return out
 
 
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000,
+                  max_band: int = 100_000) -> dict[str, float | None]:
+    """Exact median of each column (mean of the two middle values for an
+    even count), computed without putting a column into one task.
+
+    Each round brackets the middle ranks of every unresolved column with
+    ``percentile_approx`` (rank error at most count/accuracy, memory
+    bounded by ``accuracy``), counts the values below the bracket and keeps
+    only the values inside it; a band shrinks by about accuracy/6 per
+    round.  Once a column's band holds at most ``max_band`` values those
+    are collected, sorted and read.  All columns share each pass: a round is
+    two aggregates and the end one filtered collect.  Null and NaN are
+    skipped."""
+    ok = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in cols}
+    counts = df.agg(*[F.count_if(ok[c]).alias(c) for c in cols]).first().asDict()
+    state = {}
+    for c in cols:
+        n = counts[c]
+        if n:
+            state[c] = {"r1": (n - 1) // 2, "r2": n // 2, "below": 0, "m": n,
+                        "lo": None, "hi": None}
+    result: dict[str, float | None] = {c: None for c in cols}
+
+    def in_band(c):
+        st, x = state[c], F.col(c)
+        cond = ok[c]
+        if st["lo"] is not None:
+            cond = cond & (x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"]))
+        return cond
+
+    while True:
+        big = [c for c in state if state[c]["m"] > max_band]
+        if not big:
+            break
+        fr = {}
+        for c in big:
+            st = state[c]
+            fr[c] = (max(0.0, (st["r1"] - st["below"]) / st["m"] - 2.0 / accuracy),
+                     min(1.0, (st["r2"] - st["below"]) / st["m"] + 2.0 / accuracy))
+        q = df.agg(*[F.percentile_approx(F.when(in_band(c), F.col(c)), list(fr[c]), accuracy)
+                     .alias(c) for c in big]).first().asDict()
+        new_bounds = {c: (float(q[c][0]), float(q[c][1])) for c in big}
+        aggs = []
+        for c in big:
+            lo, hi = new_bounds[c]
+            x = F.col(c)
+            aggs.append(F.count_if(in_band(c) & (x < lo)).alias(f"{c}__b"))
+            aggs.append(F.count_if(in_band(c) & (x >= lo) & (x <= hi)).alias(f"{c}__m"))
+        r = df.agg(*aggs).first().asDict()
+        for c in big:
+            st = state[c]
+            st["below"] += r[f"{c}__b"]
+            st["m"] = r[f"{c}__m"]
+            st["lo"], st["hi"] = new_bounds[c]
+            if st["lo"] == st["hi"]:           # middle ranks inside a run of equal values
+                result[c] = st["lo"]
+                del state[c]
+    if state:
+        sel = df.select(*[F.when(in_band(c), F.col(c)).alias(c) for c in state])
+        any_in = None
+        for c in state:
+            any_in = F.col(c).isNotNull() if any_in is None else any_in | F.col(c).isNotNull()
+        rows = sel.filter(any_in).collect()   # at most max_band values per column
+        for c, st in state.items():
+            vals = sorted(r[c] for r in rows if r[c] is not None)
+            a, b = vals[st["r1"] - st["below"]], vals[st["r2"] - st["below"]]
+            result[c] = (a + b) / 2.0
+    return result
+
+
 def exact_median(df: DataFrame, col: str, accuracy: int = 10_000,
                  max_band: int = 100_000) -> float | None:
-    """Exact median of a column (mean of the two middle values for an even
-    count), computed without putting the column into one task.
-
-    Each round brackets the middle ranks with ``percentile_approx`` (rank
-    error at most count/accuracy, memory bounded by ``accuracy``), counts
-    the values below the bracket and keeps only the values inside it; the
-    band shrinks by about accuracy/6 per round, and once it holds at most
-    ``max_band`` values those are sorted and read.  Null and NaN are
-    skipped."""
-    x = F.col("__x")
-    cur = df.select(F.col(col).cast("double").alias("__x")).filter(x.isNotNull() & ~F.isnan(x))
-    n = cur.count()
-    if n == 0:
-        return None
-    r1, r2 = (n - 1) // 2, n // 2      # 0-based middle ranks
-    below, m = 0, n
-    while m > max_band:
-        f_lo = max(0.0, (r1 - below) / m - 2.0 / accuracy)
-        f_hi = min(1.0, (r2 - below) / m + 2.0 / accuracy)
-        lo, hi = cur.agg(F.percentile_approx(x, [f_lo, f_hi], accuracy)).first()[0]
-        row = cur.agg(F.count_if(x < lo).alias("b"),
-                      F.count_if((x >= lo) & (x <= hi)).alias("m")).first()
-        cur = cur.filter((x >= lo) & (x <= hi))
-        below, m = below + row["b"], row["m"]
-        if lo == hi:                   # the middle ranks sit in a run of equal values
-            return float(lo)
-    vals = sorted(r[0] for r in cur.collect())   # at most max_band values
-    return (vals[r1 - below] + vals[r2 - below]) / 2.0
+    return exact_medians(df, [col], accuracy, max_band)[col]
 
 
 def clean_drivers(df: DataFrame, cols: Sequence[str], key, period: str,
                   backfill: bool = True, median_fill: bool = True,
-                  checkpoint: bool = False) -> DataFrame:
+                  checkpoint: bool = True) -> DataFrame:
     """The composite clean (W5): inf -> null (P22), forward and back fill
     per entity (W3, W4), then each column's remaining gaps take its global
     median (A8).
 
-    The medians need the filled data twice (once to compute, once to
-    fill); ``checkpoint=True`` writes the filled table to the checkpoint
-    directory first so the second read does not recompute the windows."""
+    The medians read the filled data a few times (count, brackets, band)
+    and the fill reads it once more; ``checkpoint=True`` writes the filled
+    table to the checkpoint directory once so those reads do not recompute
+    the windows (and a lost executor does not either)."""
     out = df.withColumns({c: finite_or_null(c) for c in cols})
     out = locf(out, cols, key, period, backfill)
     if not median_fill:
         return out
     if checkpoint:
         out = out.checkpoint(eager=True)
-    medians = {c: exact_median(out, c) for c in cols}
+    medians = exact_medians(out, cols)
     return out.withColumns({
         c: F.coalesce(F.col(c), F.lit(m).cast("double")) if m is not None else F.col(c)
         for c, m in medians.items()

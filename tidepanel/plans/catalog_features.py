@@ -164,10 +164,20 @@ def q_model_rows(spark, d):
 SPEC = feat.standin_spec()
 
 
+def _log_columns(spec):
+    """Columns computed through a logarithm (log1p in Spark, ln(1 + x) in
+    the oracle: equal up to the last bit, so they are rounded); every other
+    feature is exact arithmetic on exact inputs and left as is."""
+    logs = {n for n, _ in spec.logs}
+    return logs | {n for n, dm, x in spec.interactions if x in logs}
+
+
 def features_df(spark, d):
-    """Features over the (rounded, as checked) gold panel."""
+    """Features over the gold panel (unit-price means rounded, as checked)."""
     panel = rounded(panel_df(spark, d), 6, **PANEL_ROUNDING)
-    return rounded(feat.build_features(panel, SPEC), 6)
+    out = feat.build_features(panel, SPEC)
+    logs = _log_columns(SPEC)
+    return rounded(out, 6, **{c: None for c in out.columns if c not in logs})
 
 
 def _ln1p(c):
@@ -191,8 +201,8 @@ def features_sql(spec: feat.FeatureSpec = SPEC) -> str:
     panel_cols = gold.panel_columns(gold.GoldConfig())
     ints = {spec.period} | {n for n, _ in spec.events}
     out_cols = panel_cols + [n for n, *_ in spec.engineered()]
-    final = ", ".join(c if (c in ints or c == spec.key) else f"round({c}, 6) AS {c}"
-                      for c in out_cols)
+    logs = _log_columns(spec)
+    final = ", ".join(f"round({c}, 6) AS {c}" if c in logs else c for c in out_cols)
     cats = ", ".join(f"'{c}'" for c in spec.categories)
     return f"""
 WITH panel AS ({PANEL_SQL}),

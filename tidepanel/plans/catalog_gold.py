@@ -104,6 +104,34 @@ WHERE nf > 0 OR nr > 0
 """
 
 
+_FOCAL_EXACT_SQL = """
+SELECT year, CAST(f AS DOUBLE) AS {fn}, CAST(r + f AS DOUBLE) AS {tn},
+       CAST(f AS DOUBLE) / nullif(CAST(r + f AS DOUBLE), 0) AS {sn}
+FROM (SELECT {y} AS year,
+        sum(CASE WHEN r_name = 'AMERICA' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS f,
+        sum(CASE WHEN r_name <> 'AMERICA' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS r,
+        count(CASE WHEN r_name = 'AMERICA' THEN 1 END) AS nf,
+        count(CASE WHEN r_name <> 'AMERICA' THEN 1 END) AS nr
+      FROM oc {where} GROUP BY 1)
+WHERE nf > 0 OR nr > 0
+"""
+
+
+def exact_avg(value: str, cond: str | None = None) -> str:
+    """Mean in exact decimal arithmetic, converted to double once."""
+    v = f"CAST({value} AS DECIMAL(18,2))"
+    if cond:
+        return (f"CAST(sum(CASE WHEN {cond} THEN {v} END) AS DOUBLE) / "
+                f"count(CASE WHEN {cond} THEN {value} END)")
+    return f"CAST(sum({v}) AS DOUBLE) / count({value})"
+
+
+def exact_sum(value: str, cond: str | None = None) -> str:
+    v = f"CAST({value} AS DECIMAL(18,2))"
+    return (f"CAST(sum(CASE WHEN {cond} THEN {v} END) AS DOUBLE)" if cond
+            else f"CAST(sum({v}) AS DOUBLE)")
+
+
 @query("focal_share", step=1, sql=f"WITH {OC}" + _FOCAL_SQL.format(
     fn="focal_value", tn="total_value", sn="focal_share", y=year("o_orderdate"), where=""))
 def q_focal_share(spark, d):
@@ -142,12 +170,16 @@ def q_full_outer_merge(spark, d):
     return rounded(full_outer_merge([a, b, c], "year"), 6, p_value=2)
 
 
-@query("gold_focal_share", step=1, sql=f"WITH {OC}" + _FOCAL_SQL.format(
+_TRADE_SQL = f"WITH {OC}" + _FOCAL_EXACT_SQL.format(
     fn="exports_us", tn="exports_total", sn="us_export_share", y=year("o_orderdate"),
-    where="WHERE " + any_kw("o_orderpriority", CFG.trade_keywords)))
+    where="WHERE " + any_kw("o_orderpriority", CFG.trade_keywords))
+
+
+@query("gold_focal_share", step=1, sql=_TRADE_SQL)
 def q_gold_focal_share(spark, d):
-    """Keyword filter, focal/rest split, total and share per year."""
-    return rounded(gold.gold_trade(standins.trade_long(spark, d), CFG), 2, us_export_share=6)
+    """Keyword filter, focal/rest split, total and share per year, from
+    the pre-aggregated orders cube (exact decimal sums: no rounding)."""
+    return gold.gold_trade(standins.trade_from_cube(standins.orders_cube(spark, d, CFG)), CFG)
 
 
 # ------------------------------------------------------------------ step 2
@@ -320,7 +352,8 @@ def q_price_indices(spark, d):
 @query("gold_prices", step=2, sql=_PRICE_SQL)
 def q_gold_prices(spark, d):
     """The same three indices from one scan with conditional aggregates."""
-    return rounded(gold.gold_prices(standins.price_long(spark, d), CFG), 4)
+    lc = standins.lineitem_cube(spark, d, CFG)
+    return rounded(gold.gold_prices(standins.price_from_cube(lc), CFG), 4)
 
 
 @query("left_attach", step=2, sql=f"""
@@ -343,35 +376,35 @@ WITH {OC},
   x AS (SELECT {year('o_orderdate')} AS year, {industry()} AS industry, o_orderstatus, o_totalprice
         FROM oc WHERE r_name = 'AMERICA' AND o_orderstatus IN ('F', 'O', 'P'))
 SELECT year, industry,
-  round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS unemployment_rate,
-  round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS employment,
-  round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS labour_force
+  {exact_avg("o_totalprice", "o_orderstatus = 'P'")} AS unemployment_rate,
+  {exact_avg("o_totalprice", "o_orderstatus = 'F'")} AS employment,
+  {exact_avg("o_totalprice", "o_orderstatus = 'O'")} AS labour_force
 FROM x WHERE industry IS NOT NULL AND year BETWEEN 1995 AND 2001 GROUP BY 1, 2
 """
 
 
 @query("gold_measures", step=2, sql=_LABOUR_SQL)
 def q_gold_measures(spark, d):
-    """Scope, canonical industry, three measures pivoted."""
-    return rounded(gold.gold_labour(standins.labour_long(spark, d), CFG), 4)
+    """Scope, canonical industry, three measures pivoted (from the
+    orders cube; exact means, no rounding)."""
+    return gold.gold_labour(standins.labour_from_cube(standins.orders_cube(spark, d, CFG)), CFG)
 
 
 _INFRA_SQL = f"""
 WITH {LP},
   age AS (SELECT {year('l_shipdate')} AS year,
-            avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS infra_avg_age_transport,
-            avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS infra_rusl_ratio_transport
+            {exact_avg("l_quantity", "l_returnflag = 'A'")} AS infra_avg_age_transport,
+            {exact_avg("l_quantity", "l_returnflag = 'R'")} AS infra_rusl_ratio_transport
           FROM lp WHERE contains(lower(p_name), 'gear') AND l_returnflag IN ('A', 'R')
             AND year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
   inv AS (SELECT {year('l_shipdate')} AS year,
-            {", ".join(f"sum(CASE WHEN p_type = '{t}' THEN l_extendedprice END) AS inv_{t.lower()}"
+            {", ".join(exact_sum("l_extendedprice", f"p_type = '{t}'") + f" AS inv_{t.lower()}"
                        for t in CFG.investment_classes)}
           FROM lp WHERE {any_kw('p_name', CFG.investment_keywords)}
             AND year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1)
-SELECT age.year, round(infra_avg_age_transport, 6) AS infra_avg_age_transport,
-  round(infra_rusl_ratio_transport, 6) AS infra_rusl_ratio_transport,
-  {", ".join(f"round({c}, 2) AS {c}" for c in _HS_COLS)},
-  round({" + ".join(f"coalesce({c}, 0.0)" for c in _HS_COLS)}, 2) AS infra_invest_total_transport
+SELECT age.year, infra_avg_age_transport, infra_rusl_ratio_transport,
+  {", ".join(_HS_COLS)},
+  {" + ".join(f"coalesce({c}, 0.0)" for c in _HS_COLS)} AS infra_invest_total_transport
 FROM age LEFT JOIN inv ON age.year = inv.year
 """
 
@@ -379,25 +412,24 @@ FROM age LEFT JOIN inv ON age.year = inv.year
 @query("gold_infrastructure", step=2, sql=_INFRA_SQL)
 def q_gold_infrastructure(spark, d):
     """D3: estimate pivot (avg) left-joined to asset-class pivot (sum) + total."""
-    out = gold.gold_infrastructure(standins.asset_age_long(spark, d),
-                                   standins.asset_investment_long(spark, d), CFG)
-    return rounded(out, 2, infra_avg_age_transport=6, infra_rusl_ratio_transport=6)
+    lc = standins.lineitem_cube(spark, d, CFG)
+    return gold.gold_infrastructure(standins.asset_age_from_cube(lc),
+                                    standins.asset_investment_from_cube(lc), CFG)
 
 
 _CONTROLS_SQL = f"""
 WITH {OC},
-  rate AS (SELECT {year('l_shipdate')} AS year, avg(l_discount) AS boc_policy_rate_avg
+  rate AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS boc_policy_rate_avg
            FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
   g AS (SELECT year,
-          avg(CASE WHEN industry = 'automobile' THEN o_totalprice END) AS gdp_automobile,
-          avg(CASE WHEN industry = 'building' THEN o_totalprice END) AS gdp_building,
-          avg(CASE WHEN industry = 'machinery' THEN o_totalprice END) AS gdp_machinery
+          {exact_avg("o_totalprice", "industry = 'automobile'")} AS gdp_automobile,
+          {exact_avg("o_totalprice", "industry = 'building'")} AS gdp_building,
+          {exact_avg("o_totalprice", "industry = 'machinery'")} AS gdp_machinery
         FROM (SELECT {year('o_orderdate')} AS year, {industry()} AS industry, o_totalprice
               FROM oc WHERE r_name = 'AMERICA' AND contains(lower(o_orderpriority), 'medium'))
         WHERE industry IS NOT NULL AND year BETWEEN 1995 AND 2001 GROUP BY 1)
-SELECT coalesce(g.year, rate.year) AS year, round(gdp_automobile, 4) AS gdp_automobile,
-  round(gdp_building, 4) AS gdp_building, round(gdp_machinery, 4) AS gdp_machinery,
-  round(boc_policy_rate_avg, 6) AS boc_policy_rate_avg
+SELECT coalesce(g.year, rate.year) AS year, gdp_automobile, gdp_building, gdp_machinery,
+  boc_policy_rate_avg
 FROM g FULL JOIN rate ON g.year = rate.year
 """
 
@@ -405,8 +437,8 @@ FROM g FULL JOIN rate ON g.year = rate.year
 @query("gold_controls", step=2, sql=_CONTROLS_SQL)
 def q_gold_controls(spark, d):
     """Policy-rate mean full-merged with the category output pivot."""
-    out = gold.gold_controls(standins.rate_long(spark, d), standins.output_long(spark, d), CFG)
-    return rounded(out, 4, boc_policy_rate_avg=6)
+    oc, lc = standins.orders_cube(spark, d, CFG), standins.lineitem_cube(spark, d, CFG)
+    return gold.gold_controls(standins.rate_from_cube(lc), standins.output_from_cube(oc), CFG)
 
 
 @query("panel_star_join", step=2, sql=f"""
@@ -436,9 +468,7 @@ def q_panel_star_join(spark, d):
 
 PANEL_SQL = f"""
 WITH lab AS ({_LABOUR_SQL}),
-  tr AS (WITH {OC} {_FOCAL_SQL.format(fn="exports_us", tn="exports_total", sn="us_export_share",
-                                        y=year("o_orderdate"),
-                                        where="WHERE " + any_kw("o_orderpriority", CFG.trade_keywords))}),
+  tr AS ({_TRADE_SQL}),
   inf AS ({_INFRA_SQL}),
   pr AS ({_PRICE_SQL}),
   ct AS ({_CONTROLS_SQL})
@@ -456,12 +486,12 @@ def panel_df(spark, d, cfg: gold.GoldConfig = CFG):
     return gold.gold_panel(gold.build_gold_tables(spark, d, cfg), cfg)
 
 
-PANEL_ROUNDING = dict(
-    [(c, 4) for c in ("unemployment_rate", "employment", "labour_force", "cpi_core_avg",
-                      "construction_material_price_index_avg",
-                      "industrial_product_price_index_avg", "gdp_automobile", "gdp_building",
-                      "gdp_machinery")]
-    + [(c, 2) for c in ("exports_us", "exports_total", *_HS_COLS, "infra_invest_total_transport")])
+# Unit-price means are sums of inexact doubles: 4 places.  Every other
+# panel value is computed exactly (decimal sums) and left as is.
+PRICE_COLS = ("cpi_core_avg", "construction_material_price_index_avg",
+              "industrial_product_price_index_avg")
+PANEL_ROUNDING = {c: (4 if c in PRICE_COLS else None)
+                  for c in gold.panel_columns(CFG) if c not in ("year", "industry")}
 
 
 @query("gold_panel", step=2, sql=PANEL_SQL)

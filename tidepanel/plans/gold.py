@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.names import sanitize_name
 from ..functions.scalars import (add_period, canonical_category, filter_period_range,
                                  horizontal_sum, keyword_any)
-from ..operators.aggregate import focal_share, pivot_measures
+from ..operators.aggregate import focal_share, numeric, pivot_measures, weighted
 from ..operators.joins import full_outer_merge, left_attach, period_count, star_join
 from ..sources import standins
 
@@ -78,6 +78,13 @@ class GoldConfig:
 
 
 LABOUR_COLS = ("unemployment_rate", "employment", "labour_force")
+WEIGHT = "n"
+
+
+def _w(df: DataFrame) -> str | None:
+    """Long tables may be pre-aggregated: ``value`` is then a sum over ``n``
+    source rows and means are sum(value) / sum(n)."""
+    return WEIGHT if WEIGHT in df.columns else None
 
 
 def scope(df: DataFrame, cfg: GoldConfig, use_geo: bool = True) -> DataFrame:
@@ -101,7 +108,7 @@ def with_industry(df: DataFrame, cfg: GoldConfig, label_col: str = "industry_lab
 def gold_labour(long: DataFrame, cfg: GoldConfig) -> DataFrame:
     df = with_industry(scope(long, cfg), cfg)
     wide = pivot_measures(df, [cfg.period_col, "industry"], "measure", "value",
-                          cfg.labour_measures, how="avg")
+                          cfg.labour_measures, how="avg", weight_col=_w(long))
     return wide.select(cfg.period_col, "industry", *LABOUR_COLS)
 
 
@@ -117,13 +124,15 @@ def gold_infrastructure(age_long: DataFrame, inv_long: DataFrame, cfg: GoldConfi
     p = cfg.period_col
     age = scope(age_long, cfg, use_geo=False).filter(
         keyword_any("asset_function", cfg.age_keywords))
-    age = pivot_measures(age, [p], "estimate", "value", cfg.age_measures, how="avg")
+    age = pivot_measures(age, [p], "estimate", "value", cfg.age_measures, how="avg",
+                         weight_col=_w(age_long))
     age = age.select(p, *dict.fromkeys(cfg.age_measures.values()))
 
     inv_cols = cfg.investment_columns()
     inv = scope(inv_long, cfg, use_geo=False).filter(
         keyword_any("assets", cfg.investment_keywords))
-    inv = pivot_measures(inv, [p], "asset_class", "value", inv_cols, how="sum")
+    inv = pivot_measures(inv, [p], "asset_class", "value", inv_cols, how="sum",
+                         weight_col=_w(inv_long))
     inv = inv.withColumn("infra_invest_total_transport",
                          horizontal_sum(list(inv_cols.values())))
     # years only in the investment side are lost, as in the source
@@ -151,8 +160,10 @@ def period_means(sources: Sequence[tuple[DataFrame, str, Sequence[str], str]],
             any_hit = any_hit | h
         # rows matching no index are dropped first, so every period left
         # has at least one index, as with one table per index
+        w = F.col(WEIGHT) if _w(df) else None
+        v = numeric(df, "value")
         parts.append(df.filter(any_hit).groupBy(p).agg(
-            *[F.avg(F.when(h, F.col("value").cast("double"))).alias(n) for h, n in hits]))
+            *[weighted("avg", F.when(h, v), w).alias(n) for h, n in hits]))
     return full_outer_merge(parts, on=p)
 
 
@@ -164,11 +175,14 @@ def gold_prices(price: DataFrame, cfg: GoldConfig) -> DataFrame:
 # ---------------------------------------------------------------- D5
 def gold_controls(rate_long: DataFrame, output_long: DataFrame, cfg: GoldConfig) -> DataFrame:
     p = cfg.period_col
+    w = F.col(WEIGHT) if _w(rate_long) else None
     rate = (scope(rate_long, cfg, use_geo=False)
-            .groupBy(p).agg(F.avg(F.col("value").cast("double")).alias("boc_policy_rate_avg")))
+            .groupBy(p).agg(weighted("avg", numeric(rate_long, "value"), w)
+                            .alias("boc_policy_rate_avg")))
     gdp = with_industry(scope(output_long, cfg), cfg).filter(
         keyword_any("prices", cfg.output_keywords))
-    gdp = pivot_measures(gdp, [p], "industry", "value", cfg.gdp_columns(), how="avg")
+    gdp = pivot_measures(gdp, [p], "industry", "value", cfg.gdp_columns(), how="avg",
+                         weight_col=_w(output_long))
     return full_outer_merge([gdp, rate], on=p)
 
 
@@ -187,17 +201,28 @@ class GoldTables:
                 ("controls", self.controls)]
 
 
-def build_gold_tables(spark: SparkSession, sf_dir: str,
-                      cfg: GoldConfig = GoldConfig()) -> GoldTables:
-    """The five period tables over the stand-in long tables of ``sf_dir``."""
+def build_gold_tables(spark: SparkSession, sf_dir: str, cfg: GoldConfig = GoldConfig(),
+                      materialize: bool = True) -> GoldTables:
+    """The five period tables over the test tables of ``sf_dir``.
+
+    Both source joins are scanned once: each is aggregated to a month-level
+    cube (bounded by label domains x months) and, with ``materialize``,
+    written to the checkpoint directory, so the five tables - seven
+    aggregates - read two small tables instead of re-joining the fact
+    tables seven times.  The checkpoint also cuts the lineage: a lost
+    executor later in the job does not send Spark back to the fact tables."""
     s = standins
+    oc = s.orders_cube(spark, sf_dir, cfg)
+    lc = s.lineitem_cube(spark, sf_dir, cfg)
+    if materialize:
+        oc, lc = oc.checkpoint(eager=True), lc.checkpoint(eager=True)
     return GoldTables(
-        labour=gold_labour(s.labour_long(spark, sf_dir), cfg),
-        trade=gold_trade(s.trade_long(spark, sf_dir), cfg),
-        infrastructure=gold_infrastructure(s.asset_age_long(spark, sf_dir),
-                                           s.asset_investment_long(spark, sf_dir), cfg),
-        prices=gold_prices(s.price_long(spark, sf_dir), cfg),
-        controls=gold_controls(s.rate_long(spark, sf_dir), s.output_long(spark, sf_dir), cfg),
+        labour=gold_labour(s.labour_from_cube(oc), cfg),
+        trade=gold_trade(s.trade_from_cube(oc), cfg),
+        infrastructure=gold_infrastructure(s.asset_age_from_cube(lc),
+                                           s.asset_investment_from_cube(lc), cfg),
+        prices=gold_prices(s.price_from_cube(lc), cfg),
+        controls=gold_controls(s.rate_from_cube(lc), s.output_from_cube(oc), cfg),
     )
 
 

@@ -35,12 +35,16 @@ def query(name: str, sql: str | None = None, step: int = 0):
     return deco
 
 
-def rounded(df: DataFrame, places: int = 6, **per_column: int) -> DataFrame:
-    """Round every double column to ``places`` (or its own entry)."""
+def rounded(df: DataFrame, places: int = 6, **per_column: int | None) -> DataFrame:
+    """Round every double column to ``places`` (or its own entry; ``None``
+    leaves a column exact - values computed in exact decimal arithmetic
+    are identical in both engines and must not be rounded, since a value
+    sitting exactly on a rounding tie is broken differently by each)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), per_column.get(f.name, places)).alias(f.name))
+        d = per_column.get(f.name, places)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and d is not None:
+            cols.append(F.round(F.col(f.name), d).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

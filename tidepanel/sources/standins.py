@@ -116,3 +116,101 @@ def output_long(spark, sf_dir):
         F.col("o_orderpriority").alias("prices"),
         F.col("o_totalprice").alias("value"),
     )
+
+
+# ---- pre-aggregated long tables ------------------------------------------------
+#
+# Every gold table reads one of two joins, and every measure it needs is a
+# sum or a mean.  So each join is aggregated once to a month-level cube
+# (sum of each value and count of its non-null rows per month and label
+# combination); the cube's size is bounded by the label domains and the
+# number of months, not by the rows, and each view below is a projection of
+# it with ``value`` = sum and ``n`` = count.  Means are then sum / n exactly.
+
+def _month_keys(col: str):
+    return [F.year(col).alias("__y"), F.month(col).alias("__m")]
+
+
+def _month_start():
+    """First day of the cube's month, as the ``ref_date`` of its rows."""
+    return F.make_date("__y", "__m", F.lit(1)).alias("ref_date")
+
+
+def _range_filter(df: DataFrame, col: str, cfg) -> DataFrame:
+    if cfg is None:
+        return df
+    from ..functions.scalars import raw_period_bounds
+    bound = raw_period_bounds(df, col, cfg.start, cfg.end, cfg.grain)
+    return df if bound is None else df.filter(bound)
+
+
+def cents_sum(col: str):
+    """Exact sum of a two-decimal column: whole cents added as 64-bit
+    integers (fast, and independent of how rows are split over tasks)."""
+    return F.sum(F.rint(F.col(col) * 100).cast("long"))
+
+
+def cents_to_decimal(col: str):
+    """The cube's cent sums as exact ``decimal(20,2)`` values."""
+    return (F.col(col).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
+
+
+def orders_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
+    oc = _range_filter(orders_customer(spark, sf_dir), "o_orderdate", cfg)
+    agg = oc.groupBy(*_month_keys("o_orderdate"), "r_name", "c_mktsegment", "o_orderstatus",
+                     "o_orderpriority").agg(
+        cents_sum("o_totalprice").alias("__c"), F.count("o_totalprice").alias("n"))
+    return agg.select(_month_start(), "r_name", "c_mktsegment", "o_orderstatus",
+                      "o_orderpriority", cents_to_decimal("__c").alias("value"), "n")
+
+
+def lineitem_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
+    lp = _range_filter(lineitem_part(spark, sf_dir), "l_shipdate", cfg)
+    unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
+    agg = lp.groupBy(*_month_keys("l_shipdate"), "p_name", "p_type", "l_returnflag").agg(
+        cents_sum("l_quantity").alias("__q"), F.count("l_quantity").alias("n_qty"),
+        cents_sum("l_extendedprice").alias("__e"), F.count("l_extendedprice").alias("n_ext"),
+        F.sum(unit).alias("unit"), F.count(unit).alias("n_unit"),
+        cents_sum("l_discount").alias("__d"), F.count("l_discount").alias("n_disc"))
+    return agg.select(_month_start(), "p_name", "p_type", "l_returnflag",
+                      cents_to_decimal("__q").alias("qty"), "n_qty",
+                      cents_to_decimal("__e").alias("ext"), "n_ext", "unit", "n_unit",
+                      cents_to_decimal("__d").alias("disc"), "n_disc")
+
+
+def labour_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("r_name").alias("geo"),
+                       F.col("c_mktsegment").alias("industry_label"),
+                       F.col("o_orderstatus").alias("measure"), "value", "n")
+
+
+def trade_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("o_orderpriority").alias("trade"),
+                       F.col("r_name").alias("partner"), "value", "n")
+
+
+def output_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("r_name").alias("geo"),
+                       F.col("c_mktsegment").alias("industry_label"),
+                       F.col("o_orderpriority").alias("prices"), "value", "n")
+
+
+def asset_age_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("p_name").alias("asset_function"),
+                       F.col("l_returnflag").alias("estimate"),
+                       F.col("qty").alias("value"), F.col("n_qty").alias("n"))
+
+
+def asset_investment_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("p_name").alias("assets"),
+                       F.col("p_type").alias("asset_class"),
+                       F.col("ext").alias("value"), F.col("n_ext").alias("n"))
+
+
+def price_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("p_type").alias("product_class"),
+                       F.col("unit").alias("value"), F.col("n_unit").alias("n"))
+
+
+def rate_from_cube(cube: DataFrame) -> DataFrame:
+    return cube.select("ref_date", F.col("disc").alias("value"), F.col("n_disc").alias("n"))
