@@ -59,3 +59,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidepanel`` importable in the executors' Python workers (for
+    ``applyInPandas``/``mapInPandas``): zip the package once per Spark
+    application and add it with ``addPyFile`` - the runtime form of
+    ``--py-files``.  A package installed on the cluster needs none of this,
+    and then the import check below returns early."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="tidepanel-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Everything a query needs from the session it is given."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
