@@ -76,7 +76,7 @@ def fit_orders(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Se
 def select_order(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Best order per series: smallest AIC, ties to the first grid
     position, failed fits never chosen (A13, M7, M8)."""
-    return best_by(fits, keys, "aic", ["pos"], ["pos", "ord", "aic", "bic"])
+    return best_by(fits, keys, "aic", ["pos"], ["pos", "ar", "diff", "ma", "ord", "aic", "bic"])
 
 
 PARAM_SCHEMA = ("{keys}, train_end int, ord string, param_name string, param_value double, "
@@ -116,20 +116,29 @@ FORECAST_SCHEMA = ("{keys}, scenario string, {period} int, predicted double, "
 
 def scenario_forecasts(train: DataFrame, future: DataFrame, keys: Sequence[str], period: str,
                        y: str, exog: Sequence[str], order=(1, 0, 0),
-                       scenario_col: str = "scenario") -> DataFrame:
+                       scenario_col: str = "scenario",
+                       orders: DataFrame | None = None) -> DataFrame:
     """Fit once per series on ``train``, then forecast every scenario's
     future drivers (M14): the training rows and the scenario rows of a
     series meet in one group, so the model is fitted once and scored for
-    all scenarios in the same call."""
+    all scenarios in the same call.  ``orders`` (keys, ar, diff, ma) gives
+    each series its own order, e.g. the one chosen by AIC; series without
+    a row there are skipped."""
     keys, exog = list(keys), list(exog)
     tr = train.select(*keys, period, y, *exog, F.lit(None).cast("string").alias(scenario_col))
     fu = future.select(*keys, period, F.lit(None).cast("double").alias(y), *exog, scenario_col)
     both = tr.unionByName(fu)
+    if orders is not None:
+        both = both.join(orders.select(*keys, "ar", "diff", "ma"), keys)
+    else:
+        both = both.select("*", F.lit(order[0]).alias("ar"), F.lit(order[1]).alias("diff"),
+                           F.lit(order[2]).alias("ma"))
     schema = FORECAST_SCHEMA.format(keys=_keys_schema(train, keys), period=period)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hist = pdf[pdf[scenario_col].isna()].sort_values(period)
-        f = arma.fit_series(hist[y].to_numpy(float), hist[exog].to_numpy(float), order, exog)
+        own = (int(pdf["ar"].iloc[0]), int(pdf["diff"].iloc[0]), int(pdf["ma"].iloc[0]))
+        f = arma.fit_series(hist[y].to_numpy(float), hist[exog].to_numpy(float), own, exog)
         cols = [c.split()[0].strip("`") for c in schema.split(", ")]
         if f.status != "ok" or hist.empty:
             return pd.DataFrame(columns=cols)

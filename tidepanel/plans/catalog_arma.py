@@ -13,7 +13,8 @@ from ..operators.arma_jobs import (arimax_backtest, fit_orders, fit_params, scen
                                    select_order)
 from ..operators.folds import expand_origins, standardize_by_fold
 from ..operators.scenario import apply_scenarios
-from .catalog_models import ORDERS_V1, ORIGINS, SCENARIOS, TEST, TRAIN_END
+from .catalog_models import ORDERS_V1, ORDERS_V2, ORIGINS, SCENARIOS, TEST, TRAIN_END
+from ..operators.aggregate import rmse_mae
 from .registry import query, rounded
 from .series import month_index, nation_segment_month, segment_month
 
@@ -72,3 +73,26 @@ def q_arimax_backtest(spark, d):
     ex = standardize_by_fold(ex, "k", "te", EXOG, suffix="")
     return rounded(arimax_backtest(ex.select("k", "te", "p", "y", *EXOG), ["k"], "p", "y", EXOG),
                    6)
+
+
+@query("order_select_differenced", step=8)
+def q_order_select_differenced(spark, d):
+    """M8: the differenced grid (1,1,0), (0,1,1), (1,1,1) per series, best AIC."""
+    s = nation_segment_month(spark, d)
+    fits = fit_orders(s, ["k"], "p", "y", ["x1"], ORDERS_V2)
+    return rounded(select_order(fits, ["k"]), 6)
+
+
+@query("arimax_holdout", step=8)
+def q_arimax_holdout(spark, d):
+    """M12 with M6/M7 (first design): choose the order on the training
+    months by AIC, forecast the test months with known drivers, and score
+    RMSE / MAE per series."""
+    s = _with_event(segment_month(spark, d))
+    train = s.filter(F.col("p") <= TRAIN_END)
+    best = select_order(fit_orders(train, ["k"], "p", "y", EXOG, ORDERS_V1), ["k"])
+    test = s.filter(F.col("p").isin(TEST)).select("k", "p", *EXOG, F.lit("actual").alias("scenario"))
+    fc = scenario_forecasts(train, test, ["k"], "p", "y", EXOG, orders=best)
+    actual = s.filter(F.col("p").isin(TEST)).select("k", "p", F.col("y").alias("actual"))
+    err = fc.join(actual, ["k", "p"]).withColumn("error", F.col("actual") - F.col("predicted"))
+    return rounded(rmse_mae(err, ["k"]).join(best.select("k", "ord", "aic"), "k"), 6)
