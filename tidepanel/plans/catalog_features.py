@@ -12,6 +12,7 @@ from . import features as feat
 from . import gold
 from .catalog_gold import PANEL_ROUNDING, PANEL_SQL, panel_df
 from .registry import query, rounded
+from .sql_gold import of_config, panel_sql
 from .series import SEGMENT_MONTH_SQL, month_index, segment_month
 
 E1, E2 = month_index(1998, 1), month_index(2000, 1)
@@ -172,11 +173,12 @@ def _log_columns(spec):
     return logs | {n for n, dm, x in spec.interactions if x in logs}
 
 
-def features_df(spark, d):
+def features_df(spark, d, cfg: gold.GoldConfig | None = None, spec: feat.FeatureSpec = SPEC):
     """Features over the gold panel (unit-price means rounded, as checked)."""
-    panel = rounded(panel_df(spark, d), 6, **PANEL_ROUNDING)
-    out = feat.build_features(panel, SPEC)
-    logs = _log_columns(SPEC)
+    panel = panel_df(spark, d, cfg) if cfg is not None else panel_df(spark, d)
+    panel = rounded(panel, 6, **PANEL_ROUNDING)
+    out = feat.build_features(panel, spec)
+    logs = _log_columns(spec)
     return rounded(out, 6, **{c: None for c in out.columns if c not in logs})
 
 
@@ -184,7 +186,8 @@ def _ln1p(c):
     return f"CASE WHEN {c} > -1 THEN ln(1 + {c}) END"
 
 
-def features_sql(spec: feat.FeatureSpec = SPEC) -> str:
+def features_sql(spec: feat.FeatureSpec = SPEC, panel: str = PANEL_SQL,
+                 cfg: gold.GoldConfig = gold.GoldConfig()) -> str:
     l1 = []
     for n, s in spec.events:
         l1.append(f"CAST({spec.period} >= {s} AS INTEGER) AS {n}")
@@ -198,14 +201,14 @@ def features_sql(spec: feat.FeatureSpec = SPEC) -> str:
         l1.append(f"lag({s}) OVER w AS {n}")
     l2 = [f"{s} / nullif({lg}, 0) - 1 AS {n}" for n, s, lg in spec.growths]
     l2 += [f"{dm} * {x} AS {n}" for n, dm, x in spec.interactions]
-    panel_cols = gold.panel_columns(gold.GoldConfig())
+    panel_cols = gold.panel_columns(cfg)
     ints = {spec.period} | {n for n, _ in spec.events}
     out_cols = panel_cols + [n for n, *_ in spec.engineered()]
     logs = _log_columns(spec)
     final = ", ".join(f"round({c}, 6) AS {c}" if c in logs else c for c in out_cols)
     cats = ", ".join(f"'{c}'" for c in spec.categories)
     return f"""
-WITH panel AS ({PANEL_SQL}),
+WITH panel AS ({panel}),
   b AS (SELECT * FROM panel WHERE {spec.key} IN ({cats}) AND {spec.period} >= {spec.min_period}),
   l1 AS (SELECT *, {", ".join(l1)} FROM b
          WINDOW w AS (PARTITION BY {spec.key} ORDER BY {spec.period})),
@@ -241,3 +244,28 @@ def q_feature_dictionary(spark, d):
     """One documented row per engineered feature, with its coverage in
     the feature table (every documented feature must be a column)."""
     return feat.feature_dictionary(spark, SPEC, features_df(spark, d))
+
+
+# ---------------------------------------------------------------- month grain
+
+MONTH_CFG = gold.GoldConfig(grain="month", period_col="month", start=month_index(1995, 1),
+                            end=month_index(2001, 8), geo=None)
+MONTH_SPEC = feat.reference_spec(
+    event_names=feat.STANDIN_EVENTS[0],
+    event_starts=(month_index(1998, 1), month_index(2000, 1)),
+    categories=("automobile", "building", "machinery"), min_period=MONTH_CFG.start,
+    period="month")
+MONTH_PANEL_SQL = panel_sql(of_config(MONTH_CFG), MONTH_CFG)
+
+
+@query("gold_panel_monthly", step=3, sql=MONTH_PANEL_SQL)
+def q_gold_panel_monthly(spark, d):
+    """D1-D6 at month grain (period = month index, no geography scope): the
+    same builders, one configuration change."""
+    return rounded(panel_df(spark, d, MONTH_CFG), 6, **PANEL_ROUNDING)
+
+
+@query("features_monthly", step=3, sql=features_sql(MONTH_SPEC, MONTH_PANEL_SQL, MONTH_CFG))
+def q_features_monthly(spark, d):
+    """D7 at month grain: lags, growth and events on month indexes."""
+    return features_df(spark, d, MONTH_CFG, MONTH_SPEC)

@@ -13,10 +13,13 @@ from ..sources import standins
 from ..sources.tables import read_table
 from . import gold
 from .registry import query, rounded
+from .sql_gold import (G, controls_sql, infrastructure_sql, labour_sql, panel_sql, prices_sql,
+                       trade_sql)
 from .sql_parts import LP, OC, any_kw, industry, year
 
 CFG = gold.GoldConfig()
 RULES = CFG.industry_rules
+YG = G(CFG.grain, CFG.period_col, CFG.start, CFG.end)
 
 
 def _orders_year(spark, d):
@@ -104,34 +107,6 @@ WHERE nf > 0 OR nr > 0
 """
 
 
-_FOCAL_EXACT_SQL = """
-SELECT year, CAST(f AS DOUBLE) AS {fn}, CAST(r + f AS DOUBLE) AS {tn},
-       CAST(f AS DOUBLE) / nullif(CAST(r + f AS DOUBLE), 0) AS {sn}
-FROM (SELECT {y} AS year,
-        sum(CASE WHEN r_name = 'AMERICA' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS f,
-        sum(CASE WHEN r_name <> 'AMERICA' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS r,
-        count(CASE WHEN r_name = 'AMERICA' THEN 1 END) AS nf,
-        count(CASE WHEN r_name <> 'AMERICA' THEN 1 END) AS nr
-      FROM oc {where} GROUP BY 1)
-WHERE nf > 0 OR nr > 0
-"""
-
-
-def exact_avg(value: str, cond: str | None = None) -> str:
-    """Mean in exact decimal arithmetic, converted to double once."""
-    v = f"CAST({value} AS DECIMAL(18,2))"
-    if cond:
-        return (f"CAST(sum(CASE WHEN {cond} THEN {v} END) AS DOUBLE) / "
-                f"count(CASE WHEN {cond} THEN {value} END)")
-    return f"CAST(sum({v}) AS DOUBLE) / count({value})"
-
-
-def exact_sum(value: str, cond: str | None = None) -> str:
-    v = f"CAST({value} AS DECIMAL(18,2))"
-    return (f"CAST(sum(CASE WHEN {cond} THEN {v} END) AS DOUBLE)" if cond
-            else f"CAST(sum({v}) AS DOUBLE)")
-
-
 @query("focal_share", step=1, sql=f"WITH {OC}" + _FOCAL_SQL.format(
     fn="focal_value", tn="total_value", sn="focal_share", y=year("o_orderdate"), where=""))
 def q_focal_share(spark, d):
@@ -170,10 +145,7 @@ def q_full_outer_merge(spark, d):
     return rounded(full_outer_merge([a, b, c], "year"), 6, p_value=2)
 
 
-_TRADE_SQL = f"WITH {OC}" + _FOCAL_EXACT_SQL.format(
-    fn="exports_us", tn="exports_total", sn="us_export_share", y=year("o_orderdate"),
-    where="WHERE " + any_kw("o_orderpriority", CFG.trade_keywords))
-
+_TRADE_SQL = trade_sql(YG, CFG)
 
 @query("gold_focal_share", step=1, sql=_TRADE_SQL)
 def q_gold_focal_share(spark, d):
@@ -327,19 +299,7 @@ def q_horizontal_sum(spark, d):
     return rounded(wide.withColumn("total", horizontal_sum(_HS_COLS)), 2)
 
 
-_PRICE_SQL = f"""
-WITH {LP},
-  x AS (SELECT {year('l_shipdate')} AS year, p_type, l_extendedprice / nullif(l_quantity, 0) AS v
-        FROM lp WHERE year(l_shipdate) BETWEEN 1995 AND 2001)
-SELECT year,
-  round(avg(CASE WHEN contains(lower(p_type), 'standard') THEN v END), 4) AS cpi_core_avg,
-  round(avg(CASE WHEN contains(lower(p_type), 'promo') THEN v END), 4) AS construction_material_price_index_avg,
-  round(avg(CASE WHEN contains(lower(p_type), 'economy') THEN v END), 4) AS industrial_product_price_index_avg
-FROM x WHERE contains(lower(p_type), 'standard') OR contains(lower(p_type), 'promo')
-          OR contains(lower(p_type), 'economy')
-GROUP BY 1
-"""
-
+_PRICE_SQL = prices_sql(YG, CFG)
 
 @query("price_indices", step=2, sql=_PRICE_SQL)
 def q_price_indices(spark, d):
@@ -371,17 +331,7 @@ def q_left_attach(spark, d):
     return rounded(left_attach(a, b, "year"), 6)
 
 
-_LABOUR_SQL = f"""
-WITH {OC},
-  x AS (SELECT {year('o_orderdate')} AS year, {industry()} AS industry, o_orderstatus, o_totalprice
-        FROM oc WHERE r_name = 'AMERICA' AND o_orderstatus IN ('F', 'O', 'P'))
-SELECT year, industry,
-  {exact_avg("o_totalprice", "o_orderstatus = 'P'")} AS unemployment_rate,
-  {exact_avg("o_totalprice", "o_orderstatus = 'F'")} AS employment,
-  {exact_avg("o_totalprice", "o_orderstatus = 'O'")} AS labour_force
-FROM x WHERE industry IS NOT NULL AND year BETWEEN 1995 AND 2001 GROUP BY 1, 2
-"""
-
+_LABOUR_SQL = labour_sql(YG, CFG)
 
 @query("gold_measures", step=2, sql=_LABOUR_SQL)
 def q_gold_measures(spark, d):
@@ -390,24 +340,7 @@ def q_gold_measures(spark, d):
     return gold.gold_labour(standins.labour_from_cube(standins.orders_cube(spark, d, CFG)), CFG)
 
 
-_INFRA_SQL = f"""
-WITH {LP},
-  age AS (SELECT {year('l_shipdate')} AS year,
-            {exact_avg("l_quantity", "l_returnflag = 'A'")} AS infra_avg_age_transport,
-            {exact_avg("l_quantity", "l_returnflag = 'R'")} AS infra_rusl_ratio_transport
-          FROM lp WHERE contains(lower(p_name), 'gear') AND l_returnflag IN ('A', 'R')
-            AND year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
-  inv AS (SELECT {year('l_shipdate')} AS year,
-            {", ".join(exact_sum("l_extendedprice", f"p_type = '{t}'") + f" AS inv_{t.lower()}"
-                       for t in CFG.investment_classes)}
-          FROM lp WHERE {any_kw('p_name', CFG.investment_keywords)}
-            AND year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1)
-SELECT age.year, infra_avg_age_transport, infra_rusl_ratio_transport,
-  {", ".join(_HS_COLS)},
-  {" + ".join(f"coalesce({c}, 0.0)" for c in _HS_COLS)} AS infra_invest_total_transport
-FROM age LEFT JOIN inv ON age.year = inv.year
-"""
-
+_INFRA_SQL = infrastructure_sql(YG, CFG)
 
 @query("gold_infrastructure", step=2, sql=_INFRA_SQL)
 def q_gold_infrastructure(spark, d):
@@ -417,22 +350,7 @@ def q_gold_infrastructure(spark, d):
                                     standins.asset_investment_from_cube(lc), CFG)
 
 
-_CONTROLS_SQL = f"""
-WITH {OC},
-  rate AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS boc_policy_rate_avg
-           FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
-  g AS (SELECT year,
-          {exact_avg("o_totalprice", "industry = 'automobile'")} AS gdp_automobile,
-          {exact_avg("o_totalprice", "industry = 'building'")} AS gdp_building,
-          {exact_avg("o_totalprice", "industry = 'machinery'")} AS gdp_machinery
-        FROM (SELECT {year('o_orderdate')} AS year, {industry()} AS industry, o_totalprice
-              FROM oc WHERE r_name = 'AMERICA' AND contains(lower(o_orderpriority), 'medium'))
-        WHERE industry IS NOT NULL AND year BETWEEN 1995 AND 2001 GROUP BY 1)
-SELECT coalesce(g.year, rate.year) AS year, gdp_automobile, gdp_building, gdp_machinery,
-  boc_policy_rate_avg
-FROM g FULL JOIN rate ON g.year = rate.year
-"""
-
+_CONTROLS_SQL = controls_sql(YG, CFG)
 
 @query("gold_controls", step=2, sql=_CONTROLS_SQL)
 def q_gold_controls(spark, d):
@@ -466,21 +384,7 @@ def q_panel_star_join(spark, d):
     return rounded(out, 6, revenue=2)
 
 
-PANEL_SQL = f"""
-WITH lab AS ({_LABOUR_SQL}),
-  tr AS ({_TRADE_SQL}),
-  inf AS ({_INFRA_SQL}),
-  pr AS ({_PRICE_SQL}),
-  ct AS ({_CONTROLS_SQL})
-SELECT lab.*, tr.exports_us, tr.exports_total, tr.us_export_share,
-  inf.infra_avg_age_transport, inf.infra_rusl_ratio_transport,
-  {", ".join(f"inf.{c}" for c in _HS_COLS)}, inf.infra_invest_total_transport,
-  pr.cpi_core_avg, pr.construction_material_price_index_avg, pr.industrial_product_price_index_avg,
-  ct.gdp_automobile, ct.gdp_building, ct.gdp_machinery, ct.boc_policy_rate_avg
-FROM lab LEFT JOIN tr ON lab.year = tr.year LEFT JOIN inf ON lab.year = inf.year
-  LEFT JOIN pr ON lab.year = pr.year LEFT JOIN ct ON lab.year = ct.year
-"""
-
+PANEL_SQL = panel_sql(YG, CFG)
 
 def panel_df(spark, d, cfg: gold.GoldConfig = CFG):
     return gold.gold_panel(gold.build_gold_tables(spark, d, cfg), cfg)
