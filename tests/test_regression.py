@@ -74,3 +74,29 @@ def test_exact_decimal_gram_is_order_free(spark):
     r1 = cross_products(df, ["a", "b"], decimal_scale=8).first()
     r2 = cross_products(df.repartition(3), ["a", "b"], decimal_scale=8).first()
     assert r1 == r2 and r1["a__b"] == pytest.approx(0.1 * 0.2 + 0.3 * 0.7 + 1e-8 * 3.0)
+
+
+def test_within_matches_dummies_unbalanced(spark):
+    from tidepanel.operators.within import fe_within_ols
+    rng = np.random.default_rng(11)
+    rows = []
+    for e in range(12):
+        for t in range(9):
+            if rng.random() < 0.3:          # unbalanced: ~30 % of cells missing
+                continue
+            x1, x2 = float(rng.normal()), float(rng.normal())
+            y = 0.7 * x1 - 0.4 * x2 + 0.3 * e + 0.1 * t + float(rng.normal() * 0.2)
+            rows.append((f"e{e:02d}", t, y, x1, x2))
+    df = spark.createDataFrame(rows, "k string, t int, y double, x1 double, x2 double")
+    dm, names = design_matrix(df, ["x1", "x2"], ["k", "t"])
+    full = fit_ols(dm, "y", names, cov_type="HC1")
+    within, rounds = fe_within_ols(df, "y", ["x1", "x2"], "k", "t", cov_type="HC1")
+    assert rounds > 1
+    for i, c in enumerate(["x1", "x2"]):
+        j = names.index(c)
+        assert within.coef[i] == pytest.approx(full.coef[j], rel=1e-7)
+        assert within.std_error[i] == pytest.approx(full.std_error[j], rel=1e-6)
+    assert within.ssr == pytest.approx(full.ssr, rel=1e-7)
+    nonrob, _ = fe_within_ols(df, "y", ["x1", "x2"], "k", "t", cov_type="nonrobust")
+    full_nr = fit_ols(dm, "y", names, cov_type="nonrobust")
+    assert nonrob.std_error[0] == pytest.approx(full_nr.std_error[names.index("x1")], rel=1e-6)

@@ -129,11 +129,24 @@ class OLSResult:
                                        self.n, self.rank, formula, self.cov_type)], schema)
 
 
+COV_TYPES = ("HC3", "HC1", "HC0", "nonrobust")
+
+
 def fit_ols(df: DataFrame, y: str, x: Sequence[str], cov_type: str = "HC3",
-            rcond: float = 1e-12, decimal_scale: int | None = None) -> OLSResult:
+            rcond: float = 1e-12, decimal_scale: int | None = None,
+            absorbed: int = 0) -> OLSResult:
     """OLS of ``y`` on the design columns ``x`` (include "const" for an
     intercept).  Rows with a null in y or x must be removed by the caller
-    (complete cases, F8).  ``cov_type`` is "HC3" or "nonrobust"."""
+    (complete cases, F8).  ``cov_type`` is one of HC3, HC1, HC0, nonrobust.
+    ``absorbed`` counts parameters already projected out of y and x (fixed
+    effects removed by a within transform); it enters the degrees of
+    freedom, so the nonrobust and HC1 errors equal those of the dummy
+    regression.  HC3 needs the leverage of the full design and is refused
+    when ``absorbed`` > 0."""
+    if cov_type not in COV_TYPES:
+        raise ValueError(f"unknown cov_type {cov_type!r}")
+    if cov_type == "HC3" and absorbed:
+        raise ValueError("HC3 needs the full design's leverage; use HC1 with absorbed effects")
     x = list(x)
     k = len(x)
     cols = x + [y]
@@ -146,36 +159,47 @@ def fit_ols(df: DataFrame, y: str, x: Sequence[str], cov_type: str = "HC3",
     identified = [bool(np.linalg.norm(null_basis[i]) < 1e-8) for i in range(k)]
 
     ybar = row[f"const__{y}"] / n if "const" in x else None
+    # residual, leverage and weight are projected once per row; the
+    # aggregates then read plain columns (small generated code)
     e = F.col(y).cast("double") - predict(x, coef)
+    cols = {"__e": e}
+    if cov_type == "HC3":
+        cols["__h"] = leverage(x, ginv)
+    base = df.select(*[F.col(c) for c in dict.fromkeys(x + [y])], *[v.alias(k2) for k2, v in cols.items()])
+    e = F.col("__e")
     aggs = [F.sum(e * e).alias("ssr")]
     if ybar is not None:
         aggs.append(F.sum((F.col(y) - F.lit(ybar)) ** 2).alias("sst"))
     else:
         aggs.append(F.sum(F.col(y) * F.col(y)).alias("sst"))
-    if cov_type == "HC3":
-        h = leverage(x, ginv)
-        bad = (F.lit(1.0) - h) < F.lit(LEVERAGE_EPS)
-        w = F.when(~bad, (e * e) / ((F.lit(1.0) - h) ** 2))
+    if cov_type != "nonrobust":
+        if cov_type == "HC3":
+            h = F.col("__h")
+            bad = (F.lit(1.0) - h) < F.lit(LEVERAGE_EPS)
+            base = base.withColumn("__w", F.when(~bad, (e * e) / ((F.lit(1.0) - h) ** 2)))
+            for i, a in enumerate(x):
+                aggs.append(F.sum(F.when(bad, F.abs(F.col(a)))).alias(f"bad_{i}"))
+        else:
+            base = base.withColumn("__w", e * e)
+        w = F.col("__w")
         for i, a in enumerate(x):
             for j in range(i, k):
                 aggs.append(F.sum(F.col(a) * F.col(x[j]) * w).alias(f"m_{i}_{j}"))
-        for i, a in enumerate(x):
-            aggs.append(F.sum(F.when(bad, F.abs(F.col(a)))).alias(f"bad_{i}"))
-    elif cov_type != "nonrobust":
-        raise ValueError(f"unknown cov_type {cov_type!r}")
-    r2 = df.agg(*aggs).first().asDict()
+    r2 = base.agg(*aggs).first().asDict()
     ssr, sst = float(r2["ssr"]), float(r2["sst"])
 
-    if cov_type == "HC3":
+    dof = max(n - rank - absorbed, 1)
+    if cov_type != "nonrobust":
         meat = np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
                 meat[i, j] = meat[j, i] = r2[f"m_{i}_{j}"] or 0.0
         cov = ginv @ meat @ ginv
-        blocked = [bool(r2[f"bad_{i}"]) for i in range(k)]
+        if cov_type == "HC1":
+            cov = cov * (n / dof)
+        blocked = [bool(r2.get(f"bad_{i}")) for i in range(k)]
     else:
-        sigma2 = ssr / max(n - rank, 1)
-        cov = sigma2 * ginv
+        cov = (ssr / dof) * ginv
         blocked = [False] * k
     se, z, p = [], [], []
     for i in range(k):

@@ -11,7 +11,8 @@ from ..operators.windows import two_way_demean
 from .catalog_features import features_df
 from .catalog_models import REG_COLS
 from .registry import query, rounded
-from .series import CUSTOMER_MONTH_SQL, SEGMENT_MONTH_SQL, customer_month, month_index, segment_month
+from .series import (CUSTOMER_MONTH_SQL, SEGMENT_MONTH_SQL, customer_month, month_index,
+                     nation_segment_month, segment_month)
 
 LAST_FULL_MONTH = month_index(2001, 7)
 FIRST_MONTH = month_index(1995, 1)
@@ -141,3 +142,16 @@ def q_model_metadata(spark, d):
           res.n, res.rank, len(names), FE_FORMULA)],
         "model_name string, dependent_variable string, fixed_effects string, robust_se string, "
         "feature_table string, n_obs long, rank int, n_params int, formula string")
+
+
+@query("fe_within_coefficients", step=7)
+def q_fe_within_coefficients(spark, d):
+    """M1 at scale: two-way FE (125 nation x segment series and
+    their months) by alternating-projection demeaning instead of dummy
+    columns; HC1 errors with the absorbed effects in the degrees of
+    freedom.  Equal to the dummy regression by Frisch-Waugh-Lovell (tested)."""
+    from ..operators.within import fe_within_ols
+    s = nation_segment_month(spark, d)
+    res, _ = fe_within_ols(s, "y", ["x1", "n_f"], "k", "p",
+                           period_bound=period_count(FIRST_MONTH, month_index(2001, 8)))
+    return res.coefficients(spark)
