@@ -1,0 +1,70 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidepanel.operators.arma import fit_series
+from tidepanel.operators.arma_jobs import (arimax_backtest, fit_orders, fit_params,
+                                           scenario_forecasts, select_order)
+from tidepanel.operators.clean import flag_non_finite
+
+
+def _panel(spark, n=120):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, phi in (("ar", 0.8), ("white", 0.0)):
+        u = 0.0
+        for t in range(n):
+            x = float(rng.normal())
+            u = phi * u + float(rng.normal())
+            rows.append((k, t, 5.0 + 2.0 * x + u, x))
+    return spark.createDataFrame(rows, "k string, p int, y double, x double")
+
+
+def test_grid_picks_ar_for_ar_series(spark):
+    df = _panel(spark)
+    fits = fit_orders(df, ["k"], "p", "y", ["x"], [(0, 0, 0), (1, 0, 0)])
+    assert fits.count() == 4
+    best = {r.k: r.ord for r in select_order(fits, ["k"]).collect()}
+    assert best["ar"] == "(1, 0, 0)"
+    # the Spark job reproduces the kernel on the same rows
+    pdf = df.filter("k = 'ar'").orderBy("p").toPandas()
+    f = fit_series(pdf.y.to_numpy(), pdf[["x"]].to_numpy(), (1, 0, 0), ["x"])
+    got = fits.filter("k = 'ar' AND ar = 1").first()
+    assert got.aic == pytest.approx(f.aic, rel=1e-9) and got.phi_1 == pytest.approx(f.phi[0], rel=1e-9)
+
+
+def test_scenario_shift_equals_coefficient(spark):
+    df = _panel(spark).filter("k = 'white'")
+    train = df.filter("p < 100")
+    fut = df.filter("p >= 100").select("k", "p", "x")
+    scen = fut.withColumn("scenario", F.lit("base")).unionByName(
+        fut.withColumn("x", F.col("x") + 1.0).withColumn("scenario", F.lit("up")))
+    out = scenario_forecasts(train, scen, ["k"], "p", "y", ["x"], order=(0, 0, 0))
+    got = {(r.scenario, r.p): r.predicted for r in out.collect()}
+    params = dict((r.param_name, r.param_value)
+                  for r in fit_params(train, ["k"], "p", "y", ["x"], (0, 0, 0)).collect())
+    for p in range(100, 120):
+        assert got[("up", p)] - got[("base", p)] == pytest.approx(params["x"], rel=1e-9)
+
+
+def test_backtest_uses_training_rows_only(spark):
+    df = _panel(spark, 60).filter("k = 'ar'")
+    folds = (df.withColumn("te", F.explode(F.array(F.lit(40), F.lit(50))))
+               .filter(F.col("p") <= F.col("te") + 1))
+    out = {r.train_end: r for r in arimax_backtest(folds, ["k"], "p", "y", ["x"]).collect()}
+    assert set(out) == {40, 50}
+    pdf = df.orderBy("p").toPandas()
+    tr = pdf[pdf.p <= 40]
+    f = fit_series(tr.y.to_numpy(), tr[["x"]].to_numpy(), (1, 0, 0), ["x"])
+    assert out[40].aic == pytest.approx(f.aic, rel=1e-9)
+    assert out[40].actual == pytest.approx(float(pdf[pdf.p == 41].y.iloc[0]))
+
+
+def test_in_plan_finite_check(spark):
+    ok = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    assert ok.select(flag_non_finite(ok, ["x"]).alias("f")).count() == 2
+    bad = spark.createDataFrame([(1.0,), (float("inf"),)], "x double")
+    with pytest.raises(Exception, match="non-finite"):
+        bad.select(flag_non_finite(bad, ["x"]).alias("f")).collect()
