@@ -100,3 +100,19 @@ def test_within_matches_dummies_unbalanced(spark):
     nonrob, _ = fe_within_ols(df, "y", ["x1", "x2"], "k", "t", cov_type="nonrobust")
     full_nr = fit_ols(dm, "y", names, cov_type="nonrobust")
     assert nonrob.std_error[0] == pytest.approx(full_nr.std_error[names.index("x1")], rel=1e-6)
+
+
+def test_predictions_do_not_depend_on_dropped_level(spark):
+    from tidepanel.operators.design import treatment_dummies
+    from tidepanel.operators.regression import predict
+    df = _design_frame(spark).filter("k != 'z'")
+    levels = ["a", "b", "c"]
+    first = df.withColumns(treatment_dummies("k", levels)).withColumn("const", F.lit(1))
+    last = df.withColumns(treatment_dummies("k", levels[::-1])).withColumn("const", F.lit(1))
+    n1 = ["const", "x1", "k_b", "k_c"]
+    n2 = ["const", "x1", "k_b", "k_a"]
+    r1, r2 = fit_ols(first, "y", n1, "nonrobust"), fit_ols(last, "y", n2, "nonrobust")
+    p1 = [r[0] for r in first.orderBy("k", "t").select(predict(n1, r1.coef)).collect()]
+    p2 = [r[0] for r in last.orderBy("k", "t").select(predict(n2, r2.coef)).collect()]
+    np.testing.assert_allclose(p1, p2, rtol=1e-9)
+    assert r1.coef[1] == pytest.approx(r2.coef[1], rel=1e-9)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,7 +199,3 @@ def arimax_backtest(folds: DataFrame, keys: Sequence[str], period: str, y: str,
         return pd.DataFrame([row], columns=cols)
 
     return spread(folds, [*keys, fold]).groupBy(*keys, fold).applyInPandas(run, schema)
-
-
-def assert_no_nan(a: np.ndarray) -> bool:
-    return bool(np.isfinite(a).all())

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, is_finite
-from .windows import back_fill, forward_fill, spec
+from .windows import back_fill, forward_fill
 
 
 def missing_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.folds import expand_origins, standardize_by_fold
 from ..operators.scenario import apply_scenarios
 from .catalog_models import ORDERS_V1, ORDERS_V2, ORIGINS, SCENARIOS, TEST, TRAIN_END
 from ..operators.aggregate import rmse_mae
-from .registry import query, rounded
+from .registry import materialize, query, rounded
 from .series import month_index, nation_segment_month, segment_month
 
 EXOG = ["ev_2000", "x1"]
@@ -47,7 +47,7 @@ def q_order_select(spark, d):
 def q_scenario_forecast(spark, d):
     """M14 + J8 + P23: fit on the training months, forecast the test months
     under four driver scenarios."""
-    s = _with_event(segment_month(spark, d))
+    s = materialize(_with_event(segment_month(spark, d)))
     train = s.filter(F.col("p") <= TRAIN_END)
     future = apply_scenarios(s.filter(F.col("p").isin(TEST)).select("k", "p", *EXOG), SCENARIOS)
     return rounded(scenario_forecasts(train, future, ["k"], "p", "y", EXOG), 6)
@@ -88,7 +88,7 @@ def q_arimax_holdout(spark, d):
     """M12 with M6/M7 (first design): choose the order on the training
     months by AIC, forecast the test months with known drivers, and score
     RMSE / MAE per series."""
-    s = _with_event(segment_month(spark, d))
+    s = materialize(_with_event(segment_month(spark, d)))
     train = s.filter(F.col("p") <= TRAIN_END)
     best = select_order(fit_orders(train, ["k"], "p", "y", EXOG, ORDERS_V1), ["k"])
     test = s.filter(F.col("p").isin(TEST)).select("k", "p", *EXOG, F.lit("actual").alias("scenario"))

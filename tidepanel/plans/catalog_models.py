@@ -12,8 +12,8 @@ from ..operators.folds import (expand_origins, fold_train_stats, min_history, or
                                standardize_by_fold, train_test_split)
 from ..operators.forecast import Z95, ar1_fit, ar1_forecast, forecast_errors, rolling_backtest
 from ..operators.scenario import apply_scenarios
-from .catalog_features import FEATURES_SQL, SPEC, _SPARSE_SQL, _sparse_series, features_df
-from .registry import query, rounded
+from .catalog_features import FEATURES_SQL, _SPARSE_SQL, _sparse_series, features_df
+from .registry import materialize, query, rounded
 from .series import (NATION_SEGMENT_MONTH_SQL, SEGMENT_MONTH_SQL, month_index,
                      nation_segment_month, segment_month)
 
@@ -66,7 +66,7 @@ SELECT s.* FROM s WHERE k IN (SELECT k FROM ok)
 """)
 def q_min_history(spark, d):
     """keep series with >= 6 training and >= 1 test rows (semi join)."""
-    sp = train_test_split(_sparse_series(spark, d), "p", TRAIN_END, TEST)
+    sp = train_test_split(materialize(_sparse_series(spark, d)), "p", TRAIN_END, TEST)
     return min_history(sp, "k", 6, 1).select("k", "p", "v", "split")
 
 
@@ -208,7 +208,7 @@ SELECT k, period, actual, round(predicted, 6) AS predicted, round(error, 6) AS e
 """)
 def q_forecast_errors(spark, d):
     """P26 + J9: hold-out forecasts joined to actuals on (series, period)."""
-    e = _holdout(spark, d, segment_month(spark, d))
+    e = _holdout(spark, d, materialize(segment_month(spark, d)))
     return rounded(e.select("k", "period", "actual", "predicted", "error", "abs_error"), 6,
                    actual=8)
 
@@ -220,7 +220,7 @@ SELECT k, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6)
 """)
 def q_forecast_accuracy(spark, d):
     """A10: RMSE and MAE per series."""
-    return rounded(rmse_mae(_holdout(spark, d, segment_month(spark, d)), ["k"]), 6)
+    return rounded(rmse_mae(_holdout(spark, d, materialize(segment_month(spark, d))), ["k"]), 6)
 
 
 @query("holdout_accuracy", step=6, sql=(
@@ -237,7 +237,7 @@ def q_holdout_accuracy(spark, d):
     """Split, history gate, fit on train, multi-step forecast of the
     test window, accuracy per series; 125 nation x segment series."""
     s = train_test_split(nation_segment_month(spark, d), "p", TRAIN_END, TEST)
-    s = min_history(s, "k", 6, 1)
+    s = materialize(min_history(s, "k", 6, 1))
     return rounded(rmse_mae(_holdout(spark, d, s), ["k"]), 6)
 
 

@@ -10,7 +10,7 @@ from ..operators.regression import fit_ols, predict, within_slope
 from ..operators.windows import two_way_demean
 from .catalog_features import features_df
 from .catalog_models import REG_COLS
-from .registry import query, rounded
+from .registry import materialize, query, rounded
 from .series import (CUSTOMER_MONTH_SQL, SEGMENT_MONTH_SQL, customer_month, month_index,
                      nation_segment_month, segment_month)
 
@@ -96,7 +96,7 @@ SELECT k, p, round(yd - (SELECT slope FROM s) * xd, 6) AS resid FROM d
 """)
 def q_fe_residuals(spark, d):
     """P25: residuals of the two-way FE fit (slope broadcast as a literal)."""
-    dm = _demeaned(spark, d)
+    dm = materialize(_demeaned(spark, d))
     slope = within_slope(dm, "y_dm", "x1_dm").first()["slope"]
     return rounded(dm.select("k", "p", (F.col("y_dm") - predict(["x1_dm"], [slope])).alias("resid")), 6)
 

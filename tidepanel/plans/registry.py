@@ -48,3 +48,10 @@ def rounded(df: DataFrame, places: int = 6, **per_column: int | None) -> DataFra
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches of a query read (an
+    aggregated series, a demeaned panel) to the checkpoint directory once,
+    instead of letting each branch recompute it from the fact tables."""
+    return df.checkpoint(eager=True)
