@@ -78,7 +78,9 @@ WITH {SEGMENT_MONTH_SQL},
 
 
 def _demeaned(spark, d):
-    sm = segment_month(spark, d).filter(F.col("p").between(FIRST_MONTH, LAST_FULL_MONTH))
+    # the transform reads its input three ways (entity window, period means,
+    # grand means): aggregate the series once
+    sm = materialize(segment_month(spark, d).filter(F.col("p").between(FIRST_MONTH, LAST_FULL_MONTH)))
     return two_way_demean(sm, ["y", "x1"], "k", "p",
                           period_bound=period_count(FIRST_MONTH, LAST_FULL_MONTH))
 
