@@ -40,6 +40,8 @@ def weighted(how: str, v: Column, w: Column | None) -> Column:
     exactly the mean over the source rows.  Sums of decimals are exact and
     converted to double once, at the end."""
     if w is None:
+        if how in ("avg", "mean"):      # sum / count: exact for decimals, = avg for doubles
+            return F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double"))
         return _agg_fn(how)(v).cast("double")
     if how in ("avg", "mean"):
         return F.try_divide(F.sum(v).cast("double"),
@@ -68,34 +70,28 @@ def pivot_measures(df: DataFrame, group_cols: Sequence[str], measure_col: str,
     Unlisted labels are dropped, a listed label absent from the data gives
     a typed null column, and the aggregate is deterministic (no ``first``).
     Because the value list is given, Spark needs no extra job to discover
-    it and the output schema does not depend on the data.  With
-    ``weight_col`` the input is pre-aggregated (see :func:`weighted`).
+    it, the output schema does not depend on the data, and the pivot is a
+    single conditional aggregate.  With ``weight_col`` the input is
+    pre-aggregated (see :func:`weighted`).
     """
     if not isinstance(mapping, Mapping):
         mapping = {m: m for m in mapping}
     names = list(dict.fromkeys(mapping.values()))
-    fn = _agg_fn(how)
-    label = F.col(measure_col)
-    canon = None
-    for raw, name in mapping.items():
-        cond = label == F.lit(raw)
-        canon = F.when(cond, F.lit(name)) if canon is None else canon.when(cond, F.lit(name))
-    base = (df.select(*group_cols, canon.alias("__measure"),
-                      numeric(df, value_col).alias("__value"),
-                      (F.col(weight_col) if weight_col else F.lit(None)).alias("__w"))
-              .filter(F.col("__measure").isNotNull())
-              .groupBy(*group_cols)
-              .pivot("__measure", names))
-    if weight_col is None:
-        wide = base.agg(fn("__value"))
-        return wide.select(*group_cols, *[F.col(n).cast("double").alias(n) for n in names])
-    if how not in ("avg", "mean", "sum"):
+    _agg_fn(how)
+    if weight_col is not None and how not in ("avg", "mean", "sum"):
         raise ValueError(f"{how!r} cannot be computed from pre-aggregated rows")
-    wide = base.agg(F.sum("__value").alias("s"),
-                    F.sum(F.when(F.col("__value").isNotNull(), F.col("__w"))).alias("w"))
-    return wide.select(*group_cols, *[
-        (F.try_divide(F.col(f"{n}_s").cast("double"), F.col(f"{n}_w").cast("double"))
-         if how in ("avg", "mean") else F.col(f"{n}_s").cast("double")).alias(n) for n in names])
+    label = F.col(measure_col)
+    labels_of = {n: [raw for raw, m in mapping.items() if m == n] for n in names}
+    v = numeric(df, value_col)
+    w = F.col(weight_col) if weight_col else None
+    # one conditional aggregate per output column: a single partial +
+    # final aggregation (one shuffle), where pivot() would aggregate twice
+    hit_any = label.isin(list(mapping))
+    aggs = []
+    for n in names:
+        hit = label.isin(labels_of[n])
+        aggs.append(weighted(how, F.when(hit, v), None if w is None else F.when(hit, w)).alias(n))
+    return df.filter(hit_any).groupBy(*group_cols).agg(*aggs)
 
 
 def focal_share(df: DataFrame, period_col: str, partner_col: str, value_col: str,
