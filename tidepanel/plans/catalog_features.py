@@ -269,3 +269,30 @@ def q_gold_panel_monthly(spark, d):
 def q_features_monthly(spark, d):
     """D7 at month grain: lags, growth and events on month indexes."""
     return features_df(spark, d, MONTH_CFG, MONTH_SPEC)
+
+
+# ---------------------------------------------------------------- day grain
+
+@query("event_daily_panel", step=3, sql="""
+WITH d AS (
+  SELECT event_type,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day,
+    CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value,
+    count(*) AS n_events
+  FROM events GROUP BY 1, 2)
+SELECT event_type, day, mean_value, n_events,
+  lag(mean_value) OVER w AS mean_value_lag1,
+  CASE WHEN day - lag(day) OVER w = 1 THEN lag(mean_value) OVER w END AS mean_value_prev_day
+FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)
+""")
+def q_event_daily_panel(spark, d):
+    """A1 + W2 at day grain (events: type x day): exact daily means, then the
+    positional and the calendar-strict lag."""
+    ev = read_table(spark, d, "events")
+    ev = add_period(ev.withColumn("value", F.col("value").cast("decimal(18,2)")), "ts", "day", "day")
+    daily = ev.groupBy("event_type", "day").agg(
+        F.try_divide(F.sum("value").cast("double"), F.count("value").cast("double")).alias("mean_value"),
+        F.count(F.lit(1)).alias("n_events"))
+    return daily.select("event_type", "day", "mean_value", "n_events",
+                        lag("mean_value", "event_type", "day").alias("mean_value_lag1"),
+                        lag("mean_value", "event_type", "day", strict=True).alias("mean_value_prev_day"))
