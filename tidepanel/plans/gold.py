@@ -61,6 +61,9 @@ class GoldConfig:
         PriceIndex("industrial_product_price_index_avg", ("economy",)),
     )
     output_keywords: tuple[str, ...] = ("medium",)
+    # ordered (keyword, name) rules for estimate labels known only by a
+    # word in them; when set they replace the exact ``age_measures`` labels
+    age_rules: tuple[tuple[str, str], ...] = ()
 
     @property
     def industries(self) -> list[str]:
@@ -88,10 +91,10 @@ def _w(df: DataFrame) -> str | None:
 
 
 def scope(df: DataFrame, cfg: GoldConfig, use_geo: bool = True) -> DataFrame:
-    """Geography equality (F1), period from ``ref_date`` (P4) and the
-    inclusive period range (F2).  The range is also applied to the raw
-    ``ref_date`` so it reaches the parquet scan."""
-    if use_geo and cfg.geo is not None:
+    """Geography equality (F1) when the table has a ``geo`` column, period
+    from ``ref_date`` (P4) and the inclusive period range (F2).  The range
+    is also applied to the raw ``ref_date`` so it reaches the parquet scan."""
+    if use_geo and cfg.geo is not None and "geo" in df.columns:
         df = df.filter(F.col("geo") == F.lit(cfg.geo))
     df = add_period(df, "ref_date", cfg.grain, out=cfg.period_col)
     return filter_period_range(df, cfg.period_col, cfg.start, cfg.end,
@@ -114,7 +117,7 @@ def gold_labour(long: DataFrame, cfg: GoldConfig) -> DataFrame:
 
 # ---------------------------------------------------------------- D2
 def gold_trade(long: DataFrame, cfg: GoldConfig) -> DataFrame:
-    df = scope(long, cfg, use_geo=False).filter(keyword_any("trade", cfg.trade_keywords))
+    df = scope(long, cfg).filter(keyword_any("trade", cfg.trade_keywords))
     return focal_share(df, cfg.period_col, "partner", "value", cfg.focal_partner,
                        exclude=cfg.total_labels)
 
@@ -122,15 +125,18 @@ def gold_trade(long: DataFrame, cfg: GoldConfig) -> DataFrame:
 # ---------------------------------------------------------------- D3
 def gold_infrastructure(age_long: DataFrame, inv_long: DataFrame, cfg: GoldConfig) -> DataFrame:
     p = cfg.period_col
-    age = scope(age_long, cfg, use_geo=False).filter(
-        keyword_any("asset_function", cfg.age_keywords))
-    age = pivot_measures(age, [p], "estimate", "value", cfg.age_measures, how="avg",
+    age = scope(age_long, cfg).filter(keyword_any("asset_function", cfg.age_keywords))
+    if cfg.age_rules:
+        age = age.withColumn("estimate", canonical_category("estimate", cfg.age_rules))
+        mapping = {name: name for _, name in cfg.age_rules}
+    else:
+        mapping = dict(cfg.age_measures)
+    age = pivot_measures(age, [p], "estimate", "value", mapping, how="avg",
                          weight_col=_w(age_long))
-    age = age.select(p, *dict.fromkeys(cfg.age_measures.values()))
+    age = age.select(p, *dict.fromkeys(mapping.values()))
 
     inv_cols = cfg.investment_columns()
-    inv = scope(inv_long, cfg, use_geo=False).filter(
-        keyword_any("assets", cfg.investment_keywords))
+    inv = scope(inv_long, cfg).filter(keyword_any("assets", cfg.investment_keywords))
     inv = pivot_measures(inv, [p], "asset_class", "value", inv_cols, how="sum",
                          weight_col=_w(inv_long))
     inv = inv.withColumn("infra_invest_total_transport",
@@ -152,7 +158,7 @@ def period_means(sources: Sequence[tuple[DataFrame, str, Sequence[str], str]],
         by_source.setdefault(id(src), []).append((src, label_col, kws, name))
     parts = []
     for group in by_source.values():
-        df = scope(group[0][0], cfg, use_geo=False)
+        df = scope(group[0][0], cfg)
         hits = [(keyword_any(lc, kws) if kws else F.lit(True), name)
                 for _, lc, kws, name in group]
         any_hit = hits[0][0]
@@ -176,7 +182,7 @@ def gold_prices(price: DataFrame, cfg: GoldConfig) -> DataFrame:
 def gold_controls(rate_long: DataFrame, output_long: DataFrame, cfg: GoldConfig) -> DataFrame:
     p = cfg.period_col
     w = F.col(WEIGHT) if _w(rate_long) else None
-    rate = (scope(rate_long, cfg, use_geo=False)
+    rate = (scope(rate_long, cfg)
             .groupBy(p).agg(weighted("avg", numeric(rate_long, "value"), w)
                             .alias("boc_policy_rate_avg")))
     gdp = with_industry(scope(output_long, cfg), cfg).filter(
