@@ -171,10 +171,13 @@ BACKTEST_SCHEMA = ("{keys}, train_end int, test_period int, ord string, actual d
 
 
 def arimax_backtest(folds: DataFrame, keys: Sequence[str], period: str, y: str,
-                    exog: Sequence[str], order=(1, 0, 0), fold: str = "te") -> DataFrame:
+                    exog: Sequence[str], order=(1, 0, 0), fold: str = "te",
+                    min_train: int = 0) -> DataFrame:
     """Rolling-origin one-step ARIMAX backtest (M13 with M6): ``folds``
     holds, per (series, origin), the training rows and the te + 1 row with
-    drivers already standardised on the training rows (P24)."""
+    drivers already standardised on the training rows (P24).  A fold runs
+    only when both te and te + 1 are present (F11) and has at least
+    ``min_train`` training rows (F10)."""
     keys, exog = list(keys), list(exog)
     schema = BACKTEST_SCHEMA.format(keys=_keys_schema(folds, keys))
     cols = [c.split()[0].strip("`") for c in schema.split(", ")]
@@ -183,7 +186,8 @@ def arimax_backtest(folds: DataFrame, keys: Sequence[str], period: str, y: str,
         te = int(pdf[fold].iloc[0])
         pdf = pdf.sort_values(period)
         tr, ts = pdf[pdf[period] <= te], pdf[pdf[period] == te + 1]
-        if ts.empty:
+        # the origin itself and the next period must both be present
+        if ts.empty or not (tr[period] == te).any() or len(tr) < min_train:
             return pd.DataFrame(columns=cols)
         f = arma.fit_series(tr[y].to_numpy(float), tr[exog].to_numpy(float), order, exog)
         if f.status != "ok":

@@ -6,6 +6,8 @@ express them, so they have no oracle and are checked by unit tests
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import step_dummy
@@ -96,3 +98,61 @@ def q_arimax_holdout(spark, d):
     actual = s.filter(F.col("p").isin(TEST)).select("k", "p", F.col("y").alias("actual"))
     err = fc.join(actual, ["k", "p"]).withColumn("error", F.col("actual") - F.col("predicted"))
     return rounded(rmse_mae(err, ["k"]).join(best.select("k", "ord", "aic"), "k"), 6)
+
+
+# ---------------------------------------------------------------- the full recipe
+
+def _v3_spec():
+    from .catalog_features import MONTH_SPEC
+    from .models import ForecastSpec
+    e1 = MONTH_SPEC.events[0][0]
+    return ForecastSpec(
+        key="industry", period="month", drivers=(e1, "us_export_share", "infra_invest_log",
+                                                 "boc_policy_rate_avg"),
+        pulse_name="pulse", pulse_periods=tuple(range(month_index(1999, 1), month_index(2000, 12) + 1)),
+        order=(1, 0, 0), origins=tuple(ORIGINS), min_total=8, min_train=6,
+        train_end=TRAIN_END, test_periods=tuple(TEST),
+        scenarios={"baseline": [],
+                   "high_tariffs": [(e1, "set", 1.0)],
+                   "high_infrastructure": [("infra_invest_log", "add", math.log1p(0.20))],
+                   "high_tariffs_high_infrastructure": [(e1, "set", 1.0),
+                                                        ("infra_invest_log", "add", math.log1p(0.20))]})
+
+
+def _v3_rows(spark, d):
+    from .catalog_features import MONTH_CFG, MONTH_SPEC, features_df
+    from .models import prepared
+    return prepared(features_df(spark, d, MONTH_CFG, MONTH_SPEC), _v3_spec())
+
+
+@query("forecast_recipe_backtest", step=8)
+def q_forecast_recipe_backtest(spark, d):
+    """The recommended recipe on the monthly feature table: clean drivers,
+    history gates, rolling origins, train-only standardising, ARMA(1,0,0)
+    with drivers, one-step forecasts and errors per (industry, origin)."""
+    from .models import backtest
+    return rounded(backtest(_v3_rows(spark, d), _v3_spec()), 6)
+
+
+@query("forecast_recipe_scenarios", step=8)
+def q_forecast_recipe_scenarios(spark, d):
+    """The recipe's refit on the training window and the four driver
+    scenarios over the test window (tariff step already on, so
+    'high_tariffs' equals the baseline)."""
+    from .models import scenarios
+    return rounded(scenarios(_v3_rows(spark, d), _v3_spec()), 6)
+
+
+@query("forecast_recipe_params", step=8)
+def q_forecast_recipe_params(spark, d):
+    """The recipe's final model parameters, long form, standardised drivers."""
+    from .models import final_params
+    return rounded(final_params(_v3_rows(spark, d), _v3_spec()), 6)
+
+
+@query("forecast_recipe_missing", step=8)
+def q_forecast_recipe_missing(spark, d):
+    """Missing / infinite counts of the recipe's raw drivers (before cleaning)."""
+    from .catalog_features import MONTH_CFG, MONTH_SPEC, features_df
+    from .models import driver_report
+    return driver_report(features_df(spark, d, MONTH_CFG, MONTH_SPEC), _v3_spec())
