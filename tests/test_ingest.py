@@ -12,7 +12,8 @@ from tidepanel.sources.archives import (extension_glob, ingest, list_files, pair
 DATA = ("﻿REF_DATE,GEO,North American Industry Classification System (NAICS),VALUE,Status\n"
         "2016-01,Canada,Construction [23],5.1,\n"
         "2016-02,Canada,Construction [23],..,x\n"
-        "2017-01,Canada,\"Retail trade, total\",4.2,\n")
+        "2017-01,Canada,\"Retail trade, total\",4.2,\n"
+        "2017-02,Canada,\"Note: two\nlines\",3.0,\n")
 META = "﻿Cube Title,Product Id\nLabour,14100023\n"
 
 
@@ -47,15 +48,17 @@ def test_listing_and_names(spark, landing):
 def test_lines_and_parse(spark, landing):
     lines = read_archives(spark, landing)
     by_role = {(r.product, r.role): r["count"] for r in lines.groupBy("product", "role").count().collect()}
-    assert by_role[("labour", "data")] == 4 and by_role[("labour", "metadata")] == 2
+    assert by_role[("labour", "data")] == 5 and by_role[("labour", "metadata")] == 2
     tables = ingest(spark, landing)
     lab = tables["labour"]
     assert lab.columns == ["product", "pid", "ref_date", "geo",
                            "north_american_industry_classification_system_naics", "value",
                            "status"]
     rows = sorted(lab.collect(), key=lambda r: r.ref_date)
-    assert [r.value for r in rows] == [5.1, None, 4.2]        # ".." -> null
+    assert [r.value for r in rows] == [5.1, None, 4.2, 3.0]   # ".." -> null
     assert rows[2].north_american_industry_classification_system_naics == "Retail trade, total"
+    # a quoted field with a line break stays one record
+    assert rows[3].north_american_industry_classification_system_naics == "Note: two\nlines"
     assert rows[0].ref_date == "2016-01" and rows[0].pid == "14100023"
 
 

@@ -11,9 +11,9 @@ def test_available_now_ingest(spark, tmp_path):
     q = start_ingest(spark, str(land), str(tmp_path / "silver"), str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "silver" / "labour" / "data"))
-    assert out.count() == 3
+    assert out.count() == 4
     # a second archive arriving later is picked up by a restart; the first is not re-read
     _zip(land / "cpi_cansim.zip", {"1.csv": DATA, "1_MetaData.csv": META})
     q = start_ingest(spark, str(land), str(tmp_path / "silver"), str(tmp_path / "ckpt"))
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "silver" / "cpi" / "data")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "silver" / "cpi" / "data")).count() == 4

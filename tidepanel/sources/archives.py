@@ -2,10 +2,12 @@
 
 The archives never pass through the driver.  ``binaryFile`` lists and
 reads them on executors; :func:`archive_lines` (``mapInPandas``) opens
-each archive in the task that read it and emits one row per CSV line;
-Spark's own CSV parser (``from_csv``) turns lines into columns.  Only the
-header lines (one per archive and member) are collected, to build the
-schema.
+each archive in the task that read it and streams each member through the
+standard CSV reader (quotes, embedded newlines, BOM), emitting one row per
+record with its fields as ``array<string>``, in batches, so task memory
+does not grow with the member.  Columns are then picked from the array by
+position.  Only the header records (one per archive and member) are
+collected, to build the schema.
 
 Archive layout: ``{product}_cansim.zip`` holding ``{id}.csv`` and
 ``{id}_MetaData.csv`` (any folder inside the archive; the id is the text
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.names import sanitized_names
 
 LINE_SCHEMA = ("path string, product string, pid string, role string, line_no long, "
-               "line string")
+               "fields array<string>")
 LINES_PER_BATCH = 50_000
 
 
@@ -86,18 +88,28 @@ def _members(names: list[str]) -> tuple[str, str, str]:
 
 
 def _explode_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import csv
     for batch in batches:
         for path, product, content in zip(batch["path"], batch["product"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
                 pid, data, meta = _members(zf.namelist())
                 for role, member in (("data", data), ("metadata", meta)):
-                    text = zf.read(member).decode("utf-8-sig")
-                    lines = text.splitlines()
-                    for start in range(0, len(lines), LINES_PER_BATCH):
-                        chunk = lines[start:start + LINES_PER_BATCH]
-                        yield pd.DataFrame({
-                            "path": path, "product": product, "pid": pid, "role": role,
-                            "line_no": range(start, start + len(chunk)), "line": chunk})
+                    with zf.open(member) as raw:
+                        text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
+                        chunk, start = [], 0
+                        for rec in csv.reader(text):
+                            chunk.append(rec)
+                            if len(chunk) == LINES_PER_BATCH:
+                                yield _records(path, product, pid, role, start, chunk)
+                                start += len(chunk)
+                                chunk = []
+                        if chunk:
+                            yield _records(path, product, pid, role, start, chunk)
+
+
+def _records(path, product, pid, role, start, chunk) -> pd.DataFrame:
+    return pd.DataFrame({"path": path, "product": product, "pid": pid, "role": role,
+                         "line_no": range(start, start + len(chunk)), "fields": chunk})
 
 
 def archive_lines(archives: DataFrame) -> DataFrame:
@@ -114,23 +126,17 @@ def read_archives(spark: SparkSession, location: str) -> DataFrame:
                          .option("pathGlobFilter", extension_glob("zip")).load(location))
 
 
-def _csv_header(line: str) -> list[str]:
-    import csv
-    return next(csv.reader([line]))
-
-
 def parse_member(lines: DataFrame, header: list[str], flavour: str = "silver",
                  numeric: dict[str, str] | None = None) -> DataFrame:
-    """CSV lines of one member -> typed columns (S7, S8).  Columns are read
-    as strings (no inference: "2016-01" would become a timestamp), names
-    sanitised and de-duplicated (P1, P3), then listed columns cast with
-    ``try_cast`` (suppressed cells become null)."""
+    """CSV records of one member -> typed columns (S7, S8).  Columns are
+    read as strings (no inference: "2016-01" would become a timestamp),
+    names sanitised and de-duplicated (P1, P3), then listed columns cast
+    with ``try_cast`` (suppressed cells become null).  Empty records are
+    skipped; short records give nulls."""
     names = sanitized_names(header, flavour)
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    body = lines.filter(F.col("line_no") > 0).filter(F.length("line") > 0)
-    parsed = body.select("product", "pid",
-                         F.from_csv(F.col("line"), ddl, {"mode": "PERMISSIVE"}).alias("r"))
-    out = parsed.select("product", "pid", *[F.col(f"r.`{n}`").alias(n) for n in names])
+    body = lines.filter(F.col("line_no") > 0).filter(F.size("fields") > 0)
+    out = body.select("product", "pid", *[F.get(F.col("fields"), i).alias(n)
+                                          for i, n in enumerate(names)])
     for col, typ in (numeric or {"value": "double"}).items():
         if col in out.columns:
             out = out.withColumn(col, F.col(col).try_cast(typ))
@@ -144,9 +150,9 @@ def ingest(spark: SparkSession, location: str, role: str = "data",
     rows brought to the driver."""
     lines = read_archives(spark, location).filter(F.col("role") == role)
     lines = lines.checkpoint(eager=True)   # unzip once, parse per product
-    headers = (lines.filter(F.col("line_no") == 0).select("product", "line").collect())
+    headers = (lines.filter(F.col("line_no") == 0).select("product", "fields").collect())
     out = {}
     for r in headers:
         out[r["product"]] = parse_member(lines.filter(F.col("product") == r["product"]),
-                                         _csv_header(r["line"]), numeric=numeric)
+                                         list(r["fields"]), numeric=numeric)
     return out

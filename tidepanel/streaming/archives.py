@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks import write_path
-from ..sources.archives import _csv_header, archive_lines, extension_glob, parse_member
+from ..sources.archives import archive_lines, extension_glob, parse_member
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -32,10 +32,10 @@ def archive_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
 def write_batch(batch: DataFrame, silver_base: str, role: str = "data") -> list[dict]:
     """Parse one micro-batch of archive lines and write each product."""
     lines = batch.filter(F.col("role") == role)
-    headers = lines.filter(F.col("line_no") == 0).select("product", "line").collect()
+    headers = lines.filter(F.col("line_no") == 0).select("product", "fields").collect()
     manifests = []
     for r in headers:
-        df = parse_member(lines.filter(F.col("product") == r["product"]), _csv_header(r["line"]))
+        df = parse_member(lines.filter(F.col("product") == r["product"]), list(r["fields"]))
         m = write_path(df, f"{silver_base.rstrip('/')}/{r['product']}/{role}")
         m["product"] = r["product"]
         manifests.append(m)
