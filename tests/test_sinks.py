@@ -33,3 +33,16 @@ def test_run_to_gold_reads_back(spark, sf):
     assert set(m) == {"labour", "trade", "infrastructure", "prices", "controls", "panel"}
     direct = gold.gold_panel(gold.build_gold_tables(spark, sf))
     assert m["panel"]["rows"] == direct.count()
+
+
+def test_run_features_with_properties(spark, sf):
+    from tidepanel.plans.features import standin_spec
+    sinks.run_to_gold(spark, sf, "t_feat")
+    m = sinks.run_features(spark, "t_feat", "t_feat.gold_panel", standin_spec(), "2026-01-01T00:00:00")
+    f = spark.table("t_feat.features")
+    assert m["features"]["rows"] == f.count() > 0
+    assert f.select("derived_run_utc").distinct().first()[0] == "2026-01-01T00:00:00"
+    props = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES t_feat.features").collect()}
+    assert props["layer"] == "derived" and props["grain"] == "industry-year"
+    d = spark.table("t_feat.feature_dictionary")
+    assert d.count() == 25 and d.filter("n_non_null IS NULL").count() == 0

@@ -104,3 +104,37 @@ def run_to_gold(spark: SparkSession, sf_dir: str, db: str, cfg=None,
     manifests["panel"] = write_table(panel, f"{db}.gold_panel", mode,
                                      partition_cols=[cfg.period_col])
     return manifests
+
+
+def write_derived(spark: SparkSession, df: DataFrame, name: str, props: Mapping[str, str],
+                  run_ts: str | None = None, stamp_col: str = "derived_run_utc",
+                  partition_cols: Sequence[str] = ()) -> dict:
+    """A derived table as the source pipeline writes it: every row stamped
+    with the run time (K8), overwritten with its new schema (K3), then
+    described by table properties (K5)."""
+    ts = run_ts or run_timestamp()
+    m = write_table(stamp(df, ts, stamp_col), name, "overwrite", partition_cols=partition_cols,
+                    sanitize=False)
+    set_properties(spark, name, {**props, "created_utc": ts})
+    return m
+
+
+def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
+                 run_ts: str | None = None) -> dict:
+    """Panel table -> feature table and its dictionary, with properties
+    (the derived layer): reads the written panel, so nothing upstream is
+    recomputed."""
+    from .plans import features as feat
+    spec = spec or feat.reference_spec()
+    ensure_schema(spark, db)
+    ts = run_ts or run_timestamp()
+    f = feat.build_features(spark.table(panel_table), spec)
+    m1 = write_derived(spark, f, f"{db}.features", {"layer": "derived",
+                                                     "source_table": panel_table,
+                                                     "grain": f"{spec.key}-{spec.period}"}, ts)
+    written = spark.table(f"{db}.features")
+    d = feat.feature_dictionary(spark, spec, written)
+    m2 = write_derived(spark, d, f"{db}.feature_dictionary",
+                       {"layer": "derived", "describes_table": f"{db}.features"}, ts,
+                       stamp_col="created_utc")
+    return {"features": m1, "feature_dictionary": m2}
