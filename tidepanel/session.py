@@ -74,6 +74,9 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # installed on the cluster (pip or --py-files): nothing to ship
+    if spark.conf.get("spark.tidepanel.shipPackage", "true").lower() == "false":
+        return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
