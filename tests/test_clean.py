@@ -54,3 +54,12 @@ def test_strict_lag_skips_gaps(spark):
     out = df.select("p", lag("x", "k", "p").alias("pos"), lag("x", "k", "p", strict=True).alias("cal"))
     got = {r.p: (r.pos, r.cal) for r in out.collect()}
     assert got == {1: (None, None), 2: (1.0, 1.0), 4: (2.0, None)}
+
+
+def test_exact_median_heavy_duplicates(spark):
+    vals = [5.0] * 300 + [6.0] * 300 + [1.0, 9.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert exact_median(df, "x", accuracy=50, max_band=10) == pytest.approx(float(np.median(vals)))
+    vals2 = [5.0] * 300 + [6.0] * 301
+    df2 = spark.createDataFrame([(v,) for v in vals2], "x double")
+    assert exact_median(df2, "x", accuracy=50, max_band=10) == 6.0

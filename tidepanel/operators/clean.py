@@ -109,12 +109,16 @@ def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000,
         r = df.agg(*aggs).first().asDict()
         for c in big:
             st = state[c]
+            before = st["m"]
             st["below"] += r[f"{c}__b"]
             st["m"] = r[f"{c}__m"]
             st["lo"], st["hi"] = new_bounds[c]
             if st["lo"] == st["hi"]:           # middle ranks inside a run of equal values
                 result[c] = st["lo"]
                 del state[c]
+            elif st["m"] >= before:            # no progress: the band is a few heavy values
+                result[c] = _median_from_counts(df, c, in_band(c), st, max_band)
+                del state[c]
     if state:
         sel = df.select(*[F.when(in_band(c), F.col(c)).alias(c) for c in state])
         any_in = None
@@ -128,6 +132,23 @@ def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000,
     return result
 
 
+def _median_from_counts(df: DataFrame, c: str, band, st: dict, max_band: int) -> float:
+    """Middle ranks read from (value, count) pairs of the band: used when
+    the band is made of a few values repeated many times."""
+    pairs = (df.filter(band).groupBy(F.col(c).alias("v")).count()
+               .orderBy("v").limit(max_band + 1).collect())
+    if len(pairs) > max_band:
+        raise RuntimeError(f"median band of {c} did not narrow")
+    want = [st["r1"] - st["below"], st["r2"] - st["below"]]
+    got, seen = [], 0
+    for row in pairs:
+        while want and want[0] < seen + row["count"]:
+            got.append(row["v"])
+            want.pop(0)
+        seen += row["count"]
+    return (got[0] + got[1]) / 2.0
+
+
 def exact_median(df: DataFrame, col: str, accuracy: int = 10_000,
                  max_band: int = 100_000) -> float | None:
     return exact_medians(df, [col], accuracy, max_band)[col]
