@@ -83,3 +83,25 @@ def test_random_walk_differenced_and_short_series():
     assert fit_series(y[:4], None, (2, 0, 1)).status == "too_short"
     const = fit_series(np.full(30, 3.0) + 1e-9 * np.arange(30), None, (0, 0, 0))
     assert const.status == "ok"
+
+
+@pytest.mark.parametrize("order", [(1, 0, 0), (2, 0, 1), (0, 0, 2), (1, 1, 1)])
+def test_kalman_whitening_equals_dense(order, monkeypatch):
+    import tidepanel.operators.arma as A
+    rng = np.random.default_rng(12)
+    n = 120
+    x = rng.normal(size=(n, 1))
+    y = np.cumsum(rng.normal(size=n)) * 0.2 + 0.5 * x[:, 0] + rng.normal(size=n)
+    dense = A.fit_series(y, x, order)
+    fd = A.forecast(dense, y, x, rng.normal(size=(3, 1)), 3)
+    monkeypatch.setattr(A, "DENSE_MAX", 10)
+    # same parameters, Kalman path: identical likelihood and forecasts
+    z = np.c_[np.ones(n - order[1]), np.diff(x, n=order[1], axis=0) if order[1] else x]
+    yy = np.diff(y, n=order[1]) if order[1] else y
+    u = np.r_[np.arctanh(A.coef_to_pacf(dense.phi)), np.arctanh(A.coef_to_pacf(-dense.theta))]
+    assert A._profile(u, yy, z, order[0], order[2])[0] == pytest.approx(dense.loglik, rel=1e-9)
+    rng2 = np.random.default_rng(12)
+    rng2.normal(size=(n, 1)); rng2.normal(size=n); rng2.normal(size=n)
+    fk = A.forecast(dense, y, x, rng2.normal(size=(3, 1)), 3)
+    for a, b in zip(fd, fk):
+        np.testing.assert_allclose(a, b, rtol=1e-8)
