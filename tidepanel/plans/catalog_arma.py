@@ -150,7 +150,20 @@ def q_forecast_recipe_params(spark, d):
     return rounded(final_params(_v3_rows(spark, d), _v3_spec()), 6)
 
 
-@query("forecast_recipe_missing", step=8)
+def _recipe_missing_sql():
+    from .catalog_features import MONTH_CFG, MONTH_PANEL_SQL, MONTH_SPEC, features_sql
+    spec = _v3_spec()
+    lo, hi = spec.pulse_periods[0], spec.pulse_periods[-1]
+    f = features_sql(MONTH_SPEC, MONTH_PANEL_SQL, MONTH_CFG)
+    cols = {c: f"CAST({c} AS DOUBLE)" for c in spec.drivers}
+    cols[spec.pulse_name] = f"CAST(CAST(month BETWEEN {lo} AND {hi} AS INTEGER) AS DOUBLE)"
+    parts = [f"SELECT '{c}' AS col, count(CASE WHEN x IS NULL OR isnan(x) THEN 1 END) AS n_nan, "
+             f"count(CASE WHEN isinf(x) THEN 1 END) AS n_inf FROM (SELECT {e} AS x FROM f)"
+             for c, e in cols.items()]
+    return f"WITH f AS ({f})\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("forecast_recipe_missing", step=8, sql=_recipe_missing_sql())
 def q_forecast_recipe_missing(spark, d):
     """Missing / infinite counts of the recipe's raw drivers (before cleaning)."""
     from .catalog_features import MONTH_CFG, MONTH_SPEC, features_df

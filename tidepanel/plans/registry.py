@@ -1,9 +1,13 @@
 """Registry of named queries: a Spark builder and, where SQL can say the
 same thing, an independent DuckDB oracle.
 
-Checked outputs follow fixed rounding rules so two engines that add in a
-different order still agree: money sums to 2 places, money means to 4,
-everything else to 6 (see :func:`rounded`)."""
+How checked outputs agree bit for bit across the two engines: sums and
+means of cent-valued columns are exact (integer cents / decimals, then one
+conversion to double) and are not rounded; values that are IEEE-exact
+functions of exact inputs (ratios, differences, lags) are not rounded
+either; only values the engines compute by different algorithms (double
+sums of arbitrary values, regressions, logarithms, windowed moments) are
+rounded, to 6-8 places (see :func:`rounded`)."""
 
 from __future__ import annotations
 
