@@ -34,6 +34,21 @@ def numeric(df: DataFrame, col: str) -> Column:
     return c if isinstance(dt, T.DecimalType) else c.cast("double")
 
 
+def as_cents(df: DataFrame, *cols: str, scale: int = 2) -> DataFrame:
+    """Mark two-decimal (money, quantity) columns as exact decimals; every
+    operator here then sums them exactly and converts to double once, so
+    results do not depend on how rows are split over tasks."""
+    return df.withColumns({c: F.col(c).cast(f"decimal(18,{scale})") for c in cols})
+
+
+def exact_sum(col: str, scale: int = 2) -> Column:
+    return F.sum(F.col(col).cast(f"decimal(18,{scale})")).cast("double")
+
+
+def exact_mean(col: str, scale: int = 2) -> Column:
+    return F.try_divide(exact_sum(col, scale), F.count(col).cast("double"))
+
+
 def weighted(how: str, v: Column, w: Column | None) -> Column:
     """Aggregate of ``v``; with a weight column the rows are pre-aggregated
     (``v`` a sum over ``w`` source rows), so the mean is sum(v) / sum(w) -

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.names import sanitize_columns
 from ..functions.scalars import (add_period, canonical_category, filter_period_range,
                                  horizontal_sum, keyword_any, period_expr, to_double)
-from ..operators.aggregate import annualize, focal_share, pivot_measures
+from ..operators.aggregate import (annualize, as_cents, exact_mean, exact_sum as exact_total,
+                                   focal_share, pivot_measures)
 from ..operators.joins import full_outer_merge, left_attach, period_count, star_join
 from ..sources import standins
 from ..sources.tables import read_table
 from . import gold
 from .registry import query, rounded
-from .sql_gold import (G, controls_sql, infrastructure_sql, labour_sql, panel_sql, prices_sql,
-                       trade_sql)
+from .sql_gold import (G, controls_sql, exact_avg, exact_sum, focal_sql, infrastructure_sql,
+                       labour_sql, panel_sql, prices_sql, trade_sql)
 from .sql_parts import LP, OC, any_kw, industry, year
 
 CFG = gold.GoldConfig()
@@ -76,53 +77,41 @@ def q_filter_scope(spark, d):
 
 @query("annualize_sum", step=1, sql=f"""
 WITH {OC}
-SELECT {year('o_orderdate')} AS year, r_name, round(sum(o_totalprice), 2) AS value
+SELECT {year('o_orderdate')} AS year, r_name, {exact_sum("o_totalprice")} AS value
 FROM oc GROUP BY 1, 2
 """)
 def q_annualize_sum(spark, d):
     """A2: flows summed per (year, group)."""
-    return rounded(annualize(_oc_year(spark, d), ["year", "r_name"], "o_totalprice", "sum"), 2)
+    return annualize(as_cents(_oc_year(spark, d), "o_totalprice"), ["year", "r_name"],
+                     "o_totalprice", "sum")
 
 
 @query("annualize_avg", step=1, sql=f"""
 WITH {OC}
-SELECT {year('o_orderdate')} AS year, c_mktsegment, round(avg(o_totalprice), 4) AS value
+SELECT {year('o_orderdate')} AS year, c_mktsegment, {exact_avg("o_totalprice")} AS value
 FROM oc GROUP BY 1, 2
 """)
 def q_annualize_avg(spark, d):
     """A1: levels averaged per (year, group)."""
-    return rounded(annualize(_oc_year(spark, d), ["year", "c_mktsegment"], "o_totalprice", "avg"), 4)
+    return annualize(as_cents(_oc_year(spark, d), "o_totalprice"), ["year", "c_mktsegment"],
+                     "o_totalprice", "avg")
 
 
-_FOCAL_SQL = """
-SELECT year, round(f, 2) AS {fn}, round(r + f, 2) AS {tn},
-       round(f / nullif(r + f, 0), 6) AS {sn}
-FROM (SELECT {y} AS year,
-        sum(CASE WHEN r_name = 'AMERICA' THEN o_totalprice END) AS f,
-        sum(CASE WHEN r_name <> 'AMERICA' THEN o_totalprice END) AS r,
-        count(CASE WHEN r_name = 'AMERICA' THEN 1 END) AS nf,
-        count(CASE WHEN r_name <> 'AMERICA' THEN 1 END) AS nr
-      FROM oc {where} GROUP BY 1)
-WHERE nf > 0 OR nr > 0
-"""
-
-
-@query("focal_share", step=1, sql=f"WITH {OC}" + _FOCAL_SQL.format(
-    fn="focal_value", tn="total_value", sn="focal_share", y=year("o_orderdate"), where=""))
+@query("focal_share", step=1, sql=focal_sql(year("o_orderdate"), "AMERICA",
+                                            ("focal_value", "total_value", "focal_share")))
 def q_focal_share(spark, d):
     """J1 + P12: focal, total and share per year, one conditional aggregate."""
-    out = focal_share(_oc_year(spark, d), "year", "r_name", "o_totalprice", "AMERICA",
-                      focal_name="focal_value", total_name="total_value",
-                      share_name="focal_share")
-    return rounded(out, 2, focal_share=6)
+    return focal_share(as_cents(_oc_year(spark, d), "o_totalprice"), "year", "r_name",
+                       "o_totalprice", "AMERICA", focal_name="focal_value",
+                       total_name="total_value", share_name="focal_share")
 
 
 @query("full_outer_merge", step=1, sql=f"""
 WITH a AS (SELECT {year('o_orderdate')} AS year, CAST(count(*) AS DOUBLE) AS n_orders
            FROM orders WHERE year(o_orderdate) <= 1998 GROUP BY 1),
-     b AS (SELECT {year('l_shipdate')} AS year, round(avg(l_discount), 6) AS avg_discount
+     b AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
            FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1),
-     c AS (SELECT {year('o_orderdate')} AS year, round(sum(o_totalprice), 2) AS p_value
+     c AS (SELECT {year('o_orderdate')} AS year, {exact_sum("o_totalprice")} AS p_value
            FROM orders WHERE o_orderstatus = 'P' AND year(o_orderdate) BETWEEN 1996 AND 1999
            GROUP BY 1)
 SELECT coalesce(a.year, b.year, c.year) AS year, n_orders, avg_discount, p_value
@@ -138,11 +127,11 @@ def q_full_outer_merge(spark, d):
     a = filter_period_range(o, "year", None, 1998, raw="o_orderdate").groupBy("year").agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"))
     b = filter_period_range(li, "year", 1997, None, raw="l_shipdate").groupBy("year").agg(
-        F.avg("l_discount").alias("avg_discount"))
+        exact_mean("l_discount").alias("avg_discount"))
     c = filter_period_range(o.filter(F.col("o_orderstatus") == "P"), "year", 1996, 1999,
                             raw="o_orderdate").groupBy("year").agg(
-        F.sum("o_totalprice").alias("p_value"))
-    return rounded(full_outer_merge([a, b, c], "year"), 6, p_value=2)
+        exact_total("o_totalprice").alias("p_value"))
+    return full_outer_merge([a, b, c], "year")
 
 
 _TRADE_SQL = trade_sql(YG, CFG)
@@ -218,51 +207,51 @@ def q_keyword_any(spark, d):
 
 @query("optional_columns", step=2, sql=f"""
 SELECT {year('o_orderdate')} AS year,
-  round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS status_f,
-  round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS status_o,
-  round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS status_p,
+  {exact_avg("o_totalprice", "o_orderstatus = 'F'")} AS status_f,
+  {exact_avg("o_totalprice", "o_orderstatus = 'O'")} AS status_o,
+  {exact_avg("o_totalprice", "o_orderstatus = 'P'")} AS status_p,
   CAST(NULL AS DOUBLE) AS status_x
 FROM orders WHERE o_orderstatus IN ('F', 'O', 'P', 'X') GROUP BY 1
 """)
 def q_optional_columns(spark, d):
     """A listed measure absent from the data is a typed null column."""
     m = {"F": "status_f", "O": "status_o", "P": "status_p", "X": "status_x"}
-    return rounded(pivot_measures(_orders_year(spark, d), ["year"], "o_orderstatus",
-                                  "o_totalprice", m, "avg"), 4)
+    return pivot_measures(as_cents(_orders_year(spark, d), "o_totalprice"), ["year"],
+                          "o_orderstatus", "o_totalprice", m, "avg")
 
 
 @query("pivot_measures", step=2, sql=f"""
 SELECT {year('o_orderdate')} AS year, o_orderpriority,
-  round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS fulfilled,
-  round(avg(CASE WHEN o_orderstatus IN ('O', 'P') THEN o_totalprice END), 4) AS open_or_partial
+  {exact_avg("o_totalprice", "o_orderstatus = 'F'")} AS fulfilled,
+  {exact_avg("o_totalprice", "o_orderstatus IN ('O', 'P')")} AS open_or_partial
 FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1, 2
 """)
 def q_pivot_measures(spark, d):
     """Labels mapped to names before the pivot (two labels share one)."""
     m = {"F": "fulfilled", "O": "open_or_partial", "P": "open_or_partial"}
-    return rounded(pivot_measures(_orders_year(spark, d), ["year", "o_orderpriority"],
-                                  "o_orderstatus", "o_totalprice", m, "avg"), 4)
+    return pivot_measures(as_cents(_orders_year(spark, d), "o_totalprice"),
+                          ["year", "o_orderpriority"], "o_orderstatus", "o_totalprice", m, "avg")
 
 
 @query("pivot_category", step=2, sql=f"""
 WITH {OC}
 SELECT year,
-  round(avg(CASE WHEN industry = 'automobile' THEN o_totalprice END), 4) AS gdp_automobile,
-  round(avg(CASE WHEN industry = 'building' THEN o_totalprice END), 4) AS gdp_building,
-  round(avg(CASE WHEN industry = 'machinery' THEN o_totalprice END), 4) AS gdp_machinery
+  {exact_avg("o_totalprice", "industry = 'automobile'")} AS gdp_automobile,
+  {exact_avg("o_totalprice", "industry = 'building'")} AS gdp_building,
+  {exact_avg("o_totalprice", "industry = 'machinery'")} AS gdp_machinery
 FROM (SELECT {year('o_orderdate')} AS year, {industry()} AS industry, o_totalprice FROM oc)
 WHERE industry IS NOT NULL GROUP BY 1
 """)
 def q_pivot_category(spark, d):
     """A4 + A6: mean per (year, category), categories as columns."""
-    df = _oc_year(spark, d).withColumn("industry", canonical_category("c_mktsegment", RULES))
-    return rounded(pivot_measures(df, ["year"], "industry", "o_totalprice",
-                                  CFG.gdp_columns(), "avg"), 4)
+    df = as_cents(_oc_year(spark, d), "o_totalprice").withColumn(
+        "industry", canonical_category("c_mktsegment", RULES))
+    return pivot_measures(df, ["year"], "industry", "o_totalprice", CFG.gdp_columns(), "avg")
 
 
 def _inv_case(alias_prefix="inv_"):
     return ",\n  ".join(
-        f"round(sum(CASE WHEN p_type = '{t}' THEN l_extendedprice END), 2) AS {alias_prefix}{t.lower()}"
+        exact_sum("l_extendedprice", f"p_type = '{t}'") + f" AS {alias_prefix}{t.lower()}"
         for t in CFG.investment_classes)
 
 
@@ -274,9 +263,10 @@ FROM lp WHERE {any_kw('p_name', CFG.investment_keywords)} GROUP BY 1
 """)
 def q_pivot_assets(spark, d):
     """A6 with sum: flows per asset class as columns."""
-    df = _lp_year(spark, d).filter(keyword_any("p_name", CFG.investment_keywords))
-    return rounded(pivot_measures(df, ["year"], "p_type", "l_extendedprice",
-                                  CFG.investment_columns(), "sum"), 2)
+    df = as_cents(_lp_year(spark, d), "l_extendedprice").filter(
+        keyword_any("p_name", CFG.investment_keywords))
+    return pivot_measures(df, ["year"], "p_type", "l_extendedprice",
+                          CFG.investment_columns(), "sum")
 
 
 _HS_COLS = [f"inv_{t.lower()}" for t in CFG.investment_classes]
@@ -284,19 +274,20 @@ _HS_COLS = [f"inv_{t.lower()}" for t in CFG.investment_classes]
 
 @query("horizontal_sum", step=2, sql=f"""
 WITH {LP}
-SELECT year, l_returnflag, {", ".join(f"round({c}, 2) AS {c}" for c in _HS_COLS)},
-  round({" + ".join(f"coalesce({c}, 0.0)" for c in _HS_COLS)}, 2) AS total
+SELECT year, l_returnflag, {", ".join(_HS_COLS)},
+  {" + ".join(f"coalesce({c}, 0.0)" for c in _HS_COLS)} AS total
 FROM (SELECT {year('l_shipdate')} AS year, l_returnflag,
-        {", ".join(f"sum(CASE WHEN p_type = '{t}' THEN l_extendedprice END) AS inv_{t.lower()}"
+        {", ".join(exact_sum("l_extendedprice", f"p_type = '{t}'") + f" AS inv_{t.lower()}"
                    for t in CFG.investment_classes)}
       FROM lp WHERE contains(lower(p_name), 'gizmo') AND p_size < 5 GROUP BY 1, 2)
 """)
 def q_horizontal_sum(spark, d):
     """Null-as-zero row sum over sparse pivot columns."""
-    df = _lp_year(spark, d).filter(keyword_any("p_name", ["gizmo"]) & (F.col("p_size") < 5))
+    df = as_cents(_lp_year(spark, d), "l_extendedprice").filter(
+        keyword_any("p_name", ["gizmo"]) & (F.col("p_size") < 5))
     wide = pivot_measures(df, ["year", "l_returnflag"], "p_type", "l_extendedprice",
                           CFG.investment_columns(), "sum")
-    return rounded(wide.withColumn("total", horizontal_sum(_HS_COLS)), 2)
+    return wide.withColumn("total", horizontal_sum(_HS_COLS))
 
 
 _PRICE_SQL = prices_sql(YG, CFG)
@@ -318,7 +309,7 @@ def q_gold_prices(spark, d):
 
 @query("left_attach", step=2, sql=f"""
 WITH a AS (SELECT {year('o_orderdate')} AS year, count(*) AS n_orders FROM orders GROUP BY 1),
-     b AS (SELECT {year('l_shipdate')} AS year, round(avg(l_discount), 6) AS avg_discount
+     b AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
            FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1)
 SELECT a.year, n_orders, avg_discount FROM a LEFT JOIN b ON a.year = b.year
 """)
@@ -327,8 +318,8 @@ def q_left_attach(spark, d):
     a = _orders_year(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n_orders"))
     li = add_period(read_table(spark, d, "lineitem"), "l_shipdate", "year", "year")
     b = filter_period_range(li, "year", 1997, None, raw="l_shipdate").groupBy("year").agg(
-        F.avg("l_discount").alias("avg_discount"))
-    return rounded(left_attach(a, b, "year"), 6)
+        exact_mean("l_discount").alias("avg_discount"))
+    return left_attach(a, b, "year")
 
 
 _LABOUR_SQL = labour_sql(YG, CFG)
@@ -363,8 +354,8 @@ def q_gold_controls(spark, d):
 @query("panel_star_join", step=2, sql=f"""
 WITH {OC},
   f AS (SELECT {year('o_orderdate')} AS year, c_mktsegment, count(*) AS n_orders,
-          round(sum(o_totalprice), 2) AS revenue FROM oc GROUP BY 1, 2),
-  r AS (SELECT {year('l_shipdate')} AS year, round(avg(l_discount), 6) AS avg_discount
+          {exact_sum("o_totalprice")} AS revenue FROM oc GROUP BY 1, 2),
+  r AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
         FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
   s AS (SELECT {year('o_orderdate')} AS year, count(*) AS n_fulfilled FROM orders
         WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1)
@@ -376,15 +367,15 @@ def q_panel_star_join(spark, d):
     # one pass over orders: the fact table and the fulfilled-orders period
     # table both come from the (year, segment) aggregate
     f = _oc_year(spark, d).groupBy("year", "c_mktsegment").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("revenue"),
+        F.count(F.lit(1)).alias("n_orders"), exact_total("o_totalprice").alias("revenue"),
         F.count_if(F.col("o_orderstatus") == "F").alias("__n_f")).checkpoint(eager=True)
     li = add_period(read_table(spark, d, "lineitem"), "l_shipdate", "year", "year")
     r = filter_period_range(li, "year", 1995, 2001, raw="l_shipdate").groupBy("year").agg(
-        F.avg("l_discount").alias("avg_discount"))
+        exact_mean("l_discount").alias("avg_discount"))
     s = (f.filter(F.col("year").between(1995, 2001)).groupBy("year")
           .agg(F.sum("__n_f").alias("n_fulfilled")).filter(F.col("n_fulfilled") > 0))
     out = star_join(f.drop("__n_f"), [r, s], on="year", dim_bound=period_count(1995, 2001))
-    return rounded(out, 6, revenue=2)
+    return out
 
 
 PANEL_SQL = panel_sql(YG, CFG)

@@ -166,3 +166,20 @@ SELECT lab.*, tr.exports_us, tr.exports_total, tr.us_export_share,
 FROM lab LEFT JOIN tr ON lab.{p} = tr.{p} LEFT JOIN inf ON lab.{p} = inf.{p}
   LEFT JOIN pr ON lab.{p} = pr.{p} LEFT JOIN ct ON lab.{p} = ct.{p}
 """
+
+
+def focal_sql(year_expr: str, focal: str, names=("exports_us", "exports_total", "us_export_share"),
+              where: str = "TRUE") -> str:
+    fn, tn, sn = names
+    return f"""
+WITH {OC}
+SELECT year, CAST(f AS DOUBLE) AS {fn}, CAST(r + f AS DOUBLE) AS {tn},
+       CAST(f AS DOUBLE) / nullif(CAST(r + f AS DOUBLE), 0) AS {sn}
+FROM (SELECT {year_expr} AS year,
+        sum(CASE WHEN r_name = '{focal}' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS f,
+        sum(CASE WHEN r_name <> '{focal}' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS r,
+        count(CASE WHEN r_name = '{focal}' THEN 1 END) AS nf,
+        count(CASE WHEN r_name <> '{focal}' THEN 1 END) AS nr
+      FROM oc WHERE {where} GROUP BY 1)
+WHERE nf > 0 OR nr > 0
+"""
