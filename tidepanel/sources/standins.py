@@ -164,15 +164,38 @@ def orders_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
                       "o_orderpriority", cents_to_decimal("__c").alias("value"), "n")
 
 
+def _first_keyword(col: str, keywords) -> "F.Column":
+    """The first keyword the lower-cased text contains, else null: a label
+    that keeps exactly what a keyword filter needs, with at most
+    len(keywords) values whatever the text's cardinality."""
+    low = F.lower(F.col(col))
+    expr = None
+    for kw in keywords:
+        hit = low.contains(kw.lower())
+        expr = F.when(hit, F.lit(kw)) if expr is None else expr.when(hit, F.lit(kw))
+    return expr if expr is not None else F.lit(None).cast("string")
+
+
 def lineitem_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
+    """With a configuration, part names enter the cube only as the first
+    age keyword and the first investment keyword they contain (a part name
+    column has millions of values at scale; these labels have a handful),
+    so the cube is bounded by configuration x types x flags x months."""
     lp = _range_filter(lineitem_part(spark, sf_dir), "l_shipdate", cfg)
+    if cfg is not None:
+        lp = lp.withColumns({"__age_label": _first_keyword("p_name", cfg.age_keywords),
+                             "__asset_label": _first_keyword("p_name", cfg.investment_keywords)})
+        name_keys = ["__age_label", "__asset_label"]
+    else:
+        lp = lp.withColumns({"__age_label": F.col("p_name"), "__asset_label": F.col("p_name")})
+        name_keys = ["__age_label", "__asset_label"]
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    agg = lp.groupBy(*_month_keys("l_shipdate"), "p_name", "p_type", "l_returnflag").agg(
+    agg = lp.groupBy(*_month_keys("l_shipdate"), *name_keys, "p_type", "l_returnflag").agg(
         cents_sum("l_quantity").alias("__q"), F.count("l_quantity").alias("n_qty"),
         cents_sum("l_extendedprice").alias("__e"), F.count("l_extendedprice").alias("n_ext"),
         F.sum(unit).alias("unit"), F.count(unit).alias("n_unit"),
         cents_sum("l_discount").alias("__d"), F.count("l_discount").alias("n_disc"))
-    return agg.select(_month_start(), "p_name", "p_type", "l_returnflag",
+    return agg.select(_month_start(), "__age_label", "__asset_label", "p_type", "l_returnflag",
                       cents_to_decimal("__q").alias("qty"), "n_qty",
                       cents_to_decimal("__e").alias("ext"), "n_ext", "unit", "n_unit",
                       cents_to_decimal("__d").alias("disc"), "n_disc")
@@ -196,13 +219,13 @@ def output_from_cube(cube: DataFrame) -> DataFrame:
 
 
 def asset_age_from_cube(cube: DataFrame) -> DataFrame:
-    return cube.select("ref_date", F.col("p_name").alias("asset_function"),
+    return cube.select("ref_date", F.col("__age_label").alias("asset_function"),
                        F.col("l_returnflag").alias("estimate"),
                        F.col("qty").alias("value"), F.col("n_qty").alias("n"))
 
 
 def asset_investment_from_cube(cube: DataFrame) -> DataFrame:
-    return cube.select("ref_date", F.col("p_name").alias("assets"),
+    return cube.select("ref_date", F.col("__asset_label").alias("assets"),
                        F.col("p_type").alias("asset_class"),
                        F.col("ext").alias("value"), F.col("n_ext").alias("n"))
 
