@@ -73,3 +73,17 @@ def test_missing_member_raises(spark, tmp_path):
     _zip(d2 / "y_cansim.zip", {"2_MetaData.csv": META})
     with pytest.raises(Exception, match="expected 2.csv"):
         read_archives(spark, str(d2)).collect()
+
+
+def test_ingest_to_silver_with_manifest(spark, landing, tmp_path):
+    from tidepanel import sinks
+    sinks.ensure_schema(spark, "t_ingest")
+    entries = sinks.ingest_to_silver(spark, landing, str(tmp_path / "silver"), "t_ingest.manifest")
+    by = {e["product"]: e for e in entries}
+    assert by["labour"]["rows"] == 4 and by["labour"]["rows_metadata"] == 1
+    assert by["labour"]["pid"] == "14100023" and by["labour"]["source"].endswith(".json")
+    assert "value" in by["labour"]["columns"]
+    back = spark.read.parquet(str(tmp_path / "silver" / "labour" / "data"))
+    assert back.count() == 4
+    man = spark.table("t_ingest.manifest").filter("product = 'labour'").first()
+    assert man.rows == 4 and man.pid == "14100023"

@@ -138,3 +138,31 @@ def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
                        {"layer": "derived", "describes_table": f"{db}.features"}, ts,
                        stamp_col="created_utc")
     return {"features": m1, "feature_dictionary": m2}
+
+
+def ingest_to_silver(spark: SparkSession, location: str, silver_base: str,
+                     manifest_table: str | None = None, mode: str = "overwrite") -> list[dict]:
+    """Every archive in ``location`` -> ``{silver_base}/{product}/data`` and
+    ``/metadata`` (K1), with one manifest entry per product: pid, paths,
+    row counts observed while writing and the data columns (K7); appended
+    to ``manifest_table`` when given.  The archives are unzipped once per
+    member role, on executors."""
+    from .sources.archives import ingest, pair_metadata
+    ts = run_timestamp()
+    data = ingest(spark, location, role="data")
+    meta = ingest(spark, location, role="metadata", numeric={})
+    sidecars = {r["product"]: r["metadata_json"] for r in pair_metadata(spark, location).collect()}
+    base = silver_base.rstrip("/")
+    entries = []
+    for product, df in sorted(data.items()):
+        d = write_path(df.drop("product"), f"{base}/{product}/data", mode)
+        pid = df.select("pid").first()
+        m = write_path(meta[product].drop("product"), f"{base}/{product}/metadata", mode) \
+            if product in meta else {"rows": 0}
+        entries.append({"product": product, "source": sidecars.get(product),
+                        "pid": pid[0] if pid else None, "table": d["path"],
+                        "rows": d["rows"], "rows_metadata": m["rows"],
+                        "columns": [c for c in d["columns"] if c != "pid"], "run_utc": ts})
+    if manifest_table:
+        append_manifest(spark, manifest_table, entries)
+    return entries
