@@ -43,3 +43,13 @@ def test_recipe_scenarios(spark):
         # the tariff step is already 1 in the test years: same forecast
         assert sc[("a", "high_tariffs", y)] == pytest.approx(sc[("a", "baseline", y)], rel=1e-12)
         assert sc[("a", "high_infrastructure", y)] != pytest.approx(sc[("a", "baseline", y)])
+
+
+def test_scenario_fill_median_per_series_and_scenario(spark):
+    from tidepanel.plans.models import scenario_fill
+    df = spark.createDataFrame(
+        [("a", 1, "s", 1.0), ("a", 2, "s", float("inf")), ("a", 3, "s", 3.0),
+         ("a", 1, "t", 10.0), ("a", 2, "t", None), ("b", 1, "s", None)],
+        "k string, p int, scenario string, x double")
+    got = {(r.k, r.p, r.scenario): r.x for r in scenario_fill(df, "k", ["x"]).collect()}
+    assert got[("a", 2, "s")] == 2.0 and got[("a", 2, "t")] == 10.0 and got[("b", 1, "s")] is None

@@ -21,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pulse_dummy
+from ..functions.scalars import finite_or_null, pulse_dummy
 from ..operators.arma_jobs import arimax_backtest, fit_params, scenario_forecasts
 from ..operators.clean import assert_finite, clean_drivers, missing_report
 from ..operators.folds import expand_origins, standardize_by_fold
@@ -78,6 +78,16 @@ def driver_report(features: DataFrame, spec: ForecastSpec) -> DataFrame:
     return missing_report(df, spec.exog)
 
 
+def scenario_fill(fut: DataFrame, key: str, cols: Sequence[str],
+                  scenario_col: str = "scenario") -> DataFrame:
+    """Edited drivers: +/-inf -> null, then the median of the same series'
+    rows under the same scenario (A9).  A window per (series, scenario)
+    holds at most the test periods."""
+    w = Window.partitionBy(key, scenario_col)
+    out = fut.withColumns({c: finite_or_null(c) for c in cols})
+    return out.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in cols})
+
+
 def backtest(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
     k, p = spec.key, spec.period
     ex = expand_origins(rows.withColumn("__p1", F.col(p) - 1), "__p1", spec.origins)
@@ -103,7 +113,7 @@ def scenarios(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
     k, p = spec.key, spec.period
     train = rows.filter(F.col(p) <= spec.train_end)
     test = rows.filter(F.col(p).isin(list(spec.test_periods))).select(k, p, *spec.exog)
-    fut = apply_scenarios(test, spec.scenarios)
+    fut = scenario_fill(apply_scenarios(test, spec.scenarios), k, spec.exog)
     both = (train.select(k, p, spec.y, *spec.exog, F.lit(None).cast("string").alias("scenario"),
                          F.lit(True).alias("is_train"))
             .unionByName(fut.select(k, p, F.lit(None).cast("double").alias(spec.y), *spec.exog,
