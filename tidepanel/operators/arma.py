@@ -48,6 +48,24 @@ def coef_to_pacf(a: np.ndarray) -> np.ndarray:
     return r
 
 
+def sample_pacf(x: np.ndarray, nlags: int) -> np.ndarray:
+    """Sample partial autocorrelations 1..nlags (Durbin-Levinson on the
+    sample autocorrelations)."""
+    x = np.asarray(x, float) - np.mean(x)
+    n = len(x)
+    denom = float(x @ x) or 1.0
+    rho = np.array([float(x[:n - k] @ x[k:]) / denom for k in range(nlags + 1)])
+    out = np.zeros(nlags)
+    a = np.zeros(0)
+    for k in range(1, nlags + 1):
+        num = rho[k] - (a @ rho[1:k][::-1] if k > 1 else 0.0)
+        den = 1.0 - (a @ rho[1:k] if k > 1 else 0.0)
+        rk = num / den if den else 0.0
+        a = np.r_[a - rk * a[::-1], rk]
+        out[k - 1] = rk
+    return out
+
+
 def arma_acovf(phi: np.ndarray, theta: np.ndarray, nlags: int) -> np.ndarray:
     """Autocovariances 0..nlags of a unit-variance-innovation ARMA."""
     p, q = len(phi), len(theta)
@@ -251,7 +269,18 @@ def fit_series(y: np.ndarray, x: np.ndarray | None, order=(1, 0, 0),
         out = _profile(u, y, z, p, q)
         return 1e300 if out is None else -out[0]
 
-    u, _, conv = nelder_mead(nll, np.zeros(p + q))
+    # two starts: white noise, and the sample partial autocorrelations of
+    # the OLS residuals (a Yule-Walker start for the AR part); keep the best
+    starts = [np.zeros(p + q)]
+    if p:
+        resid = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+        starts.append(np.r_[np.arctanh(np.clip(sample_pacf(resid, p), -0.95, 0.95)), np.zeros(q)])
+    best = None
+    for s0 in starts:
+        u, val, conv = nelder_mead(nll, s0)
+        if best is None or val < best[1]:
+            best = (u, val, conv)
+    u, _, conv = best
     ll, phi, theta, gam, s2 = _profile(u, y, z, p, q)
     return ArmaFit(tuple(order), n, phi, theta, gam, s2, ll, conv, names)
 
