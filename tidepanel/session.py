@@ -95,6 +95,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Everything a query needs from the session it is given."""
+    """Everything a query needs from the session it is given.  Sessions
+    without a classic SparkContext (Spark Connect) manage both on the
+    server side; nothing is set there."""
+    try:
+        spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return
     ensure_checkpoint_dir(spark)
     ship_package(spark)
