@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+    BENCH_EVENTLOG_DIR=$(mktemp -d /tmp/run-XXXXXX) python bench.py   # + stage/task times
 
 Each query runs to completion through a ``noop`` write (the whole plan
 executes, nothing is collected).  A warm-up pass at sf0.001 first takes
@@ -33,7 +34,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
-                          app="tidepanel-bench")
+                          app="tidepanel-bench",
+                          event_log_dir=os.environ.get("BENCH_EVENTLOG_DIR"))
     qs = all_queries()
     for n in names:
         run(qs[n].build(spark, WARM_DIR))

@@ -26,8 +26,10 @@ _SQL_DEFAULTS = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "tidepanel") -> SparkSession:
-    """A local session for tests and the bench (never used on a cluster)."""
+                  app: str = "tidepanel", event_log_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the bench (never used on a cluster).
+    ``event_log_dir`` turns on Spark's event log there (stage and task
+    times without the web UI)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -37,6 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     for k, v in _SQL_DEFAULTS.items():
         builder = builder.config(k, v)
+    if event_log_dir:
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log_dir))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
