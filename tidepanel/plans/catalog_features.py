@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import growth, log1p, pulse_dummy, safe_div, step_dummy
 from ..operators.windows import first_difference, lag
+from ..operators.joins import broadcast_bounded
+from ..sources.standins import NATION_ROWS
 from ..sources.tables import read_table
 from ..functions.scalars import add_period
 from . import features as feat
@@ -117,7 +119,8 @@ def _sparse_series(spark, d):
     one are missing rows, so the series has real calendar gaps."""
     o = read_table(spark, d, "orders").filter(F.col("o_orderstatus") == "P")
     c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    n = F.broadcast(read_table(spark, d, "nation").select("n_nationkey", "n_name"))
+    n = broadcast_bounded(read_table(spark, d, "nation").select("n_nationkey", "n_name"),
+                          NATION_ROWS)
     oc = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
     oc = add_period(oc, "o_orderdate", "month", "p")
     return oc.groupBy(F.concat_ws("|", "n_name", "c_mktsegment").alias("k"), "p").agg(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import growth, log1p, safe_div, step_dummy
+from ..operators.joins import broadcast_bounded
 from ..operators.windows import lag
 
 
@@ -152,5 +153,5 @@ def feature_dictionary(spark: SparkSession, spec: FeatureSpec,
     counts = features.agg(*[F.count(F.col(n)).alias(n) for n, *_ in rows])
     stack = ", ".join(f"'{n}', `{n}`" for n, *_ in rows)
     long = counts.selectExpr(f"stack({len(rows)}, {stack}) as (feature_name, n_non_null)")
-    # the dictionary has one row per feature: a bounded side
-    return d.join(F.broadcast(long), "feature_name", "left")
+    # one row per documented feature: a side bounded by the spec
+    return d.join(broadcast_bounded(long, len(rows)), "feature_name", "left")
