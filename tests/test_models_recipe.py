@@ -53,3 +53,13 @@ def test_scenario_fill_median_per_series_and_scenario(spark):
         "k string, p int, scenario string, x double")
     got = {(r.k, r.p, r.scenario): r.x for r in scenario_fill(df, "k", ["x"]).collect()}
     assert got[("a", 2, "s")] == 2.0 and got[("a", 2, "t")] == 10.0 and got[("b", 1, "s")] is None
+
+
+def test_holdout_picks_order_and_scores(spark):
+    from tidepanel.plans.models import holdout
+    rows = prepared(_features(spark), SPEC)
+    out = {r.industry: r for r in holdout(rows, SPEC, [(0, 0, 0), (1, 0, 0)]).collect()}
+    assert set(out) == {"a", "b"}
+    for r in out.values():
+        assert r.ord in ("(0, 0, 0)", "(1, 0, 0)") and r.n_forecasts == 2
+        assert r.rmse >= r.mae >= 0

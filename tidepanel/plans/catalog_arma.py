@@ -169,3 +169,19 @@ def q_forecast_recipe_missing(spark, d):
     from .catalog_features import MONTH_CFG, MONTH_SPEC, features_df
     from .models import driver_report
     return driver_report(features_df(spark, d, MONTH_CFG, MONTH_SPEC), _v3_spec())
+
+
+@query("forecast_holdout_grid", step=8)
+def q_forecast_holdout_grid(spark, d):
+    """First design on the monthly feature table: seven candidate orders
+    (no differencing), best AIC per industry on the training window, RMSE
+    and MAE over the test months."""
+    from .models import holdout
+    return rounded(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_V1), 6)
+
+
+@query("forecast_holdout_differenced", step=8)
+def q_forecast_holdout_differenced(spark, d):
+    """Second design: the differenced grid (1,1,0), (0,1,1), (1,1,1)."""
+    from .models import holdout
+    return rounded(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_V2), 6)

@@ -123,3 +123,28 @@ def scenarios(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
     tr = both.filter("is_train").drop("scenario")
     fu = both.filter(~F.col("is_train")).select(k, p, *spec.exog, "scenario")
     return scenario_forecasts(tr, fu, [k], p, spec.y, spec.exog, spec.order)
+
+
+def holdout(rows: DataFrame, spec: ForecastSpec, orders: Sequence[tuple[int, int, int]],
+            standardize: bool = False) -> DataFrame:
+    """Hold-out evaluation with a per-entity order choice (M7/M8, M12,
+    A10, A13): every candidate order is fitted on the training window (one
+    group per entity and order), the smallest AIC wins, the winner
+    forecasts the test window from the known drivers, and the errors give
+    RMSE and MAE per entity, next to the chosen order, AIC and BIC."""
+    from ..operators.aggregate import rmse_mae
+    from ..operators.arma_jobs import fit_orders, select_order
+    k, p = spec.key, spec.period
+    data = rows
+    if standardize:
+        data = standardize_by_fold(rows.withColumn("__f", F.lit(0))
+                                   .withColumn("is_train", F.col(p) <= spec.train_end),
+                                   k, "__f", spec.exog, suffix="")
+    train = data.filter(F.col(p) <= spec.train_end)
+    test = data.filter(F.col(p).isin(list(spec.test_periods)))
+    best = select_order(fit_orders(train, [k], p, spec.y, spec.exog, orders), [k])
+    fc = scenario_forecasts(train, test.select(k, p, *spec.exog, F.lit("test").alias("scenario")),
+                            [k], p, spec.y, spec.exog, orders=best)
+    err = (fc.join(test.select(k, p, F.col(spec.y).alias("actual")), [k, p])
+             .withColumn("error", F.col("actual") - F.col("predicted")))
+    return rmse_mae(err, [k]).join(best.select(k, "ord", "aic", "bic"), k)
