@@ -157,3 +157,21 @@ def q_fe_within_coefficients(spark, d):
     res, _ = fe_within_ols(s, "y", ["x1", "n_f"], "k", "p",
                            period_bound=period_count(FIRST_MONTH, month_index(2001, 8)))
     return res.coefficients(spark)
+
+
+@query("fe_within_features_monthly", step=7)
+def q_fe_within_features_monthly(spark, d):
+    """M1-M3 on the monthly feature table: industry and month effects
+    absorbed by the within transform (78 month levels), HC1 errors.  The
+    regressors that vary by month only are absorbed with the month effects
+    and come back unidentified, as in the dummy regression."""
+    from ..operators.within import fe_within_ols
+    from .catalog_features import MONTH_CFG, MONTH_SPEC, features_df
+    e1 = MONTH_SPEC.events[0][0]
+    xs = ["unemployment_rate_lag1", f"{e1}_x_us_share", "infra_invest_log", "inflation_proxy",
+          "boc_policy_rate_avg"]
+    rows = materialize(features_df(spark, d, MONTH_CFG, MONTH_SPEC)
+                       .select("industry", "month", FE_Y, *xs).dropna())
+    res, _ = fe_within_ols(rows, FE_Y, xs, "industry", "month", cov_type="HC1",
+                           period_bound=MONTH_CFG.period_bound)
+    return res.coefficients(spark)
