@@ -110,3 +110,23 @@ def order_grid(keys_df: DataFrame, orders: Sequence[tuple[int, int, int]]) -> Da
                              F.lit(d).alias("diff"), F.lit(q).alias("ma"))
                     for i, (p, d, q) in enumerate(orders)])
     return keys_df.select("*", F.inline(arr))
+
+
+def fold_status(df: DataFrame, key, period: str, origins: Sequence[int],
+                min_train: int) -> DataFrame:
+    """One row per (entity, origin): training rows up to the origin and why
+    a fold would not run (q10): 'missing_period' when te or te + 1 is
+    absent (F11), 'too_short' with fewer than ``min_train`` training rows
+    (F10), else 'ok'.  Every row emits every origin (a fixed multiplier),
+    then one grouped aggregate."""
+    keys = [key] if isinstance(key, str) else list(key)
+    arr = F.array(*[F.lit(int(t)) for t in sorted(origins)])
+    p = F.col(period)
+    ex = df.select(*keys, period, F.explode(arr).alias("te"))
+    agg = ex.groupBy(*keys, "te").agg(
+        F.count_if(p <= F.col("te")).alias("n_train"),
+        F.count_if(p == F.col("te")).alias("__has_te"),
+        F.count_if(p == F.col("te") + 1).alias("__has_next"))
+    status = (F.when((F.col("__has_te") == 0) | (F.col("__has_next") == 0), "missing_period")
+               .when(F.col("n_train") < min_train, "too_short").otherwise("ok"))
+    return agg.select(*keys, "te", "n_train", status.alias("status"))

@@ -261,3 +261,22 @@ def q_rolling_backtest(spark, d):
     """Rolling-origin one-step backtest, origins 2000-03/06/09/12."""
     out = rolling_backtest(segment_month(spark, d), "k", "p", "y", ORIGINS, min_train=6)
     return rounded(out, 6, actual=8)
+
+
+@query("fold_status", step=5, sql=f"""
+WITH {NATION_SEGMENT_MONTH_SQL},
+  o AS (SELECT * FROM (VALUES {ORIGINS_SQL}) AS t(te)),
+  a AS (SELECT sm.k, o.te, count(CASE WHEN sm.p <= o.te THEN 1 END) AS n_train,
+          count(CASE WHEN sm.p = o.te THEN 1 END) AS has_te,
+          count(CASE WHEN sm.p = o.te + 1 THEN 1 END) AS has_next
+        FROM sm JOIN o ON TRUE GROUP BY sm.k, o.te)
+SELECT k, te, n_train,
+  CASE WHEN has_te = 0 OR has_next = 0 THEN 'missing_period'
+       WHEN n_train < 6 THEN 'too_short' ELSE 'ok' END AS status
+FROM a
+""")
+def q_fold_status(spark, d):
+    """q10/F10/F11: why each (series, origin) fold would or would not run,
+    over the 125 nation x segment series (sparse: months go missing)."""
+    from ..operators.folds import fold_status
+    return fold_status(nation_segment_month(spark, d), "k", "p", ORIGINS, 6)
