@@ -153,8 +153,8 @@ def focal_split_join(df: DataFrame, period_col: str, partner_col: str, value_col
     """The join form of :func:`focal_share` (J1 as written in the source):
     focal sums full-outer-joined with the rest on period.  Kept as a second
     operator for callers that need both sides as separate tables."""
-    v = F.col(value_col).cast("double")
-    per = df.groupBy(period_col, partner_col).agg(F.sum(v).alias("value"))
+    v = numeric(df, value_col)
+    per = df.groupBy(period_col, partner_col).agg(F.sum(v).cast("double").alias("value"))
     focal_df = per.filter(F.col(partner_col) == focal).select(
         period_col, F.col("value").alias("focal_value"))
     rest = per.filter(F.col(partner_col) != focal)
