@@ -105,3 +105,10 @@ def test_kalman_whitening_equals_dense(order, monkeypatch):
     fk = A.forecast(dense, y, x, rng2.normal(size=(3, 1)), 3)
     for a, b in zip(fd, fk):
         np.testing.assert_allclose(a, b, rtol=1e-8)
+
+
+def test_exact_fit_is_flagged():
+    x = np.arange(20, dtype=float)[:, None]
+    f = fit_series(3.0 + 2.0 * x[:, 0], x, (0, 0, 0))
+    assert f.status == "perfect_fit"
+    assert f.gamma == pytest.approx([3.0, 2.0])

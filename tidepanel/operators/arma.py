@@ -171,6 +171,7 @@ class ArmaFit:
 
 
 DENSE_MAX = 250   # longer series are whitened by the Kalman filter
+PERFECT_FIT = 1e-12   # residual variance below this share of var(y): exact fit
 
 
 def _state_space(phi: np.ndarray, theta: np.ndarray):
@@ -282,7 +283,10 @@ def fit_series(y: np.ndarray, x: np.ndarray | None, order=(1, 0, 0),
             best = (u, val, conv)
     u, _, conv = best
     ll, phi, theta, gam, s2 = _profile(u, y, z, p, q)
-    return ArmaFit(tuple(order), n, phi, theta, gam, s2, ll, conv, names)
+    status = "ok"
+    if s2 <= PERFECT_FIT * max(float(np.var(y)), 1e-300):
+        status = "perfect_fit"       # the drivers explain y exactly: no usable likelihood
+    return ArmaFit(tuple(order), n, phi, theta, gam, s2, ll, conv, names, status)
 
 
 def forecast(fit: ArmaFit, y: np.ndarray, x: np.ndarray | None, x_future: np.ndarray | None,

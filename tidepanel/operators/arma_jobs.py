@@ -61,11 +61,13 @@ def fit_orders(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Se
         f = arma.fit_series(pdf[y].to_numpy(float), xs, (p, d, q), exog)
         row = {k: pdf[k].iloc[0] for k in keys}
         row.update(ar=p, diff=d, ma=q, pos=int(pdf["pos"].iloc[0]), ord=_order_str(p, d, q),
-                   status=f.status, n_obs=f.n_obs, loglik=f.loglik,
+                   status=f.status, n_obs=f.n_obs,
+                   loglik=f.loglik if f.status == "ok" else None,
                    aic=f.aic if f.status == "ok" else None,
                    bic=f.bic if f.status == "ok" else None,
-                   sigma2=f.sigma2, intercept=f.intercept if f.status == "ok" else None,
-                   phi_1=float(f.phi[0]) if p and f.status == "ok" else None,
+                   sigma2=f.sigma2,
+                   intercept=f.intercept if f.status in ("ok", "perfect_fit") else None,
+                   phi_1=float(f.phi[0]) if p and f.status in ("ok", "perfect_fit") else None,
                    converged=bool(f.converged))
         return pd.DataFrame([row])
 

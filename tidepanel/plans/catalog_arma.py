@@ -18,7 +18,7 @@ from ..operators.scenario import apply_scenarios
 from .catalog_models import ORDERS_V1, ORDERS_V2, ORIGINS, SCENARIOS, TEST, TRAIN_END
 from ..operators.aggregate import rmse_mae
 from .registry import materialize, query, rounded
-from .series import month_index, nation_segment_month, segment_month
+from .series import NATION_SEGMENT_MONTH_SQL, month_index, nation_segment_month, segment_month
 
 EXOG = ["ev_2000", "x1"]
 
@@ -185,3 +185,36 @@ def q_forecast_holdout_differenced(spark, d):
     """Second design: the differenced grid (1,1,0), (0,1,1), (1,1,1)."""
     from .models import holdout
     return rounded(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_V2), 6)
+
+
+@query("arma000_fit", step=8, sql=f"""
+WITH {NATION_SEGMENT_MONTH_SQL},
+  f AS (SELECT k, CAST(regr_count(y, x1) AS INTEGER) AS n_obs,
+          regr_intercept(y, x1) AS intercept,
+          (regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1))
+            / regr_count(y, x1) AS sigma2,
+          regr_syy(y, x1) / regr_count(y, x1) AS var_y
+        FROM sm GROUP BY k),
+  l AS (SELECT *, CASE WHEN sigma2 > 1e-12 * var_y
+                       THEN -0.5 * n_obs * (ln(2 * pi()) + ln(sigma2) + 1) END AS loglik
+        FROM f)
+SELECT k, n_obs, round(intercept, 4) + 0.0 AS intercept, round(sigma2, 5) + 0.0 AS sigma2,
+  round(loglik, 3) AS loglik, round(-2 * loglik + 6, 3) AS aic,
+  round(-2 * loglik + ln(n_obs) * 3, 3) AS bic
+FROM l
+""")
+def q_arma000_fit(spark, d):
+    """M6/M9 checked against SQL: the per-series kernel with order (0,0,0)
+    and one driver is OLS with the Gaussian MLE variance, so its intercept,
+    variance, log likelihood, AIC and BIC equal the regr_* aggregates (an
+    exact fit - one order a month makes y proportional to x1 - has no
+    likelihood, AIC or BIC on either side).  The
+    two compute the residual variance by different algorithms (least squares
+    vs Syy - Sxy^2/Sxx; they differ by up to ~1e-9 relative), so values are
+    compared at 3-5 significant places."""
+    s = nation_segment_month(spark, d)
+    fits = fit_orders(s, ["k"], "p", "y", ["x1"], [(0, 0, 0)])
+    out = rounded(fits.select("k", "n_obs", "intercept", "sigma2", "loglik", "aic", "bic"), 3,
+                  intercept=4, sigma2=5)
+    # an exact fit's intercept and variance round to zero; one sign for it
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("intercept", "sigma2")})
