@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_fm
+from . import bpe, packing, quality_fm, rlz, suffix_family
 from .common import table
 from .content_sort import content_sort_dedup
 from .decontaminate import decontaminate
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_rlz_substring_dedup")
+def op1(spark, sf_dir):
+    return rlz.rlz_digest(rlz.rlz_dedup(table(spark, sf_dir, "documents")))
+
+
 @query("op2_bpe_roundtrip")
 def op2(spark, sf_dir):
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
@@ -67,3 +72,9 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"),
                                             bpe.default_vocabulary("byte_bpe_50k.tiktoken")))
+
+
+@query("op10_suffix_family_dedup")
+def op10(spark, sf_dir):
+    return suffix_family.suffix_digest(
+        suffix_family.suffix_dedup(table(spark, sf_dir, "documents")))
