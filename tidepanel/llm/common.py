@@ -25,6 +25,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Only the columns an operator works on, under fixed names (``doc_id``
     long, ``text`` string; a null text counts as empty).  Other columns of
     the input are dropped, so their names cannot clash."""
+    prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
                        *[c.alias(k) for k, c in (extra or {}).items()])

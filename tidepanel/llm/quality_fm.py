@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .common import id_text, word_hashes, word_spans
 
 BUCKETS = 1 << 15
@@ -244,6 +245,7 @@ def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars"
           threshold: float = 0.3, carry: list[str] = ()) -> DataFrame:
     """``doc_id, score, predicted`` for every document, plus the columns of
     ``carry`` unchanged."""
+    prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_fm, rlz, suffix_family
+from . import bagminhash, bpe, packing, quality_fm, rlz, suffix_family
 from .common import table
 from .content_sort import content_sort_dedup
 from .decontaminate import decontaminate
@@ -37,6 +37,12 @@ def op2(spark, sf_dir):
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+@query("op3_bagminhash_near_dedup")
+def op3(spark, sf_dir):
+    return (bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+            .withColumn("kept", F.col("doc_id") == F.col("class_id")))
+
+
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
