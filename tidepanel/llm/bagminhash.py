@@ -361,9 +361,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id names their class."""
-    named = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi")
+    """The documents whose id names their class (and those without an id),
+    with all their columns."""
+    named = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__named")).distinct()
+    return (docs.join(named, F.col("doc_id") == F.col("__named"), "left_semi")
+            .unionByName(docs.filter(F.col("doc_id").isNull())))
 
 
 def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD,

@@ -255,8 +255,9 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Round trip of every document, as digests."""
+def bpe_digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """Round trip of every document, as digests (and the ids themselves)."""
     both = bpe_decode(bpe_encode(docs, vocabulary), vocabulary)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    return both.select("doc_id", "n_tokens", *(["ids"] if with_ids else []),
+                       F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -25,20 +25,17 @@ from .common import id_text
 HEAD_CHARS = 48
 
 
-def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       keep: str = "max", normalise=None) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept,
-    text_sha256``.  ``keep``: which id of a group of equal texts stays
-    (``"max"`` or ``"min"``).  ``normalise``: a Column -> Column function
-    applied to the text first."""
+def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise,
+          carry: list[str] = ()) -> DataFrame:
+    """The sorted rows with their place in their run of equal texts."""
     if keep not in ("max", "min"):
         raise ValueError("keep must be 'max' or 'min'")
-    spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
+    rows = id_text(docs, id_col, text_col, {f"__carry_{c}": F.col(f"`{c}`") for c in carry})
+    carried = [f"__carry_{c}" for c in carry]
     if normalise is not None:
         rows = rows.withColumn("text", normalise(F.col("text")))
     rows = rows.withColumn("head", F.substring("text", 1, HEAD_CHARS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     heads = rows.groupBy(F.xxhash64("head").alias("head_key")).agg(F.count(F.lit(1)).alias("n"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
@@ -48,25 +45,52 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      .cast("int").alias("salts")))
     salted = (rows.withColumn("head_key", F.xxhash64("head"))
               .join(F.broadcast(heavy), "head_key", "left")
-              .withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(
+              .withColumn("salt", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(
                   F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int")))
-              .select("doc_id", "text", "head", "salt"))
+              .select("doc_id", "text", "head", "salt", *carried))
     ranged = salted.repartitionByRange("head", "salt")
 
     order = F.desc_nulls_last("doc_id") if keep == "max" else F.asc_nulls_last("doc_id")
     # head and salt are the range keys, so the sorted runs need no second shuffle
     run = Window.partitionBy("head", "salt", "text").orderBy(order)
-    runs = ranged.select(
-        "doc_id",
+    return ranged.select(
+        "doc_id", "salt",
         F.sha2("text", 256).alias("text_sha256"),
         F.first("doc_id").over(run).alias("run_keep"),
         F.row_number().over(run).alias("nth"),
-        F.lead(F.lit(1)).over(run).isNull().alias("last"))
+        F.lead(F.lit(1)).over(run).isNull().alias("last"), *carried)
+
+
+def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       keep: str = "max", normalise=None) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept,
+    text_sha256``.  ``keep``: which id of a group of equal texts stays
+    (``"max"`` or ``"min"``).  ``normalise``: a Column -> Column function
+    applied to the text first."""
+    runs = _runs(docs, id_col, text_col, keep, normalise)
     best = F.max("run_keep") if keep == "max" else F.min("run_keep")
-    groups = (runs.filter("last").groupBy("text_sha256")
+    ends = runs.filter("last")
+    groups = (ends.groupBy("text_sha256")
               .agg(best.alias("keep_id"), F.sum("nth").cast("long").alias("group_size")))
-    return (runs.join(groups, "text_sha256")
+    # one row per run, so the rows of a hot text meet it salt by salt
+    of_run = (ends.select("text_sha256", "salt").join(groups, "text_sha256"))
+    return (runs.join(of_run, ["text_sha256", "salt"])
             .select("doc_id", "keep_id", "group_size",
                     ((F.col("nth") == 1) & F.col("run_keep").eqNullSafe(F.col("keep_id")))
                     .alias("kept"),
                     "text_sha256"))
+
+
+def content_sort_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      keep: str = "max", normalise=None) -> DataFrame:
+    """The rows that stay, with all their columns: heads of runs; only the
+    heads of salted runs still have to be compared with each other."""
+    heads = _runs(docs, id_col, text_col, keep, normalise, docs.columns).filter("nth = 1")
+    best = F.max("doc_id") if keep == "max" else F.min("doc_id")
+    salted = heads.filter("salt >= 0")
+    winners = (salted.groupBy("text_sha256").agg(best.alias("keep_id"))
+               .withColumnRenamed("text_sha256", "key"))
+    cols = [F.col(f"__carry_{c}").alias(c) for c in docs.columns]
+    won = salted.join(winners, (F.col("text_sha256") == F.col("key"))
+                      & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return heads.filter("salt < 0").select(*cols).unionByName(won.select(*cols))

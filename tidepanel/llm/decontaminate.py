@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, id_text, work_table
+from .common import id_text, work_table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
+SLICE = 256
 
 # Bytes that are not part of a word become spaces; A-Z become a-z.
 _FOLD = bytes(0x20 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F
@@ -94,42 +95,49 @@ def _count_body(vocabulary):
     return body
 
 
-def _probe_body(index, last: bool):
-    def body(cols):
-        ids, texts, hits, found = cols
-        out = []
-        for text, hit, have in zip(texts, hits, found):
+def _probe_body(index, last: bool, carried: list[str]):
+    def body(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                yield one(batch.slice(lo, SLICE))
+
+    def one(b):
+        col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+        sizes, hits, found = [], [], []
+        for text, hit, have in zip(*[col[c].to_pylist() for c in ("text", "hit", "items")]):
             words = words_of(text)
             flags = bytearray(hit) if hit else bytearray(len(words))
             items = set(have)
             probe(words, index.value, flags, items)
-            out.append((len(words), flags.count(1), bytes(flags), sorted(items)))
-        arrays = [pa.array(ids, pa.int64())]
-        names = ["doc_id"]
-        if not last:
-            arrays += [pa.array(texts, pa.string()),
-                       pa.array([o[2] for o in out], pa.binary()),
-                       pa.array([o[3] for o in out], pa.list_(pa.string()))]
-            names += ["text", "hit", "items"]
+            sizes.append(len(words))
+            hits.append(flags)
+            found.append(sorted(items))
+        items = pa.array(found, pa.list_(pa.string()))
+        if last:
+            out = {"doc_id": col["doc_id"], "n_words": pa.array(sizes, pa.int64()),
+                   "n_hit": pa.array([h.count(1) for h in hits], pa.int64()), "items": items}
         else:
-            arrays += [pa.array([o[0] for o in out], pa.int64()),
-                       pa.array([o[1] for o in out], pa.int64()),
-                       pa.array([o[3] for o in out], pa.list_(pa.string()))]
-            names += ["n_words", "n_hit", "items"]
-        return pa.RecordBatch.from_arrays(arrays, names)
-    return by_slices(256, body, ["doc_id", "text", "hit", "items"])
+            out = {"doc_id": col["doc_id"], "text": col["text"],
+                   "hit": pa.array([bytes(h) for h in hits], pa.binary()), "items": items}
+        out |= {c: col[c] for c in carried}
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+    return body
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   min_share: tuple[int, int] = (1, 20), id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+                  carry: list[str] = ()) -> DataFrame:
     """``doc_id, n_words, n_hit, items array<string>, contaminated``: a
     document is contaminated when it has hits and they are at least
-    ``min_share`` (numerator, denominator) of its words."""
+    ``min_share`` (numerator, denominator) of its words.  The columns of
+    ``carry`` come along as ``__carry_<name>``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    rows = id_text(docs, id_col, text_col)
+    rows = id_text(docs, id_col, text_col, {f"__carry_{c}": F.col(f"`{c}`") for c in carry})
+    carried = [f for f in rows.schema.fields if f.name.startswith("__carry_")]
+    tail = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
     bench = benchmark.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
         F.col(f"`{item_text_col}`").cast("string").alias("text"))
@@ -147,9 +155,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         index = sc.broadcast(build_index(items, counts, window))
         last = b == blocks - 1
         state = state.mapInArrow(
-            _probe_body(index, last),
-            "doc_id long, n_words long, n_hit long, items array<string>" if last else
-            "doc_id long, text string, hit binary, items array<string>")
+            _probe_body(index, last, [f.name for f in carried]),
+            ("doc_id long, n_words long, n_hit long, items array<string>" if last else
+             "doc_id long, text string, hit binary, items array<string>") + tail)
         if not last and b % 4 == 3:
             state = work_table(state, "decontaminate")
     num, den = min_share
@@ -157,6 +165,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                             & (F.col("n_hit") * den >= F.col("n_words") * num))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    out = decontaminate(docs, benchmark, carry=docs.columns, **options)
+    return out.filter(~F.col("contaminated")).select(
+        *[F.col(f"__carry_{c}").alias(c) for c in docs.columns])
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]],
                 size: int = WINDOW) -> list[tuple]:
     """Every window against every position, for tests."""

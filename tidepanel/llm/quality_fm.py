@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import prepare
 from .common import id_text, word_hashes, word_spans
 
 BUCKETS = 1 << 15
@@ -236,22 +235,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return bytes(got[0]["model"]) if got else None
 
 
-def _inputs(docs: DataFrame, size_col: str | None) -> DataFrame:
-    size = F.lit(None) if size_col is None else F.col(size_col)
-    return id_text(docs, extra={"size": size.cast("long")})
+def _inputs(docs: DataFrame, size_col: str | None, carry: list[str] = ()) -> DataFrame:
+    size = F.lit(None) if size_col is None else F.col(f"`{size_col}`")
+    return id_text(docs, extra={"size": size.cast("long"),
+                                **{f"__carry_{c}": F.col(f"`{c}`") for c in carry}})
 
 
 def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars",
           threshold: float = 0.3, carry: list[str] = ()) -> DataFrame:
     """``doc_id, score, predicted`` for every document, plus the columns of
-    ``carry`` unchanged."""
-    prepare(docs.sparkSession)
+    ``carry`` as ``__carry_<name>``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"),
-        (F.lit(None) if size_col is None else F.col(size_col)).cast("long").alias("__size"),
-        *[F.col(c).alias(f"__carry_{c}") for c in carry])
+    rows = _inputs(docs, size_col, carry)
     kept = [f for f in rows.schema.fields if f.name.startswith("__carry_")]
 
     def body(batches):
@@ -260,9 +255,10 @@ def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars"
             for lo in range(0, batch.num_rows, SLICE):
                 b = batch.slice(lo, SLICE)
                 at = b.schema.get_field_index
-                texts = b.column(at("__text")).to_pylist()
-                r, c, v = _design(*(f := features(texts, b.column(at("__size")).to_pylist())))
-                s = sigmoid(raw_scores(m, r, c, v, len(f[3]))[0])
+                feats = features(b.column(at("text")).to_pylist(),
+                                 b.column(at("size")).to_pylist())
+                r, c, v = _design(*feats)
+                s = sigmoid(raw_scores(m, r, c, v, b.num_rows)[0])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(at("doc_id")), pa.array(s),
                      pa.array((s >= threshold).astype(np.int32)),
@@ -270,6 +266,11 @@ def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars"
                     ["doc_id", "score", "predicted", *[k.name for k in kept]])
     schema = "doc_id long, score double, predicted int" + "".join(
         f", `{k.name}` {k.dataType.simpleString()}" for k in kept)
-    out = rows.mapInArrow(body, schema)
-    return out.select("doc_id", "score", "predicted",
-                      *[F.col(f"__carry_{c}").alias(c) for c in carry])
+    return rows.mapInArrow(body, schema)
+
+
+def keep_good(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars",
+              threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all columns."""
+    return (score(docs, model, size_col, threshold, docs.columns).filter("predicted = 1")
+            .select(*[F.col(f"__carry_{c}").alias(c) for c in docs.columns]))

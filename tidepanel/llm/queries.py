@@ -12,6 +12,7 @@ from . import bagminhash, bpe, packing, quality_fm, rlz, suffix_family
 from .common import table
 from .content_sort import content_sort_dedup
 from .decontaminate import decontaminate
+from .license_scan import license_scan, oracle as license_oracle
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,13 @@ def op5(spark, sf_dir):
     return content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+# documents have no file names: a source is a folder, its languages are below it
+@query("op6_license_scan", license_oracle("concat_ws('/', source, lang, doc_id)"))
+def op6(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"),
+                        F.concat_ws("/", "source", "lang", "doc_id"))
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
