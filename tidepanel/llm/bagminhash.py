@@ -33,9 +33,9 @@ into pairs.  The probability that bands miss a pair of similarity 0.8 is
 *Words* are runs of ASCII digits and letters and all characters beyond ASCII,
 with A-Z as a-z.  *Edge cases:* a text with fewer than five words, but not
 none, is one shingle; null, empty and word-less texts are classes of their
-own; rows repeated with one id share a class; ties do not arise (a class is
-named by its smallest id); an empty table gives no rows; extra columns are
-dropped.
+own, and so are rows without an id; of rows repeated with one id each gets the
+class of its own text; ties do not arise (a class is named by its smallest
+id); an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
