@@ -39,10 +39,10 @@ def landing(tmp_path):
 def test_listing_and_names(spark, landing):
     assert extension_glob("zip") == "*.[zZ][iI][pP]"
     files = list_files(spark, landing, "zip").select(product_of().alias("p")).collect()
-    assert sorted(r.p for r in files) == ["cpi_cansim.ZIP", "labour"]
+    assert sorted(r.p for r in files) == ["cpi", "labour"]
     pairs = {r["product"]: r.metadata_json for r in pair_metadata(spark, landing).collect()}
     assert pairs["labour"].endswith("labour_cansim_metadata.json")
-    assert pairs["cpi_cansim.ZIP"] is None
+    assert pairs["cpi"] is None
 
 
 def test_lines_and_parse(spark, landing):
@@ -71,7 +71,7 @@ def test_missing_member_raises(spark, tmp_path):
     d2 = tmp_path / "bad2"
     d2.mkdir()
     _zip(d2 / "y_cansim.zip", {"2_MetaData.csv": META})
-    with pytest.raises(Exception, match="expected 2.csv"):
+    with pytest.raises(Exception, match="lacks its data member"):
         read_archives(spark, str(d2)).collect()
 
 
@@ -87,3 +87,32 @@ def test_ingest_to_silver_with_manifest(spark, landing, tmp_path):
     assert back.count() == 4
     man = spark.table("t_ingest.manifest").filter("product = 'labour'").first()
     assert man.rows == 4 and man.pid == "14100023"
+    assert man.rows_metadata == 1 and man.metadata_path.endswith("labour/metadata")
+
+
+def test_archives_of_one_product_are_united(spark, tmp_path):
+    """Two archives of one product (other case, other columns), and an archive
+    whose members come in several folders."""
+    d = tmp_path / "bronze"
+    d.mkdir()
+    _zip(d / "gdp_cansim.zip", {"1.csv": "\ufeffREF_DATE,VALUE\n2016,1\n", "1_MetaData.csv": META})
+    _zip(d / "gdp.ZIP", {"x/2_METADATA.CSV": META, "readme.txt": "x", "y/2.csv":
+                         "\ufeffREF_DATE,GEO,VALUE\n2017,Canada,2\n2018,Canada,3\n"})
+    from tidepanel import sinks
+    entries = sinks.ingest_to_silver(spark, str(d), str(tmp_path / "silver"))
+    assert [(e["product"], e["pid"], e["rows"], e["rows_metadata"]) for e in entries] == [
+        ("gdp", "1,2", 3, 2)]
+    rows = spark.read.parquet(str(tmp_path / "silver" / "gdp" / "data")).orderBy("ref_date")
+    assert [(r.pid, r.geo, r.value) for r in rows.collect()] == [
+        ("1", None, 1.0), ("2", "Canada", 2.0), ("2", "Canada", 3.0)]
+
+
+def test_silver_and_catalog_scans(spark, tmp_path):
+    from tidepanel import sinks
+    from tidepanel.sources.tables import read_catalog, read_silver
+    df = spark.createDataFrame([("2016", 1.0)], "ref_date string, value double")
+    sinks.write_path(df, str(tmp_path / "cpi" / "data"))
+    assert read_silver(spark, str(tmp_path / "cpi" / "data")).collect() == df.collect()
+    sinks.ensure_schema(spark, "t_scan")
+    sinks.write_table(df, "t_scan.t")
+    assert read_catalog(spark, "t_scan.t").collect() == df.collect()

@@ -15,9 +15,10 @@ def test_write_table_roundtrip_and_overwrite(spark, tmp_path):
     df2 = spark.createDataFrame([(2002, 9)], "year int, other int")
     sinks.write_table(df2, "t_sinks.t1", partition_cols=["year"])
     assert set(spark.table("t_sinks.t1").columns) == {"year", "other"}
-    sinks.set_properties(spark, "t_sinks.t1", {"layer": "derived", "grain": "industry-year"})
+    sinks.set_properties(spark, "t_sinks.t1", {"layer": "derived", "grain": "industry-year",
+                                               "note": "the writer's \\ note"})
     props = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES t_sinks.t1").collect()}
-    assert props["layer"] == "derived"
+    assert props["layer"] == "derived" and props["note"] == "the writer's \\ note"
 
 
 def test_write_path_manifest(spark, tmp_path):

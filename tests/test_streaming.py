@@ -12,6 +12,7 @@ def test_available_now_ingest(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "silver" / "labour" / "data"))
     assert out.count() == 4
+    assert spark.read.parquet(str(tmp_path / "silver" / "labour" / "metadata")).count() == 1
     # a second archive arriving later is picked up by a restart; the first is not re-read
     _zip(land / "cpi_cansim.zip", {"1.csv": DATA, "1_MetaData.csv": META})
     q = start_ingest(spark, str(land), str(tmp_path / "silver"), str(tmp_path / "ckpt"))

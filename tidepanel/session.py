@@ -9,7 +9,9 @@ and are only filled in here when they are unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,9 +53,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory, setting a scratch one only
-    when none is configured (local tests).  On a cluster the setting names a
-    shared folder and is left alone."""
+    """The shared folder of intermediate data: ``spark.checkpoint.dir``.  On a
+    cluster its absence is an error (a machine-local folder would differ from
+    machine to machine); a local master gets a scratch folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -62,12 +64,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     path = tempfile.mkdtemp(prefix="tp-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -70,18 +70,20 @@ def read_table_ordered(spark: SparkSession, name: str, columns: Sequence[str]) -
 
 def set_properties(spark: SparkSession, name: str, props: Mapping[str, str]) -> None:
     """ALTER TABLE ... SET TBLPROPERTIES (K5)."""
-    body = ", ".join(f"'{k}' = '{str(v).replace(chr(39), '')}'" for k, v in props.items())
+    def quoted(x) -> str:
+        return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    body = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in props.items())
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({body})")
 
 
 MANIFEST_SCHEMA = ("product string, source string, pid string, table string, rows long, "
-                   "columns array<string>, run_utc string")
+                   "columns array<string>, metadata_path string, rows_metadata long, "
+                   "run_utc string")
 
 
 def append_manifest(spark: SparkSession, name: str, entries: Sequence[dict]) -> None:
     """Append ingest manifests as rows of a table (K7)."""
-    rows = [(e.get("product"), e.get("source"), e.get("pid"), e.get("table"), e.get("rows"),
-             e.get("columns"), e.get("run_utc")) for e in entries]
+    rows = [tuple(e.get(f.split()[0]) for f in MANIFEST_SCHEMA.split(", ")) for e in entries]
     spark.createDataFrame(rows, MANIFEST_SCHEMA).write.mode("append").saveAsTable(name)
 
 
@@ -143,25 +145,28 @@ def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
 def ingest_to_silver(spark: SparkSession, location: str, silver_base: str,
                      manifest_table: str | None = None, mode: str = "overwrite") -> list[dict]:
     """Every archive in ``location`` -> ``{silver_base}/{product}/data`` and
-    ``/metadata`` (K1), with one manifest entry per product: pid, paths,
+    ``/metadata`` (K1), with one manifest entry per product: ids, paths,
     row counts observed while writing and the data columns (K7); appended
-    to ``manifest_table`` when given.  The archives are unzipped once per
-    member role, on executors."""
-    from .sources.archives import ingest, pair_metadata
+    to ``manifest_table`` when given.  Each archive is unzipped once."""
+    from .sources.archives import pair_metadata, staged_archives, tables_of
     ts = run_timestamp()
-    data = ingest(spark, location, role="data")
-    meta = ingest(spark, location, role="metadata", numeric={})
-    sidecars = {r["product"]: r["metadata_json"] for r in pair_metadata(spark, location).collect()}
+    lines = staged_archives(spark, location)
+    tables = tables_of(lines, {"data": None, "metadata": {}})
+    sidecars, pids = {}, {}
+    for r in pair_metadata(spark, location).collect():
+        sidecars.setdefault(r["product"], r["metadata_json"])
+    for r in lines.filter("line_no = 0").select("product", "pid").distinct().collect():
+        pids.setdefault(r["product"], set()).add(r["pid"])
     base = silver_base.rstrip("/")
     entries = []
-    for product, df in sorted(data.items()):
+    for product, df in sorted(tables["data"].items()):
         d = write_path(df.drop("product"), f"{base}/{product}/data", mode)
-        pid = df.select("pid").first()
-        m = write_path(meta[product].drop("product"), f"{base}/{product}/metadata", mode) \
-            if product in meta else {"rows": 0}
+        m = write_path(tables["metadata"][product].drop("product"),
+                       f"{base}/{product}/metadata", mode)
         entries.append({"product": product, "source": sidecars.get(product),
-                        "pid": pid[0] if pid else None, "table": d["path"],
-                        "rows": d["rows"], "rows_metadata": m["rows"],
+                        "pid": ",".join(sorted(pids[product])), "table": d["path"],
+                        "rows": d["rows"], "metadata_path": m["path"],
+                        "rows_metadata": m["rows"],
                         "columns": [c for c in d["columns"] if c != "pid"], "run_utc": ts})
     if manifest_table:
         append_manifest(spark, manifest_table, entries)

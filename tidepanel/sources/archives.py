@@ -50,9 +50,10 @@ def list_files(spark: SparkSession, location: str, extension: str) -> DataFrame:
 
 
 def product_of(path_col: str = "path"):
-    """Product name from the file name: drop "_cansim.zip", then ".zip" (S3)."""
+    """Product name from the file name: without ".zip" and then without
+    "_cansim", in any case (S3), as the listing ignores case too."""
     name = F.regexp_extract(F.col(path_col), r"([^/]+)$", 1)
-    return F.regexp_replace(F.regexp_replace(name, r"_cansim\.zip", ""), r"\.zip", "")
+    return F.regexp_replace(name, r"(?i)(_cansim)?\.zip$", "")
 
 
 def pair_metadata(spark: SparkSession, location: str) -> DataFrame:
@@ -61,30 +62,30 @@ def pair_metadata(spark: SparkSession, location: str) -> DataFrame:
     zips = list_files(spark, location, "zip").select("path", product_of().alias("product"))
     js = list_files(spark, location, "json").select(
         F.col("path").alias("metadata_json"),
-        F.regexp_extract("path", r"([^/]+)_cansim_metadata\.json$", 1).alias("product"))
+        F.regexp_extract("path", r"(?i)([^/]+)_cansim_metadata\.json$", 1).alias("product"))
     return zips.join(js.filter(F.col("product") != ""), "product", "left")
 
 
-def _members(names: list[str]) -> tuple[str, str, str]:
-    """(pid, data member, metadata member) or raise."""
-    pid = None
-    for n in names:
-        base = n.split("/")[-1]
-        if base.lower().endswith("_metadata.csv"):
-            pid = base.split("_")[0]
-            break
-    if pid is None:
-        raise RuntimeError(f"no *_MetaData.csv in archive; members: {names}")
-
-    def find(target):
-        for n in names:
-            if n.split("/")[-1].lower() == target.lower():
-                return n
-        return None
-    data, meta = find(f"{pid}.csv"), find(f"{pid}_MetaData.csv")
-    if data is None or meta is None:
-        raise RuntimeError(f"expected {pid}.csv and {pid}_MetaData.csv; members: {names}")
-    return pid, data, meta
+METADATA_SUFFIX = "_metadata.csv"
+
+
+def archive_members(names: list[str]) -> dict[str, str]:
+    """``pid``, ``data`` and ``metadata`` of an archive (S6), from one index
+    of its members by lower-cased base name (the first of a name counts)."""
+    index: dict[str, str] = {}
+    for name in names:
+        index.setdefault(name.rpartition("/")[2].lower(), name)
+    described = [base for base in index if base.endswith(METADATA_SUFFIX)]
+    if not described:
+        raise ValueError(f"archive without a *_MetaData.csv member: {names}")
+    own = index[described[0]].rpartition("/")[2]
+    pid = own.partition("_")[0]
+    found = {"data": index.get(f"{pid}.csv".lower()),
+             "metadata": index.get(pid.lower() + METADATA_SUFFIX)}
+    absent = sorted(role for role, member in found.items() if member is None)
+    if absent:
+        raise ValueError(f"archive of {pid} lacks its {' and '.join(absent)} member: {names}")
+    return {"pid": pid, **found}
 
 
 def _explode_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,9 +93,10 @@ def _explode_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for batch in batches:
         for path, product, content in zip(batch["path"], batch["product"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                pid, data, meta = _members(zf.namelist())
-                for role, member in (("data", data), ("metadata", meta)):
-                    with zf.open(member) as raw:
+                members = archive_members(zf.namelist())
+                pid = members["pid"]
+                for role in ("data", "metadata"):
+                    with zf.open(members[role]) as raw:
                         text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
                         chunk, start = [], 0
                         for rec in csv.reader(text):
@@ -143,16 +145,41 @@ def parse_member(lines: DataFrame, header: list[str], flavour: str = "silver",
     return out
 
 
+def staged_archives(spark: SparkSession, location: str) -> DataFrame:
+    """The records of all archives, written once to the session's shared
+    folder, partitioned by product and role, so that every table reads its own
+    partition only."""
+    from ..session import shared_path
+    path = shared_path(spark, "ingest")
+    read_archives(spark, location).write.partitionBy("product", "role").parquet(path)
+    return spark.read.schema(LINE_SCHEMA).parquet(path)
+
+
+def tables_of(lines: DataFrame, roles: dict[str, dict[str, str] | None]
+              ) -> dict[str, dict[str, DataFrame]]:
+    """Archive records -> {role: {product: table}}.  The header records (one
+    per archive and member) are the only rows brought to the driver.
+    Archives of one product are united by column name."""
+    heads = (lines.filter((F.col("line_no") == 0) & F.col("role").isin(list(roles)))
+             .select("role", "product", "path", "fields").collect())
+    by_table: dict[tuple[str, str], dict[tuple, list[str]]] = {}
+    for h in sorted(heads, key=lambda r: (r["role"], r["product"], r["path"])):
+        same = by_table.setdefault((h["role"], h["product"]), {})
+        same.setdefault(tuple(h["fields"]), []).append(h["path"])
+    out: dict[str, dict[str, DataFrame]] = {role: {} for role in roles}
+    for (role, product), headers in by_table.items():
+        own = lines.filter((F.col("role") == role) & (F.col("product") == product))
+        parts = [parse_member(own if len(headers) == 1 else own.filter(F.col("path").isin(paths)),
+                              list(header), numeric=roles[role])
+                 for header, paths in headers.items()]
+        table = parts[0]
+        for other in parts[1:]:
+            table = table.unionByName(other, allowMissingColumns=True)
+        out[role][product] = table
+    return out
+
+
 def ingest(spark: SparkSession, location: str, role: str = "data",
            numeric: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Every archive in ``location`` -> {product: long table}.  One job
-    reads all archives; the header lines (one per archive) are the only
-    rows brought to the driver."""
-    lines = read_archives(spark, location).filter(F.col("role") == role)
-    lines = lines.checkpoint(eager=True)   # unzip once, parse per product
-    headers = (lines.filter(F.col("line_no") == 0).select("product", "fields").collect())
-    out = {}
-    for r in headers:
-        out[r["product"]] = parse_member(lines.filter(F.col("product") == r["product"]),
-                                         list(r["fields"]), numeric=numeric)
-    return out
+    """Every archive in ``location`` -> {product: long table}."""
+    return tables_of(staged_archives(spark, location), {role: numeric})[role]

@@ -2,7 +2,7 @@
 
 New archives landing in a folder are picked up by a ``binaryFile`` stream,
 unzipped by the same ``mapInPandas`` step as the batch ingest, and each
-micro-batch writes one long table per product (overwrite per product, as
+micro-batch writes the data and the metadata table of each product (overwrite per product, as
 the batch ingest does; rerunning a batch after a failure rewrites the same
 files, so the sink is idempotent).  The checkpoint location records which
 archives were already taken, so a restarted query resumes where it stopped.
@@ -11,11 +11,10 @@ archives were already taken, so a restarted query resumes where it stopped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks import write_path
-from ..sources.archives import archive_lines, extension_glob, parse_member
+from ..sources.archives import archive_lines, extension_glob, tables_of
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -29,16 +28,14 @@ def archive_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
     return archive_lines(src)
 
 
-def write_batch(batch: DataFrame, silver_base: str, role: str = "data") -> list[dict]:
-    """Parse one micro-batch of archive lines and write each product."""
-    lines = batch.filter(F.col("role") == role)
-    headers = lines.filter(F.col("line_no") == 0).select("product", "fields").collect()
+def write_batch(batch: DataFrame, silver_base: str) -> list[dict]:
+    """Parse one micro-batch of archive records and write the data and the
+    metadata of each product."""
     manifests = []
-    for r in headers:
-        df = parse_member(lines.filter(F.col("product") == r["product"]), list(r["fields"]))
-        m = write_path(df, f"{silver_base.rstrip('/')}/{r['product']}/{role}")
-        m["product"] = r["product"]
-        manifests.append(m)
+    for role, tables in tables_of(batch, {"data": None, "metadata": {}}).items():
+        for product, df in sorted(tables.items()):
+            m = write_path(df.drop("product"), f"{silver_base.rstrip('/')}/{product}/{role}")
+            manifests.append({**m, "product": product, "role": role})
     return manifests
 
 
