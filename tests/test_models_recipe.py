@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidepanel.plans.models import ForecastSpec, backtest, prepared, scenarios
+from tidepanel.plans.models import ForecastSpec, prepared, recipe_backtest, scenarios
 
 
 def _features(spark):
@@ -31,7 +31,10 @@ SPEC = ForecastSpec(origins=(2019, 2020, 2021), train_end=2021, test_periods=(20
 def test_recipe_gates_and_folds(spark):
     rows = prepared(_features(spark), SPEC)
     assert {r.industry for r in rows.select("industry").distinct().collect()} == {"a", "b"}
-    bt = {(r.industry, r.train_end) for r in backtest(rows, SPEC).collect()}
+    out = recipe_backtest(rows, SPEC).collect()
+    assert len(out) == 6                                     # every series and origin has a row
+    bt = {(r.industry, r.train_end) for r in out if r.predicted is not None}
+    assert {r.status for r in out if r.predicted is None} == {"missing_period"}
     # b has no 2021: origin 2020 (no te + 1) and 2021 (no te) are skipped
     assert bt == {("a", 2019), ("a", 2020), ("a", 2021), ("b", 2019)}
 

@@ -29,7 +29,10 @@ OPS = ("set", "add")
 
 def apply_scenarios(df: DataFrame, scenarios: Mapping[str, Sequence[tuple[str, str, float]]],
                     out: str = "scenario") -> DataFrame:
-    """One copy of every row per scenario, with that scenario's edits."""
+    """One copy of every row per scenario, with that scenario's edits in
+    their order (a later edit of a column sees the earlier one's result).
+    Without scenarios there is one unedited copy, ``baseline``."""
+    scenarios = dict(scenarios) or {"baseline": []}
     for name, edits in scenarios.items():
         for col, op, _ in edits:
             if col not in df.columns:
@@ -37,18 +40,18 @@ def apply_scenarios(df: DataFrame, scenarios: Mapping[str, Sequence[tuple[str, s
             if op not in OPS:
                 raise ValueError(f"scenario {name!r}: unknown op {op!r}")
     rows = df.withColumn(out, F.explode(F.array(*[F.lit(n) for n in scenarios])))
-    touched: dict[str, list] = {}
-    for name, edits in scenarios.items():
-        for col, op, amount in edits:
-            touched.setdefault(col, []).append((name, op, amount))
     new = {}
-    for col, edits in touched.items():
-        expr = None
-        for name, op, amount in edits:
-            val = F.lit(float(amount)) if op == "set" else F.col(col) + F.lit(float(amount))
-            cond = F.col(out) == F.lit(name)
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        new[col] = expr.otherwise(F.col(col).cast("double"))
+    for col in dict.fromkeys(c for edits in scenarios.values() for c, _, _ in edits):
+        original = F.col(col).cast("double")
+        value = original
+        for name, edits in scenarios.items():
+            edited = original
+            for c, op, amount in edits:
+                if c == col:
+                    edited = F.lit(float(amount)) if op == "set" else edited + F.lit(float(amount))
+            if edited is not original:
+                value = F.when(F.col(out) == name, edited).otherwise(value)
+        new[col] = value
     return rows.withColumns(new)
 
 

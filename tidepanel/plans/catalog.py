@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from . import (  # noqa: F401
+    catalog_arx,
+    catalog_clean,
+    catalog_features,
+    catalog_gold,
+    catalog_models,
+    catalog_regression,
+)
 from .registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from . import catalog_gold  # noqa: F401
-    for mod in ("catalog_features", "catalog_clean", "catalog_models", "catalog_regression",
-                "catalog_arma"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules land one build step at a time
-            if mod not in str(e):
-                raise
     return dict(QUERIES)

@@ -268,7 +268,10 @@ def q_gold_panel_monthly(spark, d):
     return rounded(panel_df(spark, d, MONTH_CFG), 6, **PANEL_ROUNDING)
 
 
-@query("features_monthly", step=3, sql=features_sql(MONTH_SPEC, MONTH_PANEL_SQL, MONTH_CFG))
+MONTH_FEATURES_SQL = features_sql(MONTH_SPEC, MONTH_PANEL_SQL, MONTH_CFG)
+
+
+@query("features_monthly", step=3, sql=MONTH_FEATURES_SQL)
 def q_features_monthly(spark, d):
     """D7 at month grain: lags, growth and events on month indexes."""
     return features_df(spark, d, MONTH_CFG, MONTH_SPEC)

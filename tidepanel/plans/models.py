@@ -7,13 +7,12 @@ they are finite, keep entities with enough history, then
 
 * backtest: for each rolling origin te with te and te + 1 present and at
   least ``min_train`` training rows, standardise the drivers with the
-  training rows' statistics, fit regression with ARMA errors and forecast
+  training rows' statistics, fit an autoregression with drivers and forecast
   te + 1;
 * scenarios: fit once on the training window and forecast the test window
   under each driver scenario.
 
-Every step is a DataFrame operation; the fits are one ``applyInPandas``
-group per (entity, origin) or per entity.
+Every step is a DataFrame operation; the fits come from grouped moments.
 """
 
 from __future__ import annotations
@@ -25,11 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, pulse_dummy
-from ..operators.arma_jobs import arimax_backtest, fit_params, scenario_forecasts
-from ..operators.clean import assert_finite, clean_drivers, missing_report
-from ..operators.folds import expand_origins, standardize_by_fold
+from ..operators.arx import backtest, fit_orders, fit_params, scenario_forecasts, select_order
+from ..operators.clean import clean_drivers, flag_non_finite, missing_report
+from ..operators.folds import standardize_by_fold
 from ..operators.scenario import apply_scenarios
-from .registry import materialize
 
 
 @dataclass(frozen=True)
@@ -55,16 +53,16 @@ class ForecastSpec:
 
 
 def prepared(features: DataFrame, spec: ForecastSpec) -> DataFrame:
-    """Model rows: target, drivers and pulse; drivers cleaned and checked;
-    entities with fewer than ``min_total`` rows dropped.  Materialised:
-    the backtest, the final fit and the scenarios all read it."""
+    """Model rows: target, drivers and pulse; drivers cleaned and checked (a
+    row with a non-finite driver left raises when it is read); entities with
+    fewer than ``min_total`` rows dropped.  A plan only: callers that read it
+    several times write it first."""
     k, p = spec.key, spec.period
     df = features.select(k, p, F.col(spec.y).cast("double").alias(spec.y),
                          *[F.col(c).cast("double").alias(c) for c in spec.drivers],
                          pulse_dummy(p, spec.pulse_periods).cast("double").alias(spec.pulse_name))
     df = clean_drivers(df, spec.exog, k, p)
-    df = materialize(df)
-    assert_finite(df, spec.exog)
+    df = df.filter(flag_non_finite(df, spec.exog))
     counts = df.groupBy(k).agg(F.count(F.lit(1)).alias("__n"))
     ok = counts.filter(F.col("__n") >= spec.min_total).select(k)
     return df.join(ok, k, "left_semi")
@@ -88,13 +86,9 @@ def scenario_fill(fut: DataFrame, key: str, cols: Sequence[str],
     return out.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in cols})
 
 
-def backtest(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
-    k, p = spec.key, spec.period
-    ex = expand_origins(rows.withColumn("__p1", F.col(p) - 1), "__p1", spec.origins)
-    ex = ex.withColumn("is_train", F.col(p) <= F.col("te"))
-    ex = standardize_by_fold(ex, k, "te", spec.exog, suffix="")
-    return arimax_backtest(ex.select(k, "te", p, spec.y, *spec.exog), [k], p, spec.y, spec.exog,
-                           spec.order, min_train=spec.min_train)
+def recipe_backtest(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
+    return backtest(rows, [spec.key], spec.period, spec.y, spec.exog, spec.origins, spec.order,
+                    min_train=spec.min_train)
 
 
 def final_params(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
@@ -102,8 +96,8 @@ def final_params(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
     tr = rows.filter(F.col(p) <= spec.train_end).withColumn("__f", F.lit(0)) \
              .withColumn("is_train", F.lit(True))
     tr = standardize_by_fold(tr, k, "__f", spec.exog, suffix="")
-    return fit_params(tr, [k], p, spec.y, spec.exog, spec.order, spec.train_end,
-                      standardized=True)
+    fits = fit_orders(tr, [k], p, spec.y, spec.exog, [spec.order])
+    return fit_params(fits, [k], spec.exog, spec.train_end, standardized=True)
 
 
 def scenarios(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
@@ -122,18 +116,18 @@ def scenarios(rows: DataFrame, spec: ForecastSpec) -> DataFrame:
     both = standardize_by_fold(both, k, "__f", spec.exog, suffix="")
     tr = both.filter("is_train").drop("scenario")
     fu = both.filter(~F.col("is_train")).select(k, p, *spec.exog, "scenario")
-    return scenario_forecasts(tr, fu, [k], p, spec.y, spec.exog, spec.order)
+    fits = fit_orders(tr, [k], p, spec.y, spec.exog, [spec.order])
+    return scenario_forecasts(tr, fits, fu, [k], p, spec.y, spec.exog)
 
 
 def holdout(rows: DataFrame, spec: ForecastSpec, orders: Sequence[tuple[int, int, int]],
             standardize: bool = False) -> DataFrame:
     """Hold-out evaluation with a per-entity order choice (M7/M8, M12,
-    A10, A13): every candidate order is fitted on the training window (one
-    group per entity and order), the smallest AIC wins, the winner
-    forecasts the test window from the known drivers, and the errors give
-    RMSE and MAE per entity, next to the chosen order, AIC and BIC."""
+    A10, A13): all candidate orders are fitted on the training window, the
+    smallest AIC wins, the winner forecasts the test window from the known
+    drivers, and the errors give RMSE and MAE per entity, next to the chosen
+    order, its status, AIC and BIC."""
     from ..operators.aggregate import rmse_mae
-    from ..operators.arma_jobs import fit_orders, select_order
     k, p = spec.key, spec.period
     data = rows
     if standardize:
@@ -143,8 +137,9 @@ def holdout(rows: DataFrame, spec: ForecastSpec, orders: Sequence[tuple[int, int
     train = data.filter(F.col(p) <= spec.train_end)
     test = data.filter(F.col(p).isin(list(spec.test_periods)))
     best = select_order(fit_orders(train, [k], p, spec.y, spec.exog, orders), [k])
-    fc = scenario_forecasts(train, test.select(k, p, *spec.exog, F.lit("test").alias("scenario")),
-                            [k], p, spec.y, spec.exog, orders=best)
+    fc = scenario_forecasts(train, best, test.select(k, p, *spec.exog,
+                                                     F.lit("test").alias("scenario")),
+                            [k], p, spec.y, spec.exog).drop("status")
     err = (fc.join(test.select(k, p, F.col(spec.y).alias("actual")), [k, p])
              .withColumn("error", F.col("actual") - F.col("predicted")))
-    return rmse_mae(err, [k]).join(best.select(k, "ord", "aic", "bic"), k)
+    return rmse_mae(err, [k]).join(best.select(k, "ord", "status", "aic", "bic"), k)
