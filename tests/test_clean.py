@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators.clean import (assert_finite, clean_drivers, exact_median, locf,
-                                       missing_report)
+from tidepanel.operators.clean import (assert_finite, clean_drivers, exact_median, exact_medians,
+                                       locf, missing_report)
 from tidepanel.operators.windows import lag
 
 GAPS = [("a", 1, None), ("a", 2, 1.0), ("a", 3, None), ("a", 4, float("inf")), ("a", 5, 4.0),
@@ -46,7 +46,7 @@ def test_exact_median_matches_numpy(spark, n):
     rng = np.random.default_rng(n)
     vals = np.round(rng.normal(size=n), 3)   # many ties
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "x double")
-    assert exact_median(df, "x", accuracy=50, max_band=10) == pytest.approx(float(np.median(vals)))
+    assert exact_median(df, "x", accuracy=50) == pytest.approx(float(np.median(vals)))
 
 
 def test_strict_lag_skips_gaps(spark):
@@ -59,7 +59,14 @@ def test_strict_lag_skips_gaps(spark):
 def test_exact_median_heavy_duplicates(spark):
     vals = [5.0] * 300 + [6.0] * 300 + [1.0, 9.0]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    assert exact_median(df, "x", accuracy=50, max_band=10) == pytest.approx(float(np.median(vals)))
+    assert exact_median(df, "x", accuracy=50) == pytest.approx(float(np.median(vals)))
     vals2 = [5.0] * 300 + [6.0] * 301
     df2 = spark.createDataFrame([(v,) for v in vals2], "x double")
-    assert exact_median(df2, "x", accuracy=50, max_band=10) == 6.0
+    assert exact_median(df2, "x", accuracy=50) == 6.0
+
+
+def test_exact_median_of_many_distinct_values(spark):
+    """More distinct values than any cap, two columns at once, one empty."""
+    df = spark.range(250_001).selectExpr("cast((id * 7919) % 250001 AS double) AS x",
+                                         "cast(id AS double) / 2 AS y", "cast(NULL AS double) AS z")
+    assert exact_medians(df, ["x", "y", "z"]) == {"x": 125_000.0, "y": 62_500.0, "z": None}

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, is_finite
+from .joins import broadcast_bounded
 from .windows import back_fill, forward_fill
 
 
@@ -58,121 +59,66 @@ def locf(df: DataFrame, cols: Sequence[str], key, period: str,
     return out
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000,
-                  max_band: int = 100_000) -> dict[str, float | None]:
+def median_row(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Exact median of each column (mean of the two middle values for an
-    even count), computed without putting a column into one task.
-
-    Each round brackets the middle ranks of every unresolved column with
-    ``percentile_approx`` (rank error at most count/accuracy, memory
-    bounded by ``accuracy``), counts the values below the bracket and keeps
-    only the values inside it; a band shrinks by about accuracy/6 per
-    round.  Once a column's band holds at most ``max_band`` values those
-    are collected, sorted and read.  All columns share each pass: a round is
-    two aggregates and the end one filtered collect.  Null and NaN are
-    skipped."""
-    ok = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in cols}
-    counts = df.agg(*[F.count_if(ok[c]).alias(c) for c in cols]).first().asDict()
-    state = {}
-    for c in cols:
-        n = counts[c]
-        if n:
-            state[c] = {"r1": (n - 1) // 2, "r2": n // 2, "below": 0, "m": n,
-                        "lo": None, "hi": None}
-    result: dict[str, float | None] = {c: None for c in cols}
-
-    def in_band(c):
-        st, x = state[c], F.col(c)
-        cond = ok[c]
-        if st["lo"] is not None:
-            cond = cond & (x >= F.lit(st["lo"])) & (x <= F.lit(st["hi"]))
-        return cond
-
-    while True:
-        big = [c for c in state if state[c]["m"] > max_band]
-        if not big:
-            break
-        fr = {}
-        for c in big:
-            st = state[c]
-            fr[c] = (max(0.0, (st["r1"] - st["below"]) / st["m"] - 2.0 / accuracy),
-                     min(1.0, (st["r2"] - st["below"]) / st["m"] + 2.0 / accuracy))
-        q = df.agg(*[F.percentile_approx(F.when(in_band(c), F.col(c)), list(fr[c]), accuracy)
-                     .alias(c) for c in big]).first().asDict()
-        new_bounds = {c: (float(q[c][0]), float(q[c][1])) for c in big}
-        aggs = []
-        for c in big:
-            lo, hi = new_bounds[c]
-            x = F.col(c)
-            aggs.append(F.count_if(in_band(c) & (x < lo)).alias(f"{c}__b"))
-            aggs.append(F.count_if(in_band(c) & (x >= lo) & (x <= hi)).alias(f"{c}__m"))
-        r = df.agg(*aggs).first().asDict()
-        for c in big:
-            st = state[c]
-            before = st["m"]
-            st["below"] += r[f"{c}__b"]
-            st["m"] = r[f"{c}__m"]
-            st["lo"], st["hi"] = new_bounds[c]
-            if st["lo"] == st["hi"]:           # middle ranks inside a run of equal values
-                result[c] = st["lo"]
-                del state[c]
-            elif st["m"] >= before:            # no progress: the band is a few heavy values
-                result[c] = _median_from_counts(df, c, in_band(c), st, max_band)
-                del state[c]
-    if state:
-        sel = df.select(*[F.when(in_band(c), F.col(c)).alias(c) for c in state])
-        any_in = None
-        for c in state:
-            any_in = F.col(c).isNotNull() if any_in is None else any_in | F.col(c).isNotNull()
-        rows = sel.filter(any_in).collect()   # at most max_band values per column
-        for c, st in state.items():
-            vals = sorted(r[c] for r in rows if r[c] is not None)
-            a, b = vals[st["r1"] - st["below"]], vals[st["r2"] - st["below"]]
-            result[c] = (a + b) / 2.0
-    return result
-
-
-def _median_from_counts(df: DataFrame, c: str, band, st: dict, max_band: int) -> float:
-    """Middle ranks read from (value, count) pairs of the band: used when
-    the band is made of a few values repeated many times."""
-    pairs = (df.filter(band).groupBy(F.col(c).alias("v")).count()
-               .orderBy("v").limit(max_band + 1).collect())
-    if len(pairs) > max_band:
-        raise RuntimeError(f"median band of {c} did not narrow")
-    want = [st["r1"] - st["below"], st["r2"] - st["below"]]
-    got, seen = [], 0
-    for row in pairs:
-        while want and want[0] < seen + row["count"]:
-            got.append(row["v"])
-            want.pop(0)
-        seen += row["count"]
-    return (got[0] + got[1]) / 2.0
-
-
-def exact_median(df: DataFrame, col: str, accuracy: int = 10_000,
-                 max_band: int = 100_000) -> float | None:
-    return exact_medians(df, [col], accuracy, max_band)[col]
+    even count; null and NaN skipped) as one row, as a plan: nothing is
+    collected and no column goes through one task.
+
+    ``percentile_approx`` brackets the middle ranks (its rank error is at
+    most count/accuracy, its memory bounded by ``accuracy``).  The values
+    below the bracket are counted; those inside it, about 4/accuracy of all,
+    are reduced to (value, count) pairs, whose running counts name the two
+    middle values.  Equal values are one pair, however many there are."""
+    x = F.col("__v")
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = (df.selectExpr(f"stack({len(cols)}, {pairs}) AS (__c, __v)")
+            .filter(x.isNotNull() & ~F.isnan(x)))
+    near = 2.0 / accuracy
+    # one row per column
+    bracket = long.groupBy("__c").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx("__v", [max(0.0, 0.5 - near), min(1.0, 0.5 + near)], accuracy)
+        .alias("__b"))
+    placed = long.join(broadcast_bounded(bracket, len(cols)), "__c")
+    band = (placed.filter(x <= F.col("__b")[1])
+            .groupBy("__c", "__n", F.when(x >= F.col("__b")[0], x).alias("__v"))
+            .agg(F.count(F.lit(1)).alias("__k")))
+    # the values below the bracket are one pair with a null value, sorted first
+    run = Window.partitionBy("__c").orderBy(F.asc_nulls_first("__v"))
+    ranked = band.withColumn("__upto", F.sum("__k").over(run))
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    at = lambda r: F.min(F.when(F.col("__upto") > r, x))
+    medians = ranked.groupBy("__c").agg(((at(low) + at(high)) / 2.0).alias("__m"))
+    return medians.agg(*[F.max(F.when(F.col("__c") == c, F.col("__m"))).alias(c) for c in cols])
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000
+                  ) -> dict[str, float | None]:
+    return median_row(df, cols, accuracy).first().asDict()
+
+
+def exact_median(df: DataFrame, col: str, accuracy: int = 10_000) -> float | None:
+    return exact_medians(df, [col], accuracy)[col]
+
+
+def fill_with_medians(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None,
+                      accuracy: int = 10_000) -> DataFrame:
+    """Gaps of each column take its median over ``source`` (default: the frame
+    itself), joined as one row."""
+    m = median_row(source if source is not None else df, cols, accuracy)
+    m = m.select(F.lit(1).alias("__one"), *[F.col(c).alias(f"__m_{c}") for c in cols])
+    out = df.withColumn("__one", F.lit(1)).join(broadcast_bounded(m, 1), "__one")
+    return out.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols
+                        else F.col(c) for c in df.columns])
 
 
 def clean_drivers(df: DataFrame, cols: Sequence[str], key, period: str,
-                  backfill: bool = True, median_fill: bool = True,
-                  checkpoint: bool = True) -> DataFrame:
+                  backfill: bool = True, median_fill: bool = True) -> DataFrame:
     """The composite clean (W5): inf -> null (P22), forward and back fill
     per entity (W3, W4), then each column's remaining gaps take its global
-    median (A8).
-
-    The medians read the filled data a few times (count, brackets, band)
-    and the fill reads it once more; ``checkpoint=True`` writes the filled
-    table to the checkpoint directory once so those reads do not recompute
-    the windows (and a lost executor does not either)."""
+    median (A8).  A plan only: the medians read the filled rows twice and the
+    result once, over one shuffle by entity; callers whose input is expensive
+    write it first."""
     out = df.withColumns({c: finite_or_null(c) for c in cols})
     out = locf(out, cols, key, period, backfill)
-    if not median_fill:
-        return out
-    if checkpoint:
-        out = out.checkpoint(eager=True)
-    medians = exact_medians(out, cols)
-    return out.withColumns({
-        c: F.coalesce(F.col(c), F.lit(m).cast("double")) if m is not None else F.col(c)
-        for c, m in medians.items()
-    })
+    return fill_with_medians(out, cols) if median_fill else out

@@ -1,31 +1,24 @@
 """Design columns and normal equations.
 
 Categorical effects use treatment coding: levels sorted, the first one
-dropped, one 0/1 column per other level.  Level lists are read with one
-``distinct`` per factor (bounded by the number of levels) and refused
-above ``max_levels``; beyond that, use the within transform
-(:func:`tidepanel.operators.windows.two_way_demean`).
+dropped, one 0/1 column per other level.  The list of levels is the list
+of output columns, so it is read to the driver (one ``distinct`` per factor)
+or given by the caller.  A regression needs no such columns:
+:func:`tidepanel.operators.regression.fit_ols` takes factors as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import sanitize_name
 
-MAX_LEVELS = 500
 
-
-def factor_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    # limit(max + 1): never bring more than the cap to the driver
-    rows = df.select(col).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use the within transform")
-    return sorted(r[0] for r in rows if r[0] is not None)
+def factor_levels(df: DataFrame, col: str) -> list:
+    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
 
 
 def dummy_name(col: str, level) -> str:
@@ -70,13 +63,3 @@ def cross_products(df: DataFrame, cols: Sequence[str], decimal_scale: int | None
             s = F.sum(v(a) * v(b))
             aggs.append((s.cast("double") if decimal_scale is not None else s).alias(f"{a}__{b}"))
     return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
-
-
-def gram_from_row(row: dict, cols: Sequence[str]) -> np.ndarray:
-    k = len(cols)
-    g = np.zeros((k, k))
-    for i, a in enumerate(cols):
-        for j in range(i, k):
-            b = cols[j]
-            g[i, j] = g[j, i] = row[f"{a}__{b}"]
-    return g

@@ -1,12 +1,15 @@
 """Least squares from Spark aggregates (M1-M5, P25).
 
-Pass 1 is one aggregate: the Gram matrix X'X, X'y, y'y and n (k(k+1)/2 + k
-+ 2 sums, partial sums per task).  Only that k x k block reaches the
+A design row has few non-zeros: the numeric columns and one level of each
+factor.  Every Arrow batch adds its rows' products into one k x k array
+(numpy, factors as level numbers, no dummy columns), and the arrays' rows
+are summed by a grouped aggregate.  Only that k x k block reaches the
 driver, where ``pinv`` gives the coefficients; with a rank-deficient design
 this is the minimum-norm solution, the one a pseudo-inverse OLS reports.
-Pass 2 is a second aggregate with the coefficients and G+ as literals:
-residual sum of squares, total sum of squares and the HC3 "meat"
-sum x x' e^2 / (1 - h)^2 with leverage h = x' G+ x (MacKinnon & White 1985).
+Pass 2 does the same with the coefficients and G+: residual sum of squares,
+total sum of squares and the "meat" sum x x' e^2 (HC0, HC1), for HC3 divided
+by (1 - h)^2 with the leverage h = x' G+ x (MacKinnon & White 1985).  Both
+passes cost a few products per row, whatever the number of levels.
 """
 
 from __future__ import annotations
@@ -16,45 +19,34 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .design import cross_products, gram_from_row
+from .design import dummy_name, factor_levels
 
 LEVERAGE_EPS = 1e-10
 
 
-def linear_combination(cols: Sequence[str], weights: Sequence[float]) -> Column:
-    expr = F.lit(0.0)
-    for c, w in zip(cols, weights):
-        if w != 0.0:
-            expr = expr + F.col(c).cast("double") * F.lit(float(w))
-    return expr
-
-
 def predict(cols: Sequence[str], coef: Sequence[float]) -> Column:
     """x'b (P25)."""
-    return linear_combination(cols, coef)
-
-
-def leverage(cols: Sequence[str], ginv: np.ndarray) -> Column:
-    """h = x' G+ x as one expression (k^2 terms)."""
     expr = F.lit(0.0)
-    for i, a in enumerate(cols):
-        inner = linear_combination(cols, ginv[i])
-        expr = expr + F.col(a).cast("double") * inner
+    for c, w in zip(cols, coef):
+        if w != 0.0:
+            expr = expr + F.col(c).cast("double") * F.lit(float(w))
     return expr
 
 
 def min_norm_inverse(g: np.ndarray, rcond: float = 1e-12):
-    """Moore-Penrose inverse of a PSD Gram matrix with a scale-free rank
+    """Generalised inverses of a PSD Gram matrix with a scale-free rank
     decision.  The rank is read from the equilibrated matrix D G D
     (D = diag(G)^-1/2), so a column measured in small units is not taken
-    for a null direction; the null space found there is mapped back and
-    the inverse projected onto the range of G, which gives the
-    minimum-norm least-squares solution in the original units.
-    Returns (G+, orthonormal null-space basis as rows of a k x r matrix, rank)."""
+    for a null direction.  Returns (G-, G+, null, rank): the inverse of the
+    equilibrated matrix mapped back (exact for everything the data identify,
+    and well conditioned), its projection onto the range of G (the
+    Moore-Penrose inverse, for minimum-norm coefficients), an orthonormal
+    null-space basis as columns, and the rank."""
     k = g.shape[0]
     dg = np.diag(g).copy()
     d = np.where(dg > 0, 1.0 / np.sqrt(np.where(dg > 0, dg, 1.0)), 1.0)
@@ -63,13 +55,11 @@ def min_norm_inverse(g: np.ndarray, rcond: float = 1e-12):
     keep = w > rcond * max(w.max(), 0.0)
     g_minus = (d[:, None] * (v[:, keep] / w[keep]) @ v[:, keep].T) * d[None, :]
     null = d[:, None] * v[:, ~keep]
-    if null.shape[1]:
-        q, _ = np.linalg.qr(null)
-        proj = np.eye(k) - q @ q.T
-    else:
-        q = np.zeros((k, 0))
-        proj = np.eye(k)
-    return proj @ g_minus @ proj, q, int(keep.sum())
+    if not null.shape[1]:
+        return g_minus, g_minus, np.zeros((k, 0)), k
+    q, _ = np.linalg.qr(null)
+    proj = np.eye(k) - q @ q.T
+    return g_minus, proj @ g_minus @ proj, q, int(keep.sum())
 
 
 @dataclass
@@ -132,88 +122,167 @@ class OLSResult:
 COV_TYPES = ("HC3", "HC1", "HC0", "nonrobust")
 
 
+class _Rows:
+    """Design rows of a batch: column numbers and values, both (n x s).
+    Column k is the target; dropped levels have the number k + 1 and the
+    value 0, so row k + 1 of a sum is free for counts."""
+
+    def __init__(self, pdf: pd.DataFrame, y: str, x: list[str], factors: list[str],
+                 levels: dict[str, list]):
+        n, k = len(pdf), len(x) + sum(len(v) - 1 for v in levels.values())
+        cols = [np.full(n, j) for j in range(len(x))]
+        vals = [pdf[c].to_numpy(float) for c in x]
+        base = len(x)
+        for f in factors:
+            code = pd.Categorical(pdf[f], categories=levels[f]).codes.astype(int)
+            cols.append(np.where(code > 0, base + code - 1, k + 1))
+            vals.append((code > 0).astype(float))
+            base += len(levels[f]) - 1
+        self.y = pdf[y].to_numpy(float)
+        self.k, self.cols, self.vals = k, cols, vals
+
+    def add_products(self, into: np.ndarray, weight: np.ndarray | float, target: bool) -> None:
+        cols, vals = list(self.cols), list(self.vals)
+        if target:
+            cols.append(np.full(len(self.y), self.k))
+            vals.append(self.y)
+        for ca, va in zip(cols, vals):
+            for cb, vb in zip(cols, vals):
+                np.add.at(into, (ca, cb), weight * va * vb)
+
+    def residual(self, coef: np.ndarray) -> np.ndarray:
+        b = np.append(coef, [0.0, 0.0])
+        return self.y - sum(v * b[c] for c, v in zip(self.cols, self.vals))
+
+    def leverage(self, ginv: np.ndarray) -> np.ndarray:
+        return sum(va * vb * ginv[ca, cb] for ca, va in zip(self.cols, self.vals)
+                   for cb, vb in zip(self.cols, self.vals))
+
+
+def _summed(df: DataFrame, size: int, make) -> np.ndarray:
+    """Sum over all rows of the (size x size) array that ``make(pdf, into)``
+    adds to: one array per task, then its rows by a grouped sum."""
+    def partial(batches):
+        into = np.zeros((size, size))
+        for pdf in batches:
+            make(pdf, into)
+        yield pd.DataFrame({"i": range(size), "part": [r.tobytes() for r in into]})
+
+    def total(pdf):
+        row = sum(np.frombuffer(b) for b in pdf["part"])
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": [row.tobytes()]})
+    rows = (df.mapInPandas(partial, "i int, part binary").groupBy("i")
+            .applyInPandas(total, "i int, part binary").collect())
+    out = np.zeros((size, size))
+    for r in rows:
+        out[r["i"]] = np.frombuffer(r["part"])
+    return out
+
+
 def fit_ols(df: DataFrame, y: str, x: Sequence[str], cov_type: str = "HC3",
-            rcond: float = 1e-12, decimal_scale: int | None = None,
-            absorbed: int = 0) -> OLSResult:
-    """OLS of ``y`` on the design columns ``x`` (include "const" for an
-    intercept).  Rows with a null in y or x must be removed by the caller
-    (complete cases, F8).  ``cov_type`` is one of HC3, HC1, HC0, nonrobust.
-    ``absorbed`` counts parameters already projected out of y and x (fixed
-    effects removed by a within transform); it enters the degrees of
-    freedom, so the nonrobust and HC1 errors equal those of the dummy
-    regression.  HC3 needs the leverage of the full design and is refused
-    when ``absorbed`` > 0."""
+            rcond: float = 1e-12, absorbed: int = 0, factors: Sequence[str] = ()) -> OLSResult:
+    """OLS of ``y`` on the columns ``x`` (include "const" for an intercept;
+    it need not be a column) and treatment-coded ``factors``.  Rows with a
+    null in any of them take no part (complete cases, F8).  ``cov_type`` is
+    one of HC3, HC1, HC0, nonrobust.  ``absorbed`` counts parameters already
+    projected out of y and x (fixed effects removed by a within transform); it
+    enters the degrees of freedom, so the nonrobust and HC1 errors equal
+    those of the dummy regression.  HC3 needs the leverage of the full
+    design and is refused when ``absorbed`` > 0."""
     if cov_type not in COV_TYPES:
         raise ValueError(f"unknown cov_type {cov_type!r}")
     if cov_type == "HC3" and absorbed:
         raise ValueError("HC3 needs the full design's leverage; use HC1 with absorbed effects")
-    x = list(x)
-    k = len(x)
-    cols = x + [y]
-    row = cross_products(df, cols, decimal_scale).first().asDict()
-    n = int(row["n"])
-    full = gram_from_row(row, cols)
+    x, factors = list(x), list(factors)
+    const = "const" in x
+    if const and "const" not in df.columns:
+        df = df.withColumn("const", F.lit(1.0))
+    num = list(dict.fromkeys(x + [y]))
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in num], *factors).dropna()
+    levels = {f: factor_levels(df, f) for f in factors}
+    names = x + [dummy_name(f, v) for f in factors for v in levels[f][1:]]
+    k = len(names)
+    shipped = df.sparkSession.sparkContext.broadcast(levels)
+
+    def gram(pdf, into):
+        _Rows(pdf, y, x, factors, shipped.value).add_products(into, 1.0, True)
+        into[k + 1, 0] += len(pdf)
+        into[k + 1, 1] += pdf[y].sum()
+    full = _summed(df, k + 2, gram)
+    n, y_sum = int(full[k + 1, 0]), full[k + 1, 1]
     g, xy = full[:k, :k], full[:k, k]
-    ginv, null_basis, rank = min_norm_inverse(g, rcond)
-    coef = ginv @ xy
+    # any generalised inverse gives the same fit and the same identified
+    # coefficients; the others are reported with minimum norm
+    ginv, plus, null_basis, rank = min_norm_inverse(g, rcond)
+    solution = ginv @ xy
     identified = [bool(np.linalg.norm(null_basis[i]) < 1e-8) for i in range(k)]
+    coef = np.where(identified, solution, plus @ xy)
 
-    ybar = row[f"const__{y}"] / n if "const" in x else None
-    # residual, leverage and weight are projected once per row; the
-    # aggregates then read plain columns (small generated code)
-    e = F.col(y).cast("double") - predict(x, coef)
-    cols = {"__e": e}
-    if cov_type == "HC3":
-        cols["__h"] = leverage(x, ginv)
-    base = df.select(*[F.col(c) for c in dict.fromkeys(x + [y])], *[v.alias(k2) for k2, v in cols.items()])
-    e = F.col("__e")
-    aggs = [F.sum(e * e).alias("ssr")]
-    if ybar is not None:
-        aggs.append(F.sum((F.col(y) - F.lit(ybar)) ** 2).alias("sst"))
-    else:
-        aggs.append(F.sum(F.col(y) * F.col(y)).alias("sst"))
-    if cov_type != "nonrobust":
+    centre = y_sum / n if const and n else 0.0
+    padded = np.zeros((k + 2, k + 2))
+    padded[:k, :k] = ginv
+    known = df.sparkSession.sparkContext.broadcast((solution, padded))
+
+    def meat(pdf, into):
+        b, gi = known.value
+        rows = _Rows(pdf, y, x, factors, shipped.value)
+        e = rows.residual(b)
+        w = e * e
         if cov_type == "HC3":
-            h = F.col("__h")
-            bad = (F.lit(1.0) - h) < F.lit(LEVERAGE_EPS)
-            base = base.withColumn("__w", F.when(~bad, (e * e) / ((F.lit(1.0) - h) ** 2)))
-            for i, a in enumerate(x):
-                aggs.append(F.sum(F.when(bad, F.abs(F.col(a)))).alias(f"bad_{i}"))
-        else:
-            base = base.withColumn("__w", e * e)
-        w = F.col("__w")
-        for i, a in enumerate(x):
-            for j in range(i, k):
-                aggs.append(F.sum(F.col(a) * F.col(x[j]) * w).alias(f"m_{i}_{j}"))
-    r2 = base.agg(*aggs).first().asDict()
-    ssr, sst = float(r2["ssr"]), float(r2["sst"])
+            room = 1.0 - rows.leverage(gi)
+            bad = room < LEVERAGE_EPS
+            w = np.where(bad, 0.0, w / np.where(bad, 1.0, room) ** 2)
+            for c, v in zip(rows.cols, rows.vals):
+                np.add.at(into[k], c, np.abs(v) * bad)  # columns a blocked row touches
+        if cov_type != "nonrobust":
+            rows.add_products(into, w, False)
+        into[k + 1, 0] += (e * e).sum()
+        into[k + 1, 1] += ((rows.y - centre) ** 2).sum()
+    second = _summed(df, k + 2, meat)
+    ssr, sst = float(second[k + 1, 0]), float(second[k + 1, 1])
 
     dof = max(n - rank - absorbed, 1)
-    if cov_type != "nonrobust":
-        meat = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                meat[i, j] = meat[j, i] = r2[f"m_{i}_{j}"] or 0.0
-        cov = ginv @ meat @ ginv
-        if cov_type == "HC1":
-            cov = cov * (n / dof)
-        blocked = [bool(r2.get(f"bad_{i}")) for i in range(k)]
-    else:
+    if cov_type == "nonrobust":
         cov = (ssr / dof) * ginv
-        blocked = [False] * k
+    else:
+        cov = ginv @ second[:k, :k] @ ginv * (n / dof if cov_type == "HC1" else 1.0)
+    blocked = second[k, :k] > 0
     se, z, p = [], [], []
     for i in range(k):
         v = cov[i, i]
         if blocked[i] or not identified[i] or not np.isfinite(v) or v <= 0:
-            se.append(None); z.append(None); p.append(None)
+            se.append(None)
+            z.append(None)
+            p.append(None)
             continue
         s = math.sqrt(v)
         zz = coef[i] / s
-        se.append(s); z.append(float(zz)); p.append(math.erfc(abs(zz) / math.sqrt(2.0)))
-    return OLSResult(x, coef, cov, se, z, p, identified, rank, n, ssr, sst, cov_type)
+        se.append(s)
+        z.append(float(zz))
+        p.append(math.erfc(abs(zz) / math.sqrt(2.0)))
+    return OLSResult(names, coef, cov, se, z, p, identified, rank, n, ssr, sst, cov_type)
 
 
 def within_slope(demeaned: DataFrame, y: str, x: str) -> DataFrame:
     """Slope of the two-way demeaned y on demeaned x (one aggregate)."""
     return demeaned.agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("slope"),
                         F.count(F.lit(1)).alias("n"))
+
+
+# What the metadata row says of a fixed-effects regression.
+FE_ASSUMPTIONS = "Associational, not causal. Controls for industry and year effects."
+FE_PURPOSE = "Estimate relationship between tariffs, infrastructure, and unemployment"
+
+
+def regression_metadata(spark: SparkSession, res: OLSResult, y: str, formula: str,
+                        model_name: str = "panel_fixed_effects",
+                        fixed_effects: str = "industry and year",
+                        feature_table: str = "features", assumptions: str = FE_ASSUMPTIONS,
+                        purpose: str = FE_PURPOSE) -> DataFrame:
+    """One row describing a fitted model (M5)."""
+    return spark.createDataFrame(
+        [(model_name, y, fixed_effects, res.cov_type, feature_table, res.n, res.rank,
+          len(res.names), formula, assumptions, purpose)],
+        "model_name string, dependent_variable string, fixed_effects string, robust_se string, "
+        "feature_table string, n_obs long, rank int, n_params int, formula string, "
+        "assumptions string, purpose string")

@@ -1,8 +1,8 @@
 """Two-way fixed effects with many levels: the within transform by
 alternating projections (W7 generalised, SURVEY q3).
 
-Dummy columns stop scaling at a few hundred levels (k^2 Gram terms).
-Instead, y and the regressors are demeaned by entity and by period in turn
+With very many levels even one k x k array is too large.  Then y and the
+regressors are demeaned by entity and by period in turn
 until both sets of means vanish (the method of alternating projections;
 one round is exact for a balanced panel).  By the Frisch-Waugh-Lovell
 theorem OLS on the demeaned columns gives the fixed-effects slopes, with
@@ -29,7 +29,8 @@ def alternating_demean(df: DataFrame, cols: Sequence[str], entity: str, period:
                        tol: float = 1e-10, max_iter: int = 500,
                        period_bound: int | None = None,
                        check_every: int = 5) -> tuple[DataFrame, int]:
-    """Returns (demeaned frame, rounds used).  Stops when every entity and
+    """Returns (demeaned frame, rounds used); raises when ``max_iter`` rounds do
+    not get there.  Stops when every entity and
     period mean is below ``tol`` times the column's initial RMS; the check
     and the checkpoint run every ``check_every`` rounds, so the lineage is
     never more than that many rounds deep."""
@@ -51,7 +52,7 @@ def alternating_demean(df: DataFrame, cols: Sequence[str], entity: str, period:
                    .agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first().asDict())
         if all((left[c] or 0.0) <= tol * max(scale[c] or 0.0, 1e-300) for c in cols):
             return cur, it
-    return cur, max_iter
+    raise RuntimeError(f"two-way means above tolerance after {max_iter} rounds")
 
 
 def fe_within_ols(df: DataFrame, y: str, x: Sequence[str], entity: str, period: str,

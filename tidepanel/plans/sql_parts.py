@@ -31,3 +31,12 @@ def month_index(col: str) -> str:
 
 def any_kw(col: str, kws) -> str:
     return "(" + " OR ".join(f"contains(lower({col}), '{k}')" for k in kws) + ")"
+
+
+def two_sided_p(z: str) -> str:
+    """2 (1 - Phi(|z|)) = 1 - erf(|z| / sqrt 2) by the series
+    erf(x) = exp(-x^2) sum_n x^(2n+1) / Gamma(n + 3/2), all terms positive."""
+    x = f"(abs({z}) / sqrt(2))"
+    return (f"CASE WHEN {z} IS NULL THEN NULL WHEN {x} > 8 THEN 0 WHEN {x} = 0 THEN 1 ELSE "
+            f"1 - exp(-{x} * {x}) * list_sum(list_transform(range(0, 300), "
+            f"lambda n: exp((2 * n + 1) * ln({x}) - lgamma(n + 1.5)))) END")
