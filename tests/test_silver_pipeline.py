@@ -2,12 +2,13 @@
 tables -> panel -> features, checked against hand-computed values."""
 
 import zipfile
+from dataclasses import replace
 
 import pytest
 
 from tidepanel.plans import features as feat
 from tidepanel.plans.gold import gold_panel
-from tidepanel.plans.silver import (PRODUCTS, REFERENCE_GOLD, duplicate_ids,
+from tidepanel.plans.silver import (PRODUCTS, REFERENCE_GOLD, asset_classes, duplicate_ids,
                                     gold_tables_from_silver, registry)
 from tidepanel.sources.archives import ingest
 
@@ -77,8 +78,13 @@ def test_registry_duplicates(spark):
 
 
 def test_gold_panel_and_features_from_archives(spark, silver):
-    tables, cfg = gold_tables_from_silver(silver)
-    assert cfg.investment_classes == ("Rail", "Roads and highways")      # "Schools" filtered out
+    found = sorted(r.asset_class for r in asset_classes(silver).collect())
+    assert found == ["Rail", "Roads and highways"]                       # "Schools" filtered out
+    cfg = replace(REFERENCE_GOLD, investment_classes=tuple(found))
+    tables = gold_tables_from_silver(silver, cfg)
+    total = gold_tables_from_silver(silver).infrastructure              # no list: the total only
+    assert {r.year: r.infra_invest_total_transport for r in total.collect()}[2018] == 150
+    assert "inv_rail" in tables.infrastructure.columns and "inv_rail" not in total.columns
     lab = {(r.year, r.industry): r for r in tables.labour.collect()}
     assert set(i for _, i in lab) == {"construction", "manufacturing", "retail_trade"}
     assert lab[(2017, "construction")].unemployment_rate == pytest.approx(5.0 + 0.4 + 1)

@@ -200,8 +200,3 @@ def pulse_dummy(period: str | Column, periods: Sequence[int]) -> Column:
 def log1p(col: str | Column) -> Column:
     """log(1 + x); x <= -1 gives null."""
     return F.log1p(_c(col))
-
-
-def typed_null(dtype: str = "double") -> Column:
-    """A null of a given type, for a measure with no source column."""
-    return F.lit(None).cast(dtype)

@@ -34,15 +34,26 @@ def numeric(df: DataFrame, col: str) -> Column:
     return c if isinstance(dt, T.DecimalType) else c.cast("double")
 
 
+def lossless_decimal(col: str, scale: int = 2, precision: int = 18) -> Column:
+    """The column as an exact ``decimal(precision, scale)``; a value with more
+    digits raises instead of losing them (give the scale the data have)."""
+    c = F.col(col)
+    d = c.cast(f"decimal({precision},{scale})")
+    same = c.isNull() | (d.cast("double") == c.cast("double"))
+    return F.when(same, d).otherwise(F.raise_error(F.concat(
+        F.lit(f"{col} has more than {scale} decimals: "), c.cast("string"))).cast(
+            f"decimal({precision},{scale})"))
+
+
 def as_cents(df: DataFrame, *cols: str, scale: int = 2) -> DataFrame:
-    """Mark two-decimal (money, quantity) columns as exact decimals; every
-    operator here then sums them exactly and converts to double once, so
-    results do not depend on how rows are split over tasks."""
-    return df.withColumns({c: F.col(c).cast(f"decimal(18,{scale})") for c in cols})
+    """Mark money or quantity columns of at most ``scale`` decimals as exact;
+    every operator here then sums them exactly and converts to double once,
+    so results do not depend on how rows are split over tasks."""
+    return df.withColumns({c: lossless_decimal(c, scale) for c in cols})
 
 
 def exact_sum(col: str, scale: int = 2) -> Column:
-    return F.sum(F.col(col).cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(lossless_decimal(col, scale)).cast("double")
 
 
 def exact_mean(col: str, scale: int = 2) -> Column:
@@ -206,20 +217,3 @@ def best_by(df: DataFrame, group_cols: Sequence[str], score_col: str, order_cols
         .agg(F.min_by(payload, ranked).alias("__best"))
     )
     return best.select(*group_cols, *[F.col(f"__best.{c}").alias(c) for c in keep])
-
-
-def cross_products(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
-                   weight: Column | None = None, prefix: str = "") -> DataFrame:
-    """Sums of x_i * x_j for i <= j (and n) in one aggregate (A14): the
-    normal equations of a regression.  Each task adds its rows into
-    k(k+1)/2 numbers; only those numbers are shuffled."""
-    aggs = [F.count(F.lit(1)).alias(f"{prefix}n")]
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            term = F.col(a) * F.col(b)
-            if weight is not None:
-                term = term * weight
-            aggs.append(F.sum(term).alias(f"{prefix}{a}__{b}"))
-    if group_cols:
-        return df.groupBy(*group_cols).agg(*aggs)
-    return df.agg(*aggs)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import sanitize_name
+from .aggregate import lossless_decimal
 
 
 def factor_levels(df: DataFrame, col: str) -> list:
@@ -51,12 +52,12 @@ def cross_products(df: DataFrame, cols: Sequence[str], decimal_scale: int | None
                    group_cols: Sequence[str] = ()) -> DataFrame:
     """sum(x_i * x_j) for i <= j and the row count, in one aggregate.
 
-    ``decimal_scale`` sums in exact decimal arithmetic (inputs cast to
-    ``decimal(18, s)``): the result then does not depend on how rows are
-    split across tasks, so reruns on a different cluster agree to the bit."""
+    ``decimal_scale`` sums in exact decimal arithmetic (inputs as
+    ``decimal(18, s)``; more digits raise): the result then does not depend
+    on how rows are split across tasks, so reruns on a different cluster
+    agree to the bit."""
     def v(c):
-        x = F.col(c)
-        return x.cast(f"decimal(18,{decimal_scale})") if decimal_scale is not None else x
+        return lossless_decimal(c, decimal_scale) if decimal_scale is not None else F.col(c)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(cols):
         for b in cols[i:]:

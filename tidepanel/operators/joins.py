@@ -57,7 +57,3 @@ def star_join(fact: DataFrame, dims: Sequence[DataFrame], on: Sequence[str] | st
     for d in dims:
         out = out.join(broadcast_bounded(d, dim_bound), on=on, how="left")
     return out
-
-
-def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    return left.join(right, on=on, how="left_semi")

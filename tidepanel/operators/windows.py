@@ -53,11 +53,6 @@ def back_fill(x: str | Column, key, period: str) -> Column:
     return F.first(c, ignorenulls=True).over(w)
 
 
-def add_lags(df: DataFrame, cols: Sequence[str], key, period: str, n: int = 1,
-             strict: bool = False, suffix: str = "_lag1") -> DataFrame:
-    return df.withColumns({f"{c}{suffix}": lag(c, key, period, n, strict) for c in cols})
-
-
 def two_way_demean(df: DataFrame, cols: Sequence[str], key, period: str,
                    suffix: str = "_dm", period_bound: int | None = None) -> DataFrame:
     """x - mean over entity - mean over period + grand mean (W7), the exact

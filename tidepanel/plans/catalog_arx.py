@@ -147,6 +147,17 @@ def _scaled(cols, by, flag, src):
     FROM {src} WINDOW w AS (PARTITION BY {by})"""
 
 
+# large values (a variance in squared money) to the hundred, others to six places
+PARAM_SQL = ("CASE WHEN abs(param_value) >= 1e6 THEN round(param_value, -2) "
+             "ELSE round(param_value, 6) END + 0.0")
+
+
+def _params(df):
+    v = F.col("param_value")
+    shown = F.when(F.abs(v) >= 1e6, F.round(v, -2)).otherwise(F.round(v, 6)) + F.lit(0.0)
+    return places(df.withColumn("param_value", shown))
+
+
 def _params_sql(exog, key, train_end):
     rows = [("intercept", "intercept"), *[(c, f"beta_{c}") for c in exog], ("ar.L1", "phi_1"),
             ("sigma2", "sigma2")]
@@ -154,7 +165,7 @@ def _params_sql(exog, key, train_end):
         f"SELECT {key}, ord, status, '{n}' AS param_name, {c} AS param_value, aic, bic FROM fits "
         "WHERE fit" for n, c in rows)
     return f"""SELECT {key}, {train_end} AS train_end, ord, status, param_name,
-  {rounded_list(["param_value"])}, {rounded_list(["aic", "bic"], 4)}, '{",".join(exog)}' AS exog_cols,
+  {PARAM_SQL} AS param_value, {rounded_list(["aic", "bic"], 4)}, '{",".join(exog)}' AS exog_cols,
   TRUE AS standardized_exog
 FROM ({parts} UNION ALL SELECT {key}, ord, status, NULL, NULL, aic, bic FROM fits WHERE NOT fit)"""
 
@@ -171,7 +182,7 @@ def q_model_params(spark, d):
     s = standardize_by_fold(s.withColumn("fold", F.lit(TRAIN_END))
                              .withColumn("is_train", F.lit(True)), "k", "fold", EXOG, suffix="")
     fits = fit_orders(s, ["k"], "p", "y", EXOG, [(1, 0, 0)])
-    return places(fit_params(fits, ["k"], EXOG, TRAIN_END, standardized=True))
+    return _params(fit_params(fits, ["k"], EXOG, TRAIN_END, standardized=True))
 
 
 def backtest_sql(src, key, period, y, exog, origins, min_train):
@@ -378,7 +389,7 @@ def q_forecast_recipe_scenarios(spark, d):
 def q_forecast_recipe_params(spark, d):
     """The recipe's final model parameters, long form, standardised drivers."""
     from .models import final_params
-    return places(final_params(_v3_rows(spark, d), _v3_spec()))
+    return _params(final_params(_v3_rows(spark, d), _v3_spec()))
 
 
 def _recipe_holdout_sql(orders):

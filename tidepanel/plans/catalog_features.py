@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import growth, log1p, pulse_dummy, safe_div, step_dummy
 from ..operators.windows import first_difference, lag
-from ..operators.joins import broadcast_bounded
-from ..sources.standins import NATION_ROWS
 from ..sources.tables import read_table
 from ..functions.scalars import add_period
 from . import features as feat
 from . import gold
-from .catalog_gold import PANEL_ROUNDING, PANEL_SQL, panel_df
+from .catalog_gold import PANEL_RAW_SQL, PANEL_ROUNDING, panel_df
 from .registry import query, rounded
 from .sql_gold import of_config, panel_sql
-from .series import SEGMENT_MONTH_SQL, month_index, segment_month
+from .series import (NATION_SEGMENT_MONTH_SQL, SEGMENT_MONTH_SQL, month_index,
+                     nation_segment_month, segment_month)
 
 E1, E2 = month_index(1998, 1), month_index(2000, 1)
 PULSE = list(range(month_index(1999, 1), month_index(2000, 12) + 1))
@@ -106,37 +105,16 @@ def q_lag_features(spark, d):
     return sm.select("k", "p", *[lag(c, "k", "p").alias(f"{c}_lag1") for c in ("y", "x1", "x_p")])
 
 
-_SPARSE_SQL = """sp AS (
-  SELECT n_name || '|' || c_mktsegment AS k,
-         CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS p,
-         round(sum(o_totalprice) / 1e6, 8) AS v
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderstatus = 'P' GROUP BY 1, 2)"""
-
-
-def _sparse_series(spark, d):
-    """Partly shipped orders per (nation|segment, month): months without
-    one are missing rows, so the series has real calendar gaps."""
-    o = read_table(spark, d, "orders").filter(F.col("o_orderstatus") == "P")
-    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    n = broadcast_bounded(read_table(spark, d, "nation").select("n_nationkey", "n_name"),
-                          NATION_ROWS)
-    oc = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
-    oc = add_period(oc, "o_orderdate", "month", "p")
-    return oc.groupBy(F.concat_ws("|", "n_name", "c_mktsegment").alias("k"), "p").agg(
-        F.round(F.sum("o_totalprice") / 1e6, 8).alias("v"))
-
-
 @query("lag_calendar_strict", step=3, sql=f"""
-WITH {_SPARSE_SQL}
-SELECT k, p, v, lag(v) OVER w AS v_lag_row,
-       CASE WHEN p - lag(p) OVER w = 1 THEN lag(v) OVER w END AS v_lag_strict
-FROM sp {W}
+WITH {NATION_SEGMENT_MONTH_SQL}
+SELECT k, p, y AS v, lag(y) OVER w AS v_lag_row,
+       CASE WHEN p - lag(p) OVER w = 1 THEN lag(y) OVER w END AS v_lag_strict
+FROM sm {W}
 """)
 def q_lag_calendar_strict(spark, d):
     """W2 strict: a lag only when the previous row is exactly one period back
-    (months without partly shipped orders are missing from this series)."""
-    sp = _sparse_series(spark, d)
+    (months without an order of a nation and segment are missing)."""
+    sp = nation_segment_month(spark, d).withColumnRenamed("y", "v")
     return sp.select("k", "p", "v", lag("v", "k", "p").alias("v_lag_row"),
                      lag("v", "k", "p", strict=True).alias("v_lag_strict"))
 
@@ -168,84 +146,136 @@ def q_model_rows(spark, d):
 SPEC = feat.standin_spec()
 
 
-def _log_columns(spec):
-    """Columns computed through a logarithm (log1p in Spark, ln(1 + x) in
-    the oracle: equal up to the last bit, so they are rounded); every other
-    feature is exact arithmetic on exact inputs and left as is."""
-    logs = {n for n, _ in spec.logs}
-    return logs | {n for n, dm, x in spec.interactions if x in logs}
+# Values that the engines compute by different algorithms (sums of inexact
+# unit prices, logarithms) are rounded in the final projection only.
+PRICE_MEANS = ("cpi_core_avg", "construction_material_price_index_avg",
+               "industrial_product_price_index_avg")
+FEATURE_ROUNDING = {**{c: 4 for c in PRICE_MEANS},
+                    **{c: 4 for c in ("cpi_core_lag1", "cm_index_lag1", "ipp_index_lag1")},
+                    **{c: 6 for c in ("inflation_proxy", "construction_cost_pressure",
+                                      "industrial_cost_pressure", "log_exports_total",
+                                      "log_exports_us", "infra_invest_log")}}
 
 
-def features_df(spark, d, cfg: gold.GoldConfig | None = None, spec: feat.FeatureSpec = SPEC):
-    """Features over the gold panel (unit-price means rounded, as checked)."""
-    panel = panel_df(spark, d, cfg) if cfg is not None else panel_df(spark, d)
-    panel = rounded(panel, 6, **PANEL_ROUNDING)
-    out = feat.build_features(panel, spec)
-    logs = _log_columns(spec)
-    return rounded(out, 6, **{c: None for c in out.columns if c not in logs})
-
-
-def _ln1p(c):
-    return f"CASE WHEN {c} > -1 THEN ln(1 + {c}) END"
-
-
-def features_sql(spec: feat.FeatureSpec = SPEC, panel: str = PANEL_SQL,
-                 cfg: gold.GoldConfig = gold.GoldConfig()) -> str:
-    l1 = []
-    for n, s in spec.events:
-        l1.append(f"CAST({spec.period} >= {s} AS INTEGER) AS {n}")
-    for n, a, b in spec.diffs:
-        l1.append(f"{a} - {b} AS {n}")
-    for n, a, b in spec.ratios:
-        l1.append(f"{a} / nullif({b}, 0) AS {n}")
-    for n, s in spec.logs:
-        l1.append(f"{_ln1p(s)} AS {n}")
-    for n, s in spec.lags:
-        l1.append(f"lag({s}) OVER w AS {n}")
-    l2 = [f"{s} / nullif({lg}, 0) - 1 AS {n}" for n, s, lg in spec.growths]
-    l2 += [f"{dm} * {x} AS {n}" for n, dm, x in spec.interactions]
-    panel_cols = gold.panel_columns(cfg)
-    ints = {spec.period} | {n for n, _ in spec.events}
-    out_cols = panel_cols + [n for n, *_ in spec.engineered()]
-    logs = _log_columns(spec)
-    final = ", ".join(f"round({c}, 6) AS {c}" if c in logs else c for c in out_cols)
-    cats = ", ".join(f"'{c}'" for c in spec.categories)
-    return f"""
-WITH panel AS ({panel}),
-  b AS (SELECT * FROM panel WHERE {spec.key} IN ({cats}) AND {spec.period} >= {spec.min_period}),
-  l1 AS (SELECT *, {", ".join(l1)} FROM b
-         WINDOW w AS (PARTITION BY {spec.key} ORDER BY {spec.period})),
-  l2 AS (SELECT *, {", ".join(l2)} FROM l1)
-SELECT {final} FROM l2 WHERE {spec.require} IS NOT NULL
-"""
+def _feature_places(columns):
+    return {c: FEATURE_ROUNDING.get(c, 6 if c.endswith("_x_infra_invest") else None)
+            for c in columns}
 
 
-FEATURES_SQL = features_sql()
+def features_df(spark, d, cfg: gold.GoldConfig | None = None, spec: feat.FeatureSpec = SPEC):
+    """Features over the gold panel, unrounded."""
+    panel = panel_df(spark, d, cfg) if cfg is not None else panel_df(spark, d)
+    return feat.build_features(panel, spec)
 
 
-@query("features", step=3, sql=FEATURES_SQL)
+def features_raw_sql(panel: str, period: str, e1: str, e2: str, s1: int, s2: int, lo: int) -> str:
+    """The feature table written out by hand from its documented formulas
+    (it shares nothing with the feature specification)."""
+    return f"""
+WITH panel AS ({panel}),
+  b AS (SELECT * FROM panel WHERE industry IN ('automobile', 'building', 'machinery')
+        AND {period} >= {lo}),
+  l AS (SELECT *,
+      CASE WHEN {period} >= {s1} THEN 1 ELSE 0 END AS {e1},
+      CASE WHEN {period} >= {s2} THEN 1 ELSE 0 END AS {e2},
+      labour_force - employment AS unemployment_count,
+      employment / nullif(labour_force, 0) AS employment_rate,
+      infra_avg_age_transport / nullif(infra_rusl_ratio_transport, 0) AS infra_gap,
+      CASE WHEN exports_total > -1 THEN ln(1 + exports_total) END AS log_exports_total,
+      CASE WHEN exports_us > -1 THEN ln(1 + exports_us) END AS log_exports_us,
+      CASE WHEN infra_invest_total_transport > -1
+           THEN ln(1 + infra_invest_total_transport) END AS infra_invest_log,
+      lag(cpi_core_avg) OVER w AS cpi_core_lag1,
+      lag(construction_material_price_index_avg) OVER w AS cm_index_lag1,
+      lag(industrial_product_price_index_avg) OVER w AS ipp_index_lag1,
+      lag(unemployment_rate) OVER w AS unemployment_rate_lag1,
+      lag(exports_total) OVER w AS exports_total_lag1,
+      lag(infra_invest_total_transport) OVER w AS infra_invest_total_transport_lag1,
+      lag(boc_policy_rate_avg) OVER w AS boc_policy_rate_lag1
+    FROM b WINDOW w AS (PARTITION BY industry ORDER BY {period}))
+SELECT *,
+  cpi_core_avg / nullif(cpi_core_lag1, 0) - 1 AS inflation_proxy,
+  construction_material_price_index_avg / nullif(cm_index_lag1, 0) - 1
+    AS construction_cost_pressure,
+  industrial_product_price_index_avg / nullif(ipp_index_lag1, 0) - 1 AS industrial_cost_pressure,
+  exports_total / nullif(exports_total_lag1, 0) - 1 AS exports_total_yoy,
+  {e1} * us_export_share AS {e1}_x_us_share, {e2} * us_export_share AS {e2}_x_us_share,
+  {e1} * infra_avg_age_transport AS {e1}_x_infra_age,
+  {e2} * infra_avg_age_transport AS {e2}_x_infra_age,
+  {e1} * infra_invest_log AS {e1}_x_infra_invest, {e2} * infra_invest_log AS {e2}_x_infra_invest
+FROM l WHERE unemployment_rate_lag1 IS NOT NULL"""
+
+
+def _shown(raw: str, e1: str, e2: str) -> str:
+    cols = ", ".join(f"round({c}, {n}) AS {c}" for c, n in {
+        **FEATURE_ROUNDING, f"{e1}_x_infra_invest": 6, f"{e2}_x_infra_invest": 6}.items())
+    return f"SELECT * REPLACE ({cols}) FROM ({raw})"
+
+
+FEATURES_SQL = features_raw_sql(PANEL_RAW_SQL, "year", "event_1998", "event_2000", 1998, 2000, 1995)
+
+
+@query("features", step=3, sql=_shown(FEATURES_SQL, "event_1998", "event_2000"))
 def q_features(spark, d):
     """The 25 engineered columns over the panel."""
-    return features_df(spark, d)
+    out = features_df(spark, d)
+    return rounded(out, 6, **_feature_places(out.columns))
+
+
+# The dictionary written out by hand: name, type, description, formula,
+# source, kind.
+_DICTIONARY = """
+year|int|Calendar year extracted from ref_date|year|gold|base
+industry|string|Canonical industry label|industry|gold|base
+unemployment_rate|double|Unemployment rate for industry-year|unemployment_rate|gold_labour|base
+us_export_share|double|US export share|exports_us / exports_total|gold_trade_partner|base
+event_1998|int|Event dummy starting 1998|1 if year >= 1998 else 0|engineered|event
+event_2000|int|Event dummy starting 2000|1 if year >= 2000 else 0|engineered|event
+unemployment_count|double|Implied unemployed count|labour_force - employment|gold_labour|difference
+employment_rate|double|Employment divided by labour force|employment / labour_force|gold_labour|ratio
+infra_gap|double|Infra stress proxy|infra_avg_age_transport / infra_rusl_ratio_transport|gold_infrastructure|ratio
+log_exports_total|double|Log(1+total exports)|log1p(exports_total)|gold_trade_partner|log
+log_exports_us|double|Log(1+exports to US)|log1p(exports_us)|gold_trade_partner|log
+infra_invest_log|double|Log(1+transport infra investment)|log1p(infra_invest_total_transport)|gold_infrastructure|log
+cpi_core_lag1|double|Lagged cpi_core_avg|lag(cpi_core_avg, 1) over industry|engineered|lag
+cm_index_lag1|double|Lagged construction_material_price_index_avg|lag(construction_material_price_index_avg, 1) over industry|engineered|lag
+ipp_index_lag1|double|Lagged industrial_product_price_index_avg|lag(industrial_product_price_index_avg, 1) over industry|engineered|lag
+unemployment_rate_lag1|double|Lagged unemployment rate by industry|lag(unemployment_rate, 1) over industry|engineered|lag
+exports_total_lag1|double|Lagged exports_total by industry|lag(exports_total, 1) over industry|engineered|lag
+infra_invest_total_transport_lag1|double|Lagged infra_invest_total_transport|lag(infra_invest_total_transport, 1) over industry|engineered|lag
+boc_policy_rate_lag1|double|Lagged policy rate by industry|lag(boc_policy_rate_avg, 1) over industry|engineered|lag
+inflation_proxy|double|YoY core CPI change|(cpi_core_avg / cpi_core_lag1) - 1|gold_prices|growth
+construction_cost_pressure|double|YoY construction material index change|(construction_material_price_index_avg / cm_index_lag1) - 1|gold_prices|growth
+industrial_cost_pressure|double|YoY industrial product price change|(industrial_product_price_index_avg / ipp_index_lag1) - 1|gold_prices|growth
+exports_total_yoy|double|Year-over-year export growth|(exports_total / exports_total_lag1) - 1|gold_trade_partner|growth
+event_1998_x_us_share|double|event_1998 dummy interacted with US export share|event_1998 * us_export_share|engineered|interaction
+event_2000_x_us_share|double|event_2000 dummy interacted with US export share|event_2000 * us_export_share|engineered|interaction
+event_1998_x_infra_age|double|event_1998 dummy interacted with infra age|event_1998 * infra_avg_age_transport|engineered|interaction
+event_2000_x_infra_age|double|event_2000 dummy interacted with infra age|event_2000 * infra_avg_age_transport|engineered|interaction
+event_1998_x_infra_invest|double|event_1998 dummy interacted with infra investment log|event_1998 * infra_invest_log|engineered|interaction
+event_2000_x_infra_invest|double|event_2000 dummy interacted with infra investment log|event_2000 * infra_invest_log|engineered|interaction
+"""
 
 
-def _dictionary_sql(spec=SPEC):
-    rows = spec.engineered()
-    values = ", ".join(f"('{n}', '{t}', '{f}', '{k}')" for n, t, f, k in rows)
+def _dictionary_sql():
+    rows = [line.split("|") for line in _DICTIONARY.strip().splitlines()]
+    values = ", ".join("(" + ", ".join(f"'{c}'" for c in r) + ")" for r in rows)
     counts = " UNION ALL ".join(
-        f"SELECT '{n}' AS feature_name, count({n}) AS n_non_null FROM feats" for n, *_ in rows)
+        f"SELECT '{r[0]}' AS feature_name, count({r[0]}) AS n_non_null FROM feats" for r in rows)
     return f"""
 WITH feats AS ({FEATURES_SQL}),
-  d AS (SELECT * FROM (VALUES {values}) AS t(feature_name, data_type, formula, kind)),
+  d AS (SELECT * FROM (VALUES {values})
+        AS t(feature_name, data_type, description, formula, source, kind)),
   c AS ({counts})
-SELECT d.*, c.n_non_null FROM d LEFT JOIN c ON d.feature_name = c.feature_name
+SELECT d.*, 'industry-year' AS grain, c.n_non_null
+FROM d LEFT JOIN c ON d.feature_name = c.feature_name
 """
 
 
 @query("feature_dictionary", step=3, sql=_dictionary_sql())
 def q_feature_dictionary(spark, d):
-    """One documented row per engineered feature, with its coverage in
-    the feature table (every documented feature must be a column)."""
+    """One documented row per base and engineered column, with its
+    coverage in the feature table (every documented column must be there)."""
     return feat.feature_dictionary(spark, SPEC, features_df(spark, d))
 
 
@@ -258,23 +288,26 @@ MONTH_SPEC = feat.reference_spec(
     event_starts=(month_index(1998, 1), month_index(2000, 1)),
     categories=("automobile", "building", "machinery"), min_period=MONTH_CFG.start,
     period="month")
-MONTH_PANEL_SQL = panel_sql(of_config(MONTH_CFG), MONTH_CFG)
+MONTH_PANEL_RAW_SQL = panel_sql(of_config(MONTH_CFG), MONTH_CFG, price_places=None)
 
 
-@query("gold_panel_monthly", step=3, sql=MONTH_PANEL_SQL)
+@query("gold_panel_monthly", step=3, sql=panel_sql(of_config(MONTH_CFG), MONTH_CFG))
 def q_gold_panel_monthly(spark, d):
     """D1-D6 at month grain (period = month index, no geography scope): the
     same builders, one configuration change."""
     return rounded(panel_df(spark, d, MONTH_CFG), 6, **PANEL_ROUNDING)
 
 
-MONTH_FEATURES_SQL = features_sql(MONTH_SPEC, MONTH_PANEL_SQL, MONTH_CFG)
+MONTH_FEATURES_SQL = features_raw_sql(
+    MONTH_PANEL_RAW_SQL, "month", "event_1998", "event_2000", month_index(1998, 1),
+    month_index(2000, 1), MONTH_CFG.start)
 
 
-@query("features_monthly", step=3, sql=MONTH_FEATURES_SQL)
+@query("features_monthly", step=3, sql=_shown(MONTH_FEATURES_SQL, "event_1998", "event_2000"))
 def q_features_monthly(spark, d):
     """D7 at month grain: lags, growth and events on month indexes."""
-    return features_df(spark, d, MONTH_CFG, MONTH_SPEC)
+    out = features_df(spark, d, MONTH_CFG, MONTH_SPEC)
+    return rounded(out, 6, **_feature_places(out.columns))
 
 
 # ---------------------------------------------------------------- day grain

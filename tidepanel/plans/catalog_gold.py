@@ -9,11 +9,11 @@ from ..functions.scalars import (add_period, canonical_category, filter_period_r
                                  horizontal_sum, keyword_any, period_expr, to_double)
 from ..operators.aggregate import (annualize, as_cents, exact_mean, exact_sum as exact_total,
                                    focal_share, pivot_measures)
-from ..operators.joins import full_outer_merge, left_attach, period_count, star_join
+from ..operators.joins import full_outer_merge, left_attach, star_join
 from ..sources import standins
 from ..sources.tables import read_table
 from . import gold
-from .registry import query, rounded
+from .registry import materialize, query, rounded
 from .sql_gold import (G, controls_sql, exact_avg, exact_sum, focal_sql, infrastructure_sql,
                        labour_sql, panel_sql, prices_sql, trade_sql)
 from .sql_parts import LP, OC, any_kw, industry, year
@@ -108,29 +108,25 @@ def q_focal_share(spark, d):
 
 @query("full_outer_merge", step=1, sql=f"""
 WITH a AS (SELECT {year('o_orderdate')} AS year, CAST(count(*) AS DOUBLE) AS n_orders
-           FROM orders WHERE year(o_orderdate) <= 1998 GROUP BY 1),
+           FROM orders GROUP BY 1),
      b AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
-           FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1),
-     c AS (SELECT {year('o_orderdate')} AS year, {exact_sum("o_totalprice")} AS p_value
-           FROM orders WHERE o_orderstatus = 'P' AND year(o_orderdate) BETWEEN 1996 AND 1999
-           GROUP BY 1)
-SELECT coalesce(a.year, b.year, c.year) AS year, n_orders, avg_discount, p_value
+           FROM lineitem GROUP BY 1),
+     c AS (SELECT {year('ts')} AS year, {exact_sum("value")} AS event_value
+           FROM events GROUP BY 1)
+SELECT coalesce(a.year, b.year, c.year) AS year, n_orders, avg_discount, event_value
 FROM a FULL JOIN b ON a.year = b.year
        FULL JOIN c ON coalesce(a.year, b.year) = c.year
 """)
 def q_full_outer_merge(spark, d):
-    """Three period tables over different ranges, merged."""
+    """Three period tables that cover different years, merged."""
     o = _orders_year(spark, d)
     li = add_period(read_table(spark, d, "lineitem"), "l_shipdate", "year", "year")
+    ev = add_period(read_table(spark, d, "events"), "ts", "year", "year")
     # counts as double: a full merge leaves them nullable, and nullable
     # integers do not survive the trip to pandas unchanged
-    a = filter_period_range(o, "year", None, 1998, raw="o_orderdate").groupBy("year").agg(
-        F.count(F.lit(1)).cast("double").alias("n_orders"))
-    b = filter_period_range(li, "year", 1997, None, raw="l_shipdate").groupBy("year").agg(
-        exact_mean("l_discount").alias("avg_discount"))
-    c = filter_period_range(o.filter(F.col("o_orderstatus") == "P"), "year", 1996, 1999,
-                            raw="o_orderdate").groupBy("year").agg(
-        exact_total("o_totalprice").alias("p_value"))
+    a = o.groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("n_orders"))
+    b = li.groupBy("year").agg(exact_mean("l_discount").alias("avg_discount"))
+    c = ev.groupBy("year").agg(exact_total("value").alias("event_value"))
     return full_outer_merge([a, b, c], "year")
 
 
@@ -279,12 +275,11 @@ SELECT year, l_returnflag, {", ".join(_HS_COLS)},
 FROM (SELECT {year('l_shipdate')} AS year, l_returnflag,
         {", ".join(exact_sum("l_extendedprice", f"p_type = '{t}'") + f" AS inv_{t.lower()}"
                    for t in CFG.investment_classes)}
-      FROM lp WHERE contains(lower(p_name), 'gizmo') AND p_size < 5 GROUP BY 1, 2)
+      FROM lp GROUP BY 1, 2)
 """)
 def q_horizontal_sum(spark, d):
     """Null-as-zero row sum over sparse pivot columns."""
-    df = as_cents(_lp_year(spark, d), "l_extendedprice").filter(
-        keyword_any("p_name", ["gizmo"]) & (F.col("p_size") < 5))
+    df = as_cents(_lp_year(spark, d), "l_extendedprice")
     wide = pivot_measures(df, ["year", "l_returnflag"], "p_type", "l_extendedprice",
                           CFG.investment_columns(), "sum")
     return wide.withColumn("total", horizontal_sum(_HS_COLS))
@@ -294,10 +289,8 @@ _PRICE_SQL = prices_sql(YG, CFG)
 
 @query("price_indices", step=2, sql=_PRICE_SQL)
 def q_price_indices(spark, d):
-    """A3: one filtered mean per index, each from its own scan, full-merged."""
-    srcs = [(standins.price_long(spark, d), "product_class", ix.keywords, ix.name)
-            for ix in CFG.price_indices]  # distinct DataFrames: one aggregate each
-    return rounded(gold.period_means(srcs, CFG), 4)
+    """A3: one filtered mean per index over the raw rows, one scan."""
+    return rounded(gold.gold_prices(standins.price_long(spark, d), CFG), 4)
 
 
 @query("gold_prices", step=2, sql=_PRICE_SQL)
@@ -310,15 +303,14 @@ def q_gold_prices(spark, d):
 @query("left_attach", step=2, sql=f"""
 WITH a AS (SELECT {year('o_orderdate')} AS year, count(*) AS n_orders FROM orders GROUP BY 1),
      b AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
-           FROM lineitem WHERE year(l_shipdate) >= 1997 GROUP BY 1)
+           FROM lineitem GROUP BY 1)
 SELECT a.year, n_orders, avg_discount FROM a LEFT JOIN b ON a.year = b.year
 """)
 def q_left_attach(spark, d):
     """Left join; periods only on the right are lost."""
     a = _orders_year(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n_orders"))
     li = add_period(read_table(spark, d, "lineitem"), "l_shipdate", "year", "year")
-    b = filter_period_range(li, "year", 1997, None, raw="l_shipdate").groupBy("year").agg(
-        exact_mean("l_discount").alias("avg_discount"))
+    b = li.groupBy("year").agg(exact_mean("l_discount").alias("avg_discount"))
     return left_attach(a, b, "year")
 
 
@@ -337,7 +329,7 @@ _INFRA_SQL = infrastructure_sql(YG, CFG)
 def q_gold_infrastructure(spark, d):
     """D3: estimate pivot (avg) left-joined to asset-class pivot (sum) + total."""
     # both sides read the cube with different filters: build it once
-    lc = standins.lineitem_cube(spark, d, CFG).checkpoint(eager=True)
+    lc = materialize(standins.lineitem_cube(spark, d, CFG))
     return gold.gold_infrastructure(standins.asset_age_from_cube(lc),
                                     standins.asset_investment_from_cube(lc), CFG)
 
@@ -347,8 +339,8 @@ _CONTROLS_SQL = controls_sql(YG, CFG)
 @query("gold_controls", step=2, sql=_CONTROLS_SQL)
 def q_gold_controls(spark, d):
     """Policy-rate mean full-merged with the category output pivot."""
-    oc, lc = standins.orders_cube(spark, d, CFG), standins.lineitem_cube(spark, d, CFG)
-    return gold.gold_controls(standins.rate_from_cube(lc), standins.output_from_cube(oc), CFG)
+    return gold.gold_controls(standins.rate_cube(spark, d, CFG), standins.output_from_cube(
+        standins.orders_cube(spark, d, CFG)), CFG)
 
 
 @query("panel_star_join", step=2, sql=f"""
@@ -356,29 +348,30 @@ WITH {OC},
   f AS (SELECT {year('o_orderdate')} AS year, c_mktsegment, count(*) AS n_orders,
           {exact_sum("o_totalprice")} AS revenue FROM oc GROUP BY 1, 2),
   r AS (SELECT {year('l_shipdate')} AS year, {exact_avg("l_discount")} AS avg_discount
-        FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1),
+        FROM lineitem GROUP BY 1),
   s AS (SELECT {year('o_orderdate')} AS year, count(*) AS n_fulfilled FROM orders
-        WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1)
+        WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT f.year, c_mktsegment, n_orders, revenue, avg_discount, n_fulfilled
 FROM f LEFT JOIN r ON f.year = r.year LEFT JOIN s ON f.year = s.year
 """)
 def q_panel_star_join(spark, d):
-    """Entity-period fact left-joined to period tables (broadcast by bound)."""
+    """Entity-period fact left-joined to period tables of all periods."""
     # one pass over orders: the fact table and the fulfilled-orders period
     # table both come from the (year, segment) aggregate
     f = _oc_year(spark, d).groupBy("year", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n_orders"), exact_total("o_totalprice").alias("revenue"),
-        F.count_if(F.col("o_orderstatus") == "F").alias("__n_f")).checkpoint(eager=True)
+        F.count_if(F.col("o_orderstatus") == "F").alias("__n_f"))
+    f = materialize(f)
     li = add_period(read_table(spark, d, "lineitem"), "l_shipdate", "year", "year")
-    r = filter_period_range(li, "year", 1995, 2001, raw="l_shipdate").groupBy("year").agg(
-        exact_mean("l_discount").alias("avg_discount"))
-    s = (f.filter(F.col("year").between(1995, 2001)).groupBy("year")
-          .agg(F.sum("__n_f").alias("n_fulfilled")).filter(F.col("n_fulfilled") > 0))
-    out = star_join(f.drop("__n_f"), [r, s], on="year", dim_bound=period_count(1995, 2001))
-    return out
+    r = li.groupBy("year").agg(exact_mean("l_discount").alias("avg_discount"))
+    s = (f.groupBy("year").agg(F.sum("__n_f").alias("n_fulfilled"))
+          .filter(F.col("n_fulfilled") > 0))
+    return star_join(f.drop("__n_f"), [r, s], on="year")
 
 
 PANEL_SQL = panel_sql(YG, CFG)
+PANEL_RAW_SQL = panel_sql(YG, CFG, price_places=None)
+
 
 def panel_df(spark, d, cfg: gold.GoldConfig = CFG):
     return gold.gold_panel(gold.build_gold_tables(spark, d, cfg), cfg)

@@ -12,7 +12,7 @@ from ..operators.folds import (expand_origins, fold_train_stats, min_history, or
                                standardize_by_fold, train_test_split)
 from ..operators.forecast import Z95, ar1_fit, ar1_forecast, forecast_errors, rolling_backtest
 from ..operators.scenario import apply_scenarios
-from .catalog_features import FEATURES_SQL, _SPARSE_SQL, _sparse_series, features_df
+from .catalog_features import FEATURES_SQL, features_df
 from .registry import materialize, query, rounded
 from .series import (NATION_SEGMENT_MONTH_SQL, SEGMENT_MONTH_SQL, month_index,
                      nation_segment_month, segment_month)
@@ -25,24 +25,25 @@ W = "WINDOW w AS (PARTITION BY k ORDER BY p)"
 
 # The candidate (p, d, q) orders of the first forecasting version.
 ORDERS_V1 = [(1, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 0), (0, 0, 2), (2, 0, 1), (1, 0, 2)]
-# ... and of the second (differenced) version.
-ORDERS_V2 = [(1, 1, 0), (0, 1, 1), (1, 1, 1)]
 
 REG_COLS = ["year", "industry", "unemployment_rate", "unemployment_rate_lag1", "event_1998",
             "event_1998_x_us_share", "event_1998_x_infra_age", "infra_invest_log",
             "us_export_share", "inflation_proxy", "boc_policy_rate_avg"]
 
 
+INEXACT = ("infra_invest_log", "inflation_proxy")
+
 # ------------------------------------------------------------------ step 5
 
 @query("complete_cases", step=5, sql=f"""
 WITH f AS ({FEATURES_SQL})
-SELECT {", ".join(REG_COLS)} FROM f
+SELECT {", ".join(f"round({c}, 6) AS {c}" if c in INEXACT else c for c in REG_COLS)} FROM f
 WHERE {" AND ".join(f"{c} IS NOT NULL" for c in REG_COLS)}
 """)
 def q_complete_cases(spark, d):
     """F8: complete cases over the regression columns (null and NaN dropped)."""
-    return features_df(spark, d).select(*REG_COLS).dropna()
+    out = features_df(spark, d).select(*REG_COLS).dropna()
+    return rounded(out, 6, **{c: None for c in REG_COLS if c not in INEXACT})
 
 
 @query("train_test_split", step=5, sql=f"""
@@ -56,9 +57,9 @@ def q_train_test_split(spark, d):
 
 
 @query("min_history", step=5, sql=f"""
-WITH {_SPARSE_SQL},
-  s AS (SELECT k, p, v, CASE WHEN p <= {TRAIN_END} THEN 'train' ELSE 'test' END AS split
-        FROM sp WHERE p <= {TRAIN_END} OR p IN ({", ".join(map(str, TEST))})),
+WITH {NATION_SEGMENT_MONTH_SQL},
+  s AS (SELECT k, p, y AS v, CASE WHEN p <= {TRAIN_END} THEN 'train' ELSE 'test' END AS split
+        FROM sm WHERE p <= {TRAIN_END} OR p IN ({", ".join(map(str, TEST))})),
   ok AS (SELECT k FROM s GROUP BY k
          HAVING count(CASE WHEN split = 'train' THEN 1 END) >= 6
             AND count(CASE WHEN split = 'test' THEN 1 END) >= 1)
@@ -66,7 +67,8 @@ SELECT s.* FROM s WHERE k IN (SELECT k FROM ok)
 """)
 def q_min_history(spark, d):
     """keep series with >= 6 training and >= 1 test rows (semi join)."""
-    sp = train_test_split(materialize(_sparse_series(spark, d)), "p", TRAIN_END, TEST)
+    sp = nation_segment_month(spark, d).withColumnRenamed("y", "v")
+    sp = train_test_split(sp, "p", TRAIN_END, TEST)
     return min_history(sp, "k", 6, 1).select("k", "p", "v", "split")
 
 
@@ -161,7 +163,7 @@ SELECT k, round(phi, 6) AS phi, round(c, 6) AS c, n_obs, round(sigma2, 6) AS sig
 """)
 def q_ar1_fit(spark, d):
     """M9 (0,0,0)/(1,0,0) native: conditional least squares per series."""
-    return rounded(ar1_fit(segment_month(spark, d), "k", "p", "y"), 6, last_y=8)
+    return rounded(ar1_fit(segment_month(spark, d), "k", "p", "y"), 6, last_y=None)
 
 
 def _forecast_sql(h_max, src_filter="", horizon_filter=""):
@@ -210,7 +212,7 @@ def q_forecast_errors(spark, d):
     """P26 + J9: hold-out forecasts joined to actuals on (series, period)."""
     e = _holdout(spark, d, materialize(segment_month(spark, d)))
     return rounded(e.select("k", "period", "actual", "predicted", "error", "abs_error"), 6,
-                   actual=8)
+                   actual=None)
 
 
 @query("forecast_accuracy", step=6, sql=_forecast_sql(len(TEST), f"WHERE p <= {TRAIN_END}")
@@ -260,7 +262,7 @@ FROM f2
 def q_rolling_backtest(spark, d):
     """Rolling-origin one-step backtest, origins 2000-03/06/09/12."""
     out = rolling_backtest(segment_month(spark, d), "k", "p", "y", ORIGINS, min_train=6)
-    return rounded(out, 6, actual=8)
+    return rounded(out, 6, actual=None)
 
 
 @query("fold_status", step=5, sql=f"""

@@ -44,14 +44,17 @@ def _gram_sql():
                          f"AS DOUBLE) AS {a}__{b}")
     return f"""
 WITH {CUSTOMER_MONTH_SQL}
-SELECT count(*) AS n, {", ".join(terms)} FROM (SELECT 1 AS const, * FROM cm)
+SELECT count(*) AS n, {", ".join(terms)} FROM (
+  SELECT 1 AS const, * REPLACE (round(x1, 6) AS x1, round(y, 8) AS y) FROM cm)
 """
 
 
 @query("gram_matrix", step=7, sql=_gram_sql())
 def q_gram_matrix(spark, d):
-    """Normal-equation sums in one exact-decimal aggregate."""
-    cm = customer_month(spark, d).withColumn("const", F.lit(1))
+    """Normal-equation sums in one exact-decimal aggregate (the mean
+    driver as a regressor of six decimals: exact sums need finite ones)."""
+    cm = (customer_month(spark, d).withColumn("const", F.lit(1))
+          .withColumns({"x1": F.round("x1", 6), "y": F.round("y", 8)}))
     return cross_products(cm, GRAM_COLS, decimal_scale=8)
 
 

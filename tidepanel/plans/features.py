@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import growth, log1p, safe_div, step_dummy
 from ..operators.joins import broadcast_bounded
@@ -54,7 +53,7 @@ def reference_spec(event_names=("tariff_2018", "tariff_2025"), event_starts=(201
                    categories=None, min_period=None, key="industry", period="year",
                    strict_lags=False) -> FeatureSpec:
     """The 25 engineered features of the panel, with the two step events
-    given as (names, first periods)."""
+    given as (names, first periods).  Fixed values: the names and formulas."""
     e1, e2 = event_names
     return FeatureSpec(
         key=key, period=period, categories=categories, min_period=min_period,
@@ -130,28 +129,86 @@ def build_features(panel: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df
 
 
-DICT_SCHEMA = T.StructType([
-    T.StructField("feature_name", T.StringType(), False),
-    T.StructField("data_type", T.StringType(), False),
-    T.StructField("formula", T.StringType(), False),
-    T.StructField("kind", T.StringType(), False),
-])
+DICT_SCHEMA = ("feature_name string, data_type string, description string, formula string, "
+               "source string, grain string, kind string")
+
+# The documented columns that are not engineered (name, type,
+# description, formula, source), in the names of the default panel.
+BASE_ROWS = (
+    ("year", "int", "Calendar year extracted from ref_date", "year", "gold"),
+    ("industry", "string", "Canonical industry label", "industry", "gold"),
+    ("unemployment_rate", "double", "Unemployment rate for industry-year", "unemployment_rate",
+     "gold_labour"),
+    ("us_export_share", "double", "US export share", "exports_us / exports_total",
+     "gold_trade_partner"),
+)
+
+# What the engineered columns mean, and the period table of
+# each measure.
+DESCRIPTIONS = {
+    "unemployment_count": "Implied unemployed count",
+    "employment_rate": "Employment divided by labour force",
+    "infra_gap": "Infra stress proxy",
+    "log_exports_total": "Log(1+total exports)",
+    "log_exports_us": "Log(1+exports to US)",
+    "infra_invest_log": "Log(1+transport infra investment)",
+    "inflation_proxy": "YoY core CPI change",
+    "construction_cost_pressure": "YoY construction material index change",
+    "industrial_cost_pressure": "YoY industrial product price change",
+    "exports_total_yoy": "Year-over-year export growth",
+    "unemployment_rate_lag1": "Lagged unemployment rate by industry",
+    "exports_total_lag1": "Lagged exports_total by industry",
+    "boc_policy_rate_lag1": "Lagged policy rate by industry",
+}
+MEASURE_SOURCES = {
+    "labour_force": "gold_labour", "employment": "gold_labour", "unemployment_rate": "gold_labour",
+    "exports_total": "gold_trade_partner", "exports_us": "gold_trade_partner",
+    "infra_avg_age_transport": "gold_infrastructure",
+    "infra_invest_total_transport": "gold_infrastructure",
+    "cpi_core_avg": "gold_prices", "construction_material_price_index_avg": "gold_prices",
+    "industrial_product_price_index_avg": "gold_prices",
+}
+
+
+def dictionary_rows(spec: FeatureSpec) -> list[tuple]:
+    """Rows of the dictionary: the base columns, then every engineered one."""
+    grain = f"{spec.key}-{spec.period}"
+    rename = {"year": spec.period, "industry": spec.key}
+    rows = [(rename.get(n, n), t, d, rename.get(f, f), s, grain, "base")
+            for n, t, d, f, s in BASE_ROWS]
+    first = {n: a for n, a, *_ in (*spec.diffs, *spec.ratios, *spec.logs, *spec.growths)}
+    labels = {"us_export_share": "US export share", "infra_avg_age_transport": "infra age",
+              "infra_invest_log": "infra investment log"}
+    events = dict(spec.events)
+    for name, typ, formula, kind in spec.engineered():
+        said = spec.descriptions.get(name) or DESCRIPTIONS.get(name)
+        source = MEASURE_SOURCES.get(first.get(name, ""), "engineered")
+        if kind == "event":
+            said = said or f"Event dummy starting {events[name]}"
+        elif kind == "interaction":
+            dummy, x = formula.split(" * ")
+            said = said or f"{dummy} dummy interacted with {labels.get(x, x)}"
+        elif kind == "lag":
+            said, source = said or f"Lagged {dict(spec.lags)[name]}", "engineered"
+        rows.append((name, typ, said or formula, formula, source, grain, kind))
+    return rows
 
 
 def feature_dictionary(spark: SparkSession, spec: FeatureSpec,
                        features: DataFrame | None = None) -> DataFrame:
-    """One row per engineered feature (D8).  With the feature table given,
-    adds each feature's non-null count and checks that every documented
-    feature is a column of the table (coverage)."""
-    rows = spec.engineered()
+    """One row per documented column (D8): type, description, formula, source
+    and grain.  With the feature table given, adds each column's non-null
+    count and checks that every documented column is in it."""
+    rows = dictionary_rows(spec)
     d = spark.createDataFrame(rows, DICT_SCHEMA)
     if features is None:
         return d
-    missing = [n for n, *_ in rows if n not in features.columns]
+    names = [r[0] for r in rows]
+    missing = [n for n in names if n not in features.columns]
     if missing:
         raise ValueError(f"documented features missing from the table: {missing}")
-    counts = features.agg(*[F.count(F.col(n)).alias(n) for n, *_ in rows])
-    stack = ", ".join(f"'{n}', `{n}`" for n, *_ in rows)
+    counts = features.agg(*[F.count(F.col(n)).alias(n) for n in names])
+    stack = ", ".join(f"'{n}', `{n}`" for n in names)
     long = counts.selectExpr(f"stack({len(rows)}, {stack}) as (feature_name, n_non_null)")
     # one row per documented feature: a side bounded by the spec
     return d.join(broadcast_bounded(long, len(rows)), "feature_name", "left")

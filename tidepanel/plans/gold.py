@@ -22,6 +22,7 @@ from ..functions.scalars import (add_period, canonical_category, filter_period_r
 from ..operators.aggregate import focal_share, numeric, pivot_measures, weighted
 from ..operators.joins import full_outer_merge, left_attach, period_count, star_join
 from ..sources import standins
+from .registry import materialize_all
 
 
 @dataclass(frozen=True)
@@ -136,31 +137,38 @@ def gold_infrastructure(age_long: DataFrame, inv_long: DataFrame, cfg: GoldConfi
     age = age.select(p, *dict.fromkeys(mapping.values()))
 
     inv_cols = cfg.investment_columns()
+    total = "infra_invest_total_transport"
     inv = scope(inv_long, cfg).filter(keyword_any("assets", cfg.investment_keywords))
-    inv = pivot_measures(inv, [p], "asset_class", "value", inv_cols, how="sum",
-                         weight_col=_w(inv_long))
-    inv = inv.withColumn("infra_invest_total_transport",
-                         horizontal_sum(list(inv_cols.values())))
+    if inv_cols:
+        inv = pivot_measures(inv, [p], "asset_class", "value", inv_cols, how="sum",
+                             weight_col=_w(inv_long))
+        inv = inv.withColumn(total, horizontal_sum(list(inv_cols.values())))
+    else:
+        # without a list of classes the total is a grouped sum over the rows;
+        # the number of labels never becomes a number of columns
+        inv = (inv.groupBy(p).agg(F.sum(numeric(inv_long, "value")).cast("double").alias(total))
+               .withColumn(total, F.coalesce(total, F.lit(0.0))))
     # years only in the investment side are lost, as in the source
     return left_attach(age, inv, on=p, right_bound=cfg.period_bound)
 
 
 # ---------------------------------------------------------------- D4
-def period_means(sources: Sequence[tuple[DataFrame, str, Sequence[str], str]],
+def period_means(sources: Mapping[str, DataFrame],
+                 indices: Sequence[tuple[str, str, Sequence[str], str]],
                  cfg: GoldConfig) -> DataFrame:
-    """One mean per period for each (source, label column, keywords, name),
-    full-outer-merged on period (A3, J2).  Indices that read the same
+    """One mean per period for each (source name, label column, keywords,
+    name), full-outer-merged on period (A3, J2).  Indices that name the same
     source are computed in one pass with conditional aggregates instead of
     one scan and one join each."""
     p = cfg.period_col
-    by_source: dict[int, list] = {}
-    for src, label_col, kws, name in sources:
-        by_source.setdefault(id(src), []).append((src, label_col, kws, name))
+    by_source: dict[str, list] = {}
+    for source, label_col, kws, name in indices:
+        by_source.setdefault(source, []).append((label_col, kws, name))
     parts = []
-    for group in by_source.values():
-        df = scope(group[0][0], cfg)
+    for source, group in by_source.items():
+        df = scope(sources[source], cfg)
         hits = [(keyword_any(lc, kws) if kws else F.lit(True), name)
-                for _, lc, kws, name in group]
+                for lc, kws, name in group]
         any_hit = hits[0][0]
         for h, _ in hits[1:]:
             any_hit = any_hit | h
@@ -174,8 +182,8 @@ def period_means(sources: Sequence[tuple[DataFrame, str, Sequence[str], str]],
 
 
 def gold_prices(price: DataFrame, cfg: GoldConfig) -> DataFrame:
-    return period_means([(price, "product_class", ix.keywords, ix.name)
-                         for ix in cfg.price_indices], cfg)
+    return period_means({"price": price}, [("price", "product_class", ix.keywords, ix.name)
+                                           for ix in cfg.price_indices], cfg)
 
 
 # ---------------------------------------------------------------- D5
@@ -213,22 +221,20 @@ def build_gold_tables(spark: SparkSession, sf_dir: str, cfg: GoldConfig = GoldCo
 
     Both source joins are scanned once: each is aggregated to a month-level
     cube (bounded by label domains x months) and, with ``materialize``,
-    written to the checkpoint directory, so the five tables - seven
-    aggregates - read two small tables instead of re-joining the fact
-    tables seven times.  The checkpoint also cuts the lineage: a lost
-    executor later in the job does not send Spark back to the fact tables."""
+    written to the shared folder (both jobs side by side), so the five tables
+    - seven aggregates - read small tables instead of re-joining the fact
+    tables seven times.  Everything after that is a plan."""
     s = standins
-    oc = s.orders_cube(spark, sf_dir, cfg)
-    lc = s.lineitem_cube(spark, sf_dir, cfg)
-    if materialize:
-        oc, lc = oc.checkpoint(eager=True), lc.checkpoint(eager=True)
+    cubes = [s.orders_cube(spark, sf_dir, cfg), s.lineitem_cube(spark, sf_dir, cfg),
+             s.rate_cube(spark, sf_dir, cfg)]
+    oc, lc, rc = materialize_all(cubes) if materialize else cubes
     return GoldTables(
         labour=gold_labour(s.labour_from_cube(oc), cfg),
         trade=gold_trade(s.trade_from_cube(oc), cfg),
         infrastructure=gold_infrastructure(s.asset_age_from_cube(lc),
                                            s.asset_investment_from_cube(lc), cfg),
         prices=gold_prices(s.price_from_cube(lc), cfg),
-        controls=gold_controls(s.rate_from_cube(lc), s.output_from_cube(oc), cfg),
+        controls=gold_controls(rc, s.output_from_cube(oc), cfg),
     )
 
 

@@ -17,18 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_period
+from ..operators.aggregate import lossless_decimal
 from ..sources import standins
 from ..sources.tables import read_table
-from .registry import rounded
 
 
 def _measures():
+    """Money is summed exactly and converted to double once, so every value
+    is the same whatever the layout, and nothing is rounded here."""
+    price = lossless_decimal("o_totalprice")
+    partly = F.when(F.col("o_orderstatus") == "P", price)
+    mean = lambda v: F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double"))
     return [
-        F.round(F.sum("o_totalprice") / 1e6, 8).alias("y"),
+        (F.sum(price).cast("double") / 1e6).alias("y"),
         F.count(F.lit(1)).alias("n_orders"),
         F.count_if(F.col("o_orderstatus") == "F").alias("n_f"),
-        (F.avg("o_totalprice") / 1e3).alias("x1"),
-        (F.avg(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))) / 1e3).alias("x_p"),
+        (mean(price) / 1e3).alias("x1"),
+        (mean(partly) / 1e3).alias("x_p"),
     ]
 
 
@@ -36,20 +41,21 @@ def segment_month(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "orders")
     c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     oc = add_period(o.join(c, o.o_custkey == c.c_custkey), "o_orderdate", "month", "p")
-    out = oc.groupBy(F.col("c_mktsegment").alias("k"), "p").agg(*_measures())
-    return rounded(out, 6, y=8)
+    return oc.groupBy(F.col("c_mktsegment").alias("k"), "p").agg(*_measures())
 
 
 def nation_segment_month(spark: SparkSession, d: str) -> DataFrame:
     oc = add_period(standins.orders_customer(spark, d), "o_orderdate", "month", "p")
     out = oc.groupBy(F.concat_ws("|", "n_name", "c_mktsegment").alias("k"), "p").agg(*_measures())
-    return rounded(out, 6, y=8)
+    return out
 
 
-_MEASURES_SQL = """round(sum(o_totalprice) / 1e6, 8) AS y, count(*) AS n_orders,
+_PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
+_PARTLY = f"CASE WHEN o_orderstatus = 'P' THEN {_PRICE} END"
+_MEASURES_SQL = f"""CAST(sum({_PRICE}) AS DOUBLE) / 1e6 AS y, count(*) AS n_orders,
     count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_f,
-    round(avg(o_totalprice) / 1e3, 6) AS x1,
-    round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) / 1e3, 6) AS x_p"""
+    CAST(sum({_PRICE}) AS DOUBLE) / count(o_totalprice) / 1e3 AS x1,
+    CAST(sum({_PARTLY}) AS DOUBLE) / count({_PARTLY}) / 1e3 AS x_p"""
 
 SEGMENT_MONTH_SQL = f"""sm AS (
   SELECT c_mktsegment AS k,
@@ -75,13 +81,13 @@ def customer_month(spark: SparkSession, d: str) -> DataFrame:
     a month has no fulfilled order), the kind of value pandas arithmetic
     hands to the cleaning step."""
     o = add_period(read_table(spark, d, "orders"), "o_orderdate", "month", "p")
-    out = rounded(o.groupBy(F.col("o_custkey").alias("k"), "p").agg(*_measures()), 6, y=8)
+    out = o.groupBy(F.col("o_custkey").alias("k"), "p").agg(*_measures())
     return out.withColumn("x_ratio", F.when(F.col("n_f") == 0, F.lit(float("inf")))
-                          .otherwise(F.round(F.col("n_orders") / F.col("n_f"), 6)))
+                          .otherwise(F.col("n_orders") / F.col("n_f")))
 
 
 CUSTOMER_MONTH_SQL = f"""cm AS (
-  SELECT *, CASE WHEN n_f = 0 THEN 'inf'::DOUBLE ELSE round(n_orders / n_f, 6) END AS x_ratio
+  SELECT *, CASE WHEN n_f = 0 THEN 'inf'::DOUBLE ELSE n_orders / n_f END AS x_ratio
   FROM (SELECT o_custkey AS k,
           CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS p,
           {_MEASURES_SQL}

@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import keyword_any
 from .gold import GoldConfig, GoldTables, PriceIndex, gold_controls, gold_infrastructure, \
     gold_labour, gold_trade, period_means
 
@@ -59,7 +60,6 @@ REFERENCE_GOLD = GoldConfig(
     output_keywords=("chained",),
 )
 
-MAX_ASSETS = 1000   # one output column per asset label
 NAICS = "north_american_industry_classification_system_naics"
 NAPCS = "north_american_product_classification_system_napcs"
 
@@ -104,26 +104,15 @@ def with_roles(df: DataFrame, product: str) -> DataFrame:
 
 
 def gold_tables_from_silver(silver: Mapping[str, DataFrame],
-                            cfg: GoldConfig = REFERENCE_GOLD) -> tuple[GoldTables, GoldConfig]:
-    """The five period tables from ingested products (D1-D5), and the
-    configuration they were built with.  With an
-    empty ``investment_classes`` the asset list is read from the data
-    (one distinct over the filtered investment rows: bounded by the number
-    of asset labels) so that every asset becomes a column, as in the source."""
+                            cfg: GoldConfig = REFERENCE_GOLD) -> GoldTables:
+    """The five period tables from ingested products (D1-D5).  Columns per
+    asset come from ``cfg.investment_classes`` (see :func:`asset_classes`);
+    without a list there is the total only."""
     r = {p: with_roles(df, p) for p, df in silver.items()}
-    if not cfg.investment_classes:
-        from dataclasses import replace
-
-        from ..functions.scalars import keyword_any
-        inv = r["infrastructure_investment_asset"]
-        rows = (inv.filter(keyword_any("assets", cfg.investment_keywords))
-                   .select("asset_class").distinct().limit(MAX_ASSETS + 1).collect())
-        if len(rows) > MAX_ASSETS:
-            raise ValueError(f"more than {MAX_ASSETS} asset labels; list investment_classes")
-        cfg = replace(cfg, investment_classes=tuple(sorted(x[0] for x in rows if x[0] is not None)))
-    prices = period_means([(r[p], "product_class", ix.keywords, ix.name)
-                           for p, ix in zip(("cpi", "construction_material_price_index",
-                                             "industrial_product_price"), cfg.price_indices)], cfg)
+    prices = period_means(r, [(p, "product_class", ix.keywords, ix.name)
+                              for p, ix in zip(("cpi", "construction_material_price_index",
+                                                "industrial_product_price"), cfg.price_indices)],
+                          cfg)
     return GoldTables(
         labour=gold_labour(r["labour_force_survey"], cfg),
         trade=gold_trade(r["internation_merchandise_trade"], cfg),
@@ -131,4 +120,12 @@ def gold_tables_from_silver(silver: Mapping[str, DataFrame],
                                            r["infrastructure_investment_asset"], cfg),
         prices=prices,
         controls=gold_controls(r["boc_policy_rate"], r["gdp_by_industry"], cfg),
-    ), cfg
+    )
+
+
+def asset_classes(silver: Mapping[str, DataFrame], cfg: GoldConfig = REFERENCE_GOLD) -> DataFrame:
+    """The asset labels that pass the keyword filter, one row each: what a
+    caller who wants a column per asset can choose from."""
+    inv = with_roles(silver["infrastructure_investment_asset"], "infrastructure_investment_asset")
+    return (inv.filter(keyword_any("assets", cfg.investment_keywords))
+            .select("asset_class").distinct().filter(F.col("asset_class").isNotNull()))

@@ -117,14 +117,15 @@ FROM age LEFT JOIN inv ON age.{g.col} = inv.{g.col}
 """
 
 
-def prices_sql(g: G, cfg: GoldConfig = GoldConfig()) -> str:
+def prices_sql(g: G, cfg: GoldConfig = GoldConfig(), places: int | None = 4) -> str:
+    shown = lambda e: e if places is None else f"round({e}, {places})"
     hits = [(ix.name, any_kw("p_type", ix.keywords)) for ix in cfg.price_indices]
     return f"""
 WITH {LP},
   x AS (SELECT {g.of('l_shipdate')} AS {g.col}, p_type, l_extendedprice / nullif(l_quantity, 0) AS v
         FROM lp WHERE {g.in_range('l_shipdate')})
 SELECT {g.col},
-  {", ".join(f"round(avg(CASE WHEN {h} THEN v END), 4) AS {n}" for n, h in hits)}
+  {", ".join(shown(f"avg(CASE WHEN {h} THEN v END)") + f" AS {n}" for n, h in hits)}
 FROM x WHERE {" OR ".join(h for _, h in hits)}
 GROUP BY 1
 """
@@ -149,14 +150,14 @@ FROM g FULL JOIN rate ON g.{g.col} = rate.{g.col}
 """
 
 
-def panel_sql(g: G, cfg: GoldConfig = GoldConfig()) -> str:
+def panel_sql(g: G, cfg: GoldConfig = GoldConfig(), price_places: int | None = 4) -> str:
     inv = _inv_cols(cfg)
     p = g.col
     return f"""
 WITH lab AS ({labour_sql(g, cfg)}),
   tr AS ({trade_sql(g, cfg)}),
   inf AS ({infrastructure_sql(g, cfg)}),
-  pr AS ({prices_sql(g, cfg)}),
+  pr AS ({prices_sql(g, cfg, price_places)}),
   ct AS ({controls_sql(g, cfg)})
 SELECT lab.*, tr.exports_us, tr.exports_total, tr.us_export_share,
   inf.infra_avg_age_transport, inf.infra_rusl_ratio_transport,

@@ -144,24 +144,30 @@ def _range_filter(df: DataFrame, col: str, cfg) -> DataFrame:
     return df if bound is None else df.filter(bound)
 
 
-def cents_sum(col: str):
-    """Exact sum of a two-decimal column: whole cents added as 64-bit
-    integers (fast, and independent of how rows are split over tasks)."""
-    return F.sum(F.rint(F.col(col) * 100).cast("long"))
+def units_sum(col: str, scale: int = 2):
+    """Exact sum of a column of at most ``scale`` decimals, in units of
+    10**-scale: whole units added as 64-bit integers (fast, and independent of
+    how rows are split over tasks).  A value with more decimals raises, and
+    so does an overflow of the sum (ANSI arithmetic, Spark's default)."""
+    x, one = F.col(col), 10 ** scale
+    units = F.rint(x * one)
+    return F.sum(F.when(x.isNull() | (units / one == x), units.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{col} has more than {scale} decimals: "),
+                               x.cast("string"))).cast("long")))
 
 
-def cents_to_decimal(col: str):
-    """The cube's cent sums as exact ``decimal(20,2)`` values."""
-    return (F.col(col).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
+def units_to_decimal(col: str, scale: int = 2):
+    """The cube's unit sums as exact ``decimal(20, scale)`` values."""
+    return (F.col(col).cast("decimal(20,0)") / F.lit(10 ** scale)).cast(f"decimal(20,{scale})")
 
 
 def orders_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
     oc = _range_filter(orders_customer(spark, sf_dir), "o_orderdate", cfg)
     agg = oc.groupBy(*_month_keys("o_orderdate"), "r_name", "c_mktsegment", "o_orderstatus",
                      "o_orderpriority").agg(
-        cents_sum("o_totalprice").alias("__c"), F.count("o_totalprice").alias("n"))
+        units_sum("o_totalprice").alias("__c"), F.count("o_totalprice").alias("n"))
     return agg.select(_month_start(), "r_name", "c_mktsegment", "o_orderstatus",
-                      "o_orderpriority", cents_to_decimal("__c").alias("value"), "n")
+                      "o_orderpriority", units_to_decimal("__c").alias("value"), "n")
 
 
 def _first_keyword(col: str, keywords) -> "F.Column":
@@ -191,14 +197,21 @@ def lineitem_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
         name_keys = ["__age_label", "__asset_label"]
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     agg = lp.groupBy(*_month_keys("l_shipdate"), *name_keys, "p_type", "l_returnflag").agg(
-        cents_sum("l_quantity").alias("__q"), F.count("l_quantity").alias("n_qty"),
-        cents_sum("l_extendedprice").alias("__e"), F.count("l_extendedprice").alias("n_ext"),
-        F.sum(unit).alias("unit"), F.count(unit).alias("n_unit"),
-        cents_sum("l_discount").alias("__d"), F.count("l_discount").alias("n_disc"))
+        units_sum("l_quantity").alias("__q"), F.count("l_quantity").alias("n_qty"),
+        units_sum("l_extendedprice").alias("__e"), F.count("l_extendedprice").alias("n_ext"),
+        F.sum(unit).alias("unit"), F.count(unit).alias("n_unit"))
     return agg.select(_month_start(), "__age_label", "__asset_label", "p_type", "l_returnflag",
-                      cents_to_decimal("__q").alias("qty"), "n_qty",
-                      cents_to_decimal("__e").alias("ext"), "n_ext", "unit", "n_unit",
-                      cents_to_decimal("__d").alias("disc"), "n_disc")
+                      units_to_decimal("__q").alias("qty"), "n_qty",
+                      units_to_decimal("__e").alias("ext"), "n_ext", "unit", "n_unit")
+
+
+def rate_cube(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
+    """The policy rate needs two columns of lineitem and no join."""
+    li = _range_filter(read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_discount"),
+                       "l_shipdate", cfg)
+    agg = li.groupBy(*_month_keys("l_shipdate")).agg(
+        units_sum("l_discount").alias("__d"), F.count("l_discount").alias("n"))
+    return agg.select(_month_start(), units_to_decimal("__d").alias("value"), "n")
 
 
 def labour_from_cube(cube: DataFrame) -> DataFrame:
@@ -233,7 +246,3 @@ def asset_investment_from_cube(cube: DataFrame) -> DataFrame:
 def price_from_cube(cube: DataFrame) -> DataFrame:
     return cube.select("ref_date", F.col("p_type").alias("product_class"),
                        F.col("unit").alias("value"), F.col("n_unit").alias("n"))
-
-
-def rate_from_cube(cube: DataFrame) -> DataFrame:
-    return cube.select("ref_date", F.col("disc").alias("value"), F.col("n_disc").alias("n"))
