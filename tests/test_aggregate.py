@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators.aggregate import best_by, focal_share, focal_split_join, pivot_measures
@@ -46,3 +47,15 @@ def test_best_by_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, "k string, pos int, aic double")
     got = {r.k: r.pos for r in best_by(df, ["k"], "aic", ["pos"], ["pos"]).collect()}
     assert got == {"a": 0, "b": 1}
+
+
+def test_sums_keep_every_digit_or_raise(spark):
+    from tidepanel.operators.aggregate import exact_sum
+    from tidepanel.sources.standins import units_sum, units_to_decimal
+    df = spark.createDataFrame([(0.125,), (0.125,), (0.004,), (None,)], "v double")
+    assert df.agg(exact_sum("v", 3).alias("s")).first().s == 0.254
+    out = df.agg(units_sum("v", 3).alias("u")).select(units_to_decimal("u", 3).alias("s")).first()
+    assert float(out.s) == 0.254
+    for agg in (exact_sum("v"), units_sum("v")):
+        with pytest.raises(Exception, match="more than 2 decimals"):
+            df.agg(agg).collect()

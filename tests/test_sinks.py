@@ -46,4 +46,24 @@ def test_run_features_with_properties(spark, sf):
     props = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES t_feat.features").collect()}
     assert props["layer"] == "derived" and props["grain"] == "industry-year"
     d = spark.table("t_feat.feature_dictionary")
-    assert d.count() == 25 and d.filter("n_non_null IS NULL").count() == 0
+    assert d.count() == 29 and d.filter("n_non_null IS NULL").count() == 0
+    assert {"description", "source", "grain", "created_utc"} <= set(d.columns)
+
+
+def test_model_output_tables(spark):
+    from test_models_recipe import SPEC, _features
+    sinks.ensure_schema(spark, "t_models")
+    sinks.write_table(_features(spark), "t_models.features", sanitize=False)
+    m = sinks.run_forecasts(spark, "t_models", "t_models.features", SPEC, "2026-01-01T00:00:00")
+    assert set(m) == {"forecast_predictions", "forecast_metrics", "forecast_models",
+                      "forecast_scenarios", "forecast_metadata"}
+    assert m["forecast_predictions"]["rows"] == 4 and m["forecast_metrics"]["rows"] == 6
+    assert m["forecast_models"]["rows"] == 2 * 8 and m["forecast_metadata"]["rows"] == 1
+    meta = spark.table("t_models.forecast_metadata").first()
+    assert meta.run_utc == "2026-01-01T00:00:00" and "covid" in meta.exog_cols
+    r = sinks.run_regression(spark, "t_models", "t_models.features", "unemployment_rate",
+                             ["boc_policy_rate_avg"], ["industry"], "HC1", "2026-01-01T00:00:00")
+    assert r["regression_coefficients"]["rows"] == 4 and r["regression_metrics"]["rows"] == 1
+    meta = spark.table("t_models.regression_metadata").first()
+    assert meta.fixed_effects == "industry" and meta.assumptions and meta.purpose
+    assert spark.table("t_models.regression_coefficients").filter("run_utc IS NULL").count() == 0

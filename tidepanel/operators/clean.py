@@ -104,12 +104,10 @@ def exact_median(df: DataFrame, col: str, accuracy: int = 10_000) -> float | Non
 def fill_with_medians(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None,
                       accuracy: int = 10_000) -> DataFrame:
     """Gaps of each column take its median over ``source`` (default: the frame
-    itself), joined as one row."""
-    m = median_row(source if source is not None else df, cols, accuracy)
-    m = m.select(F.lit(1).alias("__one"), *[F.col(c).alias(f"__m_{c}") for c in cols])
-    out = df.withColumn("__one", F.lit(1)).join(broadcast_bounded(m, 1), "__one")
-    return out.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols
-                        else F.col(c) for c in df.columns])
+    itself), a scalar subquery."""
+    row = median_row(source if source is not None else df, cols, accuracy)
+    m = row.select(F.struct(*cols)).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), m.getField(c)) for c in cols})
 
 
 def clean_drivers(df: DataFrame, cols: Sequence[str], key, period: str,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite_or_null
 from ..operators.aggregate import median_by
 from ..operators.clean import clean_drivers, fill_with_medians, locf, missing_report
-from .registry import query, rounded
+from .registry import materialize, query, rounded
 from .series import CUSTOMER_MONTH_SQL, customer_month
 
 DRIVERS = ["x1", "x_p", "x_ratio"]
@@ -61,7 +61,7 @@ FROM cm GROUP BY k
 def q_median_fallback(spark, d):
     """Median per customer (at most one row per month in a group),
     a customer without any value falls back to the global median."""
-    cm = customer_month(spark, d)
+    cm = materialize(customer_month(spark, d).select("k", "p", "x1", "x_p"))
     per = fill_with_medians(median_by(cm, ["k"], ["x1", "x_p"]), ["x_p"], cm)
     # a median of an even count ends in a 7th-decimal 5 exactly: report 7
     # places, where it is exact, not 6 where the two engines break the tie
@@ -90,5 +90,5 @@ FROM b
 """)
 def q_clean_drivers(spark, d):
     """Inf -> null, forward/back fill per customer, global median fallback."""
-    cm = customer_month(spark, d).select("k", "p", *DRIVERS)
+    cm = materialize(customer_month(spark, d).select("k", "p", *DRIVERS))
     return rounded(clean_drivers(cm, DRIVERS, "k", "p"), 7)   # medians: 7 places

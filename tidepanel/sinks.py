@@ -142,6 +142,62 @@ def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
     return {"features": m1, "feature_dictionary": m2}
 
 
+def run_regression(spark: SparkSession, db: str, features_table: str, y: str,
+                   drivers: Sequence[str], factors: Sequence[str], cov_type: str = "HC3",
+                   run_ts: str | None = None) -> dict:
+    """Feature table -> regression -> coefficient, metric and metadata tables
+    (K4, M5), every row with the run time."""
+    from .operators.regression import fit_ols, regression_metadata
+    ensure_schema(spark, db)
+    ts = run_ts or run_timestamp()
+    rows = spark.table(features_table)
+    res = fit_ols(rows, y, ["const", *drivers], cov_type=cov_type, factors=factors)
+    formula = " ~ ".join([y, " + ".join([*drivers, *(f"C({f})" for f in factors)])])
+    tables = {
+        "regression_coefficients": res.coefficients(spark),
+        "regression_metrics": res.metrics(spark, formula),
+        "regression_metadata": regression_metadata(
+            spark, res, y, formula, fixed_effects=" and ".join(factors),
+            feature_table=features_table)}
+    return {name: write_table(stamp(df, ts), f"{db}.{name}", sanitize=False)
+            for name, df in tables.items()}
+
+
+FORECAST_META = ("model_name string, dependent_variable string, feature_table string, "
+                 "ord string, rolling_backtest_train_ends string, exog_cols string, "
+                 "standardization string, cleaning string, notes string")
+
+
+def run_forecasts(spark: SparkSession, db: str, features_table: str, spec,
+                  run_ts: str | None = None) -> dict:
+    """Feature table -> forecasting recipe -> prediction, metric, parameter,
+    scenario and metadata tables (K4, M5), every row with the run time.  The
+    cleaned model rows are written once and read by all of them."""
+    from .plans import models
+    from .plans.registry import materialize
+    ensure_schema(spark, db)
+    ts = run_ts or run_timestamp()
+    rows = materialize(models.prepared(spark.table(features_table), spec))
+    back = materialize(models.recipe_backtest(rows, spec))
+    fit = ["ord", "status", "aic", "bic"]
+    shown = [c for c in back.columns if c not in fit]
+    meta = spark.createDataFrame([(
+        "arx_rolling", spec.y, features_table, "({}, {}, {})".format(*spec.order),
+        ",".join(map(str, spec.origins)), ",".join(spec.exog),
+        "mean and deviation of the training rows only",
+        "inf to null, fill forward and back per series, global median",
+        "Autoregression with drivers by conditional least squares; one-step forecasts from "
+        "rolling origins.")], FORECAST_META)
+    tables = {
+        "forecast_predictions": back.filter(F.col("predicted").isNotNull()).select(*shown),
+        "forecast_metrics": back.select(spec.key, "train_end", "test_period", *fit),
+        "forecast_models": models.final_params(rows, spec),
+        "forecast_scenarios": models.scenarios(rows, spec),
+        "forecast_metadata": meta}
+    return {name: write_table(stamp(df, ts), f"{db}.{name}", sanitize=False)
+            for name, df in tables.items()}
+
+
 def ingest_to_silver(spark: SparkSession, location: str, silver_base: str,
                      manifest_table: str | None = None, mode: str = "overwrite") -> list[dict]:
     """Every archive in ``location`` -> ``{silver_base}/{product}/data`` and
