@@ -1,5 +1,7 @@
 """Licences of files: TF-IDF cosine to templates, and inheritance by folder.
 
+Tokens are words without function words, and version numbers.
+
 *Own licence.*  Every statement of a text (a line, or a sentence of it) and
 the text as a whole are compared with licence templates as sparse TF-IDF
 vectors.  The best template at or above the threshold names the licence.  A
@@ -11,10 +13,12 @@ nearest ancestor folder that holds a licence file: folders are joined with
 their ancestors' licence files by path, and the deepest one wins.
 
 *Prefilter.*  A statement can only reach the threshold if it has one of a
-template's necessary tokens: the heaviest ones, so many that the remaining
-tokens' share of the template's norm stays below the threshold (by the
-Cauchy-Schwarz inequality no statement without them can).  Only texts and
-statements with such a token are tokenised.
+template's necessary tokens: so many that the remaining tokens' share of the
+template's norm stays below the threshold (by the Cauchy-Schwarz inequality
+no statement without them can).  Any such choice is exact; numbers come
+last.  Only texts and statements with a necessary token are tokenised, and
+only those go on whose unknown words leave room for the threshold: u of them
+weigh at least u idf_max^2, m known ones at most m^2 idf_max^2.
 
 Only DataFrame functions.  The one broadcast is the template table, whose
 size is fixed by its caller.
@@ -37,31 +41,35 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-THRESHOLD = 0.6
+THRESHOLD = 0.65
 
 # Licence names and short standard statements of them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without "
-                     "modification, are permitted"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MIT", "Permission is hereby granted, free of charge"),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0"),
 )
+# Function words, which are no tokens.
+STOP_WORDS = ("a", "and", "any", "are", "by", "for", "in", "is", "of", "or", "that", "the",
+              "this", "to", "under", "with", "work")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-_.].*)?$"
 STATEMENT_END = r"([.!?])[ ]+"
-TOKEN = "[a-z0-9]+"
+TOKEN = r"[a-z]+|[0-9]+(?:[.][0-9]+)*"
 
 
 def template_vectors(templates=TEMPLATES):
     """(licence, {token: weight}, norm) of each template, and every token's
     inverse document frequency over the templates (``None``: all others)."""
-    bags = [(name, Counter(re.findall(TOKEN, text.lower()))) for name, text in templates]
+    bags = [(name, Counter(t for t in re.findall(TOKEN, text.lower()) if t not in STOP_WORDS))
+            for name, text in templates]
     n = len(bags)
     df = Counter(t for _, bag in bags for t in bag)
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
@@ -79,7 +87,7 @@ def necessary_tokens(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[
     need: set[str] = set()
     for _, w, norm in vectors:
         rest = norm * norm
-        for t, x in sorted(w.items(), key=lambda kv: (-kv[1], kv[0])):
+        for t, x in sorted(w.items(), key=lambda kv: (kv[0][0].isdigit(), -kv[1], kv[0])):
             if math.sqrt(max(rest, 0)) < threshold * norm - 1e-9:
                 break
             need.add(t)
@@ -104,7 +112,7 @@ def license_scan(files: DataFrame, path: Column, templates=TEMPLATES,
     ``header``, ``file``, ``inherited`` or null (no licence)."""
     vectors, idf = template_vectors(templates)
     words = sorted({t for _, w, _ in vectors for t in w})
-    need = r"\b(" + "|".join(necessary_tokens(templates, threshold)) + r")\b"
+    need = r"\b(" + "|".join(map(re.escape, necessary_tokens(templates, threshold))) + r")\b"
     rows = id_text(files, id_col, text_col,
                    {"path": F.coalesce(path.cast("string"), F.lit(""))})
     rows = rows.withColumn("text_key", F.xxhash64("text"))
@@ -117,9 +125,15 @@ def license_scan(files: DataFrame, path: Column, templates=TEMPLATES,
                               F.col("text").alias("statement"))
     key = ["doc_id", "path", "text_key", "pos"]
     # repeated rows share a key: all their counts double, which no cosine sees
-    tf = (statements.filter(F.lower("statement").rlike(need)).unionByName(whole)
-          .select(*key, F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(f"({TOKEN})")))
-                  .alias("token"))
+    tokens = F.filter(F.regexp_extract_all(F.lower("statement"), F.lit(f"({TOKEN})")),
+                      lambda x: ~x.isin(list(STOP_WORDS)))
+    units = (statements.filter(F.lower("statement").rlike(need)).unionByName(whole)
+             .select(*key, tokens.alias("tokens"))
+             .withColumn("m", F.size(F.filter("tokens", lambda x: x.isin(words)))))
+    # with m known and u unknown occurrences no cosine exceeds m / sqrt(m^2 + u)
+    room = (1 - threshold ** 2) / threshold ** 2 + 1e-9
+    tf = (units.filter(F.size("tokens") - F.col("m") <= F.col("m") * F.col("m") * room)
+          .select(*key, F.explode("tokens").alias("token"))
           .groupBy(*key, "token").agg(F.count(F.lit(1)).alias("tf")))
     weight = F.create_map(*[F.lit(x) for t in words for x in (t, idf[t])])
     weighted = (tf.withColumn("known", F.element_at(weight, F.col("token")))
@@ -173,11 +187,13 @@ def oracle(path_sql: str, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """The same in DuckDB SQL, over all statements (no prefilter)."""
     values = ", ".join(f"({k}, '{name}', '{text.lower()}')"
                        for k, (name, text) in enumerate(templates))
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     name_rule = LICENCE_FILE.removeprefix("(?i)")
     return f"""
     WITH templates(t, licence, body) AS (VALUES {values}),
-    ttok AS (SELECT t, licence, unnest(regexp_extract_all(body, '{TOKEN}')) AS token
-             FROM templates),
+    ttok AS (SELECT * FROM (
+        SELECT t, licence, unnest(regexp_extract_all(body, '{TOKEN}')) AS token FROM templates)
+        WHERE token NOT IN ({stop})),
     ttf AS (SELECT t, licence, token, count(*) AS tf FROM ttok GROUP BY ALL),
     idf AS (SELECT token, ln({1 + len(templates)}.0 / (1 + count(DISTINCT t))) + 1 AS idf
             FROM ttok GROUP BY token),
@@ -191,8 +207,9 @@ def oracle(path_sql: str, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                    generate_subscripts(string_split(regexp_replace(body, '([.!?])[ ]+',
                                        '\\1' || chr(10), 'g'), chr(10)), 1) AS pos) s
         UNION ALL SELECT doc_id, path, -1, body FROM files),
-    tok AS (SELECT doc_id, path, pos, unnest(regexp_extract_all(lower(unit), '{TOKEN}')) AS token
-            FROM units),
+    tok AS (SELECT * FROM (
+        SELECT doc_id, path, pos, unnest(regexp_extract_all(lower(unit), '{TOKEN}')) AS token
+        FROM units) WHERE token NOT IN ({stop})),
     uw AS (SELECT doc_id, path, pos, token,
                   count(*) * coalesce(any_value(idf), ln({1 + len(templates)}.0) + 1) AS w
            FROM tok LEFT JOIN idf USING (token) GROUP BY ALL),
