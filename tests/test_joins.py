@@ -1,4 +1,6 @@
-from tidepanel.operators.joins import (MAX_BROADCAST_ROWS, broadcast_bounded, full_outer_merge,
+from pyspark.sql import functions as F
+
+from tidepanel.operators.joins import (MAX_BROADCAST_BYTES, broadcast_bounded, full_outer_merge,
                                        left_attach, star_join)
 
 
@@ -32,5 +34,7 @@ def test_broadcast_only_with_bound(spark):
     a, _, _ = _sides(spark)
     assert "broadcast" in broadcast_bounded(a, 2)._jdf.queryExecution().logical().toString().lower()
     unbounded = broadcast_bounded(a, None)._jdf.queryExecution().logical().toString().lower()
-    too_big = broadcast_bounded(a, MAX_BROADCAST_ROWS + 1)._jdf.queryExecution().logical().toString().lower()
+    too_big = broadcast_bounded(a, MAX_BROADCAST_BYTES + 1)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in unbounded and "broadcast" not in too_big
+    wide = broadcast_bounded(a.withColumns({f"s{i}": F.lit("x") for i in range(20)}), 100_000)
+    assert "broadcast" not in wide._jdf.queryExecution().logical().toString().lower()

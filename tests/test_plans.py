@@ -40,3 +40,47 @@ def test_rolling_backtest_shape(spark, sf):
 def test_pivot_is_one_aggregate(spark, sf):
     plan = _plan(spark, sf, "optional_columns")
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cube,table,columns,date", [
+    ("orders_cube", "orders", {"o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                               "o_orderpriority"}, "o_orderdate"),
+    ("lineitem_cube", "lineitem", {"l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
+                                   "l_shipdate"}, "l_shipdate"),
+    ("rate_cube", "lineitem", {"l_discount", "l_shipdate"}, "l_shipdate")])
+def test_cubes_scan_once_pruned_and_bounded(spark, sf, cube, table, columns, date):
+    """The inputs of the gold layer, before anything is written: one scan of
+    the fact table, only the needed columns, the period range pushed down, a
+    partial aggregate before the shuffle."""
+    from tidepanel.plans.gold import GoldConfig
+    from tidepanel.sources import standins
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = _text(getattr(standins, cube)(spark, sf, GoldConfig()))
+    scans = re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet[^\n]*", plan)
+    assert len(scans) == 1
+    read = re.search(r"ReadSchema: struct<([^>]*)>", scans[0]).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == columns
+    assert f"GreaterThanOrEqual({date}" in scans[0] and f"LessThan({date}" in scans[0]
+    assert "partial_sum" in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("series", ["segment_month", "nation_segment_month", "customer_month"])
+def test_series_scan_once(spark, sf, series):
+    from tidepanel.plans import series as s
+    plan = _text(getattr(s, series)(spark, sf))
+    assert len(re.findall(r"FileScan parquet [^\n]*/orders\.parquet", plan)) == 1
+    assert "partial_sum" in plan
+
+
+def test_lag_orders_share_one_aggregate(spark, sf):
+    """Three lag orders of 125 series: one scan, one pass of co-moments."""
+    from tidepanel.operators.arx import fit_orders
+    from tidepanel.plans.series import nation_segment_month
+    plan = _text(fit_orders(nation_segment_month(spark, sf), ["k"], "p", "y", ["x1"],
+                            [(0, 0, 0), (1, 0, 0), (2, 0, 0)]))
+    assert plan.count("MapInPandas") == 1 and plan.count("partial_covar_pop") > 0
+    assert len(re.findall(r"FileScan parquet [^\n]*/orders\.parquet", plan)) == 1

@@ -16,15 +16,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast at most this many rows, even when a bound is known.
-MAX_BROADCAST_ROWS = 1_000_000
+# Broadcast at most this many bytes, even when a bound is known.
+MAX_BROADCAST_BYTES = 64 << 20
+# What a value is taken to need: numbers and dates 8, text 64, the rest 256.
+_WIDTHS = {"string": 64, "binary": 256}
+
+
+def row_width(df: DataFrame) -> int:
+    """Estimated bytes of a row, from its types."""
+    return 16 + sum(_WIDTHS.get(t, 256 if "<" in t else 8) for _, t in df.dtypes)
 
 
 def broadcast_bounded(df: DataFrame, bound_rows: int | None) -> DataFrame:
     """Mark ``df`` for broadcast when ``bound_rows`` (an upper bound on its
-    row count that holds at any scale) is small enough; else return it as
-    is so the planner picks a shuffle join."""
-    if bound_rows is not None and 0 <= bound_rows <= MAX_BROADCAST_ROWS:
+    row count that holds at any scale) rows of its width are small enough;
+    else return it as is so the planner picks a shuffle join."""
+    if bound_rows is not None and 0 <= bound_rows * row_width(df) <= MAX_BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 
