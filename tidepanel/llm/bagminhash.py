@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1"))
     members = work_table(keyed.join(hubs, "key"), "members")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
+    # always by merge: the side grows with the input, so does the plan's cost
+    involved = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     bags = work_table(texts.join(involved, "doc_id", "left_semi")
                       .mapInArrow(_bags(shingle), "node long, keys binary, counts binary"), "bags")
 
