@@ -53,6 +53,7 @@ from .common import (
     mix64,
     prefix_hash,
     slice_hash,
+    slices,
     word_hashes,
     word_spans,
     work_table,
@@ -277,8 +278,8 @@ def _ordered(a, b):
 def _tokens(batches):
     """Bags as sets: the k-th occurrence of a shingle is a token of its own."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            d = batch.slice(lo, SLICE).to_pydict()
+        for part in slices(batch, SLICE, "keys"):
+            d = part.to_pydict()
             nodes, comps, tokens, sizes = [], [], [], []
             for node, comp, k, c in zip(d["node"], d["comp"], d["keys"], d["counts"]):
                 count = np.frombuffer(c, "<u4").astype(np.int64)

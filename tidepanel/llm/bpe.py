@@ -38,8 +38,8 @@ from .common import by_slices, id_text
 SPLIT_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                  r"""|\s+(?!\S)|\s+""")
 
-PIECE_CACHE = 300_000
-PAIR_CACHE = 500_000
+PIECE_CACHE = 80_000
+PAIR_CACHE = 100_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -93,7 +93,7 @@ class Encoder:
         import ahocorasick
         import regex
 
-        self.v = v = Vocabulary(path)
+        self.v = v = vocabulary_of(path)
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.special = (regex.compile("(" + "|".join(
             regex.escape(s) for s in sorted(v.specials, key=len, reverse=True)) + ")")
@@ -111,7 +111,7 @@ class Encoder:
             self.shorter[i] = next((known[b[:n]] for n in range(len(b) - 1, 0, -1)
                                     if b[:n] in known), None)
         self.length = {i: len(v.bytes_of[i]) for i in usable}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -119,7 +119,7 @@ class Encoder:
         two tokens' merges step by step; if at some step the two inner
         neighbours would themselves merge earlier than what was undone, the
         border could not have survived."""
-        key = (a, b)
+        key = a << 32 | b
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -208,9 +208,17 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> bytes:
     return v.all_bytes[at].tobytes()
 
 
+_VOCABULARIES: dict[str, Vocabulary] = {}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def vocabulary_of(path: str) -> Vocabulary:
+    """The worker's tables of a vocabulary file, read once per process."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, built once per process."""
     if path not in _ENCODERS:
@@ -243,7 +251,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     :func:`bpe_encode`; bytes that are not UTF-8 become U+FFFD."""
     def body(cols):
         ids, counts, packed = cols
-        v = encoder(vocabulary).v
+        v = vocabulary_of(vocabulary)
         texts = [decode_ids(v, np.frombuffer(p or b"", "<u4")).decode("utf-8", "replace")
                  for p in packed]
         return pa.RecordBatch.from_arrays(
@@ -255,9 +263,27 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         "doc_id long, n_tokens long, ids binary, decoded string")
 
 
+def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: :func:`bpe_encode` and
+    :func:`bpe_decode` in one pass, by one worker per task."""
+    def body(cols):
+        ids, texts = cols
+        enc = encoder(vocabulary)
+        packed = [enc.encode(t) for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array([len(p) // 4 for p in packed], pa.int64()),
+             pa.array(packed, pa.binary()),
+             pa.array([enc.decode(p).decode("utf-8", "replace") for p in packed], pa.string())],
+            ["doc_id", "n_tokens", "ids", "decoded"])
+    return id_text(docs, id_col, text_col).mapInArrow(
+        by_slices(256, body, ["doc_id", "text"]),
+        "doc_id long, n_tokens long, ids binary, decoded string")
+
+
 def bpe_digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Round trip of every document, as digests (and the ids themselves)."""
-    both = bpe_decode(bpe_encode(docs, vocabulary), vocabulary)
-    return both.select("doc_id", "n_tokens", *(["ids"] if with_ids else []),
-                       F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe_roundtrip(docs, vocabulary).select(
+        "doc_id", "n_tokens", *(["ids"] if with_ids else []),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

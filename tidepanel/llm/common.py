@@ -3,15 +3,15 @@ shared folder, batch-wise Arrow iteration and vectorised text hashing."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +31,30 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *[c.alias(k) for k, c in (extra or {}).items()])
 
 
+def id_text_carry(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str],
+                  extra: dict[str, Column] | None = None) -> tuple[DataFrame, str, list]:
+    """:func:`id_text` plus the columns ``carry`` as ``__carry_<name>``; a text
+    that is carried anyway is not sent twice.  Returns the frame, the name of
+    its text column (which may hold nulls) and the carried fields."""
+    rows = id_text(docs, id_col, text_col, {
+        **(extra or {}), **{f"__carry_{c}": F.col(f"`{c}`") for c in carry}})
+    name = "text"
+    if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string":
+        rows, name = rows.drop("text"), f"__carry_{text_col}"
+    return rows, name, [f for f in rows.schema.fields if f.name.startswith("__carry_")]
+
+
+def carried_back(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Only the carried columns, under their own names."""
+    return df.select(*[F.col(f"`__carry_{c}`").alias(c) for c in columns])
+
+
 def work_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the session's shared folder
     (``spark.checkpoint.dir``) and read it back: cuts lineage, and survives
     the loss of any executor."""
     spark = df.sparkSession
-    prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    path = f"{base}/llm-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, f"llm-{label}")
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -46,15 +62,37 @@ def work_table(df: DataFrame, label: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int, text: str | None = None,
+           size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and (beyond the first row)
+    ``size`` bytes of the ``text`` column: bounds what a task holds as Python
+    objects and working arrays."""
+    at = -1 if text is None else batch.schema.get_field_index(text)
+    if at < 0:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(
+        zero_copy_only=False).astype(np.int64))
+    lo, before = 0, 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(ends, before + size, side="right"))
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo, before = hi, int(ends[hi - 1])
+
+
 def by_slices(rows: int, fn: Callable[[list[list]], pa.RecordBatch], columns: list[str]):
     """A ``mapInArrow`` body: hands ``fn`` the named columns as Python lists,
-    at most ``rows`` rows at a time, so that a task holds one slice of texts
-    as Python objects and not a whole Arrow batch."""
+    slice by slice."""
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            for lo in range(0, batch.num_rows, rows):
-                yield fn([c.slice(lo, rows).to_pylist() for c in cols])
+            for part in slices(batch, rows, "text"):
+                yield fn([part.column(part.schema.get_field_index(c)).to_pylist()
+                          for c in columns])
     return body
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import carried_back, id_text
 
 HEAD_CHARS = 48
 
@@ -38,10 +38,10 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     heads = rows.groupBy(F.xxhash64("head").alias("head_key")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = heads.agg(F.sum("n")).scalar()
     # a head with more than total/parts rows: at most `parts` of them exist
-    heavy = (heads.join(F.broadcast(total), F.col("n") * parts > F.col("total"))
-             .select("head_key", F.ceil(F.col("n") * 4 * parts / F.col("total"))
+    heavy = (heads.filter(F.col("n") * parts > total)
+             .select("head_key", F.ceil(F.col("n") * 4 * parts / total)
                      .cast("int").alias("salts")))
     salted = (rows.withColumn("head_key", F.xxhash64("head"))
               .join(F.broadcast(heavy), "head_key", "left")
@@ -90,7 +90,7 @@ def content_sort_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     salted = heads.filter("salt >= 0")
     winners = (salted.groupBy("text_sha256").agg(best.alias("keep_id"))
                .withColumnRenamed("text_sha256", "key"))
-    cols = [F.col(f"__carry_{c}").alias(c) for c in docs.columns]
     won = salted.join(winners, (F.col("text_sha256") == F.col("key"))
                       & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return heads.filter("salt < 0").select(*cols).unionByName(won.select(*cols))
+    return (carried_back(heads.filter("salt < 0"), docs.columns)
+            .unionByName(carried_back(won, docs.columns)))

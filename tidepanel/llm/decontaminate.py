@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, work_table
+from .common import carried_back, id_text_carry, slices, work_table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -85,9 +85,8 @@ def _count_body(vocabulary):
         words = vocabulary.value
         total = Counter()
         for batch in batches:
-            col = batch.column(0)
-            for lo in range(0, len(col), 256):
-                for text in col.slice(lo, 256).to_pylist():
+            for part in slices(batch, SLICE, batch.schema.names[0]):
+                for text in part.column(0).to_pylist():
                     total.update(filter(words.__contains__, words_of(text)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
@@ -95,17 +94,17 @@ def _count_body(vocabulary):
     return body
 
 
-def _probe_body(index, last: bool, carried: list[str]):
+def _probe_body(index, last: bool, text: str, carried: list[str]):
     def body(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                yield one(batch.slice(lo, SLICE))
+            for part in slices(batch, SLICE, text):
+                yield one(part)
 
     def one(b):
         col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
         sizes, hits, found = [], [], []
-        for text, hit, have in zip(*[col[c].to_pylist() for c in ("text", "hit", "items")]):
-            words = words_of(text)
+        for doc, hit, have in zip(*[col[c].to_pylist() for c in (text, "hit", "items")]):
+            words = words_of(doc)
             flags = bytearray(hit) if hit else bytearray(len(words))
             items = set(have)
             probe(words, index.value, flags, items)
@@ -117,8 +116,10 @@ def _probe_body(index, last: bool, carried: list[str]):
             out = {"doc_id": col["doc_id"], "n_words": pa.array(sizes, pa.int64()),
                    "n_hit": pa.array([h.count(1) for h in hits], pa.int64()), "items": items}
         else:
-            out = {"doc_id": col["doc_id"], "text": col["text"],
-                   "hit": pa.array([bytes(h) for h in hits], pa.binary()), "items": items}
+            out = {"doc_id": col["doc_id"], "hit": pa.array([bytes(h) for h in hits], pa.binary()),
+                   "items": items}
+            if text == "text":
+                out["text"] = col["text"]
         out |= {c: col[c] for c in carried}
         return pa.RecordBatch.from_arrays(list(out.values()), list(out))
     return body
@@ -135,9 +136,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ``carry`` come along as ``__carry_<name>``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    rows = id_text(docs, id_col, text_col, {f"__carry_{c}": F.col(f"`{c}`") for c in carry})
-    carried = [f for f in rows.schema.fields if f.name.startswith("__carry_")]
+    rows, text, carried = id_text_carry(docs, id_col, text_col, carry)
     tail = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    more = "doc_id long, hit binary, items array<string>" + ", text string" * (text == "text")
     bench = benchmark.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
         F.col(f"`{item_text_col}`").cast("string").alias("text"))
@@ -149,15 +150,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         items = [(r["item"], r["text"]) for r in
                  bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
         vocabulary = sc.broadcast({w for _, t in items for w in words_of(t)})
-        counted = (rows.select("text").mapInArrow(_count_body(vocabulary), "word binary, n long")
+        counted = (rows.select(text).mapInArrow(_count_body(vocabulary), "word binary, n long")
                    .groupBy("word").agg(F.sum("n").alias("n")))
         counts = {bytes(r["word"]): r["n"] for r in counted.collect()} if items else {}
         index = sc.broadcast(build_index(items, counts, window))
         last = b == blocks - 1
         state = state.mapInArrow(
-            _probe_body(index, last, [f.name for f in carried]),
-            ("doc_id long, n_words long, n_hit long, items array<string>" if last else
-             "doc_id long, text string, hit binary, items array<string>") + tail)
+            _probe_body(index, last, text, [f.name for f in carried]),
+            ("doc_id long, n_words long, n_hit long, items array<string>" if last else more)
+            + tail)
         if not last and b % 4 == 3:
             state = work_table(state, "decontaminate")
     num, den = min_share
@@ -168,8 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     out = decontaminate(docs, benchmark, carry=docs.columns, **options)
-    return out.filter(~F.col("contaminated")).select(
-        *[F.col(f"__carry_{c}").alias(c) for c in docs.columns])
+    return carried_back(out.filter(~F.col("contaminated")), docs.columns)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]],

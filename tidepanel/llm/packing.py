@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, slices
 
 LENGTH = 2048
 BLOCK_TOKENS = 2_000_000
@@ -139,8 +139,7 @@ def pack(docs: DataFrame, rank_file: str, length: int = LENGTH, pad: int = PAD,
         at = TaskContext.get().partitionId() << 40
         held, segments = 0, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                b = batch.slice(lo, 128)
+            for b in slices(batch, 128, "text"):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     ids = np.array(enc.encode_ordinary(text), np.uint16 if pad < 65536
                                    else np.uint32)

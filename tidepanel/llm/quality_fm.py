@@ -27,12 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, word_hashes, word_spans
+from .common import (
+    carried_back,
+    id_text,
+    id_text_carry,
+    slices,
+    word_hashes,
+    word_spans,
+)
 
 BUCKETS = 1 << 15
 RANK = 6
-MAX_SAMPLE = 20_000
-SLICE = 512
+MAX_SAMPLE = 10_000
+SLICE = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -187,9 +194,8 @@ def _unpack(data: bytes | None):
 
 def _feature_body(batches):
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            b = batch.slice(lo, SLICE)
-            d = b.to_pydict()
+        for part in slices(batch, SLICE, "text"):
+            d = part.to_pydict()
             row, col, val, stats = features(d["text"], d["size"])
             ptr = np.searchsorted(row, np.arange(len(stats) + 1))
             yield pa.RecordBatch.from_arrays([
@@ -206,8 +212,8 @@ def _train(pdf):
     pdf = pdf.sort_values(["doc_id", "cols"], kind="stable")
     col = [np.frombuffer(b, "<u2") for b in pdf["cols"]]
     ptr = np.concatenate([[0], np.cumsum([len(c) for c in col])]).astype(np.int64)
-    model = fit(ptr, np.concatenate(col).astype(np.int64),
-                np.concatenate([np.frombuffer(b, "<f4") for b in pdf["vals"]]).astype(float),
+    model = fit(ptr, np.concatenate(col).astype(np.int32),
+                np.concatenate([np.frombuffer(b, "<f4") for b in pdf["vals"]]),
                 np.stack([np.frombuffer(b, "<f4") for b in pdf["stats"]]).astype(float),
                 pdf["y"].to_numpy(float))
     return pd.DataFrame({"model": [_pack(model)]})
@@ -227,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     # bounded: at most max_sample ids (16 bytes each), the first by a hash
     sample = (known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
               .groupBy("doc_id").agg(F.avg("y").alias("y")))
-    rows = _inputs(docs, size_col).join(F.broadcast(sample), "doc_id")
+    rows = id_text(docs, extra=_size(size_col)).join(F.broadcast(sample), "doc_id")
     feats = rows.mapInArrow(_feature_body,
                             "doc_id long, y double, cols binary, vals binary, stats binary")
     got = (feats.groupBy(F.lit(0).alias("all")).applyInPandas(_train, "model binary")
@@ -235,10 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return bytes(got[0]["model"]) if got else None
 
 
-def _inputs(docs: DataFrame, size_col: str | None, carry: list[str] = ()) -> DataFrame:
-    size = F.lit(None) if size_col is None else F.col(f"`{size_col}`")
-    return id_text(docs, extra={"size": size.cast("long"),
-                                **{f"__carry_{c}": F.col(f"`{c}`") for c in carry}})
+def _size(size_col: str | None):
+    return {"size": (F.lit(None) if size_col is None else F.col(f"`{size_col}`")).cast("long")}
 
 
 def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars",
@@ -246,16 +250,14 @@ def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars"
     """``doc_id, score, predicted`` for every document, plus the columns of
     ``carry`` as ``__carry_<name>``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _inputs(docs, size_col, carry)
-    kept = [f for f in rows.schema.fields if f.name.startswith("__carry_")]
+    rows, text, kept = id_text_carry(docs, "doc_id", "text", carry, _size(size_col))
 
     def body(batches):
         m = _unpack(shipped.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                b = batch.slice(lo, SLICE)
+            for b in slices(batch, SLICE, text):
                 at = b.schema.get_field_index
-                feats = features(b.column(at("text")).to_pylist(),
+                feats = features([t or "" for t in b.column(at(text)).to_pylist()],
                                  b.column(at("size")).to_pylist())
                 r, c, v = _design(*feats)
                 s = sigmoid(raw_scores(m, r, c, v, b.num_rows)[0])
@@ -272,5 +274,5 @@ def score(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars"
 def keep_good(docs: DataFrame, model: bytes | None, size_col: str | None = "n_chars",
               threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, with all columns."""
-    return (score(docs, model, size_col, threshold, docs.columns).filter("predicted = 1")
-            .select(*[F.col(f"__carry_{c}").alias(c) for c in docs.columns]))
+    return carried_back(score(docs, model, size_col, threshold, docs.columns)
+                        .filter("predicted = 1"), docs.columns)
