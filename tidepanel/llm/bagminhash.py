@@ -21,7 +21,8 @@ bags with empty slots go on with a doubled horizon.
    members to its smallest one (a star, not all pairs); links are verified on
    the full multisets.
 3. In buckets of three or more whose members are not yet one component, all
-   members are tested against a second centre, picked by a hash.
+   members are tested against further centres, picked by a hash, one per turn
+   (:data:`CENTRES` turns): this joins most of what a star leaves apart.
 4. What is still open is settled exactly: a prefix-filtered join over the
    members of open buckets finds every pair across components that can reach
    the threshold (tokens are ordered by rarity, so common passages do not
@@ -63,6 +64,7 @@ _U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
+CENTRES = 3
 SLICE = 256
 
 # Word bytes: digits, letters, everything beyond ASCII; A-Z count as a-z.
@@ -343,12 +345,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     star = members.filter("node <> hub").select(*_ordered("node", "hub")).distinct()
     labels = work_table(components(verified(star, bags, threshold)), "labels")
 
-    opened = _open_members(members, labels)
-    second = opened.groupBy("key").agg(
-        F.min_by(F.struct("node", "comp"), F.xxhash64("key", "node")).alias("c"))
-    pairs = (opened.join(second, "key").filter("comp <> c.comp")
-             .select(*_ordered("node", "c.node")).distinct())
-    labels = merge_components(labels, verified(pairs, bags, threshold))
+    for turn in range(CENTRES):
+        opened = work_table(_open_members(members, labels), "open")
+        centre = opened.groupBy("key").agg(F.min_by(
+            F.struct("node", "comp"), F.xxhash64("key", "node", F.lit(turn))).alias("c"))
+        pairs = (opened.join(centre, "key").filter("comp <> c.comp")
+                 .select(*_ordered("node", "c.node")).distinct())
+        labels = merge_components(labels, verified(pairs, bags, threshold))
 
     rest = _open_members(members, labels).select("node", "comp").distinct()
     pairs = prefix_pairs(bags.join(rest, "node").select("node", "comp", "keys", "counts"),
