@@ -47,6 +47,7 @@ _U = np.uint64
 NULL_ID = (1 << 63) - 1
 CHUNK_BYTES = 1 << 19
 HOT_ANCHOR = 2_000
+ANCHOR_BUCKET_BLOCKS = 8
 
 
 @dataclass(frozen=True)
@@ -167,8 +168,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 class Block:
     """The documents of one block, in id order, as chunks."""
 
-    def __init__(self, scheme: Scheme, table: pa.Table, buckets: int):
-        self.scheme, self.buckets = scheme, buckets
+    def __init__(self, scheme: Scheme, table: pa.Table, buckets: tuple[int, int]):
+        self.scheme = scheme
+        self.ask_buckets, self.send_buckets = buckets
         ids = table.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
@@ -209,7 +211,7 @@ class Block:
         return uniq, where, counts, high > low
 
     def _message(self, keys: np.ndarray) -> np.ndarray:
-        bucket = ((keys >> _U(32)) * _U(self.buckets)) >> _U(32)
+        bucket = ((keys >> _U(32)) * _U(self.ask_buckets)) >> _U(32)
         return (bucket << _U(32)) | (keys & _U(0xFFFFFFFF))
 
     def bucket_ranges(self, bucket: np.ndarray):
@@ -241,7 +243,7 @@ class Block:
         # a hot anchor's windows travel by their own hash, all others by the
         # anchor's; an anchor is hot everywhere or nowhere, so equal windows meet
         route = np.where(self._all(lambda c: c.hot, bool), h, keys)
-        bucket = ((mix64(route) >> _U(32)) * _U(self.buckets)) >> _U(32)
+        bucket = ((mix64(route) >> _U(32)) * _U(self.send_buckets)) >> _U(32)
         order = np.lexsort((h, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -274,7 +276,8 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
         cuts = [i / blocks for i in range(1, blocks)]
         got = rows.agg(F.percentile_approx("doc_id", cuts, 100_000).alias("b")).first()["b"]
         bounds = np.unique(np.array(got, np.int64))
-    buckets = blocks
+    # anchors are a few bytes, segments are text: fewer buckets for anchors
+    buckets = (math.ceil(blocks / ANCHOR_BUCKET_BLOCKS), blocks)
 
     @F.pandas_udf("int")
     def block_of(ids: pd.Series) -> pd.Series:

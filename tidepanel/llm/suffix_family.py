@@ -3,10 +3,12 @@
 A document loses every byte inside a string of ``window`` bytes that also
 starts in a document with a smaller id.
 
-Blocks of documents are the batches.  In :func:`scan_family` the batches of
-one bucket come in id order.  Each gets a suffix array: the places of its
+Blocks of documents, in id order, make up the batches.  In
+:func:`scan_family` the batches of one bucket come in order.  Each gets a
+suffix array: the places of its
 text in the order of the ``window`` bytes that follow (a longer order cannot
-change the answer).  The array is merge-scanned against every level of the
+change the answer).  Equal neighbours in it that come from an earlier block of
+the batch are matches; then the array is merge-scanned against every level of the
 family for matches of that length.  What is new is inserted as a level of its
 own, and levels of like size are merged, so their sizes grow geometrically
 and each string is merged a logarithmic number of times.  Segments that are
@@ -31,6 +33,7 @@ from .passages import Scheme, repeated_windows, spans_of
 WINDOW = 50
 SEED = 24
 BLOCK_BYTES = 4 << 20
+BATCH_WINDOWS = 30_000
 
 SCHEMA = ("doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, "
           "kept binary")
@@ -81,27 +84,48 @@ class Family:
             self.levels.append(keys)
 
 
-def scan_family(batches, window: int = WINDOW):
-    """Flags per batch: does an earlier batch have the window?"""
+def _batches(messages, window: int, least: int):
+    """Messages (block, segments) gathered to batches of at least ``least``
+    windows: the work per batch does not depend on how finely the
+    documents were cut into blocks."""
+    held, size = [], 0
+    for block, segments in messages:
+        held.append((block, segments))
+        size += sum(map(len, segments)) - (window - 1) * len(segments)
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def scan_family(messages, window: int = WINDOW, least: int = BATCH_WINDOWS):
+    """Flags per message: does an earlier block have the window?"""
     family, whole = Family(), set()
-    for _, segments in batches:
-        known = [s in whole for s in segments]
+    for batch in _batches(messages, window, least):
+        segments = [s for _, part in batch for s in part]
+        known = np.array([s in whole for s in segments], bool)
         n = np.array([len(s) - window + 1 for s in segments], np.int64)
-        flags = np.repeat(np.array(known, np.uint8), n)
+        block = np.repeat([b for b, _ in batch], [len(part) for _, part in batch])
+        flags = np.repeat(known.astype(np.uint8), n)
         fresh = [s for s, k in zip(segments, known) if not k]
         if fresh:
             order, keys = suffix_array(fresh, window)
             found = family.scan(keys)
+            distinct = np.ones(len(keys), bool)
+            distinct[1:] = keys[1:] != keys[:-1]
+            # equal suffixes stand in block order: the first is the earliest
+            own = np.repeat(block[~known], n[~known])[order]
+            first = own[np.flatnonzero(distinct)][np.cumsum(distinct) - 1]
             hit = np.empty(len(order), np.uint8)
-            hit[order] = found
-            flags[np.repeat(~np.array(known), n)] = hit
-            new = keys[~found]
-            if len(new):
-                distinct = np.ones(len(new), bool)
-                distinct[1:] = new[1:] != new[:-1]
-                family.insert(new[distinct])
+            hit[order] = found | (own > first)
+            flags[np.repeat(~known, n)] = hit
+            family.insert(keys[distinct & ~found])
             whole.update(fresh)
-        yield flags
+        ends = np.cumsum([0, *(int(x) for x in n)])
+        at = np.cumsum([0, *(len(part) for _, part in batch)])
+        for lo, hi in zip(at[:-1], at[1:]):
+            yield flags[ends[lo]:ends[hi]]
 
 
 def _finish(ids, chunk, covered) -> pa.Table:
