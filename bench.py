@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidepanel.plans.catalog import all_queries  # noqa: E402
-from tidepanel.session import local_session  # noqa: E402
+from tidepanel.session import local_session, prepare  # noqa: E402
 
 HEADLINE = ["gold_panel", "features", "clean_drivers", "gram_matrix", "rolling_backtest",
             "arma_fit"]
@@ -36,6 +36,7 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
                           app="tidepanel-bench",
                           event_log_dir=os.environ.get("BENCH_EVENTLOG_DIR"))
+    prepare(spark)
     qs = all_queries()
     for n in names:
         run(qs[n].build(spark, WARM_DIR))

@@ -70,3 +70,11 @@ def test_exact_median_of_many_distinct_values(spark):
     df = spark.range(250_001).selectExpr("cast((id * 7919) % 250001 AS double) AS x",
                                          "cast(id AS double) / 2 AS y", "cast(NULL AS double) AS z")
     assert exact_medians(df, ["x", "y", "z"]) == {"x": 125_000.0, "y": 62_500.0, "z": None}
+
+
+def test_median_without_groups_is_distributed(spark):
+    from tidepanel.operators.aggregate import median_by
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, None), (4.0, 7.0)], "x double, y double")
+    out = median_by(df, [], ["x", "y"])
+    assert tuple(out.first()) == (2.0, 6.0)
+    assert "median" not in out._jdf.queryExecution().executedPlan().toString()

@@ -178,8 +178,13 @@ def focal_split_join(df: DataFrame, period_col: str, partner_col: str, value_col
 def median_by(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
               exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Median per group and column (A8, A9).  ``exact`` uses ``median``
-    (sort inside each group); on very large groups pass ``exact=False`` for
-    ``percentile_approx`` whose memory per group is bounded by ``accuracy``."""
+    (sort inside each group: meant for groups of aggregated rows); on very
+    large groups pass ``exact=False`` for ``percentile_approx`` whose memory
+    per group is bounded by ``accuracy``.  Without groups the exact median
+    is the distributed one."""
+    if exact and not group_cols:
+        from .clean import median_row
+        return median_row(df, cols, accuracy)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
