@@ -38,8 +38,8 @@ from .common import by_slices, id_text
 SPLIT_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                  r"""|\s+(?!\S)|\s+""")
 
-PIECE_CACHE = 80_000
-PAIR_CACHE = 100_000
+PIECE_CACHE = 150_000  # pieces in each of the cache's two generations
+PAIR_CACHE = 250_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -112,7 +112,10 @@ class Encoder:
                                     if b[:n] in known), None)
         self.length = {i: len(v.bytes_of[i]) for i in usable}
         self.pairs: dict[int, bool] = {}
+        # two generations: what the full one has and is asked for again moves on
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.packed_id = [i.to_bytes(4, "little") for i in range(len(v.bytes_of))]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``: undo the later of the
@@ -120,9 +123,6 @@ class Encoder:
         neighbours would themselves merge earlier than what was undone, the
         border could not have survived."""
         key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
         v, rank = self.v, self.v.rank
         left, right = a, b
         # a merge across the border beats the one undone last if its rank is
@@ -157,17 +157,24 @@ class Encoder:
                 best[start], longest[start] = length[i], i
         open_at = bytearray(b"\1") * (n + 1)
         out: list[int] = []
+        known, compatible, shorter = self.pairs.get, self.compatible, self.shorter
         pos, tok = 0, longest[0]
         while True:
             end = pos + length[tok]
-            if open_at[end] and (not out or self.compatible(out[-1], tok)):
-                out.append(tok)
-                pos = end
-                if pos == n:
-                    return out
-                tok = longest[pos]
-                continue
-            nxt = self.shorter[tok]
+            if open_at[end]:
+                if not out:
+                    fits = True
+                else:
+                    fits = known(out[-1] << 32 | tok)
+                    if fits is None:
+                        fits = compatible(out[-1], tok)
+                if fits:
+                    out.append(tok)
+                    if end == n:
+                        return out
+                    pos, tok = end, longest[end]
+                    continue
+            nxt = shorter[tok]
             if nxt is None:
                 open_at[pos] = 0
                 nxt = out.pop()
@@ -175,9 +182,15 @@ class Encoder:
             tok = nxt
 
     def _packed(self, piece: str) -> bytes:
-        got = np.array(self.piece(piece.encode()), "<u4").tobytes()
+        got = self.pieces.get(piece)
+        if got is not None:
+            return got
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.packed_id
+            got = b"".join([ids[i] for i in self.piece(piece.encode())])
         if len(self.pieces) >= PIECE_CACHE:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
         self.pieces[piece] = got
         return got
 
