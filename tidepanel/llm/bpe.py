@@ -38,8 +38,8 @@ from .common import by_slices, id_text
 SPLIT_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                  r"""|\s+(?!\S)|\s+""")
 
-PIECE_CACHE = 150_000  # pieces in each of the cache's two generations
-PAIR_CACHE = 250_000
+PIECE_CACHE = 90_000  # pieces in each of the cache's two generations
+PAIR_CACHE = 150_000
 
 
 def _byte_alphabet() -> dict[str, int]:
