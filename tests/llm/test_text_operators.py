@@ -5,6 +5,7 @@ against brute force on a table with copies."""
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -441,3 +442,36 @@ def test_necessary_tokens_are_necessary():
     for _, w, norm in vectors:
         rest = sum(x * x for t, x in w.items() if t not in need) ** 0.5
         assert rest < license_scan.THRESHOLD * norm
+
+
+def test_license_prefilter_has_the_tokenisers_borders(spark):
+    """Words beside underscores, digits and non-ASCII letters, and numbers
+    beside dots, as in the oracle, which has no prefilter."""
+    texts = ["_MIT License_", "apache_license_version_2.0", "許可mit license許可",
+             "élicensed under the apache license, version 2.0é", "1mit2 license3 released",
+             "__released under the mit license__", "smit licenses", "mozilla_public_license_v_2.0",
+             "gnu.2 general public 3license", "cc1.by.nc 4.0.", "mit", "", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    sql = license_scan.oracle("'d' || doc_id || '/x'")
+    want = sorted(con.execute(f"SELECT doc_id, licence, score, origin FROM ({sql})").fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = license_scan.license_scan(df, F.concat(F.lit("d"), "doc_id", F.lit("/x")))
+    got = sorted(tuple(r) for r in out.select("doc_id", "licence", "score", "origin").collect())
+    assert got == want
+    assert {d: lic for d, lic, _, _ in got if lic and d < 4} == {
+        0: "MIT", 1: "Apache-2.0", 2: "MIT", 3: "Apache-2.0"}
+
+
+def test_license_token_rule_is_the_tokeniser():
+    """The rule finds a text just when the tokeniser gives one of the tokens."""
+    import re
+    rnd = random.Random(5)
+    tokens = ["mit", "license", "2.0", "3", "4.0"]
+    rule = license_scan.token_rule(tokens)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["mit", "license", "2.0", "3", "4", "0", ".", "_", " ", "é", "x"])
+                       for _ in range(rnd.randint(1, 6)))
+        has = any(t in tokens for t in re.findall(license_scan.TOKEN, text))
+        assert bool(re.search(rule, text)) == has, text

@@ -96,6 +96,18 @@ def necessary_tokens(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[
     return sorted(need)
 
 
+def token_rule(tokens) -> str:
+    """Finds the texts that have one of the tokens, by the tokeniser's own
+    borders: a word ends at whatever is not a-z, a number goes on over dots
+    between digits."""
+    words = [t for t in tokens if not t[0].isdigit()]
+    numbers = [re.escape(t) for t in tokens if t[0].isdigit()]
+    rules = [rf"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"] if words else []
+    if numbers:
+        rules.append(rf"(?<![0-9])(?<![0-9][.])(?:{'|'.join(numbers)})(?![0-9]|[.][0-9])")
+    return "|".join(rules)
+
+
 def _best(weights: Column, norm: Column, vectors) -> Column:
     """(score, licence) of the best template, for a map token -> weight."""
     scored = []
@@ -113,7 +125,7 @@ def license_scan(files: DataFrame, path: Column, templates=TEMPLATES,
     ``header``, ``file``, ``inherited`` or null (no licence)."""
     vectors, idf = template_vectors(templates)
     words = sorted({t for _, w, _ in vectors for t in w})
-    need = r"\b(" + "|".join(map(re.escape, necessary_tokens(templates, threshold))) + r")\b"
+    need = token_rule(necessary_tokens(templates, threshold))
     rows = id_text(files, id_col, text_col,
                    {"path": F.coalesce(path.cast("string"), F.lit(""))})
     rows = rows.withColumn("text_key", F.xxhash64("text"))
