@@ -457,7 +457,7 @@ def test_license_prefilter_has_the_tokenisers_borders(spark):
     sql = license_scan.oracle("'d' || doc_id || '/x'")
     want = sorted(con.execute(f"SELECT doc_id, licence, score, origin FROM ({sql})").fetchall())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = license_scan.license_scan(df, F.concat(F.lit("d"), "doc_id", F.lit("/x")))
+    out = license_scan.license_scan(df, F.concat(F.lit("d"), "doc_id", F.lit("/x")), texts=())
     got = sorted(tuple(r) for r in out.select("doc_id", "licence", "score", "origin").collect())
     assert got == want
     assert {d: lic for d, lic, _, _ in got if lic and d < 4} == {
@@ -475,3 +475,119 @@ def test_license_token_rule_is_the_tokeniser():
                        for _ in range(rnd.randint(1, 6)))
         has = any(t in tokens for t in re.findall(license_scan.TOKEN, text))
         assert bool(re.search(rule, text)) == has, text
+
+
+GPL_HEADER = """#!/usr/bin/env python
+# Copyright (C) 2019 Jane Doe
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+import os
+print(os.name)
+"""
+HEADERS = [
+    ("GPL-3.0", GPL_HEADER), ("GPL-2.0", GPL_HEADER.replace("version 3", "version 2")),
+    ("LGPL-2.1", GPL_HEADER.replace("program", "library").replace("General", "Lesser General")
+     .replace("version 3", "version 2.1")),
+    ("AGPL-3.0", GPL_HEADER.replace("GNU General", "GNU Affero General")),
+    ("MPL-2.0", """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() { return 0; }"""),
+    ("Apache-2.0", 'x\nThis file is licensed under the Apache License, Version 2.0 (the "License"); '
+     "you may not use this file except in compliance with the License.\ny"),
+    ("Apache-2.0", """// Copyright 2015 The Authors
+// Licensed under the Apache License, Version 2.0 (the
+// "License"); you may not use this file except in
+// compliance with the License.
+package x"""),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+     'software and associated documentation files (the "Software"), to deal in the Software '
+     "without restriction, including without limitation the rights to use, copy, modify, merge, "
+     "publish, distribute, sublicense, and/or sell copies of the Software."),
+    ("CC-BY-4.0", "Words.\nThis work is licensed under a Creative Commons Attribution 4.0 "
+     "International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-"
+     "\nShareAlike 4.0 International License."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or "
+     "without fee is hereby granted, provided that the above\ncopyright notice and this permission "
+     "notice appear in all copies.\n\ncode"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\n"
+     "modification, are permitted provided that the following conditions are met:\n\ncode"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without\n"
+     "modification, are permitted provided that the following conditions are met:\n\ncode\n\n"
+     "3. Neither the name of X nor the names\nof Y"),
+    ("GPL-3.0", "Under the GNU General Public License.\n\nWords.\n\nIt is version 3 of it."),
+    ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only\nint x;"),
+    ("MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and\n"
+     "related and neighboring rights to this software to the public domain worldwide."),
+    (None, "We talk about software, its licence fees and permission to park."),
+    (None, "Copyright 2020 by the author. All rights reserved."),
+]
+
+
+def test_license_headers_and_texts(spark):
+    """Real headers as usually wrapped, and whole licence texts."""
+    cases = HEADERS + [(n, "Copyright (c) 2021 Someone\n\n" + t)
+                       for n, t in license_scan.license_texts.full_texts()]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)],
+                               "doc_id long, text string")
+    out = license_scan.license_scan(df, F.concat(F.lit("d"), "doc_id", F.lit("/x"))).collect()
+    got = {r.doc_id: (r.licence, r.origin) for r in out}
+    assert [got[k][0] for k in range(len(cases))] == [n for n, _ in cases]
+    assert got[0][1] == "header"
+    assert {got[k][1] for k in range(len(HEADERS), len(cases))} == {"file"}
+
+
+def test_license_scores_against_brute_force(spark):
+    """The best score of both tables, over units cut by plain Python; and every
+    template has a licence word."""
+    import math
+    import re
+    from collections import Counter
+    texts = license_scan.license_texts.texts()
+    assert all(any(w in t.lower() for w in license_scan.license_texts.LICENCE_WORDS)
+               for _, t in texts)
+    tables = [license_scan.template_vectors(x) for x in (license_scan.TEMPLATES, texts)]
+
+    def sentences(t):
+        return re.sub(license_scan.STATEMENT_END, r"\1\n", t).split("\n")
+
+    def best(unit):
+        bag = Counter(t for t in re.findall(license_scan.TOKEN, unit.lower())
+                      if t not in license_scan.STOP_WORDS)
+        top = 0.0
+        for vectors, idf in tables if bag else ():
+            w = {t: c * idf.get(t, idf[None]) for t, c in bag.items()}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            top = max([top, *(sum(w.get(t, 0) * x for t, x in v.items()) / norm / n
+                              for _, v, n in vectors)])
+        return round(top, 6)
+
+    rnd, cases = random.Random(3), []
+    for _, text in HEADERS[:13]:
+        words = re.split(r"(?<=\s)", text)
+        for share in (0.1, 0.3):
+            cases.append("".join(w if rnd.random() > share else rnd.choice(WORDS[:400]) + " "
+                                 for w in words))
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in license_scan.license_scan(
+        df, F.concat(F.lit("d"), "doc_id", F.lit("/x"))).collect()}
+    for k, text in enumerate(cases):
+        units = [text, *sentences(text)]
+        for block in re.split(r"\n\n+", re.sub(r"(?m)^[^A-Za-z0-9\n]+$", "", text)):
+            flat = re.sub(r"\n[^A-Za-z0-9\n]*", " ", block)
+            units += [flat, *sentences(flat)]
+        want = max(map(best, units))
+        assert got[k] == pytest.approx(want, abs=2e-6) if want >= 0.65 else got[k] is None, text

@@ -8,6 +8,16 @@ vectors.  The best template at or above the threshold names the licence.  A
 text whose best match is the whole of it, or a file with a licence file's
 name, is the licence file of its folder.
 
+*Texts and headers.*  A second table holds full licence texts, standard headers
+and their paragraphs (:mod:`.license_texts`), with frequencies of its own.
+Statements, blocks (lines up to one without a letter or digit), their sentences
+across lines and whole texts are compared with it if they have a part of a
+licence word.  A whole text close to a full licence text counts before all
+other matches.  Of equally good licences the one whose version (or
+distinguishing clause) stands in the nearest block is taken.  An SPDX identifier
+is a match of 1; expressions stay whole.  The SQL oracle covers the statements'
+table alone (``texts=()``).
+
 *Inheritance.*  A file without a licence of its own takes the one of its
 nearest ancestor folder that holds a licence file: folders are joined with
 their ancestors' licence files by path, and the deepest one wins.
@@ -20,12 +30,12 @@ last.  Only texts and statements with a necessary token are tokenised, and
 only those go on whose unknown words leave room for the threshold: u of them
 weigh at least u idf_max^2, m known ones at most m^2 idf_max^2.
 
-Only DataFrame functions.  The one broadcast is the template table, whose
-size is fixed by its caller.
+Only DataFrame functions.  The broadcasts are the template table and its
+tokens, whose size is fixed by the caller.
 
 *Edge cases.*  Null and empty texts have no licence of their own; a null path
 is a file in the root folder; of equally good templates the first licence
-by name is taken, of several licence files of a folder the best match (then
+by name is taken if nothing nearby decides, of several licence files of a folder the best match (then
 the first name); repeated rows get the same answer each; an empty table gives
 no rows; extra columns are dropped.
 """
@@ -35,13 +45,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import id_text
 
 THRESHOLD = 0.65
+FULL_TEXT = 0.95  # a whole text that is a licence's text
 SALTS = 32
 
 # Licence names and short standard statements of them.
@@ -64,6 +78,11 @@ STOP_WORDS = ("a", "and", "any", "are", "by", "for", "in", "is", "of", "or", "th
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-_.].*)?$"
 STATEMENT_END = r"([.!?])[ ]+"
 TOKEN = r"[a-z]+|[0-9]+(?:[.][0-9]+)*"
+EMPTY_LINE = r"(?md)^[^A-Za-z0-9\n]+$"
+LINE_START = r"\n[^A-Za-z0-9\n]*"
+SPDX_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+:-]*\)*"
+SPDX = (rf"(?i)SPDX-License-Identifier:[ \t]*({SPDX_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{SPDX_ID})*)")
+FAR = 1 << 30
 
 
 def template_vectors(templates=TEMPLATES):
@@ -108,62 +127,166 @@ def token_rule(tokens) -> str:
     return "|".join(rules)
 
 
-def _best(weights: Column, norm: Column, vectors) -> Column:
-    """(score, licence) of the best template, for a map token -> weight."""
-    scored = []
-    for name, w, size in vectors:
-        dot = sum((F.coalesce(F.element_at(weights, F.lit(t)), F.lit(0.0)) * x
-                   for t, x in w.items()), F.lit(0.0))
-        scored.append(F.struct((-dot / (norm * size)).alias("minus"), F.lit(name).alias("licence")))
-    return F.array_min(F.array(*scored))
+def _template_rows(templates, texts):
+    """(token, long, t, licence, full, x): a unit's cosine to template ``t`` is
+    the sum of its tokens' counts times ``x``, over its norm; and (token,
+    idf, long_idf), ``None`` for other tokens."""
+    rows, idfs = [], []
+    full = set(license_texts.full_texts())
+    for long, table in ((False, templates), (True, texts)):
+        vectors, idf = template_vectors(table) if table else ([], {None: 1.0})
+        idfs.append(idf)
+        for t, (name, w, norm) in enumerate(vectors):
+            rows += [(token, long, t, name, long and table[t] in full, x * idf[token] / norm)
+                     for token, x in w.items()]
+    tokens = sorted({r[0] for r in rows})
+    return rows, [(t, *(i.get(t, i[None]) for i in idfs)) for t in tokens], [i[None] for i in idfs]
+
+
+def _blocks(text: str = "text") -> Column:
+    """The text's runs of lines with a letter or digit."""
+    return F.split(F.regexp_replace(text, EMPTY_LINE, ""), "\n\n+")
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, STATEMENT_END, "$1\n"), "\n")
+
+
+def _has(text: Column, parts) -> Column:
+    return reduce(or_, [text.contains(p) for p in parts], F.lit(False))
+
+
+def _spdx(rows: DataFrame) -> DataFrame:
+    """SPDX identifiers: ``-only``, ``-or-later`` and ``+`` go, known names get
+    their usual case."""
+    names = {n.lower(): n for n, _ in TEMPLATES + license_texts.texts()}
+    said = (rows.filter(F.lower("text").contains("spdx-license-identifier"))
+            .select("doc_id", "path", "text_key",
+                    F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("said")))
+    said = said.withColumn("said", F.regexp_replace(
+        "said", r"(?i)(-only|-or-later|\+)(?![A-Za-z0-9.-])", ""))
+    known = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    return said.select("doc_id", "path", "text_key", F.lit(1).alias("block"),
+                       F.coalesce(known[F.lower("said")], "said").alias("licence"),
+                       F.lit(1.0).alias("score"), F.lit(False).alias("full"))
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    """Where a version or clause that tells licences apart stands."""
+    block = F.lower(F.regexp_replace("piece", LINE_START, " "))
+    says = F.array_compact(F.array(*[F.when(block.rlike(rule), F.lit(name))
+                                     for name, rule in license_texts.EVIDENCE]))
+    return (rows.filter(_has(F.lower("text"), ("gnu", "gpl", "neither", "general")))
+            .select("doc_id", "path", "text_key", F.posexplode(_blocks()).alias("at", "piece"))
+            .select(F.col("doc_id").alias("e_id"), F.col("path").alias("e_path"),
+                    F.col("text_key").alias("e_key"), (F.col("at") + 1).alias("at"),
+                    F.explode(says).alias("e_licence")).distinct())
+
+
+def _matches(rows: DataFrame, templates, texts, threshold: float) -> DataFrame:
+    """Every unit's templates at the threshold: ``doc_id, path, text_key,
+    block, licence, score, full``; block 0 is the whole text."""
+    table, tokens_idf, unknown = _template_rows(templates, texts)
+    spark = rows.sparkSession
+    table = spark.createDataFrame(table, "token string, long boolean, t int, licence string, "
+                                         "is_text boolean, x double")
+    vocabulary = spark.createDataFrame(tokens_idf, "token string, idf double, long_idf double")
+    words = sorted({t for _, w, _ in template_vectors(templates)[0] for t in w})
+    need = token_rule(necessary_tokens(templates, threshold))
+    parts = license_texts.LICENCE_WORDS if texts else ()
+    lower = F.lower("text")
+    pieces = (rows.filter(_has(lower, parts) | lower.rlike(need))
+              .select("doc_id", "path", "text_key", F.posexplode(
+                  F.concat(F.array("text"), _blocks())).alias("block", "piece")))
+    def unit(kind):
+        return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("unit"))
+    joined = F.regexp_replace("piece", LINE_START, " ")
+    units = F.transform(_sentences(F.col("piece")), unit("line"))
+    if texts:
+        units = F.concat(units, F.array(unit("block")(joined)), F.when(
+            F.col("piece").contains("\n"), F.transform(_sentences(joined), unit("sentence")))
+            .otherwise(F.expr("array()")))
+    units = F.when(F.col("block") == 0, F.array(unit("whole")(F.col("piece")))).otherwise(units)
+    tokens = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit(f"({TOKEN})")),
+                      lambda x: ~x.isin(list(STOP_WORDS)))
+    # with m known and u unknown occurrences no cosine exceeds m / sqrt(m^2 + u)
+    room = (1 - threshold ** 2) / threshold ** 2 + 1e-9
+    m = F.size(F.filter("tokens", lambda x: x.isin(words)))
+    units = (pieces.select("doc_id", "path", "text_key", "block",
+                           F.posexplode(units).alias("pos", "u"))
+             .select("doc_id", "path", "text_key", "block", "pos", "u.kind", "u.unit")
+             .withColumn("in_long", _has(F.lower("unit"), parts))
+             .withColumn("in_short", F.col("kind").isin("line", "whole")
+                         & F.lower("unit").rlike(need))
+             .filter("in_long OR in_short")
+             .withColumn("tokens", tokens)
+             .withColumn("in_short", F.col("in_short")
+                         & (F.size("tokens") - m <= m * m * room))
+             .filter("in_long OR in_short"))
+    # repeated rows share a key: all their counts double, which no cosine sees
+    key = ["doc_id", "path", "text_key", "block", "pos"]
+    flags = ["in_long", "in_short"]
+    tf = (units.select(*key, *flags, F.explode("tokens").alias("token"))
+          .groupBy(*key, *flags, "token").agg(F.count(F.lit(1)).alias("tf"))
+          .join(F.broadcast(vocabulary), "token", "left"))
+    w = F.col("tf") * F.coalesce("idf", F.lit(unknown[0]))
+    long_w = F.col("tf") * F.coalesce("long_idf", F.lit(unknown[1]))
+    normed = tf.groupBy(*key, *flags).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), F.sqrt(F.sum(long_w * long_w)).alias("long_norm"),
+        F.sum(F.when(F.col("idf").isNotNull(), long_w * long_w)).alias("known"),
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "tf"))).alias("k"))
+    # no cosine exceeds the known tokens' share of the norm
+    can = F.col("known") >= (threshold ** 2 - 1e-6) * F.col("long_norm") * F.col("long_norm")
+    scored = (normed.withColumn("in_long", F.col("in_long") & can)
+              .filter("in_long OR in_short")
+              .select(*key, *flags, "norm", "long_norm", F.explode("k").alias("k"))
+              .select(*key, *flags, "norm", "long_norm", "k.token", "k.tf")
+              .join(F.broadcast(table), "token")
+              .filter(F.when(F.col("long"), F.col("in_long")).otherwise(F.col("in_short")))
+              .groupBy(*key, "long", "t", "licence", "is_text")
+              .agg(F.sum(F.col("tf") * F.col("x")).alias("dot"),
+                   F.max(F.when(F.col("long"), F.col("long_norm")).otherwise(F.col("norm")))
+                   .alias("norm"))
+              .withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+              .filter(F.col("score") >= threshold))
+    return scored.select("doc_id", "path", "text_key", "block", "licence", "score", (
+        F.col("is_text") & (F.col("block") == 0) & (F.col("score") >= FULL_TEXT)).alias("full"))
+
+
+def _nearest(matches: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds ``far``: blocks to the nearest evidence of the match's licence."""
+    key = ["doc_id", "path", "text_key", "block", "licence", "score", "full"]
+    matches = matches.distinct()
+    return (matches.join(evidence, F.col("doc_id").eqNullSafe(F.col("e_id"))
+                         & (F.col("path") == F.col("e_path"))
+                         & (F.col("text_key") == F.col("e_key"))
+                         & (F.col("licence") == F.col("e_licence")), "left")
+            .groupBy(*key).agg(F.coalesce(F.min(F.abs(F.col("at") - F.col("block"))), F.lit(FAR))
+                               .alias("far")))
 
 
 def license_scan(files: DataFrame, path: Column, templates=TEMPLATES,
                  threshold: float = THRESHOLD, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", texts=None) -> DataFrame:
     """``doc_id, path, licence, score, origin, licence_dir``; ``origin`` is
-    ``header``, ``file``, ``inherited`` or null (no licence)."""
-    vectors, idf = template_vectors(templates)
-    words = sorted({t for _, w, _ in vectors for t in w})
-    need = token_rule(necessary_tokens(templates, threshold))
+    ``header``, ``file``, ``inherited`` or null (no licence).  ``texts``: the
+    table of texts and headers, by default all of :mod:`.license_texts`; with
+    ``()`` only statements are compared, as in the oracle."""
+    texts = license_texts.texts() if texts is None else texts
     rows = id_text(files, id_col, text_col,
                    {"path": F.coalesce(path.cast("string"), F.lit(""))})
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    candidates = rows.filter(F.lower("text").rlike(need))
-    statements = candidates.select(
-        "doc_id", "path", "text_key",
-        F.posexplode(F.split(F.regexp_replace("text", STATEMENT_END, "$1\n"), "\n"))
-        .alias("pos", "statement"))
-    whole = candidates.select("doc_id", "path", "text_key", F.lit(-1).alias("pos"),
-                              F.col("text").alias("statement"))
-    key = ["doc_id", "path", "text_key", "pos"]
-    # repeated rows share a key: all their counts double, which no cosine sees
-    tokens = F.filter(F.regexp_extract_all(F.lower("statement"), F.lit(f"({TOKEN})")),
-                      lambda x: ~x.isin(list(STOP_WORDS)))
-    units = (statements.filter(F.lower("statement").rlike(need)).unionByName(whole)
-             .select(*key, tokens.alias("tokens"))
-             .withColumn("m", F.size(F.filter("tokens", lambda x: x.isin(words)))))
-    # with m known and u unknown occurrences no cosine exceeds m / sqrt(m^2 + u)
-    room = (1 - threshold ** 2) / threshold ** 2 + 1e-9
-    tf = (units.filter(F.size("tokens") - F.col("m") <= F.col("m") * F.col("m") * room)
-          .select(*key, F.explode("tokens").alias("token"))
-          .groupBy(*key, "token").agg(F.count(F.lit(1)).alias("tf")))
-    weight = F.create_map(*[F.lit(x) for t in words for x in (t, idf[t])])
-    weighted = (tf.withColumn("known", F.element_at(weight, F.col("token")))
-                .withColumn("w", F.col("tf") * F.coalesce("known", F.lit(idf[None]))))
-    scored = (weighted.groupBy(*key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.map_from_entries(F.collect_list(F.when(
-            F.col("known").isNotNull(), F.struct("token", "w")))).alias("weights"))
-        .withColumn("best", _best(F.col("weights"), F.col("norm"), vectors))
-        .select("doc_id", "path", "text_key", "pos", F.round(-F.col("best.minus"), 6)
-                .alias("score"), F.col("best.licence").alias("licence"))
-        .filter(F.col("score") >= threshold))
+    scored = _matches(rows, templates, texts, threshold)
+    if texts:
+        scored = _nearest(scored.unionByName(_spdx(rows)), _evidence(rows))
+    else:
+        scored = scored.withColumn("far", F.lit(FAR))
     own = (scored.groupBy("doc_id", "path", "text_key")
-           .agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence", "pos")).alias("b"))
+           .agg(F.min(F.struct((~F.col("full")).alias("part"), (-F.col("score")).alias("minus"),
+                               "far", "licence", "block")).alias("b"))
            .select(F.col("doc_id").alias("o_id"), F.col("path").alias("o_path"),
                    F.col("text_key").alias("o_key"), F.col("b.licence").alias("own"),
-                   (-F.col("b.minus")).alias("score"), (F.col("b.pos") == -1).alias("is_whole")))
+                   (-F.col("b.minus")).alias("score"), (F.col("b.block") == 0).alias("is_whole")))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     base = F.regexp_extract("path", "([^/]*)$", 1)
     marked = (rows.select("doc_id", "path", "text_key").join(
