@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the smallest id stays."""
-    return bagminhash.keep_one(docs, bagminhash.near_duplicates(docs))
+    return bagminhash.keep_one(docs, bagminhash.near_duplicates(docs, with_text=True))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

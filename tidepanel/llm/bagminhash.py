@@ -16,7 +16,8 @@ drawn only up to a horizon that fills all slots with high probability; the few
 bags with empty slots go on with a doubled horizon.
 
 *Classes.*
-1. Equal bags are one node (their smallest id).
+1. Equal bags are one node (a number; rows that share an id but not a bag are
+   different nodes).
 2. Nodes that share a band are candidates.  Each band bucket links its
    members to its smallest one (a star, not all pairs); links are verified on
    the full multisets.
@@ -35,8 +36,8 @@ into pairs.  The probability that bands miss a pair of similarity 0.8 is
 with A-Z as a-z.  *Edge cases:* a text with fewer than five words, but not
 none, is one shingle; null, empty and word-less texts are classes of their
 own, and so are rows without an id; of rows repeated with one id each gets the
-class of its own text; ties do not arise (a class is named by its smallest
-id); an empty table gives no rows; extra columns are dropped.
+class of its own text; a class is named by its smallest id, and of texts with
+that id the one with the smallest bag is kept; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -147,9 +148,14 @@ def _cuts(doc: np.ndarray, n: int):
     return list(zip(at[:-1].tolist(), at[1:].tolist()))
 
 
+def _digest(key: np.ndarray, count: np.ndarray) -> bytes:
+    packed = key.tobytes() + count.astype("<u4").tobytes()
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def _sign(bands: int, rows: int, shingle: int):
     def body(cols):
-        ids, texts = cols
+        ids, texts, text_keys = cols
         doc, key, count = shingle_bags(texts, shingle)
         sig = signatures(doc, key, count, len(texts), bands * rows)
         values = sig.view(np.uint64).reshape(len(texts), bands, rows)
@@ -163,28 +169,29 @@ def _sign(bands: int, rows: int, shingle: int):
                 bag.append(None)
                 keys.append(None)
             else:
-                packed = key[a:b].tobytes() + count[a:b].astype("<u4").tobytes()
-                bag.append(hashlib.blake2b(packed, digest_size=16).digest())
+                bag.append(_digest(key[a:b], count[a:b]))
                 keys.append(mix64(band[k]).view(np.int64))
             weight.append(int(count[a:b].sum()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(bag, pa.binary()),
+            [pa.array(ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array(bag, pa.binary()),
              pa.array(weight, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "bag", "weight", "bands"])
-    return by_slices(SLICE, body, ["doc_id", "text"])
+            ["doc_id", "text_key", "bag", "weight", "bands"])
+    return by_slices(SLICE, body, ["doc_id", "text", "text_key"])
 
 
 def _bags(shingle: int):
     def body(cols):
-        ids, texts = cols
+        nodes, texts, bags = cols
         doc, key, count = shingle_bags(texts, shingle)
-        cuts = _cuts(doc, len(texts))
+        # a text only counts as its node's if it has the node's bag
+        cuts = [(n, a, b) for n, bag, (a, b) in zip(nodes, bags, _cuts(doc, len(texts)))
+                if _digest(key[a:b], count[a:b]) == bag]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()),
-             pa.array([key[a:b].astype("<u8").tobytes() for a, b in cuts], pa.binary()),
-             pa.array([count[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary())],
+            [pa.array([n for n, _, _ in cuts], pa.int64()),
+             pa.array([key[a:b].astype("<u8").tobytes() for _, a, b in cuts], pa.binary()),
+             pa.array([count[a:b].astype("<u4").tobytes() for _, a, b in cuts], pa.binary())],
             ["node", "keys", "counts"])
-    return by_slices(SLICE, body, ["doc_id", "text"])
+    return by_slices(SLICE, body, ["node", "text", "bag"])
 
 
 def similarity(keys_a, counts_a, keys_b, counts_b) -> float:
@@ -323,24 +330,33 @@ def prefix_pairs(open_bags: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, class_id``, one row per input row; ``class_id`` is the
-    smallest id of the class."""
-    texts = id_text(docs, id_col, text_col)
+    smallest id of the class.  ``with_text`` adds ``text_key`` (the text's
+    hash) and ``first`` (the text is its class's first by id and bag)."""
+    texts = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     signed = work_table(
-        texts.mapInArrow(_sign(bands, rows, shingle),
-                         "doc_id long, bag binary, weight long, bands array<long>"),
+        texts.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_key long, bag binary, "
+                                                      "weight long, bands array<long>"),
         "signatures")
     full = signed.filter(F.col("bag").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = full.groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    # numbered where they are written, so a number stays what it is
+    nodes = work_table(
+        full.groupBy("bag").agg(F.min(F.struct("doc_id", "text_key")).alias("row"),
+                                F.first("bands").alias("bands"))
+        .select("bag", "row.doc_id", "row.text_key", "bands",
+                F.monotonically_increasing_id().alias("node")), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key")).distinct()
     hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1"))
     members = work_table(keyed.join(hubs, "key"), "members")
     # always by merge: the side grows with the input, so does the plan's cost
-    involved = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    bags = work_table(texts.join(involved, "doc_id", "left_semi")
+    involved = (nodes.join(members.select("node").distinct(), "node", "left_semi")
+                .select("doc_id", "text_key", "node", "bag").hint("merge"))
+    bags = work_table(texts.join(involved, ["doc_id", "text_key"]).select("node", "text", "bag")
                       .mapInArrow(_bags(shingle), "node long, keys binary, counts binary"), "bags")
+    if not bags.groupBy("node").count().filter("count > 1").isEmpty():  # repeated rows
+        bags = work_table(bags.dropDuplicates(["node"]), "bags")
 
     star = members.filter("node <> hub").select(*_ordered("node", "hub")).distinct()
     labels = work_table(components(verified(star, bags, threshold)), "labels")
@@ -358,19 +374,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
                          threshold)
     labels = merge_components(labels, verified(pairs, bags, threshold))
 
-    classes = _labelled(nodes.select("bag", "node"), labels, "node", "class_id")
-    return (full.select("doc_id", "bag").join(classes.select("bag", "class_id"), "bag")
-            .select("doc_id", "class_id")
-            .unionByName(signed.filter(F.col("bag").isNull() | F.col("doc_id").isNull())
-                         .select("doc_id", F.col("doc_id").alias("class_id"))))
+    # a component's name: its first row by id and bag
+    own = _labelled(nodes.select("bag", "doc_id", "node"), labels, "node", "label")
+    joined = labels.select("label").distinct()
+    names = (own.join(joined, "label", "left_semi").groupBy("label")
+             .agg(F.min(F.struct("doc_id", "bag")).alias("name")))
+    classes = (own.join(names, "label", "left")
+               .select("bag", F.coalesce("name", F.struct("doc_id", "bag")).alias("name")))
+    out = (full.select("doc_id", "text_key", "bag").join(classes, "bag")
+           .select("doc_id", F.col("name.doc_id").alias("class_id"), "text_key",
+                   ((F.col("doc_id") == F.col("name.doc_id"))
+                    & (F.col("bag") == F.col("name.bag"))).alias("first"))
+           .unionByName(signed.filter(F.col("bag").isNull() | F.col("doc_id").isNull())
+                        .select("doc_id", F.col("doc_id").alias("class_id"), "text_key",
+                                F.lit(True).alias("first"))))
+    return out if with_text else out.select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id names their class (and those without an id),
-    with all their columns."""
-    named = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__named")).distinct()
-    return (docs.join(named, F.col("doc_id") == F.col("__named"), "left_semi")
-            .unionByName(docs.filter(F.col("doc_id").isNull())))
+    """The documents that are the first of their class (and those without an
+    id), with all their columns.  ``classes`` made without the texts' keys
+    only tell by the id, and keep every row with an id that names its class."""
+    no_id = docs.filter(F.col("doc_id").isNull())
+    if "first" not in classes.columns:
+        named = classes.filter("doc_id = class_id").select(
+            F.col("doc_id").alias("__named")).distinct()
+        return (docs.join(named, F.col("doc_id") == F.col("__named"), "left_semi")
+                .unionByName(no_id))
+    named = (classes.filter("first AND doc_id IS NOT NULL")
+             .select(F.col("doc_id").alias("__named"), F.col("text_key").alias("__key")).distinct())
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return (docs.join(named, (F.col("doc_id") == F.col("__named")) & (key == F.col("__key")),
+                      "left_semi").unionByName(no_id))
 
 
 def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD,
