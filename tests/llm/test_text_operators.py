@@ -591,18 +591,3 @@ def test_license_scores_against_brute_force(spark):
             units += [flat, *sentences(flat)]
         want = max(map(best, units))
         assert got[k] == pytest.approx(want, abs=2e-6) if want >= 0.65 else got[k] is None, text
-
-
-def test_near_duplicates_of_repeated_ids(spark):
-    """Two texts with one id are two nodes: neither joins the other's class,
-    and what is near to one of them goes only for a document that is kept."""
-    rnd = random.Random(21)
-    a, b, c = (make(rnd, 80) for _ in range(3))
-    near = lambda t: t + " " + make(rnd, 2)
-    rows = [(1, a), (5, near(a)), (5, b), (7, near(b)), (5, c), (5, c), (9, near(c)), (2, "w1 w2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    classes = bagminhash.near_duplicates(df, with_text=True)
-    got = sorted((r.doc_id, r.class_id) for r in classes.collect())
-    assert got == [(1, 1), (2, 2), (5, 1), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
-    kept = sorted(tuple(r) for r in bagminhash.keep_one(df, classes).collect())
-    assert kept == sorted([(1, a), (2, "w1 w2"), (5, b), (5, c), (5, c)])
