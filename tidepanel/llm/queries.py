@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, packing, quality_fm, rlz, suffix_family
+from . import (
+    bagminhash,
+    bpe,
+    packing,
+    prefix_trie,
+    quality_fm,
+    rlz,
+    secret_scan,
+    suffix_family,
+    vector_codes,
+)
 from .common import table
 from .content_sort import content_sort_dedup
 from .decontaminate import decontaminate
@@ -92,3 +102,18 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return suffix_family.suffix_digest(
         suffix_family.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+@query("op11_conversation_trie", prefix_trie.ORACLE)
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_secret_scan", secret_scan.oracle())
+def op12(spark, sf_dir):
+    return secret_scan.secret_digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
+
+
+@query("op13_vector_codes", vector_codes.oracle())
+def op13(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
