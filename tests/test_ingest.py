@@ -116,3 +116,81 @@ def test_silver_and_catalog_scans(spark, tmp_path):
     sinks.ensure_schema(spark, "t_scan")
     sinks.write_table(df, "t_scan.t")
     assert read_catalog(spark, "t_scan.t").collect() == df.collect()
+
+
+# --- archives read member by member ---------------------------------------------
+
+@pytest.fixture()
+def two_large(tmp_path):
+    """An archive with two large members, and small ones beside it."""
+    d = tmp_path / "large"
+    d.mkdir()
+    line = "2016-0%d,\"Québec, qc\",%d,\n"
+    body = "REF_DATE,GEO,VALUE,Status\n" + "".join(line % (i % 9 + 1, i * 7919 % 10_007)
+                                                    for i in range(60_000))
+    _zip(d / "big_cansim.zip", {"a/1.csv": body, "a/1_MetaData.csv": body})
+    for i in range(5):
+        _zip(d / f"small{i}_cansim.zip", {"7.csv": DATA, "7_MetaData.csv": META})
+    return str(d)
+
+
+def _sorted_lines(df):
+    return sorted((r.path, r["product"], r.pid, r.role, r.line_no, tuple(r.fields))
+                  for r in df.collect())
+
+
+def test_members_are_tasks_of_their_own(spark, two_large):
+    by_member = read_archives(spark, two_large, split=True, pack_bytes=100_000)
+    where = (by_member.withColumn("part", F.spark_partition_id()).groupBy("product", "role")
+             .agg(F.collect_set("part").alias("p")).collect())
+    at = {(r["product"], r.role): r.p for r in where}
+    assert all(len(p) == 1 for p in at.values())
+    large = {at["big", "data"][0], at["big", "metadata"][0]}
+    small = {p[0] for (product, _), p in at.items() if product != "big"}
+    assert len(large) == 2 and not large & small
+    assert len(small) == 1                       # small members share a task
+    assert _sorted_lines(by_member) == _sorted_lines(read_archives(spark, two_large, split=False))
+
+
+def test_memory_does_not_grow_with_the_member(tmp_path):
+    import tracemalloc
+
+    from tidepanel.sources import zipped
+
+    def peak(n):
+        path = tmp_path / f"n{n}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            with zf.open("1.csv", "w") as f:
+                for _ in range(n):
+                    f.write(b"2016-01,Canada,some words of a cell,12345.678\n" * 1000)
+            zf.writestr("1_MetaData.csv", META)
+        reader = zipped.ZippedReader([str(path)], 1)
+        part = next(p for p in reader.partitions() if p.items[0][2] == "data")
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in reader.read(part))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n * 1000
+        return top
+    small, large = peak(40), peak(400)
+    assert large < 1.2 * small + (1 << 20)
+
+
+def test_odd_archives(spark, tmp_path):
+    """Paths with blanks and signs, empty members, records longer than the
+    reader's usual limit, an empty folder."""
+    d = tmp_path / "a folder with 100% signs & blanks"
+    d.mkdir()
+    wide = "x" * 300_000
+    _zip(d / "odd name_cansim.zip", {"9.csv": "", "9_MetaData.csv": f"A,B\n{wide},\"q\"\"\n\"\n\n"})
+    got = read_archives(spark, str(d), split=True)
+    assert [(r.role, r.line_no, r.fields) for r in got.orderBy("line_no").collect()] == [
+        ("metadata", 0, ["A", "B"]), ("metadata", 1, [wide, "q\"\n"]), ("metadata", 2, [])]
+    (tmp_path / "none").mkdir()
+    assert read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_what_python_cannot_open_goes_through_spark(spark, two_large):
+    from tidepanel.sources import zipped
+    assert not zipped.reachable("viewfs://nowhere/a.zip")
+    assert not zipped.reachable("/no/such/archive.zip")

@@ -1,13 +1,14 @@
 """Archive ingest: zipped CSV tables -> long observation tables.
 
-The archives never pass through the driver.  ``binaryFile`` lists and
-reads them on executors; :func:`archive_lines` (``mapInPandas``) opens
-each archive in the task that read it and streams each member through the
-standard CSV reader (quotes, embedded newlines, BOM), emitting one row per
-record with its fields as ``array<string>``, in batches, so task memory
-does not grow with the member.  Columns are then picked from the array by
-position.  Only the header records (one per archive and member) are
-collected, to build the schema.
+Archives are listed by Spark and read by the data source of
+:mod:`tidepanel.sources.zipped`: one task per large member, which seeks to it
+and streams it through the standard CSV reader (quotes, embedded newlines, BOM),
+one row per record with its fields as ``array<string>``.  Where only Spark's own
+readers reach the files, ``binaryFile`` reads an archive whole and
+:func:`archive_lines` opens it in the task that read it (:func:`read_paths`
+says which of the two is taken).  Columns are then picked from the array by
+position.  Only the header records (one per archive and member) are collected,
+to build the schema.
 
 Archive layout: ``{product}_cansim.zip`` holding ``{id}.csv`` and
 ``{id}_MetaData.csv`` (any folder inside the archive; the id is the text
@@ -19,14 +20,17 @@ matched case-insensitively); optional sidecar
 from __future__ import annotations
 
 import io
+import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import sanitized_names
+from ..session import prepare, shared_path
+from . import zipped
 
 LINE_SCHEMA = ("path string, product string, pid string, role string, line_no long, "
                "fields array<string>")
@@ -66,34 +70,12 @@ def pair_metadata(spark: SparkSession, location: str) -> DataFrame:
     return zips.join(js.filter(F.col("product") != ""), "product", "left")
 
 
-METADATA_SUFFIX = "_metadata.csv"
-
-
-def archive_members(names: list[str]) -> dict[str, str]:
-    """``pid``, ``data`` and ``metadata`` of an archive (S6), from one index
-    of its members by lower-cased base name (the first of a name counts)."""
-    index: dict[str, str] = {}
-    for name in names:
-        index.setdefault(name.rpartition("/")[2].lower(), name)
-    described = [base for base in index if base.endswith(METADATA_SUFFIX)]
-    if not described:
-        raise ValueError(f"archive without a *_MetaData.csv member: {names}")
-    own = index[described[0]].rpartition("/")[2]
-    pid = own.partition("_")[0]
-    found = {"data": index.get(f"{pid}.csv".lower()),
-             "metadata": index.get(pid.lower() + METADATA_SUFFIX)}
-    absent = sorted(role for role, member in found.items() if member is None)
-    if absent:
-        raise ValueError(f"archive of {pid} lacks its {' and '.join(absent)} member: {names}")
-    return {"pid": pid, **found}
-
-
 def _explode_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import csv
     for batch in batches:
         for path, product, content in zip(batch["path"], batch["product"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                members = archive_members(zf.namelist())
+                members = zipped.archive_members(zf.namelist())
                 pid = members["pid"]
                 for role in ("data", "metadata"):
                     with zf.open(members[role]) as raw:
@@ -123,21 +105,43 @@ def archive_lines(archives: DataFrame) -> DataFrame:
                                                                      LINE_SCHEMA)
 
 
-def read_archives(spark: SparkSession, location: str) -> DataFrame:
-    return archive_lines(spark.read.format("binaryFile")
-                         .option("pathGlobFilter", extension_glob("zip")).load(location))
+def read_paths(spark: SparkSession, paths: Sequence[str], split: bool | None = None,
+               pack_bytes: int = zipped.PACK_BYTES) -> DataFrame:
+    """Records of the archives at ``paths``.  ``split``: read member by member
+    (True), archive by archive through ``binaryFile`` (False), or by member
+    where the first path can be opened outside Spark (None)."""
+    paths = list(paths)
+    if not paths:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    if split is None:
+        split = zipped.reachable(paths[0])
+    if not split:
+        return archive_lines(spark.read.format("binaryFile").load(paths))
+    prepare(spark)
+    spark.dataSource.register(zipped.ZippedTables)
+    rows = (spark.read.format("zipped_tables").option("paths", json.dumps(paths))
+            .option("packBytes", pack_bytes).load())
+    return rows.select("path", product_of().alias("product"), "pid", "role", "line_no", "fields")
+
+
+def read_archives(spark: SparkSession, location: str, split: bool | None = None,
+                  pack_bytes: int = zipped.PACK_BYTES) -> DataFrame:
+    """Records of every archive in a folder."""
+    paths = [r.path for r in list_files(spark, location, "zip").select("path").collect()]
+    return read_paths(spark, sorted(paths), split, pack_bytes)
 
 
 def parse_member(lines: DataFrame, header: list[str], flavour: str = "silver",
-                 numeric: dict[str, str] | None = None) -> DataFrame:
-    """CSV records of one member -> typed columns (S7, S8).  Columns are
+                 numeric: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """CSV records of one member -> typed columns (S7, S8), after the product,
+    the id and the record columns ``keep``.  Columns are
     read as strings (no inference: "2016-01" would become a timestamp),
     names sanitised and de-duplicated (P1, P3), then listed columns cast
     with ``try_cast`` (suppressed cells become null).  Empty records are
     skipped; short records give nulls."""
     names = sanitized_names(header, flavour)
     body = lines.filter(F.col("line_no") > 0).filter(F.size("fields") > 0)
-    out = body.select("product", "pid", *[F.get(F.col("fields"), i).alias(n)
+    out = body.select("product", "pid", *keep, *[F.get(F.col("fields"), i).alias(n)
                                           for i, n in enumerate(names)])
     for col, typ in (numeric or {"value": "double"}).items():
         if col in out.columns:
@@ -145,19 +149,24 @@ def parse_member(lines: DataFrame, header: list[str], flavour: str = "silver",
     return out
 
 
-def staged_archives(spark: SparkSession, location: str) -> DataFrame:
-    """The records of all archives, written once to the session's shared
-    folder, partitioned by product and role, so that every table reads its own
-    partition only."""
-    from ..session import shared_path
+def staged(lines: DataFrame) -> DataFrame:
+    """Records written once to the session's shared folder, partitioned by
+    product and role, so that every table reads its own partition only."""
+    spark = lines.sparkSession
     path = shared_path(spark, "ingest")
-    read_archives(spark, location).write.partitionBy("product", "role").parquet(path)
+    lines.write.partitionBy("product", "role").parquet(path)
     return spark.read.schema(LINE_SCHEMA).parquet(path)
 
 
-def tables_of(lines: DataFrame, roles: dict[str, dict[str, str] | None]
-              ) -> dict[str, dict[str, DataFrame]]:
-    """Archive records -> {role: {product: table}}.  The header records (one
+def staged_archives(spark: SparkSession, location: str) -> DataFrame:
+    """The records of all archives in a folder, staged."""
+    return staged(read_archives(spark, location))
+
+
+def tables_of(lines: DataFrame, roles: dict[str, dict[str, str] | None],
+              keep: Sequence[str] = ()) -> dict[str, dict[str, DataFrame]]:
+    """Archive records -> {role: {product: table}}, with the record columns
+    ``keep``.  The header records (one
     per archive and member) are the only rows brought to the driver.
     Archives of one product are united by column name."""
     heads = (lines.filter((F.col("line_no") == 0) & F.col("role").isin(list(roles)))
@@ -170,7 +179,7 @@ def tables_of(lines: DataFrame, roles: dict[str, dict[str, str] | None]
     for (role, product), headers in by_table.items():
         own = lines.filter((F.col("role") == role) & (F.col("product") == product))
         parts = [parse_member(own if len(headers) == 1 else own.filter(F.col("path").isin(paths)),
-                              list(header), numeric=roles[role])
+                              list(header), numeric=roles[role], keep=keep)
                  for header, paths in headers.items()]
         table = parts[0]
         for other in parts[1:]:
