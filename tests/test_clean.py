@@ -78,3 +78,37 @@ def test_median_without_groups_is_distributed(spark):
     out = median_by(df, [], ["x", "y"])
     assert tuple(out.first()) == (2.0, 6.0)
     assert "median" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_median_has_no_window_over_a_column(spark):
+    import re
+
+    from tidepanel.operators.clean import median_row
+    df = spark.range(1000).selectExpr("cast(id AS double) AS x", "cast(id % 7 AS double) AS y")
+    windows = re.findall(r"Window \[.*", _operators(median_row(df, ["x", "y"])))
+    assert windows and all("__part" in w for w in windows)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_median_over_any_number_of_partitions(spark, partitions):
+    """Ranks at the ends of partitions, all columns side by side."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(partitions)
+        cols = {f"c{n}": rng.normal(size=n) for n in (1, 2, 9, 10, 199, 200)}
+        cols["same"] = np.full(150, 3.5)
+        cols["inf"] = np.array([-np.inf, 1.0, np.inf, 2.0])
+        rows = [tuple(float(v[i]) if i < len(v) else None for v in cols.values())
+                for i in range(200)]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+        got = exact_medians(df, list(cols), accuracy=20)
+        assert got == {c: pytest.approx(float(np.median(v)), abs=0) for c, v in cols.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
