@@ -55,7 +55,7 @@ def test_fits_equal_numpy_on_common_rows(spark):
     assert best["ar"] in ("(1, 0, 0)", "(2, 0, 0)")
 
 
-def test_differenced_order_and_moving_average(spark):
+def test_differenced_order(spark):
     df = _panel(spark).filter("k = 'ar'")
     r = fit_orders(df, ["k"], "p", "y", ["x"], [(0, 1, 0)]).first()
     pdf = df.orderBy("p").toPandas()
@@ -63,7 +63,7 @@ def test_differenced_order_and_moving_average(spark):
     b, *_ = np.linalg.lstsq(np.stack([np.ones(len(dy)), dx], axis=1), dy, rcond=None)
     assert np.allclose([r.intercept, *r.beta], b)
     with pytest.raises(ValueError, match="moving-average"):
-        fit_orders(df, ["k"], "p", "y", ["x"], [(0, 0, 1)])
+        backtest(df, ["k"], "p", "y", ["x"], [50], (0, 0, 1))
 
 
 def test_every_series_has_a_status(spark):
@@ -146,3 +146,135 @@ def test_in_plan_finite_check(spark):
     bad = spark.createDataFrame([(1.0,), (float("inf"),)], "x double")
     with pytest.raises(Exception, match="non-finite"):
         bad.select(flag_non_finite(bad, ["x"]).alias("f")).collect()
+
+
+def _lagged(v, n):
+    return np.concatenate([[np.nan] * n, v[:len(v) - n]])
+
+
+def _least_squares(y, columns):
+    z = np.stack([np.ones(len(y)), *columns], axis=1)
+    ok = np.isfinite(z).all(axis=1) & np.isfinite(y)
+    b, *_ = np.linalg.lstsq(z[ok], y[ok], rcond=None)
+    return b, y - z @ b, ok
+
+
+def _arma(n=400, phi=0.6, theta=0.5):
+    rng = np.random.default_rng(7)
+    e, x = rng.normal(size=n), rng.normal(size=n)
+    u = np.zeros(n)
+    for t in range(1, n):
+        u[t] = phi * u[t - 1] + e[t] + theta * e[t - 1]
+    return 2.0 + 1.5 * x + u, x
+
+
+def test_moving_average_by_two_regressions(spark):
+    """Both stages against numpy, on rows in any order and partitioning."""
+    y, x = _arma()
+    df = spark.createDataFrame([("a", t, float(y[t]), float(x[t])) for t in range(len(y))],
+                               "k string, p int, y double, x double").repartition(7)
+    grid = [(1, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 0), (0, 0, 2), (2, 0, 1), (1, 0, 2)]
+    fits = {(r.ar, r.ma): r for r in fit_orders(df, ["k"], "p", "y", ["x"], grid).collect()}
+    assert len(fits) == 7
+    e = _least_squares(y, [_lagged(y, n) for n in range(1, 5)] + [x])[1]
+    ok = np.isfinite(_lagged(e, 2))
+    hide = np.where(ok, y, np.nan)
+    for (p, q), r in fits.items():
+        b, res, used = _least_squares(hide, [_lagged(y, n) for n in range(1, p + 1)]
+                                      + [_lagged(e, n) for n in range(1, q + 1)] + [x])
+        assert np.allclose([r.intercept, *r.phi, *r.theta, *r.beta], b)
+        assert r.n_obs == used.sum() == 394 and r.sigma2 == pytest.approx(np.mean(res[used] ** 2))
+        assert np.allclose(r.shocks, e[::-1][:2])
+    # the terms are near the ones that made the series
+    assert abs(fits[0, 1].theta[0]) > 0.5
+    params = {r.param_name for r in fit_params(
+        fit_orders(df, ["k"], "p", "y", ["x"], [(1, 0, 2)]), ["k"], ["x"], 9).collect()}
+    assert params == {"intercept", "x", "ar.L1", "ma.L1", "ma.L2", "sigma2"}
+
+
+def test_moving_average_of_odd_series(spark):
+    """Too short for the long autoregression, exact, empty: a row for every
+    order; the orders without moving-average terms still fit."""
+    rng = np.random.default_rng(2)
+    rows = [("short", t, float(rng.normal()), float(rng.normal())) for t in range(8)]
+    rows += [("exact", t, 2.0 * t, float(t % 3)) for t in range(30)]
+    rows += [("empty", t, None, 1.0) for t in range(5)]
+    rows += [(None, t, float(rng.normal()), float(rng.normal())) for t in range(40)]
+    df = spark.createDataFrame(rows, "k string, p int, y double, x double")
+    fits = fit_orders(df, ["k"], "p", "y", ["x"], [(1, 0, 0), (1, 0, 1), (0, 0, 1)])
+    got = {(r.k, r.ord): r for r in fits.collect()}
+    assert len(got) == 12
+    assert {k: [got[k, f"{o}"].status for o in ("(1, 0, 0)", "(1, 0, 1)", "(0, 0, 1)")]
+            for k in ("short", "exact", "empty", None)} == {
+        "short": ["ok", "too_short", "too_short"],
+        "exact": ["perfect_fit", "perfect_fit", "ok"],
+        "empty": ["too_short"] * 3, None: ["ok"] * 3}
+    assert got["short", "(1, 0, 1)"].theta is None
+
+
+def _by_hand(y, x, future, p, d, q, fit):
+    """The recursion on the differenced scale, summed up again."""
+    dy, both = np.array(y, float), np.concatenate([x, future])
+    tops = []
+    for _ in range(d):
+        tops.append(dy[-1])
+        dy, both = np.diff(dy), np.diff(both)
+    hist, shocks, out = list(dy), list(fit.shocks or []), []
+    moved = both[len(both) - len(future):]
+    for h, xt in enumerate(moved, 1):
+        v = fit.intercept + fit.beta[0] * xt
+        v += sum(c * hist[-1 - i] for i, c in enumerate(fit.phi))
+        v += sum(c * shocks[j - h + 1] for j, c in enumerate(fit.theta) if j >= h - 1)
+        hist.append(v)
+        for i in range(d - 1, -1, -1):
+            tops[i] += v
+            v = tops[i]
+        out.append(v)
+    return out
+
+
+@pytest.mark.parametrize("order", [(3, 0, 0), (0, 2, 0), (1, 2, 1), (4, 1, 2), (0, 0, 3),
+                                   (2, 3, 0), (1, 0, 2)])
+def test_forecasts_of_any_order(spark, order):
+    y, x = _arma(120)
+    y = y + 0.01 * np.arange(120) ** 2
+    df = spark.createDataFrame([("a", t, float(y[t]), float(x[t])) for t in range(120)],
+                               "k string, p int, y double, x double")
+    future = np.linspace(-1, 1, 6)
+    fut = spark.createDataFrame([("a", 120 + i, float(v), "s") for i, v in enumerate(future)],
+                                "k string, p int, x double, scenario string")
+    fits = fit_orders(df, ["k"], "p", "y", ["x"], [order])
+    got = scenario_forecasts(df, fits, fut, ["k"], "p", "y", ["x"]).orderBy("p").collect()
+    fit = fits.first()
+    assert np.allclose([r.predicted for r in got], _by_hand(y, x, future, *order, fit))
+    # psi weights: the response of the recursion to one unit shock
+    p, d, q = order
+    ar = np.array([1.0, *[-c for c in fit.phi]])
+    for _ in range(d):
+        ar = np.convolve(ar, [1.0, -1.0])
+    psi = []
+    for h in range(6):
+        v = 1.0 if h == 0 else (fit.theta[h - 1] if h <= q else 0.0)
+        v -= sum(ar[i] * psi[h - i] for i in range(1, min(h, len(ar) - 1) + 1))
+        psi.append(v)
+    half = 1.959963984540054 * np.sqrt(fit.sigma2 * np.cumsum(np.square(psi)))
+    assert np.allclose([(r.ci_upper - r.ci_lower) / 2 for r in got], half, rtol=1e-6)
+
+
+def test_an_order_beyond_the_history_raises(spark):
+    df = _panel(spark)
+    fits = fit_orders(df, ["k"], "p", "y", ["x"], [(3, 0, 0)])
+    fut = df.select("k", (F.col("p") + 120).alias("p"), "x", F.lit("s").alias("scenario"))
+    with pytest.raises(Exception, match="more lags than history"):
+        scenario_forecasts(df, fits, fut, ["k"], "p", "y", ["x"], history=2).collect()
+
+
+def test_hold_out_keeps_series_without_test_rows(spark):
+    from tidepanel.operators.aggregate import rmse_mae
+    from tidepanel.operators.arx import with_accuracy
+    best = spark.createDataFrame([("a", 1.0, "ok"), ("b", 1.0, "ok"), ("c", None, "too_short")],
+                                 "k string, intercept double, status string")
+    err = spark.createDataFrame([("a", 3.0), ("a", -4.0)], "k string, error double")
+    got = {r.k: (r.n_forecasts, r.status) for r in with_accuracy(
+        best, rmse_mae(err, ["k"]), ["k"], ["status"]).collect()}
+    assert got == {"a": (2, "ok"), "b": (0, "no_forecast"), "c": (0, "too_short")}

@@ -1,19 +1,26 @@
-"""Autoregressive models with drivers, one per series.
+"""ARMA models with drivers, one per series.
 
-    y_t = c + phi_1 y_{t-1} + ... + phi_p y_{t-p} + x_t' beta + e_t
+    y_t = c + phi_1 y_{t-1} + ... + phi_p y_{t-p} + x_t' beta
+            + e_t + theta_1 e_{t-1} + ... + theta_q e_{t-q}
 
-(or the same in first differences), by conditional least squares.  Per
+(or the same in differences of any degree), by conditional least squares.  Per
 series Spark aggregates the means and co-moments of lags, drivers and target
-in one pass (partial aggregates, whatever the series' length).  All lag
-orders are fitted from that one matrix, on the rows that have every lag, so
-their AIC values compare.  The only Python is :func:`sweep`, which solves the
-small systems of a batch of series at once.
+in one pass (partial aggregates, whatever the series' length).  All orders of
+one degree are fitted from that one matrix, on the rows that have every
+column, so their AIC values compare.  The only Python is :func:`sweep`, which
+solves the small systems of a batch of series at once.
+
+Moving-average terms are fitted by the two regressions of Hannan and Rissanen
+(1982): a long autoregression with the drivers gives the innovations as its
+residuals (:func:`with_innovations`), and their lags are columns of the second
+regression like any other.  No likelihood is maximised.  A series too short for
+the long autoregression still has its fits without moving-average terms.
 
 Forecasts run the recursion as a higher-order function over a series' future
-drivers.  Every series gets a row; ``status`` says what became of it: ``ok``,
-``perfect_fit`` (no residual variance; forecasts exist, information criteria
-do not), ``too_short``, and for forecasts ``missing_driver``.  Moving-average
-orders have no least-squares form; asking for one is an error.
+drivers, for any p, d and q.  Every series gets a row; ``status`` says what
+became of it: ``ok``, ``perfect_fit`` (no residual variance; forecasts exist,
+information criteria do not), ``too_short``, and for forecasts
+``missing_driver``.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from .windows import lag, spec
 
 PIVOT_TOL = 1e-10     # a column with less own variation than this share is redundant
 PERFECT_FIT = 1e-12   # residual share of the target's variation
+LONG_AR = 4           # lags of the autoregression that gives the innovations
+HISTORY = 8           # last values of a series that a forecast can look back on
 
 Order = tuple[int, int, int]
 
@@ -66,22 +75,28 @@ def _lag_name(n: int) -> str:
     return f"__lag{n}"
 
 
+def _shock_name(n: int) -> str:
+    return f"__shock{n}"
+
+
 def model_rows(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
                lags: int, diff: int) -> DataFrame:
-    """Rows with target, its lags and drivers (all differenced for diff=1)."""
+    """Rows with target, its lags and drivers (all differenced ``diff``
+    times)."""
     base = df.select(*keys, period, F.col(y).cast("double").alias(y),
                      *[F.col(c).cast("double").alias(c) for c in exog])
-    if diff:
-        w = spec(keys, period)
+    w = spec(keys, period)
+    for _ in range(diff):
         base = base.withColumns({f"__d_{c}": F.col(c) - F.lag(c).over(w) for c in [y, *exog]})
         base = base.select(*keys, period, *[F.col(f"__d_{c}").alias(c) for c in [y, *exog]])
     return base.withColumns({_lag_name(n): lag(y, keys, period, n) for n in range(1, lags + 1)})
 
 
-def _moments(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """n, means and the upper triangle of the centred co-moments per series.
-    Rows with a gap in any column take no part; a series of gaps only still
-    has its row."""
+def _moments(rows: DataFrame, keys: Sequence[str], cols: Sequence[str],
+             *more: Column) -> DataFrame:
+    """n, means and the upper triangle of the centred co-moments per series,
+    and the aggregates ``more``.  Rows with a gap in any column take no part;
+    a series of gaps only still has its row."""
     ok = F.lit(True)
     for c in cols:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
@@ -91,20 +106,24 @@ def _moments(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
     return rows.groupBy(*keys).agg(
         n.cast("int").alias("n_obs"),
         F.array(*[F.avg(v[c]) for c in cols]).alias("means"),
-        F.array(*[F.covar_pop(v[a], v[b]) * n for a, b in pairs]).alias("moments"))
+        F.array(*[F.covar_pop(v[a], v[b]) * n for a, b in pairs]).alias("moments"), *more)
 
 
 FIT_COLUMNS = ("pos int, ar int, diff int, ma int, ord string, status string, n_obs int, "
                "loglik double, aic double, bic double, sigma2 double, intercept double, "
-               "phi array<double>, beta array<double>")
+               "phi array<double>, beta array<double>, theta array<double>, "
+               "shocks array<double>")
 
 
 def _keys_ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _solve(orders: list[tuple[int, Order]], lags: int, n_exog: int, keys: list[str]):
-    size = lags + n_exog + 1
+def _solve(orders: list[tuple[int, Order]], lags: int, n_exog: int, keys: list[str],
+           shocks: int = 0):
+    """Fits of ``orders`` from moments of the columns: ``lags`` lags of the
+    target, ``shocks`` lags of the innovations, the drivers, the target."""
+    size = lags + shocks + n_exog + 1
     upper = np.triu_indices(size)
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +138,7 @@ def _solve(orders: list[tuple[int, Order]], lags: int, n_exog: int, keys: list[s
                     full[use, i, j] = full[use, j, i] = col
                 mean[use] = np.stack(pdf.loc[use, "means"].to_list()).astype(float)
             for pos, (p, d, q) in orders:
-                pick = [*range(p), *range(lags, size)]
+                pick = [*range(p), *range(lags, lags + q), *range(lags + shocks, size)]
                 s = full[np.ix_(range(len(pdf)), pick, pick)].copy()
                 k = len(pick) - 1
                 total = s[:, k, k].copy()
@@ -128,6 +147,8 @@ def _solve(orders: list[tuple[int, Order]], lags: int, n_exog: int, keys: list[s
                 ssr = np.maximum(s[:, k, k], 0.0)
                 icpt = mean[:, -1] - (slope * mean[:, pick[:-1]]).sum(axis=1)
                 short = n < rank + 3
+                if q:
+                    short |= pdf["unshocked"].to_numpy(bool)
                 exact = ~short & (ssr <= PERFECT_FIT * total)
                 good = ~short & ~exact
                 sigma2 = ssr / np.maximum(n, 1)
@@ -147,26 +168,66 @@ def _solve(orders: list[tuple[int, Order]], lags: int, n_exog: int, keys: list[s
                 out["sigma2"] = nan_to_none(sigma2, ~short)
                 out["intercept"] = nan_to_none(icpt, ~short)
                 out["phi"] = [x[:p].tolist() if u else None for x, u in zip(slope, ~short)]
-                out["beta"] = [x[p:].tolist() if u else None for x, u in zip(slope, ~short)]
+                out["beta"] = [x[p + q:].tolist() if u else None for x, u in zip(slope, ~short)]
+                out["theta"] = [x[p:p + q].tolist() if u else None for x, u in zip(slope, ~short)]
+                out["shocks"] = pdf["shocks"] if shocks else [[]] * len(pdf)
                 yield out
     return body
 
 
+def with_innovations(rows: DataFrame, keys: Sequence[str], period: str, y: str,
+                     exog: Sequence[str], long_ar: int, q: int) -> DataFrame:
+    """Rows of :func:`model_rows` (with ``long_ar`` lags at least) plus the
+    residual ``__shock0`` of the long autoregression and its lags 1 to ``q``.
+    Where it has no residual variance the innovations are zero; where a series
+    is too short for it they are zero as well and ``__unshocked`` is true."""
+    keys, exog = list(keys), list(exog)
+    lags = [_lag_name(n) for n in range(1, long_ar + 1)]
+    first = _moments(rows, keys, [*lags, *exog, y]).mapInPandas(
+        _solve([(0, (long_ar, 0, 0))], long_ar, len(exog), keys),
+        f"{_keys_ddl(rows, keys)}, {FIT_COLUMNS}").select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("status").alias("__first"),
+        F.col("intercept").alias("__c"), F.concat("phi", "beta").alias("__b"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    fitted = F.col("__first") == "ok"
+    value = F.col(y) - F.col("__c")
+    for i, c in enumerate([*lags, *exog]):
+        value = value - F.get("__b", F.lit(i)) * F.col(c)
+    out = rows.join(first, same).withColumn(
+        _shock_name(0), F.when(fitted, value).otherwise(F.lit(0.0)))
+    w = spec(keys, period)
+    out = out.withColumns({
+        _shock_name(n): F.when(fitted, F.lag(_shock_name(0), n).over(w)).otherwise(F.lit(0.0))
+        for n in range(1, q + 1)})
+    return out.withColumn("__unshocked", F.col("__first") == "too_short").drop(
+        "__first", "__c", "__b", *[f"__k_{k}" for k in keys])
+
+
 def fit_orders(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
-               orders: Sequence[Order]) -> DataFrame:
+               orders: Sequence[Order], long_ar: int = LONG_AR) -> DataFrame:
     """One row per (series, order): coefficients and information criteria.
-    Orders of one differencing degree share their rows and one aggregate."""
-    keys = list(keys)
-    if any(q for _, _, q in orders):
-        raise ValueError("moving-average orders have no least-squares form")
+    Orders of one differencing degree share their rows and one aggregate; with
+    moving-average terms among them, the innovations of a long autoregression
+    of ``long_ar`` lags come first, in an aggregate of their own."""
+    keys, exog = list(keys), list(exog)
     out = None
     for d in sorted({d for _, d, _ in orders}):
         own = [(i, o) for i, o in enumerate(orders) if o[1] == d]
-        lags = max(o[0] for _, o in own)
-        cols = [_lag_name(n) for n in range(1, lags + 1)] + list(exog) + [y]
-        rows = model_rows(df, keys, period, y, exog, lags, d)
-        fits = _moments(rows, keys, cols).mapInPandas(
-            _solve(own, lags, len(exog), keys), f"{_keys_ddl(df, keys)}, {FIT_COLUMNS}")
+        lags, q = max(o[0] for _, o in own), max(o[2] for _, o in own)
+        cols = [_lag_name(n) for n in range(1, lags + 1)] + exog + [y]
+        rows = model_rows(df, keys, period, y, exog, max(lags, long_ar if q else 0), d)
+        more = []
+        if q:
+            rows = with_innovations(rows, keys, period, y, exog, long_ar, q)
+            cols[lags:lags] = [_shock_name(n) for n in range(1, q + 1)]
+            # the last innovations, the latest first, for the forecasts
+            more = [F.max("__unshocked").alias("unshocked"),
+                    F.max_by(F.array(*[_shock_name(n) for n in range(q)]), period)
+                    .alias("shocks")]
+        fits = _moments(rows, keys, cols, *more).mapInPandas(
+            _solve(own, lags, len(exog), keys, q), f"{_keys_ddl(df, keys)}, {FIT_COLUMNS}")
         out = fits if out is None else out.unionByName(fits)
     return out
 
@@ -189,83 +250,105 @@ def fit_params(fits: DataFrame, keys: Sequence[str], exog: Sequence[str], train_
               for i, c in enumerate(exog)]
     lags = F.transform("phi", lambda v, i: F.struct(
         F.concat(F.lit("ar.L"), (i + 1).cast("string")).alias("n"), v.alias("v")))
+    shocks = F.transform("theta", lambda v, i: F.struct(
+        F.concat(F.lit("ma.L"), (i + 1).cast("string")).alias("n"), v.alias("v")))
     last = F.array(F.struct(F.lit("sigma2").alias("n"), F.col("sigma2").alias("v")))
     none = F.array(F.struct(F.lit(None).cast("string").alias("n"),
                             F.lit(None).cast("double").alias("v")))
     return (fits.withColumn("__p", F.explode(F.when(
-        fitted, F.concat(F.array(*names), lags, last)).otherwise(none)))
+        fitted, F.concat(F.array(*names), lags, shocks, last)).otherwise(none)))
         .select(*keys, F.lit(int(train_end)).alias("train_end"), "ord", "status",
                 F.col("__p.n").alias("param_name"), F.col("__p.v").alias("param_value"),
                 "aic", "bic", F.lit(",".join(exog)).alias("exog_cols"),
                 F.lit(bool(standardized)).alias("standardized_exog")))
 
 
-def _level_coefficients() -> list[Column]:
-    """The model as an autoregression of the level: differences of order one
-    turn (phi_1, phi_2) into (1 + phi_1, phi_2 - phi_1, -phi_2)."""
-    p1 = F.coalesce(F.get("phi", F.lit(0)), F.lit(0.0))
-    p2 = F.coalesce(F.get("phi", F.lit(1)), F.lit(0.0))
-    d = F.col("diff") == 1
-    return [F.when(d, 1 + p1).otherwise(p1), F.when(d, p2 - p1).otherwise(p2),
-            F.when(d, -p2).otherwise(F.lit(0.0))]
+def _of_level(coefficients: Column) -> Column:
+    """Lag coefficients of a model in differences of degree ``diff`` as lag
+    coefficients of the level: 1 - sum a_i B^i is multiplied by (1 - B) as
+    often, which turns a_i into a_i - a_{i-1} with a_0 = -1 and one lag more."""
+    once = lambda a: F.zip_with(
+        F.concat(a, F.array(F.lit(0.0))), F.concat(F.array(F.lit(-1.0)), a),
+        lambda x, before: x - before)
+    times = F.when(F.col("diff") > 0, F.sequence(F.lit(1), F.col("diff"))).otherwise(
+        F.array().cast("array<int>"))
+    return F.aggregate(times, coefficients.cast("array<double>"), lambda a, _: once(a))
+
+
+def _dot(coefficients: Column, values: Column, start: Column) -> Column:
+    """start + sum of products; a value counts only where its coefficient is
+    not zero, so lags that a series does not have do no harm unless used."""
+    terms = F.zip_with(coefficients, F.slice(values, F.lit(1), F.size(coefficients)),
+                       lambda c, v: F.when(c == 0, F.lit(0.0)).otherwise(c * v))
+    return F.aggregate(terms, start, lambda acc, t: acc + t)
 
 
 def scenario_forecasts(train: DataFrame, fits: DataFrame, future: DataFrame,
                        keys: Sequence[str], period: str, y: str, exog: Sequence[str],
-                       scenario_col: str = "scenario", z: float = Z95) -> DataFrame:
+                       scenario_col: str = "scenario", z: float = Z95,
+                       history: int = HISTORY) -> DataFrame:
     """Forecasts with 95 % intervals for every future row of every scenario
     (M10, M11, M14).  ``fits``: one row per series.  ``train`` gives each
-    series its last values.  Future drivers must follow the last training
-    period without a gap, unless the model has no lags; rows after a gap (or a
-    missing driver) get a null forecast and the status ``missing_driver``."""
+    series its last ``history`` values; a model with more lags of the level
+    (p + d) raises.  Innovations after the last training period are zero.
+    Future drivers must follow the last training period without a gap, unless
+    the model has no lags; rows after a gap (or a missing driver) get a null
+    forecast and the status ``missing_driver``."""
     keys, exog = list(keys), list(exog)
     w = spec(keys, period)
-    tail = train.select(*keys, period, F.col(y).cast("double").alias("__y1"),
-                        F.lag(F.col(y).cast("double"), 1).over(w).alias("__y2"),
-                        F.lag(F.col(y).cast("double"), 2).over(w).alias("__y3"),
-                        F.array(*[F.col(c).cast("double") for c in exog]).alias("__x0"))
-    last = tail.groupBy(*keys).agg(
-        F.max(period).alias("__last"),
-        F.max_by(F.struct("__y1", "__y2", "__y3", "__x0"), period).alias("__t"))
+    level, drivers = F.col(y).cast("double"), F.array(*[F.col(c).cast("double") for c in exog])
+    back = range(history)
+    tail = train.select(*keys, period,
+                        F.array(*[F.lag(level, n).over(w) for n in back]).alias("__y"),
+                        F.array(*[F.lag(drivers, n).over(w) for n in back]).alias("__x"))
+    last = tail.groupBy(*keys).agg(F.max(period).alias("__last"),
+                                   F.max_by(F.struct("__y", "__x"), period).alias("__t"))
     steps = future.groupBy(*keys, scenario_col).agg(F.sort_array(F.collect_list(F.struct(
-        F.col(period).alias("p"),
-        F.array(*[F.col(c).cast("double") for c in exog]).alias("x")))).alias("__s"))
-    a1, a2, a3 = _level_coefficients()
-    rows = (steps.join(last, keys, "left").join(fits.select(
-        *keys, "status", "sigma2", "intercept", "diff", "beta", a1.alias("__a1"),
-        a2.alias("__a2"), a3.alias("__a3")), keys, "left")
-        .withColumn("__s", F.filter("__s", lambda s: s["p"] > F.col("__last"))))
-    # what the drivers and the constant add in each step; null from the first gap on
-    prior = lambda i: F.when(i == 0, F.col("__t.__x0")).otherwise(
-        F.get(F.col("__s"), i - 1)["x"])
+        F.col(period).alias("p"), drivers.alias("x")))).alias("__s"))
+    own = fits.select(
+        *keys, "status", "sigma2", "intercept", "beta", "theta", "shocks",
+        _of_level(F.col("phi")).alias("__a"),
+        # the drivers of a model in differences, as a combination of their levels
+        _of_level(F.array()).alias("__d"))
+    known = F.coalesce(F.size("__a"), F.lit(0)) <= history
+    own = own.withColumn("__a", F.when(known, F.col("__a")).otherwise(
+        F.raise_error(F.lit("the model has more lags than history")).cast("array<double>")))
+    rows = (steps.join(last, keys, "left").join(own, keys, "left")
+            .withColumn("__s", F.filter("__s", lambda s: s["p"] > F.col("__last"))))
+    # without lags a gap does not matter
+    still = F.forall("__a", lambda a: a == 0) & F.forall("theta", lambda a: a == 0)
 
     def push(s, i):
-        moved = F.when(F.col("diff") == 1, F.zip_with(s["x"], prior(i), lambda a, b: a - b)
-                       ).otherwise(s["x"])
+        """What the drivers and the constant add in a step; null from the
+        first gap on."""
+        earlier = F.transform("__d", lambda c, j: F.struct(c.alias("c"), F.when(
+            j < i, F.get(F.col("__s"), i - j - 1)["x"]).otherwise(
+            F.get(F.col("__t.__x"), j - i)).alias("x")))
+        moved = F.aggregate(earlier, s["x"], lambda x, e: F.zip_with(
+            x, e["x"], lambda u, v: u - e["c"] * v))
         dot = F.aggregate(F.zip_with(moved, F.col("beta"), lambda a, b: a * b),
                           F.lit(0.0), lambda acc, v: acc + v)
-        # without lags a gap does not matter
         return F.struct(s["p"].alias("p"), F.when(
             still | (s["p"] == F.col("__last") + i + 1), F.col("intercept") + dot).alias("u"))
-    still = (F.col("__a1") == 0) & (F.col("__a2") == 0) & (F.col("__a3") == 0)
     rows = rows.withColumn("__u", F.transform("__s", push))
     point = "array<struct<p:int,mean:double,var:double>>"
     start = F.struct(
-        F.col("__t.__y1").alias("y1"), F.col("__t.__y2").alias("y2"),
-        F.col("__t.__y3").alias("y3"), F.lit(0.0).alias("g1"), F.lit(0.0).alias("g2"),
-        F.lit(0.0).alias("g3"), F.lit(0.0).alias("s2"),
-        F.array().cast(point).alias("out"))
+        F.col("__t.__y").alias("y"), F.array_repeat(F.lit(0.0), history).alias("g"),
+        F.lit(0.0).alias("s2"), F.array().cast(point).alias("out"))
+    pushed = lambda v, old: F.slice(F.concat(F.array(v), old), 1, history)
 
     def step(acc, s):
-        # lags that a series does not have count only if the model uses them
-        term = lambda a, v: F.when(F.col(a) == 0, F.lit(0.0)).otherwise(F.col(a) * v)
-        mean = s["u"] + term("__a1", acc["y1"]) + term("__a2", acc["y2"]) + term("__a3", acc["y3"])
+        done = F.size(acc["out"])
+        # innovation h - j of step h = done + 1 is one of the known ones while j >= h
+        shocks = F.transform("theta", lambda c, j: F.when(
+            j >= done, c * F.get(F.col("shocks"), j - done)).otherwise(F.lit(0.0)))
+        mean = F.aggregate(shocks, _dot(F.col("__a"), acc["y"], s["u"]), lambda a, t: a + t)
         # psi weights: 1 in the first step, then the recursion
-        psi = F.when(F.size(acc["out"]) == 0, F.lit(1.0)).otherwise(
-            F.col("__a1") * acc["g1"] + F.col("__a2") * acc["g2"] + F.col("__a3") * acc["g3"])
+        psi = F.when(done == 0, F.lit(1.0)).otherwise(
+            _dot(F.col("__a"), acc["g"], F.lit(0.0))
+            + F.coalesce(F.get(F.col("theta"), done - 1), F.lit(0.0)))
         s2 = acc["s2"] + psi * psi
-        return F.struct(mean.alias("y1"), acc["y1"].alias("y2"), acc["y2"].alias("y3"),
-                        psi.alias("g1"), acc["g1"].alias("g2"), acc["g2"].alias("g3"),
+        return F.struct(pushed(mean, acc["y"]).alias("y"), pushed(psi, acc["g"]).alias("g"),
                         s2.alias("s2"), F.concat(acc["out"], F.array(F.struct(
                             s["p"].cast("int").alias("p"), mean.alias("mean"),
                             (F.col("sigma2") * s2).alias("var")))).alias("out"))
@@ -280,6 +363,19 @@ def scenario_forecasts(train: DataFrame, fits: DataFrame, future: DataFrame,
         F.when(mean.isNotNull(), mean + half).alias("ci_upper"))
 
 
+def with_accuracy(best: DataFrame, accuracy: DataFrame, keys: Sequence[str],
+                  columns: Sequence[str]) -> DataFrame:
+    """Accuracy of a hold-out next to ``columns`` of the chosen fits, a row
+    per fit: a model that could be fitted but had nothing to forecast has the
+    status ``no_forecast`` (M12)."""
+    out = best.select(*keys, "intercept", *columns).join(accuracy, list(keys), "left")
+    count = F.coalesce("n_forecasts", F.lit(0)).cast("long")
+    return (out.withColumn("n_forecasts", count)
+            .withColumn("status", F.when(F.col("intercept").isNotNull() & (count == 0),
+                                         "no_forecast").otherwise(F.col("status")))
+            .select(*keys, *[c for c in accuracy.columns if c not in keys], *columns))
+
+
 def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
              origins: Sequence[int], order: Order = (1, 0, 0), min_train: int = 0,
              z: float = Z95) -> DataFrame:
@@ -291,9 +387,10 @@ def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequ
     rows (F10) or too few for the fit."""
     from .folds import standardize_by_fold
     keys, exog = list(keys), list(exog)
-    p, d, _ = order
-    if d:
-        raise ValueError("the one-step backtest takes undifferenced orders")
+    p, d, q = order
+    if d or q:
+        raise ValueError("the one-step backtest takes undifferenced orders without "
+                         "moving-average terms")
     lagged = model_rows(df, keys, period, y, exog, p, 0).withColumn("__p1", F.col(period) - 1)
     folds = expand_origins(lagged, "__p1", origins).withColumn(
         "is_train", F.col(period) <= F.col("te"))

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import step_dummy
 from ..operators.aggregate import rmse_mae
-from ..operators.arx import backtest, fit_orders, fit_params, scenario_forecasts, select_order
+from ..operators.arx import (backtest, fit_orders, fit_params, scenario_forecasts, select_order,
+                             with_accuracy)
 from ..operators.folds import standardize_by_fold
 from ..operators.forecast import Z95
 from ..operators.scenario import apply_scenarios
@@ -25,6 +26,9 @@ E2000 = month_index(2000, 1)
 # Lag orders, with and without differencing.
 ORDERS_LAGS = [(1, 0, 0), (2, 0, 0), (0, 0, 0)]
 ORDERS_DIFF = [(1, 1, 0), (2, 1, 0), (0, 1, 0)]
+# The candidate grids of the forecasting designs.
+ORDERS_ARMA = [(1, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 0), (0, 0, 2), (2, 0, 1), (1, 0, 2)]
+ORDERS_ARIMA = [(1, 1, 0), (0, 1, 1), (1, 1, 1)]
 
 FIT = ["loglik", "aic", "bic", "sigma2", "intercept"]
 FIT_SQL = (f"ar, diff, ma, ord, status, n_obs, {rounded_list(FIT[:3], 4)}, "
@@ -89,29 +93,71 @@ def q_order_select_differenced(spark, d):
     return _fits(select_order(fits, ["k"]), "pos")
 
 
+THETA_SQL = ("CASE WHEN ma > 0 THEN round(theta_1, 6) + 0.0 END AS theta_1, "
+             "CASE WHEN ma > 1 THEN round(theta_2, 6) + 0.0 END AS theta_2")
+
+
+def _thetas():
+    return [F.get("theta", F.lit(i)).alias(f"theta_{i + 1}") for i in range(2)]
+
+
+@query("order_grid_fits", step=8, sql=f"""
+WITH {NATION_SEGMENT_MONTH_SQL}, {arx_ctes("sm", ["k"], "p", "y", ["x1"], ORDERS_ARMA)}
+SELECT k, {FIT_SQL}, {THETA_SQL} FROM fits
+""")
+def q_order_grid_fits(spark, d):
+    """M6/M7: every order of the seven-order grid for every series, moving
+    averages by the two regressions of Hannan and Rissanen."""
+    return _fits(fit_orders(nation_segment_month(spark, d), ["k"], "p", "y", ["x1"], ORDERS_ARMA),
+                 *_thetas())
+
+
+@query("order_select_arma", step=8, sql=f"""
+WITH {NATION_SEGMENT_MONTH_SQL}, {arx_ctes("sm", ["k"], "p", "y", ["x1"], ORDERS_ARMA)},
+  {best_ctes("fits", ["k"])}
+SELECT k, {FIT_SQL}, {THETA_SQL}, pos FROM best
+""")
+def q_order_select_arma(spark, d):
+    """Best of the seven orders per series by AIC on common rows."""
+    fits = fit_orders(nation_segment_month(spark, d), ["k"], "p", "y", ["x1"], ORDERS_ARMA)
+    return _fits(select_order(fits, ["k"]), *_thetas(), "pos")
+
+
+@query("order_select_arima", step=8, sql=f"""
+WITH {NATION_SEGMENT_MONTH_SQL}, {arx_ctes("sm", ["k"], "p", "y", ["x1"], ORDERS_ARIMA)},
+  {best_ctes("fits", ["k"])}
+SELECT k, {FIT_SQL}, {THETA_SQL}, pos FROM best
+""")
+def q_order_select_arima(spark, d):
+    """Best of the three orders on first differences."""
+    fits = fit_orders(nation_segment_month(spark, d), ["k"], "p", "y", ["x1"], ORDERS_ARIMA)
+    return _fits(select_order(fits, ["k"]), *_thetas(), "pos")
+
+
 @query("arma000_fit", step=8, sql=f"""
 WITH {NATION_SEGMENT_MONTH_SQL},
-  f AS (SELECT k, CAST(regr_count(y, x1) AS INTEGER) AS n_obs,
-          CASE WHEN n_obs >= 3 THEN regr_intercept(y, x1) END AS intercept,
-          CASE WHEN n_obs >= 3 THEN (regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1)
-            / regr_sxx(y, x1)) / regr_count(y, x1) END AS sigma2,
-          regr_syy(y, x1) / regr_count(y, x1) AS var_y
-        FROM sm GROUP BY k HAVING regr_sxx(y, x1) > 0),
-  l AS (SELECT *, CASE WHEN sigma2 > 1e-12 * var_y
-                       THEN -0.5 * n_obs * (ln(2 * pi()) + ln(sigma2) + 1) END AS loglik
+  m AS (SELECT k, CAST(regr_count(y, x1) AS INTEGER) AS n_obs, regr_syy(y, x1) AS syy,
+          regr_sxx(y, x1) AS sxx, regr_sxy(y, x1) AS sxy, avg(y) FILTER (x1 IS NOT NULL) AS my,
+          avg(x1) FILTER (y IS NOT NULL) AS mx FROM sm GROUP BY k),
+  f AS (SELECT k, n_obs, syy, sxx > 0 AS moves, n_obs >= 3 + CAST(moves AS INTEGER) AS fit,
+          CASE WHEN moves THEN sxy / sxx ELSE 0 END AS b,
+          CASE WHEN fit THEN my - b * mx END AS intercept,
+          CASE WHEN fit THEN greatest(syy - b * sxy, 0) / n_obs END AS sigma2 FROM m),
+  l AS (SELECT *, 2 + CAST(moves AS INTEGER) AS par,
+          CASE WHEN NOT fit OR fit IS NULL THEN 'too_short'
+               WHEN sigma2 * n_obs <= 1e-12 * syy THEN 'perfect_fit' ELSE 'ok' END AS status,
+          CASE WHEN status = 'ok' THEN -0.5 * n_obs * (ln(2 * pi()) + ln(sigma2) + 1) END AS loglik
         FROM f)
-SELECT k, n_obs, round(intercept, 4) + 0.0 AS intercept, round(sigma2, 5) + 0.0 AS sigma2,
-  round(loglik, 3) + 0.0 AS loglik, round(-2 * loglik + 6, 3) + 0.0 AS aic,
-  round(-2 * loglik + ln(n_obs) * 3, 3) + 0.0 AS bic
-FROM l WHERE n_obs >= 4
+SELECT k, status, n_obs, round(intercept, 4) + 0.0 AS intercept, round(sigma2, 5) + 0.0 AS sigma2,
+  round(loglik, 3) + 0.0 AS loglik, round(-2 * loglik + 2 * par, 3) + 0.0 AS aic,
+  round(-2 * loglik + ln(n_obs) * par, 3) + 0.0 AS bic
+FROM l
 """)
 def q_arma000_fit(spark, d):
     """M6/M9 without lags: per series the regression on one driver, against
-    SQL's regr_* aggregates (series of four months and more)."""
+    SQL's regr_* aggregates; every series has a row with its status."""
     fits = fit_orders(nation_segment_month(spark, d), ["k"], "p", "y", ["x1"], [(0, 0, 0)])
-    out = fits.filter("n_obs >= 4").select("k", "n_obs", "intercept", "sigma2", "loglik", "aic",
-                                           "bic")
-    return out.select("k", "n_obs", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (
+    return fits.select("k", "status", "n_obs", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (
         ("intercept", 4), ("sigma2", 5), ("loglik", 3), ("aic", 3), ("bic", 3))])
 
 
@@ -139,6 +185,25 @@ def q_scenario_forecast(spark, d):
     return places(scenario_forecasts(train, fits, future, ["k"], "p", "y", EXOG))
 
 
+@query("scenario_forecast_arma", step=8, sql=f"""
+WITH RECURSIVE {SME_SQL}, train AS (SELECT * FROM sme WHERE p <= {TRAIN_END}),
+  fut AS (SELECT k, p, scenario, coalesce(ev, ev_2000) AS ev_2000, x1 + dx AS x1
+          FROM sme {_EDITS} WHERE p IN ({TEST_SQL})),
+  {arx_ctes("train", ["k"], "p", "y", EXOG, ORDERS_ARMA)},
+  one AS (SELECT * FROM fits WHERE ord = '(1, 0, 2)'),
+  {forecast_ctes("train", "one", "fut", ["k"], "p", "y", EXOG, Z95)}
+SELECT k, scenario, p, status, {rounded_list(["predicted", "ci_lower", "ci_upper"])} FROM fc
+""")
+def q_scenario_forecast_arma(spark, d):
+    """M14 with M6: an order with one lag and two moving-average terms, fitted
+    on the training months, forecasts the test months under four scenarios."""
+    s = _with_event(segment_month(spark, d))
+    train = s.filter(F.col("p") <= TRAIN_END)
+    future = apply_scenarios(s.filter(F.col("p").isin(TEST)).select("k", "p", *EXOG), SCENARIOS)
+    fits = fit_orders(train, ["k"], "p", "y", EXOG, ORDERS_ARMA).filter("ord = '(1, 0, 2)'")
+    return places(scenario_forecasts(train, fits, future, ["k"], "p", "y", EXOG))
+
+
 def _scaled(cols, by, flag, src):
     return f"""SELECT * REPLACE ({", ".join(
         f"({c} - avg(CASE WHEN {flag} THEN {c} END) OVER w) / CASE WHEN "
@@ -241,9 +306,11 @@ def _errors_sql(key, y, period, extra="ord, aic"):
            JOIN test a ON a.{key} = fc.{key} AND a.{period} = fc.{period}),
   acc AS (SELECT {key}, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, count(e) AS n_forecasts
           FROM errs GROUP BY {key})
-SELECT acc.{key}, {rounded_list(["rmse", "mae"])}, n_forecasts, ord, status,
+SELECT best.{key}, {rounded_list(["rmse", "mae"])}, coalesce(n_forecasts, 0) AS n_forecasts, ord,
+  CASE WHEN intercept IS NOT NULL AND coalesce(n_forecasts, 0) = 0 THEN 'no_forecast'
+       ELSE status END AS status,
   {rounded_list([c for c in extra.split(", ") if c != "ord"], 4)}
-FROM acc JOIN best ON acc.{key} = best.{key}"""
+FROM best LEFT JOIN acc ON acc.{key} = best.{key}"""
 
 
 @query("arimax_holdout", step=8, sql=f"""
@@ -262,7 +329,7 @@ def q_arimax_holdout(spark, d):
     fc = scenario_forecasts(train, best, test, ["k"], "p", "y", EXOG).drop("status")
     actual = s.filter(F.col("p").isin(TEST)).select("k", "p", F.col("y").alias("actual"))
     err = fc.join(actual, ["k", "p"]).withColumn("error", F.col("actual") - F.col("predicted"))
-    return places(rmse_mae(err, ["k"]).join(best.select("k", "ord", "status", "aic"), "k"))
+    return places(with_accuracy(best, rmse_mae(err, ["k"]), ["k"], ["ord", "status", "aic"]))
 
 
 # ---------------------------------------------------------------- the full recipe
@@ -415,3 +482,17 @@ def q_forecast_holdout_differenced(spark, d):
     """Second design: candidate lag orders on first differences."""
     from .models import holdout
     return places(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_DIFF))
+
+
+@query("forecast_holdout_arma", step=8, sql=_recipe_holdout_sql(ORDERS_ARMA))
+def q_forecast_holdout_arma(spark, d):
+    """First design with its whole grid: seven orders with moving averages."""
+    from .models import holdout
+    return places(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_ARMA))
+
+
+@query("forecast_holdout_arima", step=8, sql=_recipe_holdout_sql(ORDERS_ARIMA))
+def q_forecast_holdout_arima(spark, d):
+    """Second design with its whole grid: three orders on first differences."""
+    from .models import holdout
+    return places(holdout(_v3_rows(spark, d), _v3_spec(), ORDERS_ARIMA))

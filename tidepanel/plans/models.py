@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, pulse_dummy
-from ..operators.arx import backtest, fit_orders, fit_params, scenario_forecasts, select_order
+from ..operators.arx import (backtest, fit_orders, fit_params, scenario_forecasts, select_order,
+                             with_accuracy)
 from ..operators.clean import clean_drivers, flag_non_finite, missing_report
 from ..operators.folds import standardize_by_fold
 from ..operators.scenario import apply_scenarios
@@ -126,7 +127,7 @@ def holdout(rows: DataFrame, spec: ForecastSpec, orders: Sequence[tuple[int, int
     A10, A13): all candidate orders are fitted on the training window, the
     smallest AIC wins, the winner forecasts the test window from the known
     drivers, and the errors give RMSE and MAE per entity, next to the chosen
-    order, its status, AIC and BIC."""
+    order, its status, AIC and BIC.  Every entity with training rows has a row."""
     from ..operators.aggregate import rmse_mae
     k, p = spec.key, spec.period
     data = rows
@@ -142,4 +143,4 @@ def holdout(rows: DataFrame, spec: ForecastSpec, orders: Sequence[tuple[int, int
                             [k], p, spec.y, spec.exog).drop("status")
     err = (fc.join(test.select(k, p, F.col(spec.y).alias("actual")), [k, p])
              .withColumn("error", F.col("actual") - F.col("predicted")))
-    return rmse_mae(err, [k]).join(best.select(k, "ord", "status", "aic", "bic"), k)
+    return with_accuracy(best, rmse_mae(err, [k]), [k], ["ord", "status", "aic", "bic"])

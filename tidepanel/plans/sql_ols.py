@@ -54,43 +54,89 @@ def sweep_ctes(name: str, src: str, keys: Sequence[str], xs: Sequence[str], y: s
     return ",\n".join(ctes)
 
 
+def _innovation_ctes(out: str, d: int, keys: Sequence[str], period: str, y: str,
+                     exog: Sequence[str], long_ar: int, q: int) -> list[str]:
+    """CTEs from ``{out}_l{d}`` to ``{out}_v{d}``: residuals of the long
+    autoregression as ``shock0`` and their lags, ``first`` its status; and
+    ``{out}_z{d}``, the last ones of every series."""
+    by = ", ".join(keys)
+    xs = [f"lag{n}" for n in range(1, long_ar + 1)] + list(exog)
+    k, h = len(xs), f"{out}_h{d}"
+    icpt = " - ".join([f"m_{k}"] + [f"s_{i}_{k} * m_{i}" for i in range(k)])
+    minus = "".join(f" - g.b_{i} * r.{c}" for i, c in enumerate(xs))
+    on = " AND ".join(f"g.{c} IS NOT DISTINCT FROM r.{c}" for c in keys)
+    shocks = ", ".join(f"CASE WHEN first = 'ok' THEN lag(shock0, {n}) OVER w ELSE 0 END AS shock{n}"
+                       for n in range(1, q + 1))
+    return [sweep_ctes(h, f"{out}_l{d}", keys, xs, y),
+            f"""{out}_g{d} AS (SELECT {by}, CASE WHEN n < rank + 3 THEN 'too_short'
+      WHEN greatest(s_{k}_{k}, 0) <= 1e-12 * d_{k} THEN 'perfect_fit' ELSE 'ok' END AS first,
+    {icpt} AS c, {", ".join(f"s_{i}_{k} AS b_{i}" for i in range(k))} FROM {h}_{k})""",
+            f"""{out}_e{d} AS (SELECT r.*, g.first, CASE WHEN g.first = 'ok'
+      THEN r.{y} - g.c{minus} ELSE 0 END AS shock0 FROM {out}_l{d} r JOIN {out}_g{d} g ON {on})""",
+            f"""{out}_v{d} AS (SELECT *, {shocks} FROM {out}_e{d}
+    WINDOW w AS (PARTITION BY {by} ORDER BY {period}))""",
+            f"""{out}_z{d} AS (SELECT {by}, first,
+      {", ".join(f"shock{n} AS shock_{n + 1}" for n in range(q))} FROM {out}_v{d}
+    QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {period} DESC) = 1)"""]
+
+
 def arx_ctes(src: str, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
-             orders: Sequence[tuple[int, int, int]], out: str = "fits") -> str:
+             orders: Sequence[tuple[int, int, int]], out: str = "fits", long_ar: int = 4) -> str:
     """CTEs ending in ``out``: one row per (keys, order)."""
     by = ", ".join(keys)
     w = f"WINDOW w AS (PARTITION BY {by} ORDER BY {period})"
     parts, selects = [], []
     for d in sorted({o[1] for o in orders}):
         lags = max(o[0] for o in orders if o[1] == d)
-        base = f"{out}_b{d}"
-        if d:
+        most = max(o[2] for o in orders if o[1] == d)
+        prev = src
+        for n in range(1, d + 1):
             cols = ", ".join(f"{c} - lag({c}) OVER w AS {c}" for c in [y, *exog])
-            parts.append(f"{base} AS (SELECT {by}, {period}, {cols} FROM {src} {w})")
-        else:
-            parts.append(f"{base} AS (SELECT {by}, {period}, {', '.join([y, *exog])} FROM {src})")
-        lagged = "".join(f", lag({y}, {n}) OVER w AS lag{n}" for n in range(1, lags + 1))
+            parts.append(f"{out}_b{d}_{n} AS (SELECT {by}, {period}, {cols} FROM {prev} {w})")
+            prev = f"{out}_b{d}_{n}"
+        base = f"{out}_b{d}"
+        parts.append(f"{base} AS (SELECT {by}, {period}, {', '.join([y, *exog])} FROM {prev})")
+        lagged = "".join(f", lag({y}, {n}) OVER w AS lag{n}"
+                         for n in range(1, max(lags, long_ar if most else 0) + 1))
         parts.append(f"{out}_l{d} AS (SELECT *{lagged} FROM {base} {w})")
-        need = " AND ".join(f"lag{n} IS NOT NULL" for n in range(1, lags + 1)) or "TRUE"
+        rows = f"{out}_l{d}"
+        needed = [f"lag{n}" for n in range(1, lags + 1)]
+        if most:
+            parts += _innovation_ctes(out, d, keys, period, y, exog, long_ar, most)
+            rows = f"{out}_v{d}"
+            needed += [f"shock{n}" for n in range(1, most + 1)]
+        need = " AND ".join(f"{c} IS NOT NULL" for c in needed) or "TRUE"
         # every order of one degree uses the rows that have all lags
         hide = f"CASE WHEN {need} THEN {y} END"
-        parts.append(f"{out}_r{d} AS (SELECT * REPLACE ({hide} AS {y}) FROM {out}_l{d})")
+        parts.append(f"{out}_r{d} AS (SELECT * REPLACE ({hide} AS {y}) FROM {rows})")
         for pos, (p, dd, q) in enumerate(orders):
             if dd != d:
                 continue
-            xs = [f"lag{n}" for n in range(1, p + 1)] + list(exog)
+            xs = ([f"lag{n}" for n in range(1, p + 1)] + [f"shock{n}" for n in range(1, q + 1)]
+                  + list(exog))
             k = len(xs)
             o = f"{out}_o{pos}"
             parts.append(sweep_ctes(o, f"{out}_r{d}", keys, xs, y))
             icpt = " - ".join([f"m_{k}"] + [f"s_{i}_{k} * m_{i}" for i in range(k)])
             phi = [f"s_{i}_{k}" if i < p else "0" for i in range(2)]
-            beta = ", ".join(f"CASE WHEN fit THEN s_{p + i}_{k} END AS beta_{c}"
+            theta = [f"s_{p + i}_{k}" if i < q else "0" for i in range(2)]
+            beta = ", ".join(f"CASE WHEN fit THEN s_{p + q + i}_{k} END AS beta_{c}"
                              for i, c in enumerate(exog))
-            selects.append(f"""SELECT {by}, {pos} AS pos, {p} AS ar, {d} AS diff, {q} AS ma,
-    '({p}, {d}, {q})' AS ord, CASE WHEN n < rank + 3 THEN 'too_short'
+            fit = "n >= rank + 3" + (" AND first <> 'too_short'" if q else "")
+            known = [f"shock_{i}" if i <= most else "0" for i in (1, 2)]
+            last = ""
+            if most:
+                on = " AND ".join(f"z.{c} IS NOT DISTINCT FROM o.{c}" for c in keys)
+                last = f" o JOIN {out}_z{d} z ON {on}"
+            own = ", ".join(f"o.{c}" for c in keys) if most else by
+            selects.append(f"""SELECT {own}, {pos} AS pos, {p} AS ar, {d} AS diff, {q} AS ma,
+    '({p}, {d}, {q})' AS ord, CASE WHEN NOT ({fit}) THEN 'too_short'
       WHEN greatest(s_{k}_{k}, 0) <= 1e-12 * d_{k} THEN 'perfect_fit' ELSE 'ok' END AS status,
-    n AS n_obs, rank, n >= rank + 3 AS fit, CASE WHEN fit THEN greatest(s_{k}_{k}, 0) / n END AS sigma2,
+    n AS n_obs, rank, {fit} AS fit, CASE WHEN fit THEN greatest(s_{k}_{k}, 0) / n END AS sigma2,
     CASE WHEN fit THEN {icpt} END AS intercept, CASE WHEN fit THEN {phi[0]} END AS phi_1,
-    CASE WHEN fit THEN {phi[1]} END AS phi_2{", " + beta if beta else ""} FROM {o}_{k}""")
+    CASE WHEN fit THEN {phi[1]} END AS phi_2, CASE WHEN fit THEN {theta[0]} END AS theta_1,
+    CASE WHEN fit THEN {theta[1]} END AS theta_2, {known[0]} AS shock_1, {known[1]} AS shock_2
+    {", " + beta if beta else ""} FROM {o}_{k}{last}""")
     parts.append(f"{out}_u AS ({' UNION ALL '.join(selects)})")
     parts.append(f"""{out}_ll AS (SELECT *, CASE WHEN status = 'ok' THEN
     -0.5 * n_obs * (ln(2 * pi()) + ln(sigma2) + 1) END AS loglik FROM {out}_u)""")
@@ -114,6 +160,9 @@ def forecast_ctes(train: str, fits: str, future: str, keys: Sequence[str], perio
         f"beta_{c} * CASE WHEN diff = 1 THEN f.{c} - coalesce(f.prev_{c}, t.{c}) ELSE f.{c} END"
         for c in exog])
     part = ", ".join([*(f"f.{k}" for k in keys), f"f.{scenario}"])
+    psi = ("CASE WHEN r.h = 0 THEN 1 ELSE a1 * r.g1 + a2 * r.g2 + a3 * r.g3 "
+           "+ CASE r.h WHEN 1 THEN theta_1 WHEN 2 THEN theta_2 ELSE 0 END END")
+    still = " AND ".join(f"{c} = 0" for c in ("a1", "a2", "a3", "theta_1", "theta_2"))
     prev = ", ".join(f"lag(f.{c}) OVER (PARTITION BY {part} ORDER BY f.{period}) AS prev_{c}"
                      for c in exog)
     return f"""{out}_t AS (SELECT * FROM (
@@ -125,7 +174,7 @@ def forecast_ctes(train: str, fits: str, future: str, keys: Sequence[str], perio
 {out}_u AS (SELECT {", ".join("f." + k for k in keys)}, f.{scenario}, f.{period},
       {step} AS u FROM {out}_x f JOIN {out}_t t ON {on('f', 't')}
       JOIN {fits} g ON {on('f', 'g')}),
-{out}_a AS (SELECT {by}, sigma2, status,
+{out}_a AS (SELECT {by}, sigma2, status, theta_1, theta_2, shock_1, shock_2,
       CASE WHEN diff = 1 THEN 1 + phi_1 ELSE phi_1 END AS a1,
       CASE WHEN diff = 1 THEN phi_2 - phi_1 ELSE phi_2 END AS a2,
       CASE WHEN diff = 1 THEN -phi_2 ELSE 0 END AS a3 FROM {fits}),
@@ -137,14 +186,15 @@ def forecast_ctes(train: str, fits: str, future: str, keys: Sequence[str], perio
   UNION ALL
   SELECT {", ".join("r." + k for k in keys)}, r.{scenario}, r.p + 1, r.h + 1,
     u.u + CASE WHEN a1 = 0 THEN 0 ELSE a1 * r.y1 END + CASE WHEN a2 = 0 THEN 0 ELSE a2 * r.y2 END
-        + CASE WHEN a3 = 0 THEN 0 ELSE a3 * r.y3 END, r.y1, r.y2,
-    CASE WHEN r.h = 0 THEN 1 ELSE a1 * r.g1 + a2 * r.g2 + a3 * r.g3 END, r.g1, r.g2,
-    r.s2 + pow(CASE WHEN r.h = 0 THEN 1 ELSE a1 * r.g1 + a2 * r.g2 + a3 * r.g3 END, 2)
+        + CASE WHEN a3 = 0 THEN 0 ELSE a3 * r.y3 END
+        + CASE r.h WHEN 0 THEN theta_1 * shock_1 WHEN 1 THEN theta_2 * shock_1 ELSE 0 END
+        + CASE r.h WHEN 0 THEN theta_2 * shock_2 ELSE 0 END, r.y1, r.y2,
+    {psi}, r.g1, r.g2, r.s2 + pow({psi}, 2)
   FROM {out}_r r JOIN {out}_u u ON {on('r', 'u')} AND r.{scenario} = u.{scenario}
     AND u.{period} = r.p + 1 JOIN {out}_a a ON {on('r', 'a')}),
 {out} AS (SELECT {", ".join("x." + k for k in keys)}, x.{scenario}, x.{period},
-    CASE WHEN a1 = 0 AND a2 = 0 AND a3 = 0 THEN u.u ELSE r.y1 END AS predicted,
-    CASE WHEN a1 = 0 AND a2 = 0 AND a3 = 0 THEN 1 ELSE r.s2 END AS s2,
+    CASE WHEN {still} THEN u.u ELSE r.y1 END AS predicted,
+    CASE WHEN {still} THEN 1 ELSE r.s2 END AS s2,
     CASE WHEN a.sigma2 IS NULL THEN a.status WHEN predicted IS NULL THEN 'missing_driver'
       ELSE a.status END AS status,
     predicted - {z!r} * sqrt(a.sigma2 * s2) AS ci_lower,
