@@ -16,7 +16,8 @@ drawn only up to a horizon that fills all slots with high probability; the few
 bags with empty slots go on with a doubled horizon.
 
 *Classes.*
-1. Equal bags are one node (their smallest id).
+1. Equal bags are one node, numbered when the table of bags is written; its
+   text is that of the bag's smallest (id, text hash).
 2. Nodes that share a band are candidates.  Each band bucket links its
    members to its smallest one (a star, not all pairs); links are verified on
    the full multisets.
@@ -35,8 +36,11 @@ into pairs.  The probability that bands miss a pair of similarity 0.8 is
 with A-Z as a-z.  *Edge cases:* a text with fewer than five words, but not
 none, is one shingle; null, empty and word-less texts are classes of their
 own, and so are rows without an id; of rows repeated with one id each gets the
-class of its own text; ties do not arise (a class is named by its smallest
-id); an empty table gives no rows; extra columns are dropped.
+class of its own text (two such classes may have the same smallest id as name,
+and are still two: of each one row is ``kept``); rows repeated with one id and
+one text are kept or dropped together; a text of any length is read whole, its
+working arrays are about 100 bytes a word; an empty table gives no rows; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -149,7 +153,7 @@ def _cuts(doc: np.ndarray, n: int):
 
 def _sign(bands: int, rows: int, shingle: int):
     def body(cols):
-        ids, texts = cols
+        ids, marks, texts = cols
         doc, key, count = shingle_bags(texts, shingle)
         sig = signatures(doc, key, count, len(texts), bands * rows)
         values = sig.view(np.uint64).reshape(len(texts), bands, rows)
@@ -159,32 +163,36 @@ def _sign(bands: int, rows: int, shingle: int):
         band ^= mix64(np.arange(1, bands + 1, dtype=np.uint64))
         bag, weight, keys = [], [], []
         for k, (a, b) in enumerate(_cuts(doc, len(texts))):
-            if a == b:
-                bag.append(None)
-                keys.append(None)
-            else:
-                packed = key[a:b].tobytes() + count[a:b].astype("<u4").tobytes()
-                bag.append(hashlib.blake2b(packed, digest_size=16).digest())
-                keys.append(mix64(band[k]).view(np.int64))
+            bag.append(None if a == b else _digest(key[a:b], count[a:b]))
+            keys.append(None if a == b else mix64(band[k]).view(np.int64))
             weight.append(int(count[a:b].sum()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(bag, pa.binary()),
+            [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(bag, pa.binary()),
              pa.array(weight, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "bag", "weight", "bands"])
-    return by_slices(SLICE, body, ["doc_id", "text"])
+            ["doc_id", "mark", "bag", "weight", "bands"])
+    return by_slices(SLICE, body, ["doc_id", "mark", "text"])
+
+
+def _digest(key: np.ndarray, count: np.ndarray) -> bytes:
+    packed = key.tobytes() + count.astype("<u4").tobytes()
+    return hashlib.blake2b(packed, digest_size=16).digest()
 
 
 def _bags(shingle: int):
+    """The bags of the nodes; a text of another bag (under the same id and
+    hash) is not the node's."""
     def body(cols):
-        ids, texts = cols
+        nodes, bags, copies, texts = cols
         doc, key, count = shingle_bags(texts, shingle)
-        cuts = _cuts(doc, len(texts))
+        own = [(k, a, b) for k, (a, b) in enumerate(_cuts(doc, len(texts)))
+               if _digest(key[a:b], count[a:b]) == bags[k]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()),
-             pa.array([key[a:b].astype("<u8").tobytes() for a, b in cuts], pa.binary()),
-             pa.array([count[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary())],
-            ["node", "keys", "counts"])
-    return by_slices(SLICE, body, ["doc_id", "text"])
+            [pa.array([nodes[k] for k, _, _ in own], pa.int64()),
+             pa.array([copies[k] for k, _, _ in own], pa.bool_()),
+             pa.array([key[a:b].astype("<u8").tobytes() for _, a, b in own], pa.binary()),
+             pa.array([count[a:b].astype("<u4").tobytes() for _, a, b in own], pa.binary())],
+            ["node", "copied", "keys", "counts"])
+    return by_slices(SLICE, body, ["node", "bag", "copied", "text"])
 
 
 def similarity(keys_a, counts_a, keys_b, counts_b) -> float:
@@ -321,26 +329,43 @@ def prefix_pairs(open_bags: DataFrame, threshold: float) -> DataFrame:
             .select(*_ordered("x_node", "y_node")).distinct())
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids, texts and a hash of each text, which tells rows of one id apart."""
+    return id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id``, one row per input row; ``class_id`` is the
-    smallest id of the class."""
-    texts = id_text(docs, id_col, text_col)
+    """``doc_id, class_id, kept, mark``, one row per input row; ``class_id`` is
+    the smallest id of the class, ``kept`` says whether the row is the one that
+    names it, ``mark`` is the hash of its text."""
+    texts = _marked(docs, id_col, text_col)
     signed = work_table(
-        texts.mapInArrow(_sign(bands, rows, shingle),
-                         "doc_id long, bag binary, weight long, bands array<long>"),
+        texts.mapInArrow(_sign(bands, rows, shingle), "doc_id long, mark long, bag binary, "
+                                                      "weight long, bands array<long>"),
         "signatures")
     full = signed.filter(F.col("bag").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = full.groupBy("bag").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", F.explode("bands").alias("key")).distinct()
+    # one row per bag, numbered as it is written
+    nodes = work_table(full.groupBy("bag").agg(
+        F.min(F.struct("doc_id", "mark")).alias("least"),
+        (F.count(F.lit(1)) > 1).alias("copied"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1"))
     members = work_table(keyed.join(hubs, "key"), "members")
+    involved = members.select("node").distinct()
+    of_node = (nodes.join(involved, "node", "left_semi")
+               .select("least.doc_id", "least.mark", "node", "bag", "copied").hint("merge"))
     # always by merge: the side grows with the input, so does the plan's cost
-    involved = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    bags = work_table(texts.join(involved, "doc_id", "left_semi")
-                      .mapInArrow(_bags(shingle), "node long, keys binary, counts binary"), "bags")
+    read = work_table(texts.join(of_node, ["doc_id", "mark"])
+                      .mapInArrow(_bags(shingle), "node long, copied boolean, keys binary, "
+                                                  "counts binary"), "bags")
+    # only a bag with copies can have come from several rows
+    bags = read.filter("NOT copied").select("node", "keys", "counts").unionByName(
+        read.filter("copied").groupBy("node").agg(F.first("keys").alias("keys"),
+                                                  F.first("counts").alias("counts")))
 
     star = members.filter("node <> hub").select(*_ordered("node", "hub")).distinct()
     labels = work_table(components(verified(star, bags, threshold)), "labels")
@@ -358,19 +383,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
                          threshold)
     labels = merge_components(labels, verified(pairs, bags, threshold))
 
-    classes = _labelled(nodes.select("bag", "node"), labels, "node", "class_id")
-    return (full.select("doc_id", "bag").join(classes.select("bag", "class_id"), "bag")
-            .select("doc_id", "class_id")
+    labelled = _labelled(nodes.select("node", "bag", "least"), labels, "node", "label")
+    named = labelled.groupBy("label").agg(F.min("least").alias("name"))
+    classes = labelled.join(named, "label").select("bag", "name")
+    own = F.struct("doc_id", "mark")
+    return (full.select("doc_id", "mark", "bag").join(classes, "bag")
+            .select("doc_id", F.col("name.doc_id").alias("class_id"),
+                    (own == F.col("name")).alias("kept"), "mark")
             .unionByName(signed.filter(F.col("bag").isNull() | F.col("doc_id").isNull())
-                         .select("doc_id", F.col("doc_id").alias("class_id"))))
-
-
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id names their class (and those without an id),
-    with all their columns."""
-    named = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__named")).distinct()
-    return (docs.join(named, F.col("doc_id") == F.col("__named"), "left_semi")
-            .unionByName(docs.filter(F.col("doc_id").isNull())))
+                         .select("doc_id", F.col("doc_id").alias("class_id"),
+                                 F.lit(True).alias("kept"), "mark")))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The documents that name their class, with all their columns."""
+    kept = (classes.filter("kept").select(F.col("doc_id").alias("__id"),
+                                          F.col("mark").alias("__mark")).distinct())
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))
+            & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+               == F.col("__mark")))
+    return docs.join(kept, same, "left_semi")
 
 
 def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD,

@@ -50,8 +50,7 @@ def op2(spark, sf_dir):
 
 @query("op3_bagminhash_near_dedup")
 def op3(spark, sf_dir):
-    return (bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
-            .withColumn("kept", F.col("doc_id") == F.col("class_id")))
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
 @query("op4_token_counts")
