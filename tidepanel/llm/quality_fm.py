@@ -229,11 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     """The fitted model (bytes), or None without usable labels."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.col(label_col).cast("double").alias("y"))
-             .filter(F.col("y").isNotNull() & (fold() != 0)))
-    # bounded: at most max_sample ids (16 bytes each), the first by a hash
-    sample = (known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-              .groupBy("doc_id").agg(F.avg("y").alias("y")))
-    rows = id_text(docs, extra=_size(size_col)).join(F.broadcast(sample), "doc_id")
+             .filter(F.col("y").isNotNull() & (fold() != 0))
+             .groupBy("doc_id").agg(F.avg("y").alias("y")))
+    texts = id_text(docs, extra=_size(size_col))
+    # bounded: at most max_sample ids that have a document (16 bytes each), the
+    # first by a hash; of rows repeated with one id one text, again by a hash
+    sample = (known.join(texts.select("doc_id"), "doc_id", "left_semi")
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample))
+    rows = (texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y")
+            .agg(F.min_by(F.struct("text", "size"), F.struct(F.xxhash64("text"), "size"))
+                 .alias("d")).select("doc_id", "d.text", "y", "d.size"))
     feats = rows.mapInArrow(_feature_body,
                             "doc_id long, y double, cols binary, vals binary, stats binary")
     got = (feats.groupBy(F.lit(0).alias("all")).applyInPandas(_train, "model binary")
