@@ -141,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     more = "doc_id long, hit binary, items array<string>" + ", text string" * (text == "text")
     bench = benchmark.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
-        F.col(f"`{item_text_col}`").cast("string").alias("text"))
+        F.col(f"`{item_text_col}`").cast("string").alias("text")).distinct()
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     state = (rows.withColumn("hit", F.lit(None).cast("binary"))

@@ -136,13 +136,13 @@ def pack(docs: DataFrame, rank_file: str, length: int = LENGTH, pad: int = PAD,
     ``pack_id``: partition number * 2**40 + running number."""
     def body(batches):
         enc = tokenizer(rank_file)
+        width = np.uint16 if enc.n_vocab <= 1 << 16 else np.uint32
         at = TaskContext.get().partitionId() << 40
         held, segments = 0, []
         for batch in batches:
             for b in slices(batch, 128, "text"):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = np.array(enc.encode_ordinary(text), np.uint16 if pad < 65536
-                                   else np.uint32)
+                    ids = np.array(enc.encode_ordinary(text), width)
                     held += len(ids)
                     segments += [(doc, k, ids[p:p + length])
                                  for k, p in enumerate(range(0, len(ids), length))]
