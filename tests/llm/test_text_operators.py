@@ -140,24 +140,138 @@ def test_passages_edge_tables(run, empty, repeated):
 def test_parse_resumes_inside_a_factor():
     """A window that crosses a factor's border, copied from elsewhere."""
     a = [f"a{i}" for i in range(20)]
-    blocks = [(0, [" ".join(a).encode()]),
-              (1, [" ".join([*a[-6:], *[f"b{i}" for i in range(12)]]).encode()]),
-              (2, [" ".join([*a, *[f"b{i}" for i in range(12)]]).encode()])]
-    flags = list(rlz.parse_blocks(iter(blocks)))
-    assert flags[2].tolist() == [1] * 8 + [0] * 6 + [1] * 6
+    one = [" ".join(a).encode(), " ".join([*a[-6:], *[f"b{i}" for i in range(12)]]).encode(),
+           " ".join([*a, *[f"b{i}" for i in range(12)]]).encode()]
+    want = [1] * 8 + [0] * 6 + [1] * 6
+    # in three blocks, in one (in any order), and without an id after two
+    flags = list(rlz.parse_segments(iter([(False, np.array([k]), [t]) for k, t in enumerate(one)])))
+    assert flags[2].tolist() == want
+    flags = list(rlz.parse_segments(iter([(False, np.array([7, 2, 5]), [one[2], one[0], one[1]])])))
+    assert flags[0][:20].tolist() == want
+    flags = list(rlz.parse_segments(iter([(False, np.array([1, 3]), one[:2]),
+                                          (True, np.array([0]), one[2:])])))
+    assert flags[1].tolist() == want
+
+
+@pytest.mark.parametrize("match", [
+    lambda m: rlz.parse_segments(m, 3),
+    lambda m: suffix_family.scan_family(m, 5, 4)])
+def test_matchers_compare_ids_not_blocks(match):
+    """Equal ids never make each other repeated, in one message or several;
+    rows without an id are later than all and earlier than none."""
+    t = b"a b c d"
+    say = lambda *m: [f.tolist() for f in match(iter(m))]
+    n = len(say((False, np.array([1]), [t]))[0])
+    no, yes = [0] * n, [1] * n
+    assert say((False, np.array([4]), [t]), (False, np.array([4]), [t]),
+               (False, np.array([5]), [t])) == [no, no, yes]
+    assert say((False, np.array([9, 4]), [t, t])) == [yes + no]
+    assert say((True, np.array([0]), [t]), (True, np.array([0]), [t])) == [no, no]
+    assert say((False, np.array([2 ** 63 - 1]), [t]), (True, np.array([0]), [t])) == [no, yes]
+
+
+def _placed(spark, rows, block_bytes):
+    from tidepanel.llm.common import id_text
+    from tidepanel.llm.passages import placed_in_blocks
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed, blocks = placed_in_blocks(id_text(df), block_bytes)
+    got = placed.selectExpr("block", "doc_id", "octet_length(text) AS n").collect()
+    assert len(got) == len(rows) and all(0 <= r.block < blocks for r in got)
+    size, last = {}, {}
+    for r in got:
+        size[r.block] = size.get(r.block, 0) + r.n
+        last.setdefault(r.block, []).append(r.doc_id)
+    # blocks in id order; rows without an id in the last ones, by themselves
+    known = [k for k in sorted(last) if None not in last[k]]
+    assert all(max(last[a]) <= min(last[b]) for a, b in zip(known, known[1:]))
+    assert all(set(last[k]) == {None} for k in last if k not in known)
+    return size, known
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    """Long texts with neighbouring ids, a third of the rows without an id, a
+    third under one id, and ten thousand blocks."""
+    rnd = random.Random(9)
+    rows = [(i, "x" * rnd.randint(0, 90)) for i in rnd.sample(range(10 ** 6), 4000)]
+    rows += [(500_000 + i, "y" * 900) for i in range(300)]
+    size, _ = _placed(spark, rows, 1000)
+    assert max(size.values()) <= 2000
+    rows += [(None, "z" * 50)] * 4000 + [(123_456, "w" * 50)] * 4000
+    size, _ = _placed(spark, rows, 1000)
+    assert max(size.values()) <= 4000
+    rows = [(int(i), "x" * 20) for i in np.random.default_rng(0).permutation(100_000)]
+    size, known = _placed(spark, rows, 200)
+    assert len(known) >= 9_900 and max(size.values()) <= 400
+    assert len(_placed(spark, [], 10)[0]) == 0
+
+
+def _long_corpus():
+    """About 2 MB with passages shared within and between chunks and blocks."""
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(5000)]
+    shared = [rnd.choices(vocab, k=rnd.randint(10, 80)) for _ in range(60)]
+    rows = []
+    for i in rnd.sample(range(10 ** 6), 400):
+        words = []
+        for _ in range(rnd.randint(1, 12)):
+            words += rnd.choices(vocab, k=rnd.randint(5, 120)) + rnd.choice(shared)
+        rows.append((i, " ".join(words)))
+    rows += [(i + 1, t) for i, t in rows[:30]] + [(None, rows[3][1]), (None, rows[3][1])]
+    rows.append((2 ** 63 - 1, rows[5][1]))
+    rows.append((-5, " ".join(rnd.choices(vocab, k=100_000))))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300_000])
+def test_passages_of_many_chunks(spark, block):
+    rows = _long_corpus()
+    unique = {d: t for d, t in rows if d is not None}
+    df = spark.createDataFrame([r for r in rows if r[0] is None] + list(unique.items()),
+                               "doc_id long, text string").repartition(4)
+    want = rlz.brute_force(list(unique.items()))
+    got = rlz.rlz_dedup(df, block_bytes=block).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got if r.doc_id is not None} == want
+    # a row without an id loses all that any document has
+    assert [(r.n_removed, r.kept) for r in got if r.doc_id is None] == [
+        (len(rows[3][1].split(" ")), "")] * 2
+    want = suffix_family.brute_force(list(unique.items()))
+    got = suffix_family.suffix_dedup(df, block_bytes=block).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))
+            for r in got if r.doc_id is not None} == want
+    assert [bytes(r.kept) for r in got if r.doc_id is None] == [b"", b""]
+
+
+def test_equal_segments_are_compared(monkeypatch, docs):
+    """Segments of one hash but different text: the text decides."""
+    from tidepanel.llm import passages
+    plain = passages.Chunk.segment_hashes
+    monkeypatch.setattr(passages.Chunk, "segment_hashes", lambda self: plain(self) & passages._U(1))
+    scheme = passages.Scheme(13, 5, words=True)
+    import pyarrow as pa
+    rows = sorted((d, t or "") for d, t in DOCS)
+    block = passages.Block(scheme, pa.table({"doc_id": [d for d, _ in rows],
+                                             "text": [t for _, t in rows]}), (1, 1))
+    answers = np.full(len(block.anchors()[0]), 1, np.uint8)
+    block.keep_shared(answers)
+    _, heads, _, where, _ = block.segments()
+    for i in range(len(where)):
+        assert block._text(i) == block._text(heads[where[i]])
+    assert len(heads) > 2
 
 
 def test_levels_grow_geometrically():
     fam = suffix_family.Family()
     rnd = np.random.default_rng(1)
-    seen = set()
-    for _ in range(60):
+    seen = {}
+    for step in range(60):
         keys = np.unique(rnd.integers(0, 100_000, 50).astype("S51"))
-        found = fam.scan(keys)
+        found, ids = fam.scan(keys)
         assert found.tolist() == [k in seen for k in keys.tolist()]
-        seen.update(keys.tolist())
-        fam.insert(keys[~found])
-        sizes = [len(x) for x in fam.levels]
+        assert all(i == seen[k] for k, i, f in zip(keys.tolist(), ids.tolist(), found) if f)
+        new = keys[~found]
+        seen.update((k, step) for k in new.tolist())
+        fam.insert(new, np.full(len(new), step))
+        sizes = [len(x) for x, _ in fam.levels]
         assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:]))
     assert len(fam.levels) <= 8
 
@@ -280,6 +394,25 @@ def test_near_duplicates_equal_brute_force(docs):
     assert kept == set(want.values())
 
 
+def test_rows_of_one_id_and_different_texts(spark):
+    """Each row is in the class of its own text; no text is lost."""
+    rnd = random.Random(8)
+    a, b = (rnd.sample([f"w{i}" for i in range(500)], 80) for _ in range(2))
+    near = list(a)
+    near[40] = "other"
+    rows = [(3, " ".join(near)), (5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)),
+            (9, " ".join([*b[:79], "end"])), (5, None), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bagminhash.near_duplicates(df)
+    assert got.columns == ["doc_id", "class_id", "kept", "mark"]
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in got.collect()) == [
+        (-1, -1, True), (3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (5, 5, True),
+        (9, 5, False)]
+    kept = bagminhash.keep_one(df, got)
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted(
+        [(3, " ".join(near)), (5, " ".join(b)), (5, " ".join(b)), (5, ""), (-1, " ".join(a))])
+
+
 def test_hot_near_duplicate_groups(spark):
     """A large group of near copies and a passage most texts share: buckets
     that need the second centre and the prefix join."""

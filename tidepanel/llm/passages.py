@@ -2,8 +2,7 @@
 smaller id?  The distributed frame that the two passage operators share;
 each brings its own matcher.
 
-Documents are cut by id into ordered *blocks* of bounded size, so that "a
-smaller id" means an earlier block, or an earlier document of one block.
+Documents are cut by id into ordered *blocks* of bounded size.
 
 1. *Anchors.*  Among the short runs of units (seeds) inside a window, the one
    with the smallest hash is the window's anchor.  Equal windows have equal
@@ -12,11 +11,23 @@ smaller id" means an earlier block, or an earlier document of one block.
    more than one document of the corpus.  All others cannot hold a repeated
    window and go no further.
 2. *Segments.*  The text of the remaining segments (equal ones of a block
-   once) goes to its anchor's bucket.  There the matcher takes the blocks in
-   order and says for every window whether an earlier block has it.
-3. *Coverage.*  Back at the block, these answers and the block's own earlier
-   documents decide each window; the union of the repeated windows is what
-   a document loses.
+   once, with the smallest id that has them) goes to its anchor's bucket.
+   There the matcher takes all segments in the order of these ids and says for
+   every window whether a document with a smaller id has it.
+3. *Coverage.*  Back at the block, the document that a segment was sent for
+   takes the answers; a later document of the block has all windows of the
+   segment from that one.  The union of the repeated windows is what a
+   document loses.
+
+Hashes only route; that texts are equal is decided by comparing them: windows
+in the matcher, equal segments of a block before they are sent once.
+
+*Blocks.*  The sizes of the texts, by id, are range-partitioned, sorted and
+summed up; a block ends where its bytes reach ``block_bytes``, so it holds at
+most that and one document more.  The ends are the only thing that is shipped
+(8 bytes a block, at most :data:`MAX_BLOCKS`; beyond, blocks get larger).  Rows
+of one id that fill several blocks are dealt over them, and so are rows without
+an id over blocks of their own: matchers compare ids, not blocks.
 
 *Skew.*  A block sends an anchor or segment once, however many of its
 documents have it.  An anchor with very many occurrences (in many different
@@ -24,8 +35,12 @@ surroundings) is not sent to one bucket: its windows are dealt out one by one,
 by their own hash.  Every message is packed per (block, bucket); no group of
 documents with common text ever meets in one task.
 
-All steps form one lazy plan; the documents are shuffled once (the exchange
-by block is reused by the three passes over the text).
+*Long texts.*  A document is never cut: a task holds a block's text and, for
+one chunk of documents (512 KB, or one document), arrays of 60 to 100 bytes a
+byte of text; what stays for the block is about 10 bytes a unit.
+
+The documents are shuffled once (the exchange by block is reused by the three
+passes over the text).
 """
 
 from __future__ import annotations
@@ -41,10 +56,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, id_text, mix64, prefix_hash, slice_hash, word_hashes
+from .common import (
+    byte_codes,
+    id_text,
+    mix64,
+    prefix_hash,
+    slice_hash,
+    word_hashes,
+    work_table,
+)
 
 _U = np.uint64
-NULL_ID = (1 << 63) - 1
+MAX_BLOCKS = 4_000_000
 CHUNK_BYTES = 1 << 19
 HOT_ANCHOR = 2_000
 ANCHOR_BUCKET_BLOCKS = 8
@@ -171,7 +194,9 @@ class Block:
     def __init__(self, scheme: Scheme, table: pa.Table, buckets: tuple[int, int]):
         self.scheme = scheme
         self.ask_buckets, self.send_buckets = buckets
-        ids = table.column("doc_id").to_numpy()
+        # a block holds rows with an id or rows without one
+        self.null = table.column("doc_id").null_count > 0
+        ids = table.column("doc_id").fill_null(0).to_numpy()
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         texts = table.column("text").take(pa.array(order))
@@ -235,22 +260,42 @@ class Block:
             c.take(own > 0)
             c.split(own[own > 0] == 2)
 
+    def _text(self, row: int) -> bytes:
+        """Text of a segment, by its row over all chunks."""
+        c = int(np.searchsorted(self._base, row, side="right")) - 1
+        return self.chunks[c].buf[self._lo[row]:self._hi[row]]
+
     def segments(self):
-        """Distinct segments in message order: hash order within bucket;
-        returns (bucket, chunk no, row in chunk) and each segment's place."""
+        """Distinct segments in message order (by bucket): their buckets, rows
+        and smallest ids, and each segment's place among them.  Segments count
+        as equal when their texts are."""
         h = self._all(Chunk.segment_hashes)
         keys = self._all(Chunk.anchor_keys)
+        spans = [c.bytes_span() for c in self.chunks]
+        none = np.zeros(0, np.int64)
+        self._lo = np.concatenate([s[0] for s in spans]) if spans else none
+        self._hi = np.concatenate([s[1] for s in spans]) if spans else none
+        self._base = np.cumsum([0] + [len(c.first) for c in self.chunks])
         # a hot anchor's windows travel by their own hash, all others by the
         # anchor's; an anchor is hot everywhere or nowhere, so equal windows meet
         route = np.where(self._all(lambda c: c.hot, bool), h, keys)
-        bucket = ((mix64(route) >> _U(32)) * _U(self.send_buckets)) >> _U(32)
-        order = np.lexsort((h, bucket))
+        bucket = (((mix64(route) >> _U(32)) * _U(self.send_buckets)) >> _U(32)).astype(np.int64)
+        doc = self.docs()
+        order = np.lexsort((doc, h, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-        heads = order[new]
+        head = order[new][np.cumsum(new) - 1] if len(order) else order
+        for i in np.flatnonzero(~new).tolist():
+            if self._text(order[i]) != self._text(head[i]):
+                head[i] = order[i]                     # another text of the same hash
+        mine = head == order
+        heads = order[mine]
+        number = np.empty(len(order), np.int64)
+        number[heads] = np.arange(len(heads))
         where = np.empty(len(order), np.int64)
-        where[order] = np.cumsum(new) - 1
-        return bucket[heads].astype(np.int64), heads, where
+        where[order] = number[head]
+        ids = self.ids[self._all(lambda c: c.doc + c.first_doc, np.int64)]
+        return bucket[heads], heads, ids[heads], where, doc == doc[heads][where]
 
 
 def _grouped(answer_rows: pa.Table) -> bytes:
@@ -260,31 +305,66 @@ def _grouped(answer_rows: pa.Table) -> bytes:
     return b"".join(a for _, a in rows)
 
 
+def _block_ends(block_bytes: int):
+    """Last ids of blocks, from (doc_id, size) rows in id order."""
+    def body(batches):
+        held, last, ends = 0, None, []
+        for batch in batches:
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held, last = held + n, i
+                if held >= block_bytes:
+                    ends.append(i)
+                    held = 0
+        if held:
+            ends.append(last)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())], names=["last"])
+    return body
+
+
+def placed_in_blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text) with a ``block`` number, ordered as the ids are, and
+    the number of blocks; rows without an id are in the last blocks."""
+    sizes = work_table(rows.select("doc_id", F.octet_length("text").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size").alias("n"),
+                      F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))).alias("nulls"),
+                      F.count_if(F.col("doc_id").isNull()).alias("null_rows")).first()
+    block_bytes = max(block_bytes, -(-(total["n"] or 0) // MAX_BLOCKS))
+    ends = (sizes.filter("doc_id IS NOT NULL").repartitionByRange("doc_id")
+            .sortWithinPartitions("doc_id").mapInArrow(_block_ends(block_bytes), "last long")
+            .collect())
+    bounds = np.sort(np.array([r["last"] for r in ends], np.int64))
+    known = len(bounds) + 1
+    others = max(1, -(-(total["nulls"] or 0) // block_bytes)) if total["null_rows"] else 0
+    shipped = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series, turn: pd.Series) -> pd.Series:
+        i = ids.to_numpy()
+        lo = np.searchsorted(shipped.value, i, side="left")
+        same = np.searchsorted(shipped.value, i, side="right") - lo
+        return pd.Series((lo + turn.to_numpy() % np.maximum(same, 1)).astype(np.int32))
+
+    rows = rows.withColumn("turn", F.monotonically_increasing_id())
+    deal = (F.lit(known) + F.col("turn") % F.lit(max(others, 1))).cast("int")
+    block = F.when(F.col("doc_id").isNull(), deal).otherwise(
+        block_of(F.coalesce("doc_id", F.lit(0)), F.col("turn")))
+    return rows.select(block.alias("block"), "doc_id", "text"), known + others
+
+
 def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: Callable,
                      schema: str, block_bytes: int, id_col: str = "doc_id",
                      text_col: str = "text", hot: int = HOT_ANCHOR) -> DataFrame:
-    """``match(list of (block, segments as bytes))`` gives, per block, one
-    flag array over all windows of its segments: does an earlier block have
-    the window?  ``finish(ids, chunk, covered)`` gives the output columns of
-    the documents of a chunk from the flags of its covered units."""
-    rows = id_text(docs, id_col, text_col).withColumn(
-        "doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    bounds = np.zeros(0, np.int64)
-    if blocks > 1:
-        cuts = [i / blocks for i in range(1, blocks)]
-        got = rows.agg(F.percentile_approx("doc_id", cuts, 100_000).alias("b")).first()["b"]
-        bounds = np.unique(np.array(got, np.int64))
+    """``match(messages)`` takes messages (null, ids, segments) in the order of
+    the blocks and gives one flag array for each, over all windows of its
+    segments: does a document with a smaller id than the segment's have the
+    window?  With ``null`` the segments' documents have no id, which is larger
+    than any; they are an earlier document for none.  ``finish(ids, chunk,
+    covered)`` gives the output columns of the documents of a chunk from the
+    flags of its covered units."""
+    placed, blocks = placed_in_blocks(id_text(docs, id_col, text_col), block_bytes)
     # anchors are a few bytes, segments are text: fewer buckets for anchors
     buckets = (math.ceil(blocks / ANCHOR_BUCKET_BLOCKS), blocks)
 
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="left").astype(np.int32))
-
-    placed = rows.select(block_of("doc_id").alias("block"), "doc_id", "text")
-
     def ask(table: pa.Table) -> pa.Table:
         b = Block(scheme, table, buckets)
         uniq, _, counts, several = b.anchors()
@@ -318,47 +398,41 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
                          "answer": pa.array(out, pa.binary())})
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        cols = {k: [] for k in ("bucket", "block", "sizes", "data")}
+        cols = {k: [] for k in ("bucket", "block", "null", "ids", "sizes", "data")}
         if table.num_rows:
             b = Block(scheme, table, buckets)
             b.keep_shared(np.frombuffer(_grouped(answers), np.uint8))
-            bucket, heads, _ = b.segments()
-            lo, hi, base = [], [], np.cumsum([0] + [len(c.first) for c in b.chunks])
-            for c in b.chunks:
-                s, e = c.bytes_span()
-                lo.append(s)
-                hi.append(e)
-            if len(heads):
-                owner = (np.searchsorted(base, heads, side="right") - 1).tolist()
-                lo = np.concatenate(lo)[heads].tolist()
-                hi = np.concatenate(hi)[heads].tolist()
-                bufs = [c.buf for c in b.chunks]
-                blk = table.column("block")[0].as_py()
-                for k, x, y in b.bucket_ranges(bucket):
-                    parts = [bufs[owner[j]][lo[j]:hi[j]] for j in range(x, y)]
-                    cols["bucket"].append(k)
-                    cols["block"].append(blk)
-                    cols["sizes"].append(np.array([len(p) for p in parts], "<u4").tobytes())
-                    cols["data"].append(b"".join(parts))
+            bucket, heads, ids, _, _ = b.segments()
+            blk, rows = table.column("block")[0].as_py(), heads.tolist()
+            for k, x, y in b.bucket_ranges(bucket):
+                parts = [b._text(j) for j in rows[x:y]]
+                cols["bucket"].append(k)
+                cols["block"].append(blk)
+                cols["null"].append(b.null)
+                cols["ids"].append(ids[x:y].astype("<i8").tobytes())
+                cols["sizes"].append(np.array([len(p) for p in parts], "<u4").tobytes())
+                cols["data"].append(b"".join(parts))
         return pa.table({"bucket": pa.array(cols["bucket"], pa.int32()),
                          "block": pa.array(cols["block"], pa.int32()),
+                         "null": pa.array(cols["null"], pa.bool_()),
+                         "ids": pa.array(cols["ids"], pa.binary()),
                          "sizes": pa.array(cols["sizes"], pa.binary()),
                          "data": pa.array(cols["data"], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
-        blk = table.column("block").to_pylist()
-        sizes, data = table.column("sizes"), table.column("data")
+        blk, null = table.column("block").to_pylist(), table.column("null").to_pylist()
+        ids, sizes, data = (table.column(c) for c in ("ids", "sizes", "data"))
         order = sorted(range(len(blk)), key=blk.__getitem__)
 
-        def batches():
+        def messages():
             for j in order:
                 ends = np.cumsum(np.frombuffer(sizes[j].as_py(), "<u4").astype(np.int64))
                 text, lo, segs = data[j].as_py(), 0, []
                 for hi in ends.tolist():
                     segs.append(text[lo:hi])
                     lo = hi
-                yield blk[j], segs
-        flags = [np.packbits(f).tobytes() for f in match(batches())]
+                yield null[j], np.frombuffer(ids[j].as_py(), "<i8"), segs
+        flags = [np.packbits(f).tobytes() for f in match(messages())]
         return pa.table({"block": pa.array([blk[j] for j in order], pa.int32()),
                          "bucket": table.column("bucket").take(pa.array(order)),
                          "answer": pa.array(flags, pa.binary())})
@@ -370,7 +444,7 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
             return pa.Table.from_pydict({f.name: [] for f in out_schema}, out_schema)
         b = Block(scheme, table, buckets)
         b.keep_shared(np.frombuffer(_grouped(shared), np.uint8))
-        bucket, heads, where = b.segments()
+        bucket, heads, _, where, asked_for = b.segments()
         windows = b._all(lambda c: c.last - c.first + 1, np.int64)
         per_head = windows[heads] if len(heads) else windows
         # unpack the flags bucket by bucket (each was padded to whole bytes)
@@ -382,36 +456,23 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
             bits.append(np.unpackbits(np.frombuffer(by_bucket[k], np.uint8), count=n))
         bits = np.concatenate(bits) if bits else np.zeros(0, np.uint8)
         begin = np.cumsum(per_head) - per_head
-        # every window of the kept segments: place, earlier block?, hash, document
-        rep = np.repeat(np.arange(len(windows)), windows)
-        step = np.arange(len(rep)) - np.repeat(np.cumsum(windows) - windows, windows)
-        dup = bits[begin[where[rep]] + step].astype(bool) if len(rep) else np.zeros(0, bool)
-        hashes, starts = [], []
+        out, at = [], 0
         for c in b.chunks:
+            # every window of the chunk's segments: answered, or had from the
+            # document of the block that the segment was sent for
             n = c.last - c.first + 1
             r = np.repeat(np.arange(len(n)), n)
-            p = c.first[r] + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-            starts.append(p)
-            hashes.append(slice_hash(c.prefix, p, p + scheme.window))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        doc = b.docs()[rep] if len(rep) else np.zeros(0, np.int64)
-        # the block's own earlier documents
-        order = np.lexsort((doc, h))
-        hs, ds = h[order], doc[order]
-        new = np.ones(len(hs), bool)
-        new[1:] = hs[1:] != hs[:-1]
-        if len(hs):
-            first_doc = ds[np.flatnonzero(new)][np.cumsum(new) - 1]
-            dup[order] |= ds > first_doc
-        out, at = [], 0
-        for c, p in zip(b.chunks, starts):
-            own = p[dup[at:at + len(p)]]
-            at += len(p)
+            step = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            seg = at + r
+            at += len(n)
+            dup = ~asked_for[seg]
+            dup |= bits[begin[where[seg]] + step].astype(bool)
+            own = (c.first[r] + step)[dup]
             edge = (np.bincount(own, minlength=c.n + 1)
                     - np.bincount(own + scheme.window, minlength=c.n + 1))
             covered = np.cumsum(edge[:-1]) > 0
-            ids = b.ids[c.first_doc:c.first_doc + len(c.doc_lo)]
-            out.append(finish([None if i == NULL_ID else int(i) for i in ids], c, covered))
+            ids = b.ids[c.first_doc:c.first_doc + len(c.doc_lo)].tolist()
+            out.append(finish([None] * len(ids) if b.null else ids, c, covered))
         return pa.concat_tables([o.cast(out_schema) for o in out])
 
     out_schema = _arrow_schema(docs.sparkSession, schema)
@@ -420,7 +481,7 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
     shared = asked.groupBy("bucket").applyInArrow(
         answer, "block int, bucket int, answer binary")
     sent = placed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        send, "bucket int, block int, sizes binary, data binary")
+        send, "bucket int, block int, null boolean, ids binary, sizes binary, data binary")
     found = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, answer binary")
     both = (shared.withColumn("stage", F.lit(1))
             .unionByName(found.withColumn("stage", F.lit(2))))

@@ -3,20 +3,21 @@
 A document loses every word inside a window of ``window`` words that also
 starts in a document with a smaller id.
 
-The collection is its own reference: blocks of documents in id order.  In
-:func:`parse_blocks` the blocks of one bucket come in order; each segment of
-a block is factored greedily against the indexed text of all blocks before
-it.  A factor begins where a window is found in the index and goes on word by
+The collection is its own reference: segments in the order of the smallest id
+that has them.  In :func:`parse_segments` each segment of a bucket is factored
+greedily against the indexed text of the segments before it.  A factor begins
+where a window is found in the index under a smaller id and goes on word by
 word along the reference text as far as both agree; what is not found is a
 literal word.  The windows that begin in a factor's last words and cross its
 border belong to no factor, so the parse resumes there and checks them one
-by one (they may be copied from elsewhere).  Then the block's new text is
-indexed in turn.  :mod:`passages` deals out the text and joins the answers.
+by one (they may be copied from elsewhere).  Then the segment itself is
+indexed.  :mod:`passages` deals out the text and joins the answers.
 
 *Edge cases.*  Null and empty texts and texts shorter than a window lose
 nothing; rows repeated with one id never count as an earlier document of each
-other; a null id counts as larger than any other; an empty table gives no
-rows; extra columns are dropped.
+other; a null id counts as larger than any other; texts of any length are
+parsed whole (memory: see :mod:`passages`); an empty table gives no rows; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -35,28 +36,29 @@ BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, spans array<int>, kept string"
 
 
-def parse_blocks(batches, window: int = WINDOW):
-    """Flags per block: does an earlier block have the window?"""
-    index: dict[bytes, tuple[list[bytes], int]] = {}  # window -> reference text, place
-    whole: set[bytes] = set()  # segments that are reference text as a whole
-    for _, segments in batches:
-        flags: list[np.ndarray] = []
-        fresh = []
-        for seg in segments:
+def parse_segments(messages, window: int = WINDOW):
+    """Flags per message (null, ids, segments): does a document with a smaller
+    id have the window?"""
+    index: dict[bytes, tuple[list[bytes], int, int]] = {}  # window -> text, place, id
+    whole: dict[bytes, int] = {}  # segments that are reference text as a whole, their id
+    for null, ids, segments in messages:
+        flags: list[np.ndarray] = [None] * len(segments)
+        for j in np.argsort(ids, kind="stable").tolist():
+            seg, own = segments[j], int(ids[j])
             words = seg.split(b" ")
             n = len(words) - window + 1
-            if seg in whole:  # one factor
-                flags.append(np.ones(n, np.uint8))
+            if null and seg in whole or whole.get(seg, own) < own:  # one factor
+                flags[j] = np.ones(n, np.uint8)
                 continue
-            hit = np.zeros(n, np.uint8)
+            flags[j] = hit = np.zeros(n, np.uint8)
             keys = [b" ".join(words[i:i + window]) for i in range(n)]
             i = 0
             while i < n:
                 source = index.get(keys[i])
-                if source is None:
+                if source is None or not (null or source[2] < own):
                     i += 1  # a literal
                     continue
-                text, at = source
+                text, at, _ = source
                 size = window
                 while (i + size < len(words) and at + size < len(text)
                        and words[i + size] == text[at + size]):
@@ -64,12 +66,10 @@ def parse_blocks(batches, window: int = WINDOW):
                 hit[i:i + size - window + 1] = 1
                 # resume at the first window that crosses the factor's border
                 i += size - window + 1
-            flags.append(hit)
-            fresh.append((seg, words, keys))
-        for seg, words, keys in fresh:
-            whole.add(seg)
-            for i, key in enumerate(keys):
-                index.setdefault(key, (words, i))
+            if not null:
+                whole.setdefault(seg, own)
+                for i, key in enumerate(keys):
+                    index.setdefault(key, (words, i, own))
         yield np.concatenate(flags) if flags else np.zeros(0, np.uint8)
 
 
@@ -98,7 +98,7 @@ def rlz_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     """``doc_id, n_words, n_removed, spans`` (flat starts and ends, in words)
     and ``kept`` (the remaining words, joined by one space)."""
     return repeated_windows(
-        docs, Scheme(window, seed, words=True), lambda b: parse_blocks(b, window), _finish,
+        docs, Scheme(window, seed, words=True), lambda m: parse_segments(m, window), _finish,
         SCHEMA, block_bytes, id_col, text_col, **options)
 
 

@@ -3,22 +3,25 @@
 A document loses every byte inside a string of ``window`` bytes that also
 starts in a document with a smaller id.
 
-Blocks of documents, in id order, make up the batches.  In
-:func:`scan_family` the batches of one bucket come in order.  Each gets a
-suffix array: the places of its
-text in the order of the ``window`` bytes that follow (a longer order cannot
-change the answer).  Equal neighbours in it that come from an earlier block of
-the batch are matches; then the array is merge-scanned against every level of the
-family for matches of that length.  What is new is inserted as a level of its
-own, and levels of like size are merged, so their sizes grow geometrically
-and each string is merged a logarithmic number of times.  Segments that are
-known as a whole are full matches and skip the array.  :mod:`passages` deals
-out the text and joins the answers.
+Segments come in the order of the smallest id that has them and make up the
+batches.  In :func:`scan_family` the batches of one bucket come in order.  Each
+gets a suffix array: the places of its text in the order of the ``window`` bytes
+that follow (a longer order cannot change the answer).  Equal neighbours in it
+are matches for all but those of the smallest id; then the array is scanned
+against every level of the family (a level is far longer than a batch, so by
+binary search, not entry by entry) for matches of that length under a smaller
+id.  What is new is inserted as a level of its own, and levels of like size are
+merged, so their sizes grow geometrically and each string is merged a
+logarithmic number of times.  Segments that are known as a whole are full
+matches and skip the array.  :mod:`passages` deals out the text and joins the
+answers.
 
 *Edge cases.*  Null and empty texts and texts shorter than a window lose
 nothing; any byte may occur, also NUL; matches never cross documents; rows
 repeated with one id never count as an earlier document of each other; a
-null id counts as larger than any other; an empty table gives no rows.
+null id counts as larger than any other; texts of any length count whole
+(memory: see :mod:`passages`; a batch's array takes about 60 bytes a byte); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,41 +59,46 @@ def suffix_array(segments: list[bytes], window: int) -> tuple[np.ndarray, np.nda
     return order, keys[order]
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: tuple, b: tuple) -> tuple:
     """Two sorted levels as one (a stable sort merges the two runs)."""
-    return np.sort(np.concatenate([a, b]), kind="stable")
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
 class Family:
-    """Sorted levels of distinct strings, the largest first."""
+    """Sorted levels of distinct strings with the smallest id that has them,
+    the largest level first."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted ``keys`` some level has."""
-        found = np.zeros(len(keys), bool)
-        for level in self.levels:
+    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted ``keys`` some level has, and under which id."""
+        found, first = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        for level, ids in self.levels:
             at = np.searchsorted(level, keys)
             at[at == len(level)] = 0
-            found |= level[at] == keys
-        return found
+            here = level[at] == keys
+            found |= here
+            first[here] = ids[at[here]]
+        return found, first
 
-    def insert(self, keys: np.ndarray) -> None:
+    def insert(self, keys: np.ndarray, ids: np.ndarray) -> None:
         """Add new sorted distinct strings as a level; merge like sizes."""
-        while self.levels and len(self.levels[-1]) < 2 * len(keys):
-            keys = merge(self.levels.pop(), keys)
-        if len(keys):
-            self.levels.append(keys)
+        level = keys, ids
+        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
+            level = merge(self.levels.pop(), level)
+        if len(level[0]):
+            self.levels.append(level)
 
 
 def _batches(messages, window: int, least: int):
-    """Messages (block, segments) gathered to batches of at least ``least``
-    windows: the work per batch does not depend on how finely the
-    documents were cut into blocks."""
+    """Messages gathered to batches of at least ``least`` windows: the work per
+    batch does not depend on how finely the documents were cut into blocks."""
     held, size = [], 0
-    for block, segments in messages:
-        held.append((block, segments))
+    for null, ids, segments in messages:
+        held.append((null, ids, segments))
         size += sum(map(len, segments)) - (window - 1) * len(segments)
         if size >= least:
             yield held
@@ -100,30 +108,40 @@ def _batches(messages, window: int, least: int):
 
 
 def scan_family(messages, window: int = WINDOW, least: int = BATCH_WINDOWS):
-    """Flags per message: does an earlier block have the window?"""
-    family, whole = Family(), set()
+    """Flags per message (null, ids, segments): does a document with a smaller
+    id have the window?"""
+    family, whole = Family(), {}
     for batch in _batches(messages, window, least):
-        segments = [s for _, part in batch for s in part]
-        known = np.array([s in whole for s in segments], bool)
+        segments = [s for _, _, part in batch for s in part]
+        null = np.repeat([x for x, _, _ in batch], [len(part) for _, _, part in batch])
+        ids = np.concatenate([i for _, i, _ in batch]) if segments else np.zeros(0, np.int64)
+        known = np.array([s in whole and (x or whole[s] < i)
+                          for s, x, i in zip(segments, null.tolist(), ids.tolist())], bool)
         n = np.array([len(s) - window + 1 for s in segments], np.int64)
-        block = np.repeat([b for b, _ in batch], [len(part) for _, part in batch])
         flags = np.repeat(known.astype(np.uint8), n)
         fresh = [s for s, k in zip(segments, known) if not k]
         if fresh:
             order, keys = suffix_array(fresh, window)
-            found = family.scan(keys)
-            distinct = np.ones(len(keys), bool)
-            distinct[1:] = keys[1:] != keys[:-1]
-            # equal suffixes stand in block order: the first is the earliest
-            own = np.repeat(block[~known], n[~known])[order]
-            first = own[np.flatnonzero(distinct)][np.cumsum(distinct) - 1]
+            old, old_id = family.scan(keys)
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+            own = np.repeat(ids[~known], n[~known])[order]
+            alone = np.repeat(null[~known], n[~known])[order]
+            # the smallest id of each run of equal suffixes, if any has one
+            least_id = np.minimum.reduceat(np.where(alone, np.iinfo(np.int64).max, own), heads)
+            some = np.logical_or.reduceat(~alone, heads)
+            earlier = (old & (old_id < own)) | (some[run] & (least_id[run] < own))
             hit = np.empty(len(order), np.uint8)
-            hit[order] = found | (own > first)
+            hit[order] = np.where(alone, old | some[run], earlier)
             flags[np.repeat(~known, n)] = hit
-            family.insert(keys[distinct & ~found])
-            whole.update(fresh)
+            add = some & ~old[heads]
+            family.insert(keys[heads[add]], least_id[add])
+            for s, x, i in zip(segments, null.tolist(), ids.tolist()):
+                if not x:
+                    whole[s] = min(whole.get(s, i), i)
         ends = np.cumsum([0, *(int(x) for x in n)])
-        at = np.cumsum([0, *(len(part) for _, part in batch)])
+        at = np.cumsum([0, *(len(part) for _, _, part in batch)])
         for lo, hi in zip(at[:-1], at[1:]):
             yield flags[ends[lo]:ends[hi]]
 
