@@ -246,21 +246,26 @@ def fit_ols(df: DataFrame, y: str, x: Sequence[str], cov_type: str = "HC3",
         cov = (ssr / dof) * ginv
     else:
         cov = ginv @ second[:k, :k] @ ginv * (n / dof if cov_type == "HC1" else 1.0)
-    blocked = second[k, :k] > 0
+    se, z, p = fit_statistics(coef, np.diag(cov), identified, second[k, :k] > 0)
+    return OLSResult(names, coef, cov, se, z, p, identified, rank, n, ssr, sst, cov_type)
+
+
+def fit_statistics(coef, variances, identified, blocked) -> tuple[list, list, list]:
+    """Standard errors, z and two-sided p values; null where a coefficient is
+    not identified, or blocked by a row that is fitted exactly."""
     se, z, p = [], [], []
-    for i in range(k):
-        v = cov[i, i]
-        if blocked[i] or not identified[i] or not np.isfinite(v) or v <= 0:
+    for b, v, known, stop in zip(coef, variances, identified, blocked):
+        if stop or not known or not np.isfinite(v) or v <= 0:
             se.append(None)
             z.append(None)
             p.append(None)
             continue
         s = math.sqrt(v)
-        zz = coef[i] / s
+        zz = b / s
         se.append(s)
         z.append(float(zz))
         p.append(math.erfc(abs(zz) / math.sqrt(2.0)))
-    return OLSResult(names, coef, cov, se, z, p, identified, rank, n, ssr, sst, cov_type)
+    return se, z, p
 
 
 def within_slope(demeaned: DataFrame, y: str, x: str) -> DataFrame:
@@ -278,11 +283,12 @@ def regression_metadata(spark: SparkSession, res: OLSResult, y: str, formula: st
                         model_name: str = "panel_fixed_effects",
                         fixed_effects: str = "industry and year",
                         feature_table: str = "features", assumptions: str = FE_ASSUMPTIONS,
-                        purpose: str = FE_PURPOSE) -> DataFrame:
-    """One row describing a fitted model (M5)."""
+                        purpose: str = FE_PURPOSE, n_params: int | None = None) -> DataFrame:
+    """One row describing a fitted model (M5); ``n_params`` where it has more
+    than the result names."""
     return spark.createDataFrame(
         [(model_name, y, fixed_effects, res.cov_type, feature_table, res.n, res.rank,
-          len(res.names), formula, assumptions, purpose)],
+          n_params or len(res.names), formula, assumptions, purpose)],
         "model_name string, dependent_variable string, fixed_effects string, robust_se string, "
         "feature_table string, n_obs long, rank int, n_params int, formula string, "
         "assumptions string, purpose string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.absorb import fit_absorbed
 from ..operators.design import cross_products, design_matrix
 from ..operators.regression import (FE_ASSUMPTIONS, FE_PURPOSE, fit_ols, predict,
                                     regression_metadata, within_slope)
@@ -156,7 +157,7 @@ SELECT variable, round(b, 6) + 0.0 AS coefficient, round(se, 6) + 0.0 AS std_err
 FROM res"""
 
 
-def _coefficients(spark, res, only=None):
+def _coefficients(spark, res, only=None):  # an OLSResult or an Absorbed fit
     """The table of a fit, rounded; a variable that the data do not identify
     has no value (the fit's own minimum-norm value is arbitrary)."""
     c = res.coefficients(spark)
@@ -190,7 +191,7 @@ WITH f AS ({FEATURES_SQL}),
 def fe_fit(spark, d):
     # the fit reads its rows several times: write them once
     rows = materialize(features_df(spark, d).select(*REG_COLS).dropna())
-    return fit_ols(rows, FE_Y, ["const", *FE_X], cov_type="HC3", factors=["industry", "year"])
+    return fit_absorbed(rows, FE_Y, FE_X, "year", cov_type="HC3", factors=["industry"])
 
 
 @query("fe_ols_coefficients", step=7, sql=_hc_sql(
@@ -218,7 +219,7 @@ SELECT round(1 - ssr / sst, 6) AS r_squared,
 """)
 def q_fe_fit_metrics(spark, d):
     """M4: R^2, adjusted R^2, AIC, BIC, n, rank."""
-    return rounded(fe_fit(spark, d).metrics(spark, FE_FORMULA), 6, aic=4, bic=4)
+    return rounded(fe_fit(spark, d).result.metrics(spark, FE_FORMULA), 6, aic=4, bic=4)
 
 
 @query("model_metadata", step=7, sql=_FE_METRICS_SQL + f"""
@@ -230,7 +231,9 @@ SELECT 'panel_fixed_effects' AS model_name, '{FE_Y}' AS dependent_variable,
 """)
 def q_model_metadata(spark, d):
     """M5: one metadata row describing the fitted model."""
-    return regression_metadata(spark, fe_fit(spark, d), FE_Y, FE_FORMULA)
+    fit = fe_fit(spark, d)
+    return regression_metadata(spark, fit.result, FE_Y, FE_FORMULA,
+                               n_params=fit.coefficients(spark).count())
 
 
 def _rounds_sql(n_rounds):
