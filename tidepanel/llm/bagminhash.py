@@ -69,6 +69,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 CENTRES = 3
+SALTS = 16
 SLICE = 256
 
 # Word bytes: digits, letters, everything beyond ASCII; A-Z count as a-z.
@@ -273,12 +274,21 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return work_table(old.unionByName(more), "labels")
 
 
+def _meet(rows: DataFrame, of_key: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (node, key, ...) joined with a table of one row per key; the rows of
+    a hot key are dealt over salts, with that row copied to each."""
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    copied = of_key.withColumn("__s", F.explode(F.array(*[
+        F.lit(i).cast("long") for i in range(SALTS)])))
+    return salted.join(copied, ["key", "__s"], how).drop("__s")
+
+
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets of three or more that span several components."""
     m = _labelled(members.filter("n > 2"), labels, "node", "comp")
     open_ = (m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("lo <> hi").select("key"))
-    return m.join(open_, "key", "left_semi")
+    return _meet(m, open_, "left_semi")
 
 
 def _ordered(a, b):
@@ -354,7 +364,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     keyed = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1"))
-    members = work_table(keyed.join(hubs, "key"), "members")
+    members = work_table(_meet(keyed, hubs), "members")
     involved = members.select("node").distinct()
     of_node = (nodes.join(involved, "node", "left_semi")
                .select("least.doc_id", "least.mark", "node", "bag", "copied").hint("merge"))
@@ -374,7 +384,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         opened = work_table(_open_members(members, labels), "open")
         centre = opened.groupBy("key").agg(F.min_by(
             F.struct("node", "comp"), F.xxhash64("key", "node", F.lit(turn))).alias("c"))
-        pairs = (opened.join(centre, "key").filter("comp <> c.comp")
+        pairs = (_meet(opened, centre).filter("comp <> c.comp")
                  .select(*_ordered("node", "c.node")).distinct())
         labels = merge_components(labels, verified(pairs, bags, threshold))
 
