@@ -46,7 +46,7 @@ passes over the text).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -260,10 +260,12 @@ class Block:
             c.take(own > 0)
             c.split(own[own > 0] == 2)
 
-    def _text(self, row: int) -> bytes:
-        """Text of a segment, by its row over all chunks."""
-        c = int(np.searchsorted(self._base, row, side="right")) - 1
-        return self.chunks[c].buf[self._lo[row]:self._hi[row]]
+    def texts(self, rows: np.ndarray) -> Iterator[bytes]:
+        """Texts of segments, by their rows over all chunks."""
+        chunk = np.searchsorted(self._base, rows, side="right") - 1
+        bufs = [c.buf for c in self.chunks]
+        return (bufs[c][x:y] for c, x, y in zip(chunk.tolist(), self._lo[rows].tolist(),
+                                                self._hi[rows].tolist()))
 
     def segments(self):
         """Distinct segments in message order (by bucket): their buckets, rows
@@ -285,8 +287,10 @@ class Block:
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
         head = order[new][np.cumsum(new) - 1] if len(order) else order
-        for i in np.flatnonzero(~new).tolist():
-            if self._text(order[i]) != self._text(head[i]):
+        again = np.flatnonzero(~new)
+        for i, mine, first in zip(again.tolist(), self.texts(order[again]),
+                                  self.texts(head[again])):
+            if mine != first:
                 head[i] = order[i]                     # another text of the same hash
         mine = head == order
         heads = order[mine]
@@ -403,9 +407,9 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, match: Callable, finish: C
             b = Block(scheme, table, buckets)
             b.keep_shared(np.frombuffer(_grouped(answers), np.uint8))
             bucket, heads, ids, _, _ = b.segments()
-            blk, rows = table.column("block")[0].as_py(), heads.tolist()
+            blk, texts = table.column("block")[0].as_py(), list(b.texts(heads))
             for k, x, y in b.bucket_ranges(bucket):
-                parts = [b._text(j) for j in rows[x:y]]
+                parts = texts[x:y]
                 cols["bucket"].append(k)
                 cols["block"].append(blk)
                 cols["null"].append(b.null)
