@@ -38,8 +38,9 @@ from .common import by_slices, id_text
 SPLIT_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                  r"""|\s+(?!\S)|\s+""")
 
-PIECE_CACHE = 90_000  # pieces in each of the cache's two generations
-PAIR_CACHE = 150_000
+PIECE_CACHE = 150_000  # pieces in each of the cache's two generations,
+CACHED_CHARS = 32      # none longer than this: with its ids at most 300 bytes
+PAIR_CACHE = 200_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -189,6 +190,8 @@ class Encoder:
         if got is None:
             ids = self.packed_id
             got = b"".join([ids[i] for i in self.piece(piece.encode())])
+            if len(piece) > CACHED_CHARS:
+                return got
         if len(self.pieces) >= PIECE_CACHE:
             self.older, self.pieces = self.pieces, {}
         self.pieces[piece] = got
