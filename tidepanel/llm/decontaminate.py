@@ -1,24 +1,32 @@
 """Benchmark decontamination as a prefix-filtered containment join.
 
 Every item becomes its windows (13 consecutive words; a shorter item is one
-window).  A window occurs in a document only if all its words do, so one
-necessary token decides whether to look closer: its rarest word.  Rarity is
-an exact count of the benchmark's words over all documents.  Documents probe
-with every word; a match at position ``p`` of a window whose rarest word has
-offset ``o`` fixes the window's place ``p - o`` (positional bound), which must
-lie inside the document (length bound); then the words themselves are
-compared.
-
-The benchmark's index is shipped in blocks of bounded size
-(:data:`BLOCK_BYTES` of item text); with more items there are more blocks,
-and documents pass through all of them, carrying their hit flags along, so
-nothing is ever joined by shuffling document words and no hot passage meets
-in one task.
+window), rows of a table.  A window occurs in a document only if all its words
+do, so one necessary word, its rarest, decides whether to look closer.  Rarity
+is an exact count of the benchmark's words over all documents; a window with a
+word that no document has is dropped.  A rarest word at offset ``o`` of a window
+of ``n`` words (its *prefix*) fixes where the window would stand: documents look
+up every word among the prefixes, and a word at position ``p`` proposes the
+words ``p - o`` to ``p - o + n`` (positional bound), if the document has them
+(length bound).  The proposed words are joined with the windows by equality,
+which is the exact check; overlaps of hits are counted by position.
+
+What documents are probed with is the distinct (word, offset, length) of windows
+that can occur: they are measured and shipped in blocks of at most
+``block_bytes``, one pass over the documents each (one for any usual benchmark).
+The benchmark's distinct words are shipped for the count only if they fit a
+block; else all words of the documents are counted and joined. Windows, items
+and counts stay tables.  The join by window is salted, so a
+passage in a third of all documents, or a window of a third of all items, is
+spread; documents are rows of one table with numbers of their own, and their
+texts are not shuffled.
 
 *Edge cases.*  Null or word-less texts have no words and no hits; items
 without words have no windows; a null item id is written as the empty
-string; repeated item ids count once; an empty benchmark hits nothing;
-documents are one row in, one row out, also with repeated ids.
+string; repeated item ids count once; an empty benchmark hits nothing; texts of
+any length are read whole; documents are one row in, one row out, also with
+repeated ids or none; ties of rarity go to the smaller word, then the first
+offset.
 """
 
 from __future__ import annotations
@@ -34,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import carried_back, id_text_carry, slices, work_table
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+SALTS = 16
+COUNTED_WORDS = 500_000
 SLICE = 256
 
 # Bytes that are not part of a word become spaces; A-Z become a-z.
@@ -54,77 +64,179 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i:i + size]) for i in range(len(words) - size + 1)]
 
 
-def build_index(items: list[tuple[str, str | None]], counts: dict[bytes, int],
-                size: int = WINDOW) -> dict[bytes, list[tuple[int, list[bytes], list[str]]]]:
-    """Rarest word -> (its offset, window, item ids) of every distinct window."""
-    owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        for w in windows_of(words_of(text), size):
-            owners[w].add(item)
-    index = defaultdict(list)
-    for w, ids in owners.items():
-        at = min(range(len(w)), key=lambda k: (counts.get(w[k], 0), w[k]))
-        index[w[at]].append((at, list(w), sorted(ids)))
-    return dict(index)
-
-
-def probe(words: list[bytes], index, hit: bytearray, items: set[str]) -> None:
-    """Flag the words inside occurrences of windows; add their item ids."""
-    n = len(words)
-    for p in [i for i, w in enumerate(words) if w in index]:
-        for at, window, ids in index[words[p]]:
-            lo = p - at
-            hi = lo + len(window)
-            if lo >= 0 and hi <= n and words[lo:hi] == window:
-                hit[lo:hi] = b"\1" * (hi - lo)
-                items.update(ids)
-
-
 def _count_body(vocabulary):
+    """Counts of the words of ``vocabulary`` (None: of all) in a task's
+    texts, sent on whenever they are many."""
+    def counted(total: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
+            ["word", "n"])
+
     def body(batches):
-        words = vocabulary.value
+        wanted = None if vocabulary is None else vocabulary.value.__contains__
         total = Counter()
         for batch in batches:
             for part in slices(batch, SLICE, batch.schema.names[0]):
                 for text in part.column(0).to_pylist():
-                    total.update(filter(words.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
-            ["word", "n"])
+                    words = words_of(text)
+                    total.update(words if wanted is None else filter(wanted, words))
+                if len(total) > COUNTED_WORDS:
+                    yield counted(total)
+                    total = Counter()
+        yield counted(total)
     return body
 
 
-def _probe_body(index, last: bool, text: str, carried: list[str]):
+def _window_body(size: int):
+    def body(batches):
+        for batch in batches:
+            for part in slices(batch, SLICE, "text"):
+                wins, owners = [], []
+                for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = {b" ".join(w) for w in windows_of(words_of(text), size)}
+                    wins += sorted(own)
+                    owners += [item] * len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wins, pa.binary()), pa.array(owners, pa.string())], ["win", "item"])
+    return body
+
+
+def _word_body(batches):
+    """The words of each window with their offsets."""
+    for batch in batches:
+        wins, words, at, size = [], [], [], []
+        for win in batch.column(0).to_pylist():
+            own = win.split(b" ")
+            wins += [win] * len(own)
+            words += own
+            at += range(len(own))
+            size += [len(own)] * len(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(wins, pa.binary()), pa.array(words, pa.binary()), pa.array(at, pa.int32()),
+             pa.array(size, pa.int32())], ["win", "word", "at", "size"])
+
+
+def proposals(words: list[bytes], prefixes: dict[bytes, list[tuple[int, int]]]
+              ) -> dict[int, set[int]]:
+    """Where a window could stand: start -> lengths."""
+    n, out = len(words), {}
+    for p in [i for i, w in enumerate(words) if w in prefixes]:
+        for at, size in prefixes[words[p]]:
+            if p >= at and p - at + size <= n:
+                out.setdefault(p - at, set()).add(size)
+    return out
+
+
+def _probe_body(prefixes, text: str, kept: list[pa.Field]):
+    """The columns ``kept`` and, per document, its number of words and the
+    proposed windows."""
     def body(batches):
         for batch in batches:
             for part in slices(batch, SLICE, text):
                 yield one(part)
 
     def one(b):
-        col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
-        sizes, hits, found = [], [], []
-        for doc, hit, have in zip(*[col[c].to_pylist() for c in (text, "hit", "items")]):
+        at = b.schema.get_field_index
+        sizes, starts, wins = [], [], []
+        for doc in b.column(at(text)).to_pylist():
             words = words_of(doc)
-            flags = bytearray(hit) if hit else bytearray(len(words))
-            items = set(have)
-            probe(words, index.value, flags, items)
+            found = sorted((lo, n) for lo, ns in proposals(words, prefixes.value).items()
+                           for n in ns)
             sizes.append(len(words))
-            hits.append(flags)
-            found.append(sorted(items))
-        items = pa.array(found, pa.list_(pa.string()))
-        if last:
-            out = {"doc_id": col["doc_id"], "n_words": pa.array(sizes, pa.int64()),
-                   "n_hit": pa.array([h.count(1) for h in hits], pa.int64()), "items": items}
-        else:
-            out = {"doc_id": col["doc_id"], "hit": pa.array([bytes(h) for h in hits], pa.binary()),
-                   "items": items}
-            if text == "text":
-                out["text"] = col["text"]
-        out |= {c: col[c] for c in carried}
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            starts.append([lo for lo, _ in found])
+            wins.append([b" ".join(words[lo:lo + n]) for lo, n in found])
+        return pa.RecordBatch.from_arrays(
+            [*[b.column(at(c)) for c in kept], pa.array(sizes, pa.int64()),
+             pa.array(starts, pa.list_(pa.int32())), pa.array(wins, pa.list_(pa.binary()))],
+            [*kept, "n_words", "starts", "wins"])
     return body
 
 
+def _size(df: DataFrame, key: str) -> int:
+    """Bytes of the keys of ``df``, and what holding each costs."""
+    return df.agg(F.sum(F.octet_length(key) + 64).alias("n")).first()["n"] or 0
+
+
+def _in_blocks(df: DataFrame, key: str, block_bytes: int):
+    """The rows of ``df`` in blocks of at most about ``block_bytes``, measured
+    by their keys, each brought to the driver in turn."""
+    blocks = max(1, math.ceil(_size(df, key) / block_bytes))
+    for b in range(blocks):
+        yield df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
+
+
+def _prefixes(wins: DataFrame, texts: DataFrame, block_bytes: int) -> DataFrame:
+    """(word, at, size): the distinct prefixes of the windows that can occur."""
+    spark = texts.sparkSession
+    words = work_table(wins.mapInArrow(_word_body, "win binary, word binary, at int, size int"),
+                       "window-words")
+    distinct = words.select("word").distinct()
+    vocabulary = None
+    if _size(distinct, "word") <= block_bytes:
+        vocabulary = spark.sparkContext.broadcast({bytes(r["word"]) for r in distinct.collect()})
+    counts = (texts.mapInArrow(_count_body(vocabulary), "word binary, n long")
+              .groupBy("word").agg(F.sum("n").alias("n")))
+    rarest = (words.join(counts, "word", "left").groupBy("win", "size").agg(
+        F.min(F.struct("n", "word", "at")).alias("least"),
+        F.max(F.col("n").isNull()).alias("absent")))
+    return work_table(rarest.filter("NOT absent").select("least.word", "least.at", "size")
+                      .distinct(), "prefixes")
+
+
+def _probed(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str,
+            item_col: str, item_text_col: str, block_bytes: int, carry: list[str]):
+    """(documents: row, doc_id, n_words, carried columns; hits: row, n_hit,
+    items)."""
+    spark = docs.sparkSession
+    rows, text, carried = id_text_carry(docs, id_col, text_col, carry)
+    bench = benchmark.select(
+        F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
+        F.col(f"`{item_text_col}`").cast("string").alias("text")).distinct()
+    owned = work_table(bench.mapInArrow(_window_body(window), "win binary, item string")
+                       .distinct(), "windows")
+    wins = work_table(owned.select("win").distinct(), "distinct-windows")
+    blocks = list(_in_blocks(_prefixes(wins, rows.select(text), block_bytes), "word", block_bytes))
+
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
+    dealt = wins.withColumn("salt", F.explode(F.array(*[
+        F.lit(i).cast("long") for i in range(SALTS)])))
+    found, source = None, rows
+    for k, part in enumerate(blocks):
+        prefixes = defaultdict(list)
+        for r in part:
+            prefixes[bytes(r["word"])].append((r["at"], r["size"]))
+        keep = ["doc_id", *[f.name for f in carried]]
+        if len(blocks) > 1 and text == "text":
+            keep.append("text")                       # read again by the next pass
+        if k:
+            keep = ["row"]
+        types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+        probed = source.mapInArrow(
+            _probe_body(spark.sparkContext.broadcast(dict(prefixes)), text, keep),
+            ", ".join(f"`{c}` {types[c]}" for c in keep)
+            + ", n_words long, starts array<int>, wins array<binary>")
+        if not k:
+            probed = probed.withColumn("row", F.monotonically_increasing_id())
+        probed = work_table(probed, "probed")
+        if not k:
+            source = probed.drop("n_words", "starts", "wins")
+            documents = probed.drop("starts", "wins").drop(*["text"] * (text == "text"))
+        proposed = (probed.select("row", F.explode(F.arrays_zip("starts", "wins")).alias("o"))
+                    .select("row", F.col("o.starts").alias("start"), F.col("o.wins").alias("win"))
+                    .withColumn("salt", salt("row")))
+        one = proposed.join(dealt, ["win", "salt"]).select("row", "start", "win")
+        found = one if found is None else found.unionByName(one)
+    found = work_table(found, "hits")
+    # words hit: distinct positions
+    length = F.size(F.split(F.decode("win", "UTF-8"), " "))
+    n_hit = (found.select("row", F.explode(F.sequence("start", F.col("start") + length - 1))
+                          .alias("pos")).distinct()
+             .groupBy("row").agg(F.count(F.lit(1)).alias("n_hit")))
+    items = (found.select("row", "win").distinct().join(owned, "win").select("row", "item")
+             .distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items")))
+    return documents, work_table(n_hit.join(items, "row"), "hit-documents")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   min_share: tuple[int, int] = (1, 20), id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id",
@@ -134,36 +246,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     document is contaminated when it has hits and they are at least
     ``min_share`` (numerator, denominator) of its words.  The columns of
     ``carry`` come along as ``__carry_<name>``."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    rows, text, carried = id_text_carry(docs, id_col, text_col, carry)
-    tail = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
-    more = "doc_id long, hit binary, items array<string>" + ", text string" * (text == "text")
-    bench = benchmark.select(
-        F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
-        F.col(f"`{item_text_col}`").cast("string").alias("text")).distinct()
-    size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    state = (rows.withColumn("hit", F.lit(None).cast("binary"))
-             .withColumn("items", F.array().cast("array<string>")))
-    for b in range(blocks):
-        items = [(r["item"], r["text"]) for r in
-                 bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        vocabulary = sc.broadcast({w for _, t in items for w in words_of(t)})
-        counted = (rows.select(text).mapInArrow(_count_body(vocabulary), "word binary, n long")
-                   .groupBy("word").agg(F.sum("n").alias("n")))
-        counts = {bytes(r["word"]): r["n"] for r in counted.collect()} if items else {}
-        index = sc.broadcast(build_index(items, counts, window))
-        last = b == blocks - 1
-        state = state.mapInArrow(
-            _probe_body(index, last, text, [f.name for f in carried]),
-            ("doc_id long, n_words long, n_hit long, items array<string>" if last else more)
-            + tail)
-        if not last and b % 4 == 3:
-            state = work_table(state, "decontaminate")
+    documents, hits = _probed(docs, benchmark, window, id_col, text_col, item_col, item_text_col,
+                              block_bytes, list(carry))
     num, den = min_share
-    return state.withColumn("contaminated", (F.col("n_hit") > 0)
-                            & (F.col("n_hit") * den >= F.col("n_words") * num))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return (documents.join(hits, "row", "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        *[F.col(f"`__carry_{c}`") for c in carry])
+        .withColumn("contaminated", (F.col("n_hit") > 0)
+                    & (F.col("n_hit") * den >= F.col("n_words") * num)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
