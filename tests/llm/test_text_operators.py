@@ -254,8 +254,7 @@ def test_equal_segments_are_compared(monkeypatch, docs):
     answers = np.full(len(block.anchors()[0]), 1, np.uint8)
     block.keep_shared(answers)
     _, heads, _, where, _ = block.segments()
-    for i in range(len(where)):
-        assert block._text(i) == block._text(heads[where[i]])
+    assert list(block.texts(np.arange(len(where)))) == list(block.texts(heads[where]))
     assert len(heads) > 2
 
 
@@ -384,6 +383,22 @@ def test_packed_rows_can_be_written(docs, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "packed")).count() == p.count()
 
 
+def test_packing_with_a_large_vocabulary(spark, tmp_path):
+    """Ids above 65,535 with a small padding id: the bytes stand last in a
+    made-up rank file of 100,000 tokens."""
+    import base64
+    lines = [(f"tok{i}".encode(), i) for i in range(99_744)]
+    lines += [(bytes([b]), 99_744 + b) for b in range(256)]
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in lines))
+    df = spark.createDataFrame([(1, "tok7 tok29999"), (2, None)], "doc_id long, text string")
+    rows = packing.pack(df, str(path), length=16, pad=3).collect()
+    ids = np.frombuffer(bytes(rows[0].ids), "<u4").tolist()
+    assert len(rows) == 1 and ids[rows[0].n_tokens:] == [3] * (16 - rows[0].n_tokens)
+    back = {r: t for t, r in lines}
+    assert b"".join(back[i] for i in ids[:rows[0].n_tokens]) == b"tok7 tok29999"
+
+
 # --- 3, 5: copies ---------------------------------------------------------------
 
 def test_near_duplicates_equal_brute_force(docs):
@@ -469,6 +484,26 @@ def test_content_sort(docs, keep, spark):
             == {w[0] for w in want if w[3]})
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_hot_copies_without_ids_are_salted(spark, keep):
+    """Rows without an id, and rows of one id, of one hot text: dealt over all
+    salts, one group, one row kept."""
+    df = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id END AS doc_id",
+        "CASE WHEN id % 3 < 2 THEN 'hot text' ELSE concat('hot text', id) END AS text")
+    runs = content_sort._runs(df, "doc_id", "text", keep, None).filter("text_sha256 = sha2("
+                                                                       "'hot text', 256)")
+    by_salt = {r.salt: r["count"] for r in runs.groupBy("salt").count().collect()}
+    assert len(by_salt) >= 8 and max(by_salt.values()) < 2 * 4000 / len(by_salt)
+    rows = content_sort.content_sort_dedup(df, keep=keep).collect()
+    hot = [r for r in rows if r.text_sha256 == sha("hot text")]
+    assert len(rows) == 6000 and len(hot) == 4000
+    assert {(r.keep_id, r.group_size) for r in hot} == {(5, 4000)}
+    assert [r.doc_id for r in hot if r.kept] == [5] and sum(r.kept for r in rows) == 2001
+    kept = content_sort.content_sort_keep(df, keep=keep).filter("text = 'hot text'").collect()
+    assert [r.doc_id for r in kept] == [5]
+
+
 def test_hot_copies_are_salted(spark):
     """A third of the rows are one text: their runs are split and merged."""
     df = spark.range(3000).selectExpr(
@@ -499,6 +534,45 @@ def test_decontamination(docs, bench, block):
     assert {r.doc_id for r in clean.collect()} == {w[0] for w in want if not w[5]}
 
 
+def test_decontamination_of_hot_windows(spark):
+    """One passage in a third of the documents and in many items, repeated
+    items, windows that share their rarest word, several blocks."""
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    passage = rnd.choices(vocab, k=20)
+    items = [(f"i{k}", " ".join(rnd.choices(vocab, k=rnd.randint(0, 25)) + passage * (k % 3 == 0)))
+             for k in range(30)] + [("i3", "again zebra " + " ".join(passage))] * 5
+    items += [(None, " ".join(passage[:6])), ("short", "w1"), ("none", "- -"), ("null", None)]
+    docs = [(k if k % 9 else k - 1, " ".join(
+        rnd.choices(vocab, k=rnd.randint(0, 60)) + passage * (k % 3 == 0)
+        + rnd.choices(vocab, k=rnd.randint(0, 9)))) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(decontaminate.brute_force(docs, [(i or "", t) for i, t in items]))
+    for block in (1 << 20, 3000):
+        got = decontaminate.decontaminate(df, bench, block_bytes=block).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]),
+                       sha(",".join(sorted(r["items"]))), r.contaminated) for r in got) == want
+
+
+def test_benchmark_beyond_a_block_is_not_collected(spark, monkeypatch):
+    """Only the prefixes of windows whose words all occur reach the driver."""
+    bench = spark.range(3000).selectExpr(
+        "cast(id AS string) AS item_id",
+        "concat_ws(' ', transform(sequence(1, 60), i -> concat('q', hex(hash(id, i))))) AS text")
+    hit = bench.filter("item_id = '77'").first().text
+    docs = spark.createDataFrame([(1, "x " + hit + " y"), (2, "nothing of it")],
+                                 "doc_id long, text string")
+    seen = []
+    plain = decontaminate._in_blocks
+    monkeypatch.setattr(decontaminate, "_in_blocks",
+                        lambda *a: (seen.append(part) or part for part in plain(*a)))
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in
+           decontaminate.decontaminate(docs, bench, block_bytes=1 << 20).collect()}
+    assert got == {1: (60, ["77"]), 2: (0, [])}
+    assert sum(map(len, seen)) <= 60
+
+
 def test_decontamination_edge_tables(empty, repeated, bench, spark):
     assert decontaminate.decontaminate(empty, bench).count() == 0
     none = bench.filter("false")
@@ -517,6 +591,76 @@ def test_quality_learns_and_scores_everything(spark, sf):
     assert quality_fm.keep_good(docs, model).columns == docs.columns
 
 
+def _plain_features(text, size):
+    """One text's statistics and word weights, written out."""
+    raw = text.encode()
+    words = raw.split()
+    n = max(len(words), 1)
+    tf = {w: words.count(w) for w in set(words)}
+    stop = set(b"!,.:;?")
+    symbol = {c for c in range(33, 127) if not chr(c).isalnum()} - stop
+    share = lambda ok: sum(map(ok, raw)) / max(len(raw), 1)
+    stats = [np.log1p(len(words)) / 5, sum(map(len, words)) / n / 8, len(tf) / n,
+             max(tf.values(), default=0) / n * 3,
+             sum(a == b for a, b in zip(words, words[1:])) / n * 3,
+             share(lambda c: 65 <= c <= 90) * 3, share(lambda c: 48 <= c <= 57) * 3,
+             share(stop.__contains__) * 5, share(symbol.__contains__) * 5,
+             sum(w[-1] in symbol for w in words) / n * 2,
+             sum(len(w) == 1 and w[0] in symbol for w in words) / n * 3,
+             float(not words), 0.0 if size is None else np.log1p(max(size, 0)) / 8,
+             float(size is None)]
+    weights = {w: np.log1p(k) for w, k in tf.items()}
+    norm = np.sqrt(sum(v * v for v in weights.values()))
+    return stats, sorted(v / norm for v in weights.values())
+
+
+def test_features_equal_plain_python():
+    rnd = random.Random(6)
+    bits = ["a", "B", "word", "word", "é", "1", "22", "!", "#", "#x#", "x.", "...", "漢字", "\x00"]
+    texts = ["", " ", "\n", "#", "#\n# #"] + [
+        rnd.choice([" ", "\n", "\t "]).join(rnd.choices(bits, k=rnd.randint(0, 40)))
+        for _ in range(150)]
+    sizes = [rnd.choice([None, -3, 0, 7, 10 ** 9]) for _ in texts]
+    row, col, val, stats = quality_fm.features(texts, sizes)
+    for i, (t, n) in enumerate(zip(texts, sizes)):
+        want, weights = _plain_features(t, n)
+        assert np.allclose(stats[i], want), t
+        assert np.allclose(sorted(val[row == i]), weights)
+    assert col.min() >= 0 and col.max() < quality_fm.BUCKETS
+
+
+def test_fit_separates_by_word_and_by_statistics():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices(["good"] * (k % 2) + [f"w{i}" for i in range(40)], k=30)
+                      + ["good"] * (k % 2)) for k in range(300)]
+    y = np.array([k % 2 for k in range(300)], float)
+    row, col, val, stats = quality_fm.features(texts, [None] * 300)
+    ptr = np.searchsorted(row, np.arange(301))
+    model = quality_fm.fit(ptr, col, val, stats, y)
+    r, c, v = quality_fm._design(row, col, val, stats)
+    s = quality_fm.sigmoid(quality_fm.raw_scores(model, r, c, v, 300)[0])
+    assert np.mean((s > 0.5) == y) > 0.95
+
+
+def test_training_sample_is_one_text_per_id(spark):
+    """Repeated rows of one id, repeated labels and labels without a document
+    neither widen nor shrink the sample."""
+    docs = [(i, f"text number {i} " * (i % 5 + 1), 10) for i in range(60)]
+    docs += [(7, f"another {k}", 3) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(7, 1)] * 5,
+                                   "doc_id long, quality int")
+    seen = []
+    plain = quality_fm._train
+    try:
+        quality_fm._train = lambda pdf: __import__("pandas").DataFrame(
+            {"model": [str(sorted(pdf["doc_id"])).encode()]})
+        seen = eval(quality_fm.train(df, labels, max_sample=30))
+    finally:
+        quality_fm._train = plain
+    assert len(seen) == len(set(seen)) == 30 and max(seen) < 60
+
+
 def test_quality_edge_tables(docs, empty, repeated, spark):
     labels = spark.createDataFrame(
         [(d, k % 2, "x") for k, (d, _) in enumerate(DOCS)] + [(DOCS[0][0], 1, "x"), (None, 1, "x"),

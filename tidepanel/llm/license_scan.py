@@ -37,7 +37,8 @@ tokens, whose size is fixed by the caller.
 is a file in the root folder; of equally good templates the first licence
 by name is taken if nothing nearby decides, of several licence files of a folder the best match (then
 the first name); repeated rows get the same answer each; an empty table gives
-no rows; extra columns are dropped.
+no rows; texts of any length are scanned whole (a text's blocks and tokens are
+arrays of one row); extra columns are dropped.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Each output row has the padded id row, the cumulative segment lengths and the
 position ids, which start again at 0 with every segment.
 
 *Edge cases.*  Null or empty texts have no tokens and are in no row (they
-lose nothing); repeated rows are packed each; an empty table gives no rows.
+lose nothing); repeated rows are packed each; a text of any length is split over
+rows; ids are held in 16 or 32 bits by the size of the vocabulary, whatever the
+padding id; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,16 +8,18 @@ and size.  The machine adds a linear part and low-rank pairwise interactions
 
 whose right-hand side costs time linear in the non-zero features.
 
-*Training* uses a bounded sample: at most ``max_sample`` labelled rows, the
-first in the order of a hash of their id.  Its features are computed where
+*Training* uses a bounded sample: at most ``max_sample`` labelled documents, the
+first in the order of a hash of their id (one text per id).  Its features are computed where
 the documents are, and one task fits the model (a few MB).  *Scoring* is a
 map over all documents, without a shuffle.
 
 *Edge cases.*  A null text is empty and gets a score (its structure says
 so); null metadata counts as missing (0 with a missing flag); several labels
 of one document are averaged; rows without a label train nothing; with no
-labels at all every score is 0.5.  Repeated rows are scored one by one;
-extra columns are dropped.
+labels at all every score is 0.5.  Repeated rows are scored one by one, and
+train once; a text of any length is read whole (a slice of rows ends at 1 MB of
+text, a longer text is a slice, with arrays of about 60 bytes a byte); extra
+columns are dropped.
 """
 
 from __future__ import annotations
