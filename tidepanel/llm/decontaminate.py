@@ -165,6 +165,12 @@ def _in_blocks(df: DataFrame, key: str, block_bytes: int):
         yield df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
 
 
+def _copied(df: DataFrame) -> DataFrame:
+    """Each row once per salt."""
+    return df.withColumn("salt", F.explode(F.array(*[
+        F.lit(i).cast("long") for i in range(SALTS)])))
+
+
 def _prefixes(wins: DataFrame, texts: DataFrame, block_bytes: int) -> DataFrame:
     """(word, at, size): the distinct prefixes of the windows that can occur."""
     spark = texts.sparkSession
@@ -176,7 +182,10 @@ def _prefixes(wins: DataFrame, texts: DataFrame, block_bytes: int) -> DataFrame:
         vocabulary = spark.sparkContext.broadcast({bytes(r["word"]) for r in distinct.collect()})
     counts = (texts.mapInArrow(_count_body(vocabulary), "word binary, n long")
               .groupBy("word").agg(F.sum("n").alias("n")))
-    rarest = (words.join(counts, "word", "left").groupBy("win", "size").agg(
+    if vocabulary is None:
+        counts = counts.join(distinct, "word", "left_semi")
+    dealt = words.withColumn("salt", F.pmod(F.xxhash64("win"), F.lit(SALTS)))
+    rarest = (dealt.join(_copied(counts), ["word", "salt"], "left").groupBy("win", "size").agg(
         F.min(F.struct("n", "word", "at")).alias("least"),
         F.max(F.col("n").isNull()).alias("absent")))
     return work_table(rarest.filter("NOT absent").select("least.word", "least.at", "size")
@@ -198,8 +207,7 @@ def _probed(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, tex
     blocks = list(_in_blocks(_prefixes(wins, rows.select(text), block_bytes), "word", block_bytes))
 
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
-    dealt = wins.withColumn("salt", F.explode(F.array(*[
-        F.lit(i).cast("long") for i in range(SALTS)])))
+    dealt = _copied(wins)
     found, source = None, rows
     for k, part in enumerate(blocks):
         prefixes = defaultdict(list)
