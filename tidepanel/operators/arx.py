@@ -30,11 +30,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import materialize
 from .aggregate import best_by
-from .folds import expand_origins
 from .forecast import Z95
 from .windows import lag, spec
 
@@ -92,21 +92,27 @@ def model_rows(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Se
     return base.withColumns({_lag_name(n): lag(y, keys, period, n) for n in range(1, lags + 1)})
 
 
-def _moments(rows: DataFrame, keys: Sequence[str], cols: Sequence[str],
-             *more: Column) -> DataFrame:
-    """n, means and the upper triangle of the centred co-moments per series,
-    and the aggregates ``more``.  Rows with a gap in any column take no part;
-    a series of gaps only still has its row."""
+def _moment_columns(cols: Sequence[str], over=None) -> list[Column]:
+    """n, means and the upper triangle of the centred co-moments of the rows
+    without a gap in any column, as aggregates or (``over``) as window
+    functions."""
     ok = F.lit(True)
     for c in cols:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
     v = {c: F.when(ok, F.col(c)) for c in cols}
-    n = F.count_if(ok)
+    of = (lambda c: c) if over is None else (lambda c: c.over(over))
+    n = of(F.count_if(ok))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    return rows.groupBy(*keys).agg(
-        n.cast("int").alias("n_obs"),
-        F.array(*[F.avg(v[c]) for c in cols]).alias("means"),
-        F.array(*[F.covar_pop(v[a], v[b]) * n for a, b in pairs]).alias("moments"), *more)
+    return [n.cast("int").alias("n_obs"),
+            F.array(*[of(F.avg(v[c])) for c in cols]).alias("means"),
+            F.array(*[of(F.covar_pop(v[a], v[b])) * n for a, b in pairs]).alias("moments")]
+
+
+def _moments(rows: DataFrame, keys: Sequence[str], cols: Sequence[str],
+             *more: Column) -> DataFrame:
+    """:func:`_moment_columns` per series, and the aggregates ``more``; a
+    series of gaps only still has its row."""
+    return rows.groupBy(*keys).agg(*_moment_columns(cols), *more)
 
 
 FIT_COLUMNS = ("pos int, ar int, diff int, ma int, ord string, status string, n_obs int, "
@@ -379,40 +385,49 @@ def with_accuracy(best: DataFrame, accuracy: DataFrame, keys: Sequence[str],
 def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequence[str],
              origins: Sequence[int], order: Order = (1, 0, 0), min_train: int = 0,
              z: float = Z95) -> DataFrame:
-    """Rolling-origin one-step backtest (M13): per (series, origin) the
-    drivers are scaled with the training rows' statistics (P24), the model is
-    fitted on rows up to the origin and forecasts the next period.  One row
-    per (series, origin): ``missing_period`` when the origin or the period
+    """Rolling-origin one-step backtest (M13): per (series, origin) the model
+    is fitted on the rows up to the origin and forecasts the next period.  One
+    row per (series, origin): ``missing_period`` when the origin or the period
     after it is absent (F11), ``too_short`` below ``min_train`` training
-    rows (F10) or too few for the fit."""
-    from .folds import standardize_by_fold
+    rows (F10) or too few for the fit.
+
+    No row is copied per origin: the co-moments of a training window are the
+    running co-moments of the series, read at the origin's own row, so two
+    hundred origins cost what four cost.  Scaling the drivers with the training
+    rows' statistics (P24) changes neither the fit nor its forecasts, so it is
+    left out."""
     keys, exog = list(keys), list(exog)
     p, d, q = order
     if d or q:
         raise ValueError("the one-step backtest takes undifferenced orders without "
                          "moving-average terms")
-    lagged = model_rows(df, keys, period, y, exog, p, 0).withColumn("__p1", F.col(period) - 1)
-    folds = expand_origins(lagged, "__p1", origins).withColumn(
-        "is_train", F.col(period) <= F.col("te"))
-    folds = standardize_by_fold(folds, keys, "te", exog, suffix="")
-    by = [*keys, "te"]
+    rows = model_rows(df, keys, period, y, exog, p, 0)
     cols = [_lag_name(n) for n in range(1, p + 1)] + exog + [y]
-    own = F.col(period) == F.col("te")
-    nxt = F.col(period) == F.col("te") + 1
-    facts = folds.groupBy(*by).agg(
-        F.count_if("is_train").alias("__n"), F.max(own).alias("__at"),
-        F.max_by(F.array(*[F.col(c) for c in cols[:-1]]), F.when(nxt, 1)).alias("__x"),
-        F.max(F.when(nxt, F.col(y))).alias("actual"), F.max(nxt).alias("__next"))
-    train = folds.filter("is_train")
-    fits = _moments(train, by, cols).mapInPandas(
-        _solve([(0, order)], p, len(exog), by), f"{_keys_ddl(folds, by)}, {FIT_COLUMNS}")
-    here = F.col("__at") & F.col("__next")
-    out = facts.join(fits, by, "left").withColumn(
-        "__ok", here & (F.col("__n") >= min_train) & F.col("intercept").isNotNull())
+    w = spec(keys, period)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    te = F.col(period)
+    aggregates = _moment_columns(cols, run)
+    at = rows.select(
+        *keys, te.alias("te"), F.count(F.lit(1)).over(run).alias("__n"),
+        (F.lead(period).over(w) == te + 1).alias("__next"),
+        F.lead(F.array(*cols[:-1])).over(w).alias("__x"), F.lead(y).over(w).alias("actual"),
+        *aggregates).filter(F.col("te").isin([int(t) for t in origins]))
+    by = [*keys, "te"]
+    at = materialize(at)
+    fits = at.select(*by, "n_obs", "means", "moments").mapInPandas(
+        _solve([(0, order)], p, len(exog), by), f"{_keys_ddl(at, by)}, {FIT_COLUMNS}")
+    listed = F.array(*[F.lit(int(t)).cast(at.schema["te"].dataType) for t in sorted(set(origins))])
+    every = df.select(*keys).distinct().withColumn("te", F.explode(listed))
+    facts = at.select(*by, "__n", "__next", "__x", "actual")
+    out = _left_null_safe(_left_null_safe(every, facts, by), fits, by)
+    here = F.coalesce("__next", F.lit(False))
+    out = out.withColumn("__ok", here & (F.col("__n") >= min_train)
+                         & F.col("intercept").isNotNull())
     mean = F.col("intercept") + F.aggregate(
         F.zip_with(F.col("__x"), F.concat("phi", "beta"), lambda a, b: a * b), F.lit(0.0),
         lambda acc, v: acc + v)
-    out = out.withColumn("predicted", F.when(F.col("__ok"), mean))
+    out = out.withColumn("predicted", F.when(F.col("__ok"), mean)).withColumn(
+        "actual", F.when(here, F.col("actual")))
     err = F.col("actual") - F.col("predicted")
     half = z * F.sqrt("sigma2")
     shown = lambda c: F.when(F.col("__ok"), F.col(c)).alias(c)
@@ -425,3 +440,12 @@ def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequ
         "actual", "predicted", err.alias("error"), F.abs(err).alias("abs_error"),
         (F.col("predicted") - half).alias("ci_lower"),
         (F.col("predicted") + half).alias("ci_upper"), shown("aic"), shown("bic"))
+
+
+def _left_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join that also joins null keys."""
+    named = right.select(*[F.col(c).alias(f"__r_{c}" if c in on else c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(named, same, "left").drop(*[f"__r_{c}" for c in on])
