@@ -144,3 +144,29 @@ def test_unconverged_projection_raises(spark):
     df = spark.createDataFrame(rows, "k string, t int, y double")
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         alternating_demean(df, ["y"], "k", "t", max_iter=1)
+
+
+def test_within_of_a_disconnected_panel(spark):
+    """Three parts that share no period: the dummy regression's degrees of
+    freedom, errors and rank."""
+    from tidepanel.operators.components import count_parts
+    from tidepanel.operators.within import fe_within_ols
+    rng = np.random.default_rng(2)
+    rows = [(f"{part}{e}", 10 * part + t, float(rng.normal()), float(rng.normal()))
+            for part in range(3) for e in range(5) for t in range(6) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "k string, t int, y double, x double")
+    assert count_parts(df, "k", "t") == 3
+    want = fit_ols(df, "y", ["const", "x"], cov_type="HC1", factors=["k", "t"])
+    got, _ = fe_within_ols(df, "y", ["x"], "k", "t", cov_type="HC1")
+    assert got.std_error[0] == pytest.approx(want.std_error[want.names.index("x")], rel=1e-6)
+
+
+def test_parts_of_a_long_chain(spark):
+    """Each entity links two periods: one part with a path of 600 steps, and
+    a second one; the number of rounds stays small."""
+    from tidepanel.operators.components import panel_parts
+    rows = [(f"a{i}", i + d) for i in range(300) for d in (0, 1)] + [("z", 5000), ("z", 5001),
+                                                                     (None, 1), ("q", None)]
+    df = spark.createDataFrame(rows, "e string, t int")
+    got = {r.t: r.part for r in panel_parts(df, "e", "t", max_rounds=14).collect()}
+    assert got == {**{t: 0 for t in range(301)}, 5000: 5000, 5001: 5000}

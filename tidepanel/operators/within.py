@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import count_parts
 from .joins import broadcast_bounded
 from .regression import OLSResult, fit_ols
 
@@ -59,11 +60,11 @@ def fe_within_ols(df: DataFrame, y: str, x: Sequence[str], entity: str, period:
                   cov_type: str = "HC1", tol: float = 1e-10, max_iter: int = 500,
                   period_bound: int | None = None) -> tuple[OLSResult, int]:
     """Two-way fixed-effects OLS of ``y`` on ``x`` through the within
-    transform; returns (result, rounds).  Assumes the entity-period graph
-    is connected (absorbed parameters = entities + periods - 1)."""
+    transform; returns (result, rounds).  The absorbed parameters are
+    entities + periods - connected parts of the panel."""
     rows = df.select(entity, period, y, *x).dropna()
     counts = rows.agg(F.count_distinct(entity).alias("e"),
                       F.count_distinct(period).alias("t")).first()
     dm, rounds = alternating_demean(rows, [y, *x], entity, period, tol, max_iter, period_bound)
-    absorbed = int(counts["e"]) + int(counts["t"]) - 1
+    absorbed = int(counts["e"]) + int(counts["t"]) - count_parts(rows, entity, period)
     return fit_ols(dm, y, list(x), cov_type=cov_type, absorbed=absorbed), rounds
