@@ -38,25 +38,24 @@ GRAM_COLS = ["const", "x1", "y", "n_orders", "n_f"]
 
 
 def _gram_sql():
-    terms = []
-    for i, a in enumerate(GRAM_COLS):
-        for b in GRAM_COLS[i:]:
-            terms.append(f"CAST(sum(CAST({a} AS DECIMAL(38,8)) * CAST({b} AS DECIMAL(38,8))) "
-                         f"AS DOUBLE) AS {a}__{b}")
+    terms = [f"printf('%.9e', sum({a} * {b}))::DOUBLE AS {a}__{b}"
+             for i, a in enumerate(GRAM_COLS) for b in GRAM_COLS[i:]]
     return f"""
 WITH {CUSTOMER_MONTH_SQL}
 SELECT count(*) AS n, {", ".join(terms)} FROM (
-  SELECT 1 AS const, * REPLACE (round(x1, 6) AS x1, round(y, 8) AS y) FROM cm)
+  SELECT 1.0::DOUBLE AS const, x1, y, n_orders::DOUBLE AS n_orders, n_f::DOUBLE AS n_f FROM cm)
 """
 
 
 @query("gram_matrix", step=7, sql=_gram_sql())
 def q_gram_matrix(spark, d):
-    """Normal-equation sums in one exact-decimal aggregate (the mean
-    driver as a regressor of six decimals: exact sums need finite ones)."""
-    cm = (customer_month(spark, d).withColumn("const", F.lit(1))
-          .withColumns({"x1": F.round("x1", 6), "y": F.round("y", 8)}))
-    return cross_products(cm, GRAM_COLS, decimal_scale=8)
+    """Normal-equation sums of the series' own values in one aggregate;
+    only the sums are rounded, to ten significant digits."""
+    cm = customer_month(spark, d).withColumn("const", F.lit(1.0))
+    sums = cross_products(cm.select(*[F.col(c).cast("double").alias(c) for c in GRAM_COLS]),
+                          GRAM_COLS)
+    return sums.select("n", *[F.format_string("%.9e", F.col(c)).cast("double").alias(c)
+                              for c in sums.columns if c != "n"])
 
 
 @query("simple_ols", step=7, sql=f"""
