@@ -67,3 +67,40 @@ def test_model_output_tables(spark):
     meta = spark.table("t_models.regression_metadata").first()
     assert meta.fixed_effects == "industry" and meta.assumptions and meta.purpose
     assert spark.table("t_models.regression_coefficients").filter("run_utc IS NULL").count() == 0
+
+
+def test_publish_swaps_in_one_step(spark):
+    sinks.ensure_schema(spark, "t_swap")
+    one = spark.createDataFrame([(2000, "a", 1.5), (2001, "b", None)],
+                                "year int, `Industry Name` string, v double")
+    m = sinks.publish(one, "t_swap.t", partition_cols=["year"])
+    assert m["rows"] == 2 and spark.table("t_swap.t").columns == ["year", "industry_name", "v"]
+    assert spark.table("t_swap.t").dtypes[0] == ("year", "int")
+    # another schema; the name itself is read by what replaces it
+    more = spark.table("t_swap.t").selectExpr("industry_name AS name", "CAST(year AS string) AS y")
+    sinks.publish(more, "t_swap.t")
+    assert sorted(map(tuple, spark.table("t_swap.t").collect())) == [("a", "2000"), ("b", "2001")]
+    assert len(sinks.versions(spark, "t_swap.t")) == 2
+    # a write that fails half-way leaves the old rows readable
+    bad = spark.range(1000).selectExpr(
+        "id", "CASE WHEN id = 997 THEN raise_error('stop') ELSE 'x' END AS name")
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(bad, "t_swap.t")
+    assert spark.table("t_swap.t").count() == 2 and len(sinks.versions(spark, "t_swap.t")) == 2
+    sinks.publish(spark.range(3), "t_swap.t")
+    sinks.set_properties(spark, "t_swap.t", {"layer": "derived"})
+    assert spark.table("t_swap.t").count() == 3 and len(sinks.versions(spark, "t_swap.t")) == 2
+    sinks.write_table(one, "t_swap.plain")
+    with pytest.raises(ValueError, match="is a table"):
+        sinks.publish(one, "t_swap.plain")
+
+
+def test_features_by_swap(spark, sf):
+    from tidepanel.plans.features import standin_spec
+    sinks.run_to_gold(spark, sf, "t_feat_swap")
+    for _ in range(2):
+        m = sinks.run_features(spark, "t_feat_swap", "t_feat_swap.gold_panel", standin_spec(),
+                               "2026-01-01T00:00:00", swap=True)
+    assert spark.table("t_feat_swap.features").count() == m["features"]["rows"] > 0
+    props = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES t_feat_swap.features").collect()}
+    assert props["layer"] == "derived"

@@ -8,6 +8,7 @@ which plain parquet tables do.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -63,6 +64,43 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", fmt: str = "p
     return {"table": name, "rows": int(obs.get["rows"]), "columns": list(df.columns)}
 
 
+def publish(df: DataFrame, name: str, fmt: str = "parquet", partition_cols: Sequence[str] = (),
+            sanitize: bool = True, keep: int = 2) -> dict:
+    """Overwrite ``name`` with ``df``, whatever its schema, without a moment in
+    which readers see neither (K2, K3): the rows are written to a location of
+    their own, and only then is the name, a view, moved to it in one catalog
+    call.  A write that fails half-way leaves the name as it was; ``df`` may
+    read the name itself.  The last ``keep`` versions are listed in the view's
+    properties, so that older ones can be removed by whoever owns the storage
+    (``versions``); nothing is deleted here."""
+    spark = df.sparkSession
+    if sanitize:
+        df = sanitize_columns(df, "gold")
+    db, _, table = name.rpartition(".")
+    db = db or spark.catalog.currentDatabase()
+    before: list[str] = []
+    if spark.catalog.tableExists(name):
+        if spark.catalog.getTable(name).tableType != "VIEW":
+            raise ValueError(f"{name} is a table; publish only replaces what it has published")
+        before = versions(spark, name)
+    home = spark.catalog.getDatabase(db).locationUri.rstrip("/")
+    path = f"{home}/{table}-{uuid.uuid4().hex}"
+    m = write_path(df.repartition(*partition_cols) if partition_cols else df, path,
+                   "errorifexists", fmt, partition_cols)
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    casts = ", ".join(f"CAST(`{c}` AS {t}) AS `{c}`" for c, t in df.dtypes)
+    kept = ",".join([path, *before][:keep])
+    spark.sql(f"CREATE OR REPLACE VIEW {name} ({columns}) "
+              f"TBLPROPERTIES ('versions' = '{kept}') AS SELECT {casts} FROM {fmt}.`{path}`")
+    return {"table": name, "rows": m["rows"], "columns": list(df.columns), "path": path}
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """Locations of a published name's versions, the present one first."""
+    props = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    return [p for p in props.get("versions", "").split(",") if p]
+
+
 def read_table_ordered(spark: SparkSession, name: str, columns: Sequence[str]) -> DataFrame:
     """Parquet tables move partition columns last; select the written order."""
     return spark.table(name).select(*columns)
@@ -73,7 +111,8 @@ def set_properties(spark: SparkSession, name: str, props: Mapping[str, str]) ->
     def quoted(x) -> str:
         return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
     body = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in props.items())
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({body})")
+    kind = "VIEW" if spark.catalog.getTable(name).tableType == "VIEW" else "TABLE"
+    spark.sql(f"ALTER {kind} {name} SET TBLPROPERTIES ({body})")
 
 
 MANIFEST_SCHEMA = ("product string, source string, pid string, table string, rows long, "
@@ -110,22 +149,25 @@ def run_to_gold(spark: SparkSession, sf_dir: str, db: str, cfg=None,
 
 def write_derived(spark: SparkSession, df: DataFrame, name: str, props: Mapping[str, str],
                   run_ts: str | None = None, stamp_col: str = "derived_run_utc",
-                  partition_cols: Sequence[str] = ()) -> dict:
+                  partition_cols: Sequence[str] = (), swap: bool = False) -> dict:
     """A derived table as the source pipeline writes it: every row stamped
-    with the run time (K8), overwritten with its new schema (K3), then
-    described by table properties (K5)."""
+    with the run time (K8), overwritten with its new schema (K3; ``swap``: in
+    one step, by :func:`publish`), then described by table properties (K5)."""
     ts = run_ts or run_timestamp()
-    m = write_table(stamp(df, ts, stamp_col), name, "overwrite", partition_cols=partition_cols,
-                    sanitize=False)
+    rows = stamp(df, ts, stamp_col)
+    if swap:
+        m = publish(rows, name, partition_cols=partition_cols, sanitize=False)
+    else:
+        m = write_table(rows, name, "overwrite", partition_cols=partition_cols, sanitize=False)
     set_properties(spark, name, {**props, "created_utc": ts})
     return m
 
 
 def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
-                 run_ts: str | None = None) -> dict:
+                 run_ts: str | None = None, swap: bool = False) -> dict:
     """Panel table -> feature table and its dictionary, with properties
     (the derived layer): reads the written panel, so nothing upstream is
-    recomputed."""
+    recomputed.  ``swap``: replace both in one step each."""
     from .plans import features as feat
     spec = spec or feat.reference_spec()
     ensure_schema(spark, db)
@@ -133,12 +175,13 @@ def run_features(spark: SparkSession, db: str, panel_table: str, spec=None,
     f = feat.build_features(spark.table(panel_table), spec)
     m1 = write_derived(spark, f, f"{db}.features", {"layer": "derived",
                                                      "source_table": panel_table,
-                                                     "grain": f"{spec.key}-{spec.period}"}, ts)
+                                                     "grain": f"{spec.key}-{spec.period}"}, ts,
+                       swap=swap)
     written = spark.table(f"{db}.features")
     d = feat.feature_dictionary(spark, spec, written)
     m2 = write_derived(spark, d, f"{db}.feature_dictionary",
                        {"layer": "derived", "describes_table": f"{db}.features"}, ts,
-                       stamp_col="created_utc")
+                       stamp_col="created_utc", swap=swap)
     return {"features": m1, "feature_dictionary": m2}
 
 
