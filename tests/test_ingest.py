@@ -194,3 +194,42 @@ def test_what_python_cannot_open_goes_through_spark(spark, two_large):
     from tidepanel.sources import zipped
     assert not zipped.reachable("viewfs://nowhere/a.zip")
     assert not zipped.reachable("/no/such/archive.zip")
+
+
+# --- inferred types ------------------------------------------------------------------
+
+CELLS = {
+    "whole": (["1", "-20", "", " 7 ", None, "0"], "bigint"),
+    "decimal": (["1.5", "2", ".5", "1e3", "", "-0.25"], "double"),
+    "big": (["1", "9" * 19, "2", "3", "4", "5"], "string"),
+    "code": (["007", "12", "13", "1", "2", "3"], "string"),
+    "day": (["2016-01-31", "", None, "2020-02-29", "1999-12-31", "2000-01-01"], "date"),
+    "no_day": (["2016-02-30", "2016-01-01", "", "", "", ""], "string"),
+    "period": (["2016-01", "2016-02", "", "2016-03", "2016-04", None], "string"),
+    "year": (["2016", "2017", "2018", "2019", "2020", "2021"], "bigint"),
+    "mixed": (["2016-01-01", "5", "", "", "", ""], "string"),
+    "words": (["NaN", "1", "2", "3", "4", "5"], "string"),
+    "empty": (["", None, "", "", "", ""], "string"),
+    "dots": (["..", "1", "2.5", "..", "", "3"], "double"),
+}
+
+
+def test_types_are_inferred_from_all_cells(spark):
+    from tidepanel.sources.archives import infer_types, with_inferred_types
+    rows = list(zip(*[v for v, _ in CELLS.values()]))
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in CELLS)).repartition(3)
+    assert infer_types(df, list(CELLS), ("", "..")) == {c: t for c, (_, t) in CELLS.items()}
+    plan = df.sparkSession.createDataFrame([], df.schema)
+    assert infer_types(plan, list(CELLS)) == dict.fromkeys(CELLS, "string")
+    out = with_inferred_types(df, null_values=("", ".."))
+    assert dict(out.dtypes) == {c: t for c, (_, t) in CELLS.items()}
+    assert sorted(r.whole for r in out.collect() if r.whole is not None) == [-20, 0, 1, 7]
+    assert sorted(r.dots for r in out.collect() if r.dots is not None) == [1.0, 2.5, 3.0]
+    assert infer_types(df, []) == {}
+
+
+def test_ingest_with_inferred_types(spark, landing):
+    t = ingest(spark, landing, infer=True)["labour"]
+    types = dict(t.dtypes)
+    assert types["value"] == "double" and types["ref_date"] == "string"   # periods stay text
+    assert sorted(r.value for r in t.collect() if r.value is not None) == [3.0, 4.2, 5.1]

@@ -143,12 +143,53 @@ def parse_member(lines: DataFrame, header: list[str], flavour: str = "silver",
     body = lines.filter(F.col("line_no") > 0).filter(F.size("fields") > 0)
     out = body.select("product", "pid", *keep, *[F.get(F.col("fields"), i).alias(n)
                                           for i, n in enumerate(names)])
-    for col, typ in (numeric or {"value": "double"}).items():
+    for col, typ in ({"value": "double"} if numeric is None else numeric).items():
         if col in out.columns:
             out = out.withColumn(col, F.col(col).try_cast(typ))
     return out
 
 
+# --- inferred types ---------------------------------------------------------------
+
+_INT, _DOUBLE, _DATE, _STRING = 1, 2, 4, 8
+
+
+def cell_kind(cell, null_values: Sequence[str] = ("",)):
+    """What a cell can be read as, as a bit: whole number, decimal, calendar
+    day, text; 0 for a missing one.  Numbers that a cast would change (leading
+    zeros, over 18 digits) are text, and so are periods such as ``2016-01``."""
+    t = F.trim(cell)
+    plain = t.rlike(r"^[+-]?(0|[1-9][0-9]{0,17})$")
+    # a zero may only stand before the point, a number needs a digit
+    number = t.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")
+    whole = t.rlike(r"^[+-]?[0-9]*$")
+    day = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(t, "yyyy-MM-dd").isNotNull()
+    return (F.when(t.isNull() | t.isin(list(null_values)), 0).when(plain, _INT)
+            .when(number & ~whole, _DOUBLE).when(day, _DATE).otherwise(_STRING))
+
+
+def infer_types(df: DataFrame, cols: Sequence[str],
+                null_values: Sequence[str] = ("",)) -> dict[str, str]:
+    """Type of each text column (S8), from one aggregate over all cells of all
+    columns: missing < bigint < double, and string above everything else that
+    meets (a column of days is a date); a column without values stays text."""
+    if not cols:
+        return {}
+    found = df.agg(*[F.bit_or(cell_kind(F.col(f"`{c}`"), null_values)).alias(f"c{i}")
+                     for i, c in enumerate(cols)]).first()
+    named = {_INT: "bigint", _DOUBLE: "double", _INT | _DOUBLE: "double", _DATE: "date"}
+    return {c: named.get(found[f"c{i}"], "string") for i, c in enumerate(cols)}
+
+
+def with_inferred_types(df: DataFrame, keep_text: Sequence[str] = ("product", "pid", "path"),
+                        null_values: Sequence[str] = ("",)) -> DataFrame:
+    """Text columns cast to their inferred types; missing cells become null."""
+    text = [c for c, t in df.dtypes if t == "string" and c not in keep_text]
+    types = infer_types(df, text, null_values)
+    cell = lambda c: F.when(~F.trim(f"`{c}`").isin(list(null_values)), F.trim(f"`{c}`"))
+    return df.withColumns({c: cell(c).cast(t) for c, t in types.items() if t != "string"})
+
+
 def staged(lines: DataFrame) -> DataFrame:
     """Records written once to the session's shared folder, partitioned by
     product and role, so that every table reads its own partition only."""
@@ -189,6 +230,12 @@ def tables_of(lines: DataFrame, roles: dict[str, dict[str, str] | None],
 
 
 def ingest(spark: SparkSession, location: str, role: str = "data",
-           numeric: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Every archive in ``location`` -> {product: long table}."""
-    return tables_of(staged_archives(spark, location), {role: numeric})[role]
+           numeric: dict[str, str] | None = None, infer: bool = False,
+           null_values: Sequence[str] = ("", "..")) -> dict[str, DataFrame]:
+    """Every archive in ``location`` -> {product: long table}.  ``infer``: the
+    columns' types come from their cells instead of from ``numeric``."""
+    tables = tables_of(staged_archives(spark, location), {role: {} if infer else numeric})[role]
+    if infer:
+        return {product: with_inferred_types(t, null_values=null_values)
+                for product, t in tables.items()}
+    return tables
