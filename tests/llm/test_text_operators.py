@@ -447,6 +447,61 @@ def test_hot_near_duplicate_groups(spark):
     assert got == bagminhash.brute_force(rows)
 
 
+def _found_components(spark, edges, monkeypatch):
+    written = []
+    real = bagminhash.work_table
+    monkeypatch.setattr(bagminhash, "work_table",
+                        lambda df, label: written.append(label) or real(df, label))
+    rows = bagminhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    monkeypatch.undo()
+    assert len({r.node for r in rows}) == len(rows)
+    return {r.node: r.label for r in rows}, len(written)
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """What is already a set of stars takes no round: one table is written."""
+    stars = [(k + i, k) for k in (100, 200, 300) for i in range(1, 40)]
+    want = {a: b for a, b in stars}
+    shuffled = [e[::-1] if i % 3 else e for i, e in enumerate(stars)] + stars[:9] + [(7, 7)]
+    assert _found_components(spark, shuffled, monkeypatch) == (want, 1)
+    assert _found_components(spark, [], monkeypatch) == ({}, 1)
+
+
+def test_components_equal_union_find(spark, monkeypatch):
+    rnd = random.Random(12)
+    edges = ([(i, i + 1) for i in range(0, 60)]                 # a chain
+             + [(1000 - i, 999 - i) for i in range(0, 30, 2)]   # pairs
+             + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)])
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    assert _found_components(spark, edges, monkeypatch)[0] == want
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """4000 texts of 10 kB are several batches, though fewer than the rows a
+    batch may have."""
+    import pyarrow as pa
+
+    from tidepanel.session import prepare
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])],
+                                             ["n", "size"])
+    prepare(spark)
+    rows = spark.range(0, 4000, 1, 1).select(F.expr("repeat('abcdefghi ', 1000)").alias("text"))
+    got = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r["size"] for r in got) < 17_000_000
+
+
 def test_signatures_estimate_weighted_jaccard():
     rnd = np.random.default_rng(4)
     key = np.sort(rnd.integers(0, 2 ** 63, 60).astype(np.uint64))

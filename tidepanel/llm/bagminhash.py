@@ -230,21 +230,27 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(_verify(threshold), "a long, b long"))
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has no other one: then each
+    edge leads from a node to its component's smallest."""
+    inner = (_both_ways(edges).groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+             .filter("lo < a AND lo <> hi"))
+    return inner.limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: every node that is not its component's smallest, with
     that smallest one.  Alternating large-star and small-star steps, each a
-    grouped minimum, until nothing changes; every step is written to the
+    grouped minimum, until only stars are left; every step is written to the
     shared folder."""
-    def state(df):
-        df = work_table(df.distinct(), "components")
-        r = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        return df, (r["n"], r["h"])
-
-    now, mark = state(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .filter("a <> b"))
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = work_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                     .filter("a <> b").distinct(), "components")
+    while not _all_stars(now):
+        both = _both_ways(now)
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (both.join(low.select("a", F.least("a", "m").alias("m")), "a")
                  .filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -252,10 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").filter("b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))))
-        before = mark
-        now, mark = state(small)
-        if mark == before:
-            break
+        now = work_table(small.distinct(), "components")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 

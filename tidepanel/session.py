@@ -110,8 +110,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+# A batch that goes to a Python worker: the rows it may have by default hold tens
+# of MB of texts, which the JVM and the worker each keep beside their heaps.
+ARROW_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def prepare(spark: SparkSession) -> None:
-    """Everything a query needs from the session it is given.  Sessions
+    """Everything a query needs from the session it is given: the shared
+    folder, the package in the workers and, where the session has no setting of
+    its own, batches of bounded bytes between the JVM and Python.  Sessions
     without a classic SparkContext (Spark Connect) manage both on the
     server side; nothing is set there."""
     try:
@@ -120,3 +127,6 @@ def prepare(spark: SparkSession) -> None:
         return
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key, size = ARROW_BATCH_BYTES
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
