@@ -131,6 +131,15 @@ def test_backtest_uses_training_rows_only(spark):
     assert out[80].status == "missing_period" and out[80].predicted is None
 
 
+def test_backtest_keeps_the_actual_after_an_absent_origin(spark):
+    df = _panel(spark, 60).filter("k = 'ar' AND p <> 40")
+    nxt = df.filter("p = 41").first()
+    out = {r.train_end: r for r in backtest(df, ["k"], "p", "y", ["x"], [39, 40, 59]).collect()}
+    assert out[40].status == "missing_period" and out[40].actual == nxt.y
+    assert out[40].predicted is None and out[40].error is None
+    assert out[39].status == "missing_period" and out[39].actual is None
+
+
 def test_scenarios_chain_edits_and_keep_a_baseline(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "p int, x double")
     assert apply_scenarios(df, {}).collect() == [(1, 2.0, "baseline"), (2, 3.0, "baseline")]

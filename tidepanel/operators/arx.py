@@ -419,7 +419,12 @@ def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequ
     listed = F.array(*[F.lit(int(t)).cast(at.schema["te"].dataType) for t in sorted(set(origins))])
     every = df.select(*keys).distinct().withColumn("te", F.explode(listed))
     facts = at.select(*by, "__n", "__next", "__x", "actual")
+    # the period after an origin that is itself absent still has its value
+    after = (df.filter(te.isin([int(t) + 1 for t in origins]))
+             .groupBy(*keys, (te - 1).cast(at.schema["te"].dataType).alias("te"))
+             .agg(F.max(y).alias("__after")))
     out = _left_null_safe(_left_null_safe(every, facts, by), fits, by)
+    out = _left_null_safe(out, after, by)
     here = F.coalesce("__next", F.lit(False))
     out = out.withColumn("__ok", here & (F.col("__n") >= min_train)
                          & F.col("intercept").isNotNull())
@@ -427,7 +432,7 @@ def backtest(df: DataFrame, keys: Sequence[str], period: str, y: str, exog: Sequ
         F.zip_with(F.col("__x"), F.concat("phi", "beta"), lambda a, b: a * b), F.lit(0.0),
         lambda acc, v: acc + v)
     out = out.withColumn("predicted", F.when(F.col("__ok"), mean)).withColumn(
-        "actual", F.when(here, F.col("actual")))
+        "actual", F.when(here, F.col("actual")).otherwise(F.col("__after")))
     err = F.col("actual") - F.col("predicted")
     half = z * F.sqrt("sigma2")
     shown = lambda c: F.when(F.col("__ok"), F.col(c)).alias(c)
